@@ -1,0 +1 @@
+"""No stream processing: every input of this engine is a finite, fully written table."""
