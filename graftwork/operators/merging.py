@@ -1,31 +1,31 @@
 """Parameter algebra on block tables.
 
 ``params(model, tensor, block_no, values_ ARRAY<FLOAT>)`` holds one fixed-length
-block per row. Blocks meet on ``(tensor, block_no)`` in a single shuffle before
-the recipe copies them to their targets, so a block that serves many targets
-moves over the network once. Models of one group are folded at most ``FAN_IN``
-at a time; longer recipes fold level by level.
+block per row. All blocks of a merge, the base model included, meet on
+``(tensor, block_no)`` in a single shuffle. Only then are they copied to the
+targets that selected them, sorted by (target, block, recipe order) and folded
+as a stream: a task holds one output block of state, however many models a
+recipe lists.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import functools
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.operators.scale import pin_small
-from graftwork.operators.sparsify import dare, trim
+from graftwork.functions import blocks as B
+from graftwork.operators.scale import Pinned, pinned
+from graftwork.operators.sparsify import GROUP, settled_vectors, trim_cutoffs
 
-FAN_IN = 64
-WEIGHT_EPS = 1e-8
 BLOCK = ("tensor", "block_no")
-
-
-# --- element-wise helpers -------------------------------------------------------
-def _as_float(values: Column) -> Column:
-    # Adding zero turns a negative zero into a plain one.
-    return F.transform(values, lambda x: (x + F.lit(0.0)).cast("float"))
+BASE = "__base__"
+MODELS_IN_FILTER = 1_000
+MERGED_DDL = "target string, tensor string, block_no bigint, values_ array<float>"
 
 
 def strip_embeddings(params: DataFrame) -> DataFrame:
@@ -77,98 +77,64 @@ def shape_conflicts(shapes: DataFrame) -> DataFrame:
 
 
 # --- joins -----------------------------------------------------------------------
+@functools.cache
+def _subtract():
+    @F.arrow_udf("array<float>")
+    def subtract(a: pa.Array, b: pa.Array) -> pa.Array:
+        diff = a.flatten().to_numpy(zero_copy_only=False).astype("float64") - b.flatten().to_numpy(zero_copy_only=False)
+        lengths = np.concatenate([[0], np.cumsum(pc.list_value_length(a).to_numpy(zero_copy_only=False))])
+        return pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(diff.astype("float32")))
+
+    return subtract
+
+
 def task_vectors(params: DataFrame, base: DataFrame, value: str = "delta") -> DataFrame:
     """Single-precision difference to the base model, block by block."""
-    b = base.select(*BLOCK, F.col("values_").alias("__base"))
-    diff = F.zip_with("values_", "__base", lambda x, y: (x.cast("double") - y.cast("double")).cast("float"))
-    return params.join(b, list(BLOCK)).withColumn(value, diff).withColumnRenamed("__base", "base_values")
+    b = base.select(*BLOCK, F.col("values_").alias("base_values"))
+    return params.join(b, list(BLOCK)).withColumn(value, _subtract()("values_", "base_values"))
 
 
-def apply_recipe(
-    recipe: DataFrame, params: DataFrame, on: Sequence[str] = ("model",), spread: bool = True
-) -> DataFrame:
+def apply_recipe(recipe: DataFrame, params: DataFrame) -> DataFrame:
     """Blocks of the selected models, once per target that selected them.
 
-    A recipe within the row check is broadcast, so blocks are copied to their
-    targets only after they met on (tensor, block_no) and never shuffle per
-    copy. A larger recipe joins on the model through a shuffle.
+    A recipe within the row check is broadcast, so the blocks first meet on
+    (tensor, block_no) and are copied to their targets without another
+    shuffle. A larger recipe joins on the model and shuffles the copies.
     """
-    small = pin_small(normalize_recipe(recipe))
-    blocks = params.repartition(*BLOCK) if spread else params
-    return blocks.join(small, list(on))
+    return _meet(params, pinned(normalize_recipe(recipe)), normalize_recipe(recipe))
 
 
-def selected_models(params: DataFrame, recipe: DataFrame) -> DataFrame:
-    """Only the blocks some target selected; applied before any shuffle."""
+def _meet(
+    blocks: DataFrame, small: Pinned | None, recipe: DataFrame, cuts: DataFrame | None = None
+) -> DataFrame:
+    """Rows of one (target, tensor, block_no) end up in one task."""
+    small_cuts = pinned(cuts) if cuts is not None and small is not None else None
+    if small is not None and (cuts is None or small_cuts is not None):
+        rows = blocks.repartition(*BLOCK).join(F.broadcast(small.df), "model")
+        return rows if cuts is None else rows.join(F.broadcast(small_cuts.df), list(GROUP), "left")
+    rows = blocks.join(recipe, "model")
+    if cuts is not None:
+        rows = rows.join(cuts, list(GROUP), "left")
+    return rows.repartition("target", *BLOCK)
+
+
+def _selected(params: DataFrame, small: Pinned | None, recipe: DataFrame) -> DataFrame:
+    """Only the blocks some target uses. A short model list prunes folders."""
+    if small is not None:
+        models = sorted(set(small.table.column("model").to_pylist()))
+        if len(models) <= MODELS_IN_FILTER:
+            return params.filter(F.col("model").isin(models))
     return params.join(recipe.select("model").distinct(), "model", "left_semi")
 
 
-# --- folding -----------------------------------------------------------------------
-def _levels(recipe: DataFrame) -> int:
-    """Fold levels for the longest recipe; reads one number."""
-    longest = int(recipe.agg(F.max("ord")).first()[0] or 0)
-    levels = 1
-    while longest >= FAN_IN:
-        longest //= FAN_IN
-        levels += 1
-    return levels
+def _sorted_rows(rows: DataFrame, *extra: str) -> DataFrame:
+    rows = rows.sortWithinPartitions("target", *BLOCK, "ord")
+    return rows.select("target", "tensor", F.col("block_no").cast("bigint").alias("block_no"), "ord", *extra, "values_")
 
 
-State = Callable[[Column, Column], Column]
-
-
-def _add_models(value: str) -> Callable[[str, State], Column]:
-    """Sum one state over gathered models, starting from zeros."""
-
-    def add(_: str, state: State) -> Column:
-        zeros = F.transform(F.element_at("__rows", 1).getField(value), lambda x: F.lit(0.0))
-        return F.aggregate(
-            "__rows",
-            zeros,
-            lambda acc, r: F.zip_with(
-                acc, r.getField(value), lambda a, x: a + state(x.cast("double"), r.getField("weight"))
-            ),
-        )
-
-    return add
-
-
-def _add_partials(name: str, _: State) -> Column:
-    """Sum gathered partial states of one name."""
-    return F.aggregate(
-        F.slice("__rows", F.lit(2), F.size("__rows")),
-        F.element_at("__rows", 1).getField(name),
-        lambda acc, r: F.zip_with(acc, r.getField(name), lambda a, x: a + x),
-    )
-
-
-def _fold(
-    rows: DataFrame,
-    value: str,
-    states: dict[str, State],
-    levels: int,
-    carry: Sequence[str] = (),
-) -> DataFrame:
-    """Sum ``state(x, weight)`` per element over the models of each target.
-
-    Rows are added in ``ord`` order, so the result does not depend on the
-    partitioning. Adds the row count ``n``, the weight total ``w`` and ``lead``,
-    the number of rows that came from the first model.
-    """
-    keys = ["target", *BLOCK]
-    extra = [F.first(c).alias(c) for c in carry]
-    sums = [F.sum(c).alias(c) for c in ("n", "w", "lead")]
-    rows = rows.withColumns({"n": F.lit(1), "w": F.col("weight"), "lead": F.when(F.col("ord") == 0, 1).otherwise(0)})
-    for level in range(levels):
-        leaf, top = level == 0, level == levels - 1
-        chunk = [] if top else [F.floor(F.col("ord") / FAN_IN).alias("__chunk")]
-        packed = F.struct("ord", "weight", value) if leaf else F.struct("ord", *states)
-        grouped = rows.groupBy(*keys, *chunk).agg(F.sort_array(F.collect_list(packed)).alias("__rows"), *sums, *extra)
-        add = _add_models(value) if leaf else _add_partials
-        columns = {name: add(name, state) for name, state in states.items()}
-        ids = [] if top else [F.col("__chunk").alias("ord")]
-        rows = grouped.select(*keys, *ids, "n", "w", "lead", *carry, *[c.alias(k) for k, c in columns.items()])
-    return rows
+def _with_counts(recipe: DataFrame) -> DataFrame:
+    counts = recipe.groupBy("target").agg(F.count(F.lit(1)).alias("k"))
+    return recipe.join(counts, "target")
 
 
 def average_params(params: DataFrame, recipe: DataFrame) -> DataFrame:
@@ -177,78 +143,69 @@ def average_params(params: DataFrame, recipe: DataFrame) -> DataFrame:
     The first adapter decides which blocks exist: blocks only others have are
     dropped, a block it has and another adapter lacks is an error.
     """
-    recipe = pin_small(normalize_recipe(recipe))
-    rows = apply_recipe(recipe, selected_models(params, recipe))
-    folded = _fold(rows, "values_", {"v": lambda x, w: x}, _levels(recipe))
-    models = recipe.groupBy("target").agg(F.count(F.lit(1)).alias("k"))
-    lacking = F.raise_error(F.concat(F.lit("an adapter lacks a block of "), F.col("tensor")))
-    whole = F.when(F.col("n") == F.col("k"), F.col("v")).otherwise(lacking)
-    return (
-        folded.filter("lead > 0")
-        .join(models, "target")
-        .select("target", *BLOCK, _as_float(F.transform(whole, lambda x: x / F.col("k"))).alias("values_"))
-    )
-
-
-def _weight_total(c: Column) -> Column:
-    return F.when(F.abs(c) < WEIGHT_EPS, F.lit(1.0)).otherwise(c)
+    recipe = _with_counts(normalize_recipe(recipe))
+    small = pinned(recipe)
+    rows = _meet(_selected(params, small, recipe), small, recipe)
+    return _sorted_rows(rows, "k").mapInArrow(B.average_stream(), MERGED_DDL)
 
 
 def linear_merge(params: DataFrame, recipe: DataFrame, normalize: bool = True) -> DataFrame:
     """Weighted sum of models, divided by the weight total unless told otherwise."""
-    recipe = pin_small(normalize_recipe(recipe))
-    rows = apply_recipe(recipe, selected_models(params, recipe))
-    folded = _fold(rows, "values_", {"v": lambda x, w: x * w}, _levels(recipe))
-    den = _weight_total(F.col("w")) if normalize else F.lit(1.0)
-    return folded.select("target", *BLOCK, _as_float(F.transform("v", lambda x: x / den)).alias("values_"))
+    recipe = normalize_recipe(recipe)
+    small = pinned(recipe)
+    rows = _meet(_selected(params, small, recipe), small, recipe)
+    return _sorted_rows(rows, "weight").mapInArrow(B.linear_stream(normalize), MERGED_DDL)
+
+
+def _with_base(recipe: DataFrame) -> DataFrame:
+    """The base model joins every target as the row before the first model."""
+    base = recipe.select("target").distinct().select(
+        "target",
+        F.lit(BASE).alias("model"),
+        F.lit(B.BASE_ORD).cast("bigint").alias("ord"),
+        F.lit(0.0).alias("weight"),
+        F.lit(1.0).alias("density"),
+    )
+    return recipe.select("target", "model", F.col("ord").cast("bigint").alias("ord"), "weight", "density").unionByName(base)
 
 
-def _elect_and_add(vectors: DataFrame, recipe: DataFrame, normalize: bool) -> DataFrame:
-    """Sign election per element, mean of the agreeing side, added to the base.
+def _onto_base(params: DataFrame, base: DataFrame, small: Pinned | None, recipe: DataFrame) -> DataFrame:
+    """Selected models and the base in one block table: one shuffle, no join."""
+    base_rows = base.select(*BLOCK, "values_").withColumn("model", F.lit(BASE))
+    wanted = _selected(params, small, recipe).select(*BLOCK, "values_", "model")
+    return wanted.unionByName(base_rows)
 
-    Positive and negative sides are summed apart, which makes the election one
-    associative pass: the larger side wins and brings its own weight total.
-    """
-    none = F.lit(0.0)
-    sides = {
-        "up": lambda x, w: F.when(x > 0, x * w).otherwise(none),
-        "down": lambda x, w: F.when(x < 0, x * w).otherwise(none),
-        "up_w": lambda x, w: F.when(x > 0, w).otherwise(none),
-        "down_w": lambda x, w: F.when(x < 0, w).otherwise(none),
-    }
-    rows = apply_recipe(recipe, vectors, on=("model", "density"), spread=False)
-    folded = _fold(rows, "delta", sides, _levels(recipe), carry=["base_values"])
-    side = F.arrays_zip("base_values", "up", "down", "up_w", "down_w")
-
-    def element(e: Column) -> Column:
-        sign = e["up"] + e["down"]
-        total = F.when(sign > 0, e["up"]).when(sign < 0, e["down"]).otherwise(none)
-        weight = F.when(sign > 0, e["up_w"]).when(sign < 0, e["down_w"]).otherwise(none)
-        move = total / _weight_total(weight) if normalize else total
-        return e["base_values"].cast("double") + move
-
-    return folded.select("target", *BLOCK, _as_float(F.transform(side, element)).alias("values_"))
-
-
-def _vectors(params: DataFrame, base: DataFrame, recipe: DataFrame) -> DataFrame:
-    """Task vectors of the selected models, once per density they are used at."""
-    wanted = selected_models(params, recipe)
-    densities = recipe.select("model", "density").distinct()
-    return task_vectors(wanted, base).drop("values_").join(densities, "model")
+
+def _trims(small: Pinned | None, recipe: DataFrame) -> bool:
+    if small is not None:
+        return any(d < 1 for d in small.table.column("density").to_pylist())
+    return recipe.filter("density < 1").limit(1).count() > 0
 
 
 def ties_merge(params: DataFrame, base: DataFrame, recipe: DataFrame, normalize: bool = True) -> DataFrame:
     """Trim task vectors to their density, elect signs, merge onto the base."""
-    recipe = pin_small(normalize_recipe(recipe))
-    vectors = _vectors(params, base, recipe)
-    if recipe.filter("density < 1").limit(1).count():
-        vectors = trim(vectors)
-    return _elect_and_add(vectors, recipe, normalize)
+    recipe = _with_base(normalize_recipe(recipe))
+    small = pinned(recipe)
+    cuts = None
+    if _trims(small, recipe):
+        source = small.df if small is not None else recipe
+        used = source.filter(F.col("density") < 1).select("model", "density").distinct()
+        vectors = task_vectors(_selected(params, small, recipe), base).join(used, "model")
+        cuts = trim_cutoffs(settled_vectors(vectors))
+    rows = _meet(_onto_base(params, base, small, recipe), small, recipe, cuts)
+    if cuts is None:
+        stream = B.sign_election_stream(normalize, lambda row, delta: delta)
+        return _sorted_rows(rows, "weight").mapInArrow(stream, MERGED_DDL)
+    stream = B.sign_election_stream(normalize, B.keep_largest)
+    return _sorted_rows(rows, "weight", "density", "mag", "tie_block", "tie_left").mapInArrow(stream, MERGED_DDL)
 
 
 def dare_ties_merge(
     params: DataFrame, base: DataFrame, recipe: DataFrame, seed: int = 0, normalize: bool = True
 ) -> DataFrame:
     """Drop task-vector values at random, rescale the rest, then elect signs."""
-    recipe = pin_small(normalize_recipe(recipe))
-    return _elect_and_add(dare(_vectors(params, base, recipe), seed), recipe, normalize)
+    recipe = _with_base(normalize_recipe(recipe))
+    small = pinned(recipe)
+    rows = _meet(_onto_base(params, base, small, recipe), small, recipe)
+    stream = B.sign_election_stream(normalize, lambda row, delta: B.drop_at_random(row, delta, seed))
+    return _sorted_rows(rows, "weight", "density", "model").mapInArrow(stream, MERGED_DDL)

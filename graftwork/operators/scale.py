@@ -10,7 +10,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,16 +25,38 @@ BROADCAST_ROWS = 1_000_000
 RUN_CHUNK = 4_096
 
 
+class Pinned(NamedTuple):
+    """A small control table: as literal rows for joins, and on the driver."""
+
+    df: DataFrame
+    table: pa.Table
+
+
+def pinned(df: DataFrame, max_rows: int = PIN_ROWS) -> Pinned | None:
+    """Read a control table if it has at most ``max_rows`` rows, else nothing.
+
+    At most ``max_rows + 1`` rows ever reach the driver.
+    """
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        return None
+    return Pinned(df.sparkSession.createDataFrame(table, schema=df.schema), table)
+
+
 def pin_small(df: DataFrame, max_rows: int = PIN_ROWS) -> DataFrame:
-    """Turn a small control table into a broadcast literal table.
+    """Broadcast a small control table; a larger one joins through a shuffle."""
+    small = pinned(df, max_rows)
+    return df if small is None else F.broadcast(small.df)
+
 
-    At most ``max_rows + 1`` rows reach the driver. A larger table comes back
-    unchanged and joins through a shuffle.
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the checkpoint folder once.
+
+    For results that are read several times and are far smaller than their
+    inputs; it also ends the lineage there.
     """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,125 +1,90 @@
-"""Exact magnitude trimming and deterministic random dropping of task vectors."""
+"""Exact magnitude trimming of task vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from graftwork.functions import blocks as B
 from graftwork.operators.scale import join_on, pin_small, running_sums
 from graftwork.session import ensure_checkpoint_dir
 
-BUCKETS_PER_OCTAVE = 256
-ZERO_BUCKET = -1_000_000
 GROUP = ("model", "tensor", "density")
+_GROUP_FIELDS = [("model", pa.string()), ("tensor", pa.string()), ("density", pa.float64())]
+_GROUP_DDL = "model string, tensor string, density double"
 
 
-def _bucket(x: Column) -> Column:
-    """Monotone magnitude bucket; one holds at most some 2**16 distinct floats."""
-    return F.when(x == 0, F.lit(ZERO_BUCKET)).otherwise(
-        F.floor(F.log2(x.cast("double")) * BUCKETS_PER_OCTAVE).cast("int")
-    )
+def _counts(rows: DataFrame, name: str, pick, keys: tuple[str, ...], ddl: str, fields: list) -> DataFrame:
+    """Occurrences of each picked value, counted inside the tasks, then summed."""
+    schema = pa.schema([*fields, (name, pa.int64()), ("n", pa.int64())])
+    sorted_rows = rows.sortWithinPartitions(*keys)
+    partial = sorted_rows.mapInArrow(B.count_values(keys, pick, schema), f"{ddl}, {name} bigint, n bigint")
+    return partial.groupBy(*keys, name).agg(F.sum("n").alias("n"))
 
 
-def _cut(counts: DataFrame, key: str, wanted: str) -> DataFrame:
-    """The ``key`` (descending) at which the running count reaches ``wanted``."""
-    before = (
-        Window.partitionBy(*GROUP).orderBy(F.col(key).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    )
+def _cut(counts: DataFrame, name: str) -> DataFrame:
+    """The value (descending) at which the running count reaches ``wanted``.
+
+    A group holds at most 2**16 values, so the window stays small.
+    """
+    before = Window.partitionBy(*GROUP).orderBy(F.col(name).desc()).rowsBetween(Window.unboundedPreceding, -1)
     running = counts.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    hit = (F.col("__before") < F.col(wanted)) & (F.col(wanted) <= F.col("__before") + F.col("n"))
-    return running.filter(hit).select(*GROUP, key, (F.col(wanted) - F.col("__before")).alias("left"))
+    hit = (F.col("__before") < F.col("wanted")) & (F.col("wanted") <= F.col("__before") + F.col("n"))
+    left = (F.col("wanted") - F.col("__before")).alias("left")
+    extra = [c for c in ("bucket",) if c in counts.columns and c != name]
+    return running.filter(hit).select(*GROUP, *extra, name, left)
 
 
-def trim_cutoffs(vectors: DataFrame, value: str = "delta") -> DataFrame:
-    """Per (model, tensor, density): magnitude, block and tie count of the cut.
+def trim_cutoffs(vectors: DataFrame) -> DataFrame:
+    """Per (model, tensor, density): magnitude bits, tie block and tie count.
 
-    Three counting passes instead of a sort: magnitude buckets, exact values
-    inside the bucket that holds the cut, and ties of that value per block.
-    Every pass aggregates before its shuffle; no task sees a whole tensor. The
-    number of values kept is exactly ``floor(density * n)``.
+    ``vectors(model, tensor, density, block_no, delta)``. A sort would send a
+    whole tensor through one task. Instead three counting passes find the cut:
+    the upper 16 bits of the magnitudes, the lower 16 bits inside the bucket
+    that holds the cut, and the ties of that value per block. Exactly
+    ``floor(density * n)`` values lie at or before the cut.
     """
-    sizes = vectors.select(*GROUP, F.transform(value, lambda x: F.abs(x)).alias("m"))
-    elements = sizes.select(*GROUP, F.explode("m").alias("mag"))
-
-    hist = elements.groupBy(*GROUP, _bucket(F.col("mag")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    upper = _counts(vectors, "bucket", B.high_bits, GROUP, _GROUP_DDL, _GROUP_FIELDS)
     total = F.sum("n").over(Window.partitionBy(*GROUP))
-    hist = hist.withColumn("wanted", F.floor(F.col("density") * total))
-    first = pin_small(_cut(hist, "bucket", "wanted").withColumnRenamed("left", "wanted"))
-
-    inside = elements.join(first, list(GROUP)).filter(_bucket(F.col("mag")) == F.col("bucket"))
-    values = inside.groupBy(*GROUP, "wanted", "mag").agg(F.count(F.lit(1)).alias("n"))
-    second = pin_small(_cut(values, "mag", "wanted").withColumnRenamed("left", "wanted"))
-
-    ties = F.size(F.filter(value, lambda x: F.abs(x) == F.col("mag")))
-    tied = (
-        vectors.join(second, list(GROUP))
-        .select(*GROUP, "mag", "wanted", "block_no", ties.alias("n"))
-        .filter("n > 0")
+    upper = upper.withColumn("wanted", F.floor(F.col("density") * total))
+    first = pin_small(_cut(upper, "bucket").withColumnRenamed("left", "wanted"))
+
+    inside = vectors.join(first, list(GROUP)).select(*GROUP, "bucket", "wanted", "delta")
+    keys = (*GROUP, "bucket", "wanted")
+    fields = [*_GROUP_FIELDS, ("bucket", pa.int64()), ("wanted", pa.int64())]
+    ddl = f"{_GROUP_DDL}, bucket bigint, wanted bigint"
+    lower = _counts(inside, "low", B.low_bits_in_bucket, keys, ddl, fields)
+    second = _cut(lower, "low").select(
+        *GROUP, (F.col("bucket") * 65536 + F.col("low")).alias("mag"), F.col("left").alias("wanted")
+    )
+
+    tie_fields = [*_GROUP_FIELDS, ("mag", pa.int64()), ("wanted", pa.int64()), ("block_no", pa.int64()), ("n", pa.int64())]
+    tied = vectors.join(pin_small(second), list(GROUP)).mapInArrow(
+        B.count_ties(pa.schema(tie_fields)),
+        f"{_GROUP_DDL}, mag bigint, wanted bigint, block_no bigint, n bigint",
     )
     run = running_sums(tied, GROUP, "block_no", {"n": "__upto"})
     before = F.col("__upto") - F.col("n")
     last = run.filter((before < F.col("wanted")) & (F.col("wanted") <= F.col("__upto")))
     return last.select(
-        *GROUP, "mag", F.col("block_no").alias("tie_block"), (F.col("wanted") - before).cast("int").alias("tie_left")
+        *GROUP, "mag", F.col("block_no").alias("tie_block"), (F.col("wanted") - before).alias("tie_left")
     )
 
 
-def trim(vectors: DataFrame, value: str = "delta") -> DataFrame:
-    """Zero all but the largest ``density`` share of each (model, tensor).
-
-    Ties go to the lower (block, position). The vectors are read four times,
-    so they are written to the checkpoint folder once.
-    """
+def settled_vectors(vectors: DataFrame) -> DataFrame:
+    """Task vectors written to the checkpoint folder, for the counting passes."""
     ensure_checkpoint_dir(vectors.sparkSession)
-    vectors = vectors.checkpoint()
-    cuts = pin_small(trim_cutoffs(vectors, value))
-    rows = join_on(vectors, cuts, GROUP, "left")
-    places = F.filter(
-        F.transform(value, lambda x, i: F.when(F.abs(x) == F.col("mag"), i)), lambda i: i.isNotNull()
-    )
-    last_tie = (
-        F.when(F.col("block_no") < F.col("tie_block"), F.size(value))
-        .when(F.col("block_no") == F.col("tie_block"), F.element_at(places, F.col("tie_left")))
-        .otherwise(F.lit(-1))
-    )
-    kept = F.transform(
-        value,
-        lambda x, i: F.when(
-            (F.abs(x) > F.col("mag")) | ((F.abs(x) == F.col("mag")) & (i <= F.col("__last_tie"))), x
-        ).otherwise(F.lit(0.0).cast("float")),
-    )
-    return (
-        rows.withColumn("__last_tie", last_tie)
-        .withColumn(value, kept)
-        .drop("mag", "tie_block", "tie_left", "__last_tie")
-    )
+    return vectors.select(*GROUP, F.col("block_no").cast("bigint").alias("block_no"), "delta").checkpoint()
 
 
-def dare(vectors: DataFrame, seed: int = 0, value: str = "delta") -> DataFrame:
-    """Keep each value with probability ``density`` and divide it by ``density``.
+def trim(vectors: DataFrame) -> DataFrame:
+    """Zero all but the largest ``density`` share of each (model, tensor).
 
-    The mask is a hash of (seed, model, tensor, block, position): the same for
-    every partitioning and every retry. One digest serves four positions.
+    Ties go to the lower (block, position).
     """
-    quads = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(value) - 1) / 4).cast("int")),
-        lambda g: F.md5(
-            F.concat_ws("|", F.lit(str(seed)), "model", "tensor", F.col("block_no").cast("string"), g.cast("string"))
-        ),
-    )
-    limit = F.lower(F.lpad(F.hex(F.floor(F.col("density") * F.lit(float(2**32)))), 8, "0"))
-    draw = lambda i: F.substr(
-        F.element_at("__quads", (F.floor(i / 4) + 1).cast("int")), (F.lit(1) + F.lit(8) * (i % 4)).cast("int"), F.lit(8)
-    )
-    kept = F.transform(
-        value,
-        lambda x, i: F.when(draw(i) < F.col("__limit"), x.cast("double") / F.col("density")).otherwise(F.lit(0.0)),
-    )
-    whole = F.transform(value, lambda x: x.cast("double"))
-    return (
-        vectors.withColumn("__quads", quads)
-        .withColumn("__limit", limit)
-        .withColumn(value, F.when(F.col("density") >= 1, whole).otherwise(kept))
-        .drop("__quads", "__limit")
-    )
+    fixed = settled_vectors(vectors)
+    rows = join_on(fixed, pin_small(trim_cutoffs(fixed)), GROUP, "left")
+    schema = pa.schema([*_GROUP_FIELDS, ("block_no", pa.int64()), ("delta", B.FLOATS)])
+    return rows.mapInArrow(B.trim_rows(schema), f"{_GROUP_DDL}, block_no bigint, delta array<float>")

@@ -13,7 +13,7 @@ EXP_SETUP = ("experiment", "setup")
 
 
 def rounded(df, *cols):
-    return df.withColumns({c: F.round(c, 6) for c in cols})
+    return df.withColumns({c: F.round(c, 8) for c in cols})
 
 
 def with_setup(df):
@@ -57,7 +57,7 @@ def _method_sql(src: str) -> str:
     return f"WITH {_ROLES}, {_tasks_cte(src)}, {_values_cte(src)}, {_table_cte(_BY_ROLE, _METHOD_CELLS)}"
 
 
-_MEANS = "experiment, role, task, ROUND(mean, 6) AS mean, ROUND(std, 6) AS std, n_seeds FROM tab"
+_MEANS = "experiment, role, task, ROUND(mean, 8) AS mean, ROUND(std, 8) AS std, n_seeds FROM tab"
 
 
 # --- projections and filters ---------------------------------------------------------
@@ -93,7 +93,7 @@ def with_lr(m):
     "P17_task_label",
     "run_metrics",
     sql="""SELECT DISTINCT task, CASE task WHEN 't0' THEN 'Zero' ELSE upper(task) END AS label,
-                  'My ' || upper(task) || ' Tas.' AS long_label FROM run_metrics""",
+                  'My ' || upper(task) || ' Ta.' AS long_label FROM run_metrics""",
 )
 def labels(m):
     long_name = F.concat(F.lit("my_"), F.col("task"), F.lit("_task"))
@@ -115,10 +115,10 @@ def rate_labels(m):
 @query(
     "P20_percent",
     "run_metrics",
-    sql="SELECT experiment, seed, name, task, lr, checkpoint, ROUND(accuracy * 100, 6) AS percent FROM run_metrics",
+    sql="SELECT experiment, seed, name, task, lr, checkpoint, ROUND(accuracy * 100, 8) AS percent FROM run_metrics",
 )
 def percents(m):
-    return m.select("experiment", "seed", "name", "task", "lr", "checkpoint", F.round(C.pct("accuracy"), 6).alias("percent"))
+    return m.select("experiment", "seed", "name", "task", "lr", "checkpoint", F.round(C.pct("accuracy"), 8).alias("percent"))
 
 
 @query("T5_tasks", "run_metrics", sql="SELECT DISTINCT task FROM run_metrics")
@@ -168,8 +168,8 @@ def with_avg_wide(m):
     "W4_flag_best",
     "run_metrics",
     sql=f"""{_method_sql('run_metrics')}
-        SELECT experiment, role, task, ROUND(mean, 6) AS mean,
-               ROW_NUMBER() OVER (PARTITION BY experiment, task ORDER BY ROUND(mean, 6) DESC, ord) = 1 AS is_best FROM tab""",
+        SELECT experiment, role, task, ROUND(mean, 8) AS mean,
+               ROW_NUMBER() OVER (PARTITION BY experiment, task ORDER BY ROUND(mean, 8) DESC, ord) = 1 AS is_best FROM tab""",
 )
 def flagged(m):
     out = rounded(R.mean_std(m, CFG), "mean")
@@ -180,8 +180,8 @@ def flagged(m):
     "U5_pivot_results",
     "run_metrics",
     sql=f"""{_method_sql('run_metrics')}
-        SELECT experiment, role, {', '.join(f"ROUND(MAX(CASE WHEN task = '{t}' THEN mean END), 6) AS {t}" for t in TASKS)},
-               ROUND(MAX(CASE WHEN task = 'Avg.' THEN mean END), 6) AS avg FROM tab GROUP BY experiment, role""",
+        SELECT experiment, role, {', '.join(f"ROUND(MAX(CASE WHEN task = '{t}' THEN mean END), 8) AS {t}" for t in TASKS)},
+               ROUND(MAX(CASE WHEN task = 'Avg.' THEN mean END), 8) AS avg FROM tab GROUP BY experiment, role""",
 )
 def matrix(m):
     out = R.pivot_results(rounded(R.mean_std(m, CFG), "mean"), ["experiment", "role"], TASKS)
@@ -239,7 +239,7 @@ _SWEEP_TABLE = f"""{_LR_SQL}, vals AS (SELECT l.experiment, l.method, l.lr, l.se
 @query(
     "A9_lr_sweep",
     "run_metrics",
-    sql=f"{_SWEEP_TABLE} SELECT experiment, method, lr, task, ROUND(mean, 6) AS mean, ROUND(std, 6) AS std, n_seeds FROM tab",
+    sql=f"{_SWEEP_TABLE} SELECT experiment, method, lr, task, ROUND(mean, 8) AS mean, ROUND(std, 8) AS std, n_seeds FROM tab",
 )
 def sweep_table(m):
     out = rounded(R.lr_sweep(m, CFG), "mean", "std")
@@ -249,8 +249,8 @@ def sweep_table(m):
 @query(
     "W4_flag_best_lr",
     "run_metrics",
-    sql=f"""{_SWEEP_TABLE} SELECT experiment, method, lr, task, ROUND(mean, 6) AS mean,
-            ROW_NUMBER() OVER (PARTITION BY experiment, method, task ORDER BY ROUND(mean, 6) DESC, lr) = 1 AS is_best FROM tab""",
+    sql=f"""{_SWEEP_TABLE} SELECT experiment, method, lr, task, ROUND(mean, 8) AS mean,
+            ROW_NUMBER() OVER (PARTITION BY experiment, method, task ORDER BY ROUND(mean, 8) DESC, lr) = 1 AS is_best FROM tab""",
 )
 def flagged_lr(m):
     out = R.flag_best(rounded(R.lr_sweep(m, CFG), "mean"), ["experiment", "method", "task"], "lr")
@@ -261,8 +261,8 @@ def flagged_lr(m):
     "U6_pivot_lr",
     "run_metrics",
     sql=f"""{_SWEEP_TABLE}
-        SELECT experiment, method, lr, {', '.join(f"ROUND(MAX(CASE WHEN task = '{t}' THEN mean END), 6) AS {t}" for t in TASKS)},
-               ROUND(MAX(CASE WHEN task = 'Avg.' THEN mean END), 6) AS avg FROM tab GROUP BY experiment, method, lr""",
+        SELECT experiment, method, lr, {', '.join(f"ROUND(MAX(CASE WHEN task = '{t}' THEN mean END), 8) AS {t}" for t in TASKS)},
+               ROUND(MAX(CASE WHEN task = 'Avg.' THEN mean END), 8) AS avg FROM tab GROUP BY experiment, method, lr""",
 )
 def lr_matrix(m):
     out = R.pivot_results(rounded(R.lr_sweep(m, CFG), "mean"), ["experiment", "method", "lr"], TASKS)
@@ -287,7 +287,7 @@ def close_rates(m):
     "run_metrics",
     sql=f"""{_LR_SQL}, p AS (SELECT l.experiment, l.method, r.rate AS lr, l.seed, AVG(l.accuracy * 100) AS v FROM lrr l {_CLOSE}
               GROUP BY l.experiment, l.method, r.rate, l.seed)
-        SELECT experiment, method, lr, ROUND(AVG(v), 6) AS mean FROM p GROUP BY experiment, method, lr""",
+        SELECT experiment, method, lr, ROUND(AVG(v), 8) AS mean FROM p GROUP BY experiment, method, lr""",
 )
 def curve(m):
     return rounded(R.lr_curve(m, CFG), "mean")
@@ -298,7 +298,7 @@ def curve(m):
     "run_metrics",
     sql=f"""{_LR_SQL}, p AS (SELECT l.experiment, l.method, l.task, r.rate AS lr, l.accuracy * 100 AS v FROM lrr l {_CLOSE}),
         c AS (SELECT tk.experiment, s.method, tk.task, rates.rate AS lr FROM tk JOIN rates USING (experiment) CROSS JOIN sweeps s)
-        SELECT experiment, method, task, lr, ROUND(AVG(v), 6) AS mean, ROUND(COALESCE(STDDEV_POP(v), 0), 6) AS std
+        SELECT experiment, method, task, lr, ROUND(AVG(v), 8) AS mean, ROUND(COALESCE(STDDEV_POP(v), 0), 8) AS std
         FROM c LEFT JOIN p USING (experiment, method, task, lr) GROUP BY experiment, method, task, lr""",
 )
 def task_curve(m):
@@ -350,7 +350,7 @@ def _parity_rows(m):
     return rounded(R.training_to_parity(m, CFG), "parity").select("experiment", "seed", "task", "parity")
 
 
-@query("W2_training_to_parity", "run_metrics", sql=f"{_PARITY} SELECT experiment, seed, task, ROUND(parity, 6)::DOUBLE AS parity FROM par")
+@query("W2_training_to_parity", "run_metrics", sql=f"{_PARITY} SELECT experiment, seed, task, ROUND(parity, 8)::DOUBLE AS parity FROM par")
 def parity(m):
     return _parity_rows(m)
 
@@ -358,7 +358,7 @@ def parity(m):
 @query(
     "W2_training_to_parity_wide",
     "run_metrics_wide",
-    sql=f"WITH {_parity_cte('run_metrics_wide')} SELECT experiment, seed, task, ROUND(parity, 6)::DOUBLE AS parity FROM par",
+    sql=f"WITH {_parity_cte('run_metrics_wide')} SELECT experiment, seed, task, ROUND(parity, 8)::DOUBLE AS parity FROM par",
 )
 def parity_wide(m):
     return _parity_rows(m)
@@ -377,13 +377,13 @@ strict_ AS (SELECT c.experiment, c.task, CASE WHEN top < 100 THEN m END AS mean,
   FROM cells c LEFT JOIN sx USING (experiment, task)
   UNION ALL SELECT c.experiment, 'Avg.', AVG(v), COALESCE(STDDEV_POP(v), 0), COUNT(v)
   FROM (SELECT DISTINCT experiment FROM cells) c LEFT JOIN sa USING (experiment) GROUP BY c.experiment)"""
-_NORMAL_MEAN = "CASE WHEN task = 'Avg.' AND mean = 0 THEN NULL ELSE ROUND(mean, 6) END"
+_NORMAL_MEAN = "CASE WHEN task = 'Avg.' AND mean = 0 THEN NULL ELSE ROUND(mean, 8) END"
 
 
 @query(
     "A12_speedup",
     "run_metrics",
-    sql=f"{_SPEED_TABLE} SELECT experiment, task, {_NORMAL_MEAN} AS mean, ROUND(std, 6) AS std, n_seeds FROM tab",
+    sql=f"{_SPEED_TABLE} SELECT experiment, task, {_NORMAL_MEAN} AS mean, ROUND(std, 8) AS std, n_seeds FROM tab",
 )
 def speedup(m):
     return rounded(R.speedup_agg(R.training_to_parity(m, CFG)), "mean", "std")
@@ -393,7 +393,7 @@ def speedup(m):
     "A13_speedup_strict",
     "run_metrics",
     sql=f"""{_SPEED_TABLE} {_STRICT}
-        SELECT experiment, task, ROUND(mean, 6)::DOUBLE AS mean, ROUND(std, 6)::DOUBLE AS std, n_seeds FROM strict_""",
+        SELECT experiment, task, ROUND(mean, 8)::DOUBLE AS mean, ROUND(std, 8)::DOUBLE AS std, n_seeds FROM strict_""",
 )
 def speedup_strict(m):
     return rounded(R.speedup_agg(R.training_to_parity(m, CFG), strict=True), "mean", "std")
@@ -425,7 +425,7 @@ def nearest_sweep(m):
             SELECT b.experiment, b.seed, b.task, b.role, 0, COALESCE(st.accuracy, 0) * 100
             FROM (SELECT DISTINCT experiment, seed, task, role FROM bs) b LEFT JOIN st USING (experiment, seed, task, role)),
         o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY experiment, seed, task, role ORDER BY step) - 1 AS ordinal FROM pts)
-        SELECT experiment, task, role, ordinal, arg_min(step, seed) AS step, ROUND(AVG(v), 6) AS mean, ROUND(STDDEV_POP(v), 6) AS std, COUNT(*) AS n_seeds
+        SELECT experiment, task, role, ordinal, arg_min(step, seed) AS step, ROUND(AVG(v), 8) AS mean, ROUND(STDDEV_POP(v), 8) AS std, COUNT(*) AS n_seeds
         FROM o GROUP BY experiment, task, role, ordinal""",
 )
 def curves(m):
@@ -437,7 +437,7 @@ def curves(m):
     "run_metrics",
     sql="""WITH v AS (SELECT experiment, seed, task, arg_min(accuracy, row_id) * 100 AS v FROM run_metrics
              WHERE name = 'trained_scratch' AND checkpoint = 'final' GROUP BY experiment, seed, task)
-           SELECT experiment, task, ROUND(AVG(v), 6) AS mean, ROUND(STDDEV_POP(v), 6) AS std FROM v GROUP BY experiment, task""",
+           SELECT experiment, task, ROUND(AVG(v), 8) AS mean, ROUND(STDDEV_POP(v), 8) AS std FROM v GROUP BY experiment, task""",
 )
 def converged(m):
     return rounded(R.converged(m, CFG), "mean", "std")
@@ -503,15 +503,15 @@ tf0 AS (SELECT p.experiment, p.seed, p.task, COALESCE(p.parity, 100) AS parity,
   LEFT JOIN mg ON mg.experiment = p.experiment AND mg.seed = p.seed AND mg.task = p.task),
 tf1 AS (SELECT *, CASE WHEN scratch_s IS NOT NULL THEN relevance_s + merge_s + retrain_s * parity / 100 END AS reuse_s FROM tf0),
 tf AS (SELECT *, CASE WHEN scratch_s > 0 THEN reuse_s / scratch_s END AS ratio FROM tf1)"""
-_THREE = "ROUND({a}(scratch_s), 6) AS scratch_s, ROUND({a}(reuse_s), 6) AS reuse_s, ROUND({a}(ratio), 6) AS ratio"
+_THREE = "ROUND({a}(scratch_s), 8) AS scratch_s, ROUND({a}(reuse_s), 8) AS reuse_s, ROUND({a}(ratio), 8) AS ratio"
 
 
 @query(
     "J4_timing_facts",
     "run_metrics",
     "job_timing",
-    sql=f"""{_FACTS} SELECT experiment, seed, task, ROUND(parity, 6)::DOUBLE AS parity, scratch_s, relevance_s, merge_s, retrain_s,
-            ROUND(reuse_s, 6) AS reuse_s, ROUND(ratio, 6) AS ratio FROM tf""",
+    sql=f"""{_FACTS} SELECT experiment, seed, task, ROUND(parity, 8)::DOUBLE AS parity, scratch_s, relevance_s, merge_s, retrain_s,
+            ROUND(reuse_s, 8) AS reuse_s, ROUND(ratio, 8) AS ratio FROM tf""",
 )
 def facts(m, t):
     return rounded(T.timing_facts(m, T.parse_jobs(t), CFG), "parity", "reuse_s", "ratio")
@@ -533,8 +533,8 @@ _SETUP = "CASE experiment WHEN 'exp0' THEN 'LoRA' ELSE 'Full FT' END AS setup"
 _PAIR = """wide AS (SELECT experiment, task, MAX(CASE WHEN role = 'from_scratch' THEN mean END) AS scratch_mean,
   MAX(CASE WHEN role = 'from_scratch' THEN std END) AS scratch_std, MAX(CASE WHEN role = 'from_merged' THEN mean END) AS merged_mean,
   MAX(CASE WHEN role = 'from_merged' THEN std END) AS merged_std FROM tab GROUP BY experiment, task)
-SELECT experiment, {setup} task, ROUND(scratch_mean, 6) AS scratch_mean, ROUND(scratch_std, 6) AS scratch_std,
-  ROUND(merged_mean, 6) AS merged_mean, ROUND(merged_std, 6) AS merged_std,
+SELECT experiment, {setup} task, ROUND(scratch_mean, 8) AS scratch_mean, ROUND(scratch_std, 8) AS scratch_std,
+  ROUND(merged_mean, 8) AS merged_mean, ROUND(merged_std, 8) AS merged_std,
   scratch_mean > merged_mean AS scratch_wins, merged_mean > scratch_mean AS merged_wins FROM wide"""
 _FOUR = ("scratch_mean", "scratch_std", "merged_mean", "merged_std")
 
@@ -565,8 +565,8 @@ def combined_times(m, t):
     "A19_combined_speedup",
     "run_metrics",
     sql=f"""{_SPEED_TABLE} {_STRICT}
-        SELECT experiment, {_SETUP}, task, {_NORMAL_MEAN} AS mean, ROUND(std, 6)::DOUBLE AS std, n_seeds, FALSE AS strict FROM tab UNION ALL
-        SELECT experiment, {_SETUP}, task, ROUND(mean, 6), ROUND(std, 6), n_seeds, TRUE FROM strict_""",
+        SELECT experiment, {_SETUP}, task, {_NORMAL_MEAN} AS mean, ROUND(std, 8)::DOUBLE AS std, n_seeds, FALSE AS strict FROM tab UNION ALL
+        SELECT experiment, {_SETUP}, task, ROUND(mean, 8), ROUND(std, 8), n_seeds, TRUE FROM strict_""",
 )
 def combined_speed(m):
     return rounded(R.combined_speedup(with_setup(m), CFG), "mean", "std")
