@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from graftwork.functions.columns import is_intermediate, is_not, pct
 from graftwork.functions.fixed import FINAL_CHECKPOINT, SETUP_LABELS
-from graftwork.operators.scale import join_on, pin_small, positions
+from graftwork.operators.scale import join_on, pin_small, positions, settle
 
 AVG = "Avg."
 BY = ("experiment",)
@@ -120,8 +120,10 @@ def task_table(values: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFr
 
     ``values`` has one ``value`` per (by, seed, task), ``cells`` lists the
     expected (by, task). An empty cell is 0. The average's deviation is taken
-    over the seed averages of seeds that have every task.
+    over the seed averages of seeds that have every task. The values, one row
+    per seed and cell, are read twice and therefore stored once.
     """
+    values = settle(values.select(*by, "seed", "task", "value"))
     stats = values.groupBy(*by, "task").agg(
         F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n_seeds")
     )
@@ -323,6 +325,10 @@ def speedup_agg(
     Strict: a task is null if any seed needed 100 or more, and the average runs
     over the tasks that are left.
     """
+    return _speedup(settle(parity), by, strict, task_names)
+
+
+def _speedup(parity: DataFrame, by: Sequence[str], strict: bool, task_names: Sequence[str] | None) -> DataFrame:
     cells = _all_tasks(parity, by, task_names)
     values = complete_seeds(parity, by).withColumn("value", F.col("parity"))
     if task_names is not None:
@@ -331,6 +337,7 @@ def speedup_agg(
         table = task_table(values, cells, list(by))
         dashes = (F.col("task") == AVG) & (F.col("mean") == 0)
         return table.withColumn("mean", F.when(~dashes, F.col("mean")))
+    values = settle(values.select(*by, "seed", "task", "value"))
     stats = values.groupBy(*by, "task").agg(
         F.avg("value").alias("mean"),
         F.stddev_pop("value").alias("std"),
@@ -446,8 +453,6 @@ def flag_pair(table: DataFrame, by: Sequence[str]) -> DataFrame:
 def combined_speedup(df: DataFrame, cfg: ReportConfig, by: Sequence[str] = ("experiment", "setup")) -> DataFrame:
     """Normal and strict parity of every experiment."""
     names = first_experiment_tasks(df)
-    parity = training_to_parity(df, cfg, by)
-    both = [
-        speedup_agg(parity, by, strict, names).withColumn("strict", F.lit(strict)) for strict in (False, True)
-    ]
+    parity = settle(training_to_parity(df, cfg, by))
+    both = [_speedup(parity, by, strict, names).withColumn("strict", F.lit(strict)) for strict in (False, True)]
     return both[0].unionByName(both[1])

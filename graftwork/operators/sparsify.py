@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from graftwork.functions import blocks as B
-from graftwork.operators.scale import join_on, pin_small, running_sums
-from graftwork.session import ensure_checkpoint_dir
+from graftwork.operators.scale import join_on, pin_small, running_sums, settle
 
 GROUP = ("model", "tensor", "density")
 _GROUP_FIELDS = [("model", pa.string()), ("tensor", pa.string()), ("density", pa.float64())]
@@ -17,10 +16,12 @@ _GROUP_DDL = "model string, tensor string, density double"
 
 
 def _counts(rows: DataFrame, name: str, pick, keys: tuple[str, ...], ddl: str, fields: list) -> DataFrame:
-    """Occurrences of each picked value, counted inside the tasks, then summed."""
+    """Occurrences of each picked value, counted inside the tasks, then summed.
+
+    Long runs of one group make the partial counts small; any order is right.
+    """
     schema = pa.schema([*fields, (name, pa.int64()), ("n", pa.int64())])
-    sorted_rows = rows.sortWithinPartitions(*keys)
-    partial = sorted_rows.mapInArrow(B.count_values(keys, pick, schema), f"{ddl}, {name} bigint, n bigint")
+    partial = rows.mapInArrow(B.count_values(keys, pick, schema), f"{ddl}, {name} bigint, n bigint")
     return partial.groupBy(*keys, name).agg(F.sum("n").alias("n"))
 
 
@@ -74,9 +75,12 @@ def trim_cutoffs(vectors: DataFrame) -> DataFrame:
 
 
 def settled_vectors(vectors: DataFrame) -> DataFrame:
-    """Task vectors written to the checkpoint folder, for the counting passes."""
-    ensure_checkpoint_dir(vectors.sparkSession)
-    return vectors.select(*GROUP, F.col("block_no").cast("bigint").alias("block_no"), "delta").checkpoint()
+    """Task vectors written to the checkpoint folder, for the counting passes.
+
+    Stored in group order inside each task, so every pass meets long runs.
+    """
+    rows = vectors.select(*GROUP, F.col("block_no").cast("bigint").alias("block_no"), "delta")
+    return settle(rows.sortWithinPartitions(*GROUP))
 
 
 def trim(vectors: DataFrame) -> DataFrame:

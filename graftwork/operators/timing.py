@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.operators.reports import AVG, BY, ReportConfig, best_lr, first_experiment_tasks, training_to_parity
-from graftwork.operators.scale import join_on
+from graftwork.operators.scale import join_on, settle
 
 MEASURES = ("scratch_s", "reuse_s", "ratio")
 
@@ -44,33 +44,55 @@ def uncached_seeds(timing: DataFrame, cfg: ReportConfig, by: Sequence[str] = BY)
     return seeds.filter(~F.col("hit")).select(*by, "seed")
 
 
+def _name_suffixes(job: str = "job") -> Column:
+    """Every part of a job name that follows an underscore."""
+    parts = F.split(job, "_")
+    tails = lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_")
+    return F.when(F.col(job).contains("_"), F.transform(F.sequence(F.lit(2), F.size(parts)), tails))
+
+
 def relevance_time(timing: DataFrame, task_names: DataFrame, stage: str, by: Sequence[str] = BY) -> DataFrame:
     """Fastest job of the stage whose name ends in ``_<task>``.
 
     Each job is keyed by every suffix of its name that follows an underscore,
     which turns the ends-with test into an equi-join.
     """
-    parts = F.split("job", "_")
-    suffixes = F.transform(
-        F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_")
-    )
     keyed = (
-        timing.filter((F.col("stage") == stage) & F.col("job").contains("_"))
-        .select(*by, "seed", F.explode(suffixes).alias("task"), "elapsed_s")
+        timing.filter(F.col("stage") == stage)
+        .select(*by, "seed", F.explode(_name_suffixes()).alias("task"), "elapsed_s")
         .groupBy(*by, "seed", "task")
         .agg(F.min("elapsed_s").alias("relevance_s"))
     )
     return join_on(keyed, task_names, [*by, "task"], "left_semi")
 
 
-def _train_time(timing: DataFrame, best: DataFrame, stage: str, name: str, by: Sequence[str]) -> DataFrame:
-    keys = [*by, "seed", "task"]
-    times = (
-        timing.filter((F.col("stage") == stage) & F.col("lr").isNotNull())
-        .groupBy(*keys, "lr")
-        .agg(F.min_by("elapsed_s", "row_id").alias(name))
+def _job_seconds(timing: DataFrame, cfg: ReportConfig, by: Sequence[str]) -> DataFrame:
+    """Seconds per (seed, task, kind, lr) of all four stages in one pass.
+
+    Training and merge jobs count by their first row, relevance jobs by the
+    fastest one, under every task their name may end in.
+    """
+    st = cfg.timing_stages
+    stage = F.col("stage")
+    entry = lambda kind, tasks, lr: F.transform(
+        tasks, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("task"), lr.alias("lr"))
+    )
+    own, no_lr = F.array("task"), F.lit(None).cast("double")
+    trained = F.col("lr").isNotNull()
+    entries = (
+        F.when((stage == st["train"]) & trained, entry("from_scratch", own, F.col("lr")))
+        .when((stage == st["train_merged"]) & trained, entry("from_merged", own, F.col("lr")))
+        .when(stage == st["relevance"], entry("relevance", _name_suffixes(), no_lr))
+        .when(
+            (stage == st["merge"]) & (F.col("job") == F.concat(F.lit(st["merge"] + "_"), F.col("task"))),
+            entry("merge", own, no_lr),
+        )
+    )
+    rows = timing.filter(stage.isin(list(st.values()))).withColumn("__e", F.explode(entries))
+    fastest, first = F.min("elapsed_s"), F.min_by("elapsed_s", "row_id")
+    return rows.groupBy(*by, "seed", "__e.task", "__e.kind", "__e.lr").agg(
+        F.when(F.col("kind") == "relevance", fastest).otherwise(first).alias("secs")
     )
-    return join_on(best.select(*keys, "lr"), times, [*keys, "lr"]).select(*keys, name)
 
 
 def timing_facts(
@@ -82,24 +104,19 @@ def timing_facts(
     makes the sums null; a missing parity counts as the full training.
     """
     keys = [*by, "seed", "task"]
-    st = cfg.timing_stages
-    valid = uncached_seeds(timing, cfg, by)
-    timing = join_on(timing, valid, [*by, "seed"], "left_semi")
-    metrics = join_on(metrics, valid, [*by, "seed"], "left_semi")
-    best = best_lr(metrics, cfg, by)
-    scratch = _train_time(timing, best.filter(F.col("role") == "from_scratch"), st["train"], "scratch_s", by)
-    retrain = _train_time(timing, best.filter(F.col("role") == "from_merged"), st["train_merged"], "retrain_s", by)
-    task_names = metrics.select(*by, "task").distinct()
-    relevance = relevance_time(timing, task_names, st["relevance"], by)
-    exact_job = F.col("job") == F.concat(F.lit(st["merge"] + "_"), F.col("task"))
-    merge = (
-        timing.filter((F.col("stage") == st["merge"]) & exact_job)
-        .groupBy(*keys)
-        .agg(F.min_by("elapsed_s", "row_id").alias("merge_s"))
+    best = best_lr(metrics, cfg, by).select(*keys, F.col("role").alias("kind"), F.col("lr").alias("__lr"))
+    secs = join_on(_job_seconds(timing, cfg, by), best, [*keys, "kind"], "left")
+    secs = secs.filter(F.col("lr").isNull() | (F.col("lr") == F.col("__lr")))
+    pick = lambda kind, name: F.max(F.when(F.col("kind") == kind, F.col("secs"))).alias(name)
+    wide = secs.groupBy(*keys).agg(
+        pick("from_scratch", "scratch_s"),
+        pick("relevance", "relevance_s"),
+        pick("merge", "merge_s"),
+        pick("from_merged", "retrain_s"),
     )
-    out = training_to_parity(metrics, cfg, by).select(*keys, F.coalesce("parity", F.lit(100.0)).alias("parity"))
-    for part in (scratch, relevance, merge, retrain):
-        out = join_on(out, part, keys, "left")
+    parity = training_to_parity(metrics, cfg, by).select(*keys, F.coalesce("parity", F.lit(100.0)).alias("parity"))
+    parity = join_on(parity, uncached_seeds(timing, cfg, by), [*by, "seed"], "left_semi")
+    out = join_on(parity, wide, keys, "left")
     reuse = F.col("relevance_s") + F.col("merge_s") + F.col("retrain_s") * F.col("parity") / 100
     out = out.withColumn("reuse_s", F.when(F.col("scratch_s").isNotNull(), reuse))
     return out.withColumn("ratio", F.when(F.col("scratch_s") > 0, F.col("reuse_s") / F.col("scratch_s")))
@@ -111,6 +128,7 @@ def timing_agg(
     """Mean seconds and ratio per task over seeds, and the mean of seed means."""
     if task_names is not None:
         facts = facts.filter(F.col("task").isin(list(task_names)))
+    facts = settle(facts.select(*by, "seed", "task", *MEASURES))
     means = [F.avg(m).alias(m) for m in MEASURES]
     per_task = facts.groupBy(*by, "task").agg(*means)
     average = facts.groupBy(*by, "seed").agg(*means).groupBy(*by).agg(*means)
