@@ -9,10 +9,12 @@ from graftwork.plans.registry import query
 KEYS = ("model", "dataset", "checkpoint")
 BIG = ("model", "dataset")
 BATCH = 8
+# Not a decimal fraction, so that no mean falls on a rounding boundary.
+NLL_UNIT = 0.0000731058578
 
 
 def _scored(tokens):
-    return tokens.withColumn("nll", F.col("nll_milli") / 1000.0)
+    return tokens.withColumn("nll", F.col("nll_milli") * F.lit(NLL_UNIT))
 
 
 def _sql(source: str, keys: tuple[str, ...], batch: int = BATCH) -> str:
@@ -29,7 +31,7 @@ b AS (
   SELECT {k}, CAST(FLOOR(row_idx / {batch}.0) AS BIGINT) AS batch_id, SUM(n_answer) AS n_answer,
          SUM(n_correct) AS n_correct, COUNT(*) AS n_samples,
          SUM(CASE WHEN n_answer > 0 AND n_answer = n_correct THEN 1 ELSE 0 END) AS n_exact,
-         CASE WHEN SUM(n_loss) > 0 THEN CAST(SUM(nll_sum) AS DOUBLE) / SUM(n_loss) / 1000 END AS batch_nll
+         CASE WHEN SUM(n_loss) > 0 THEN CAST(SUM(nll_sum) AS DOUBLE) / SUM(n_loss) * CAST({NLL_UNIT!r} AS DOUBLE) END AS batch_nll
   FROM s GROUP BY {k}, CAST(FLOOR(row_idx / {batch}.0) AS BIGINT))
 """
 
