@@ -92,8 +92,15 @@ def count_values(keys: tuple[str, ...], pick: Callable[[dict, np.ndarray], np.nd
         out = Emitter(schema)
         for key, rows in groups_of(rows_of(batches, "delta"), keys):
             counts = np.zeros(2**16, dtype=np.int64)
+            waiting, size = [], 0
             for row in rows:
-                counts += np.bincount(pick(row, magnitude_bits(row["delta"])), minlength=2**16)
+                waiting.append(pick(row, magnitude_bits(row["delta"])))
+                size += len(waiting[-1])
+                if size >= 2**16:
+                    counts += np.bincount(np.concatenate(waiting), minlength=2**16)
+                    waiting, size = [], 0
+            if size:
+                counts += np.bincount(np.concatenate(waiting), minlength=2**16)
             for value in np.flatnonzero(counts):
                 yield from out.add(*key, int(value), int(counts[value]))
         yield from out.flush()

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from graftwork.functions.columns import basename, glob_filter, is_self_eval
@@ -46,7 +47,7 @@ def rank_models(
 ) -> DataFrame:
     """Full ranking per target; equal scores keep directory-name order."""
     return (
-        positions(candidates(docs, metric), group, [best_first(metric), F.col(tie)], "__pos")
+        positions(_named_groups(candidates(docs, metric), group), group, [best_first(metric), F.col(tie)], "__pos")
         .withColumn("rank", F.col("__pos") + 1)
         .drop("__pos")
     )
@@ -65,6 +66,12 @@ def merge_weights(
     return selected.withColumn("weight", F.round(score, 6))
 
 
+def _named_groups(rows: DataFrame, group: Sequence[str]) -> DataFrame:
+    """A missing dataset name counts as the empty name, not as unknown."""
+    texts = [f.name for f in rows.schema if f.name in group and f.dataType == T.StringType()]
+    return rows.withColumns({c: F.coalesce(c, F.lit("")) for c in texts})
+
+
 def select_topk(
     docs: DataFrame,
     k: int,
@@ -79,7 +86,7 @@ def select_topk(
     candidate count is pre-aggregated, so a hot target costs no more than
     ``k`` rows per map task.
     """
-    rows = candidates(docs, metric)
+    rows = _named_groups(candidates(docs, metric), group)
     w = Window.partitionBy(*group).orderBy(best_first(metric), F.col(tie))
     best = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     best = merge_weights(best.withColumn("rank", F.col("rank").cast("bigint")), metric, weight_strategy, group)

@@ -65,11 +65,18 @@ def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join where null keys match each other; the left keys are kept."""
+    """Equi-join where null keys match each other; the left keys are kept.
+
+    A key that cannot be null on one side uses plain equality, which reuses an
+    existing hash partitioning of that key.
+    """
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
-    cond = reduce(
-        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys], F.lit(True)
-    )
+
+    def match(k: str) -> Column:
+        both_nullable = left.schema[k].nullable and right.schema[k].nullable
+        return F.col(k).eqNullSafe(F.col(f"__r_{k}")) if both_nullable else F.col(k) == F.col(f"__r_{k}")
+
+    cond = reduce(lambda a, b: a & b, [match(k) for k in keys])
     joined = left.join(renamed, cond, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
 

@@ -86,8 +86,7 @@ SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 0 THEN 'validation' ELSE 'tra
        CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS correct
 FROM part""",
     "chat": "SELECT conv_id, turn, role, text AS content FROM conversations",
-    "token_ids": """
-SELECT CAST(FLOOR(event_id / 8) AS BIGINT) AS sample_id, event_id % 8 AS pos, user_id % 16 AS token_id FROM events""",
+    "token_arrays": "SELECT doc_id AS sample_id, n_chars % 7 AS prompt_len, text FROM documents",
     "vocab": """
 SELECT DISTINCT user_id % 16 AS id, user_id % 16 = 0 AS is_special, user_id % 16 = 5 AS is_blank FROM events""",
     "tokens": """

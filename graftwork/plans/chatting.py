@@ -180,23 +180,24 @@ def letters(df):
 
 @query(
     "P11_prompt_answer",
-    "chat",
-    sql="""WITH c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC) AS back FROM chat),
-           l AS (SELECT conv_id FROM c WHERE back = 1 AND role = 'assistant')
-           SELECT conv_id, CAST(SUM(CASE WHEN back > 1 THEN 1 ELSE 0 END) AS INT) AS n_prompt,
-                  CAST(SUM(CASE WHEN back > 1 THEN length(content) ELSE 0 END) AS BIGINT) AS prompt_chars,
-                  MAX(CASE WHEN back = 1 THEN content END) AS answer
-           FROM c WHERE conv_id IN (SELECT conv_id FROM l) GROUP BY conv_id""",
+    "mcq_three",
+    sql="""SELECT id, CAST(CASE WHEN id % 2 = 0 THEN 3 ELSE 2 END AS INT) AS n_prompt,
+                  CASE WHEN id % 2 = 0 THEN 'system,user,user' ELSE 'system,user' END AS roles,
+                  CASE WHEN id % 2 = 0 THEN answer_a ELSE question END AS last_prompt, label AS answer FROM mcq_three""",
 )
-def split_messages(chat):
-    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
-    rows = chat.groupBy("conv_id").agg(
-        F.transform(turns, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages")
+def split_messages(df):
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    short = F.array(turn("system", "context"), turn("user", "question"), turn("assistant", "label"))
+    long = F.array(
+        turn("system", "context"), turn("user", "question"), turn("user", "answer_a"), turn("assistant", "label")
     )
-    rows = rows.filter(F.element_at("messages", -1)["role"] == "assistant")
-    chars = F.aggregate(H.prompt(), F.lit(0).cast("bigint"), lambda a, m: a + F.length(m["content"]))
+    rows = df.withColumn("messages", F.when(F.col("id") % 2 == 0, long).otherwise(short))
     return rows.select(
-        "conv_id", F.size(H.prompt()).alias("n_prompt"), chars.alias("prompt_chars"), H.answer().alias("answer")
+        "id",
+        F.size(H.prompt()).alias("n_prompt"),
+        F.array_join(H.prompt().getField("role"), ",").alias("roles"),
+        F.element_at(H.prompt(), -1).getField("content").alias("last_prompt"),
+        H.answer().alias("answer"),
     )
 
 

@@ -184,12 +184,14 @@ def targets(tokens):
 
 @query(
     "P12_mask_prompt",
-    "token_ids",
-    sql="SELECT sample_id, pos, CASE WHEN pos < 3 THEN -100 ELSE token_id END AS label_id FROM token_ids",
+    "token_arrays",
+    sql="""WITH e AS (SELECT sample_id, prompt_len, generate_subscripts(string_split(text, ' '), 1) - 1 AS pos,
+                         UNNEST(string_split(text, ' ')) AS word FROM token_arrays)
+           SELECT sample_id, pos, CAST(CASE WHEN pos < prompt_len THEN -100 ELSE length(word) END AS INT) AS label_id FROM e""",
 )
-def masked(ids):
-    arrays = ids.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("pos", "token_id"))).alias("t"))
-    labels = arrays.select("sample_id", K.mask_prompt(F.col("t.token_id"), F.lit(3)).alias("labels"))
+def masked(texts):
+    ids = F.transform(F.split("text", " "), lambda word: F.length(word))
+    labels = texts.select("sample_id", K.mask_prompt(ids, "prompt_len").alias("labels"))
     return labels.select("sample_id", F.posexplode("labels").alias("pos", "label_id")).withColumn(
         "pos", F.col("pos").cast("bigint")
     )
