@@ -80,7 +80,7 @@ def discover_runs(spark: SparkSession, root: str, group: str = "all") -> DataFra
 
     Only directories with a ``pipeline.yaml`` that names an analysis group count.
     """
-    raw = spark.read.option("wholetext", True).text(f"{root}/*/pipeline.yaml")
+    raw = spark.read.text(f"{root}/*/pipeline.yaml", wholetext=True)
     pick = lambda rx: F.regexp_extract("value", rx, 1)
     runs = raw.select(
         F.coalesce(F.nullif(pick(r"(?m)^experiment_name:\s*[\"']?([^\s\"'#]+)"), F.lit("")), F.lit("unknown")).alias(
