@@ -146,6 +146,10 @@ def keep_largest(row: dict, delta: np.ndarray) -> np.ndarray:
     return np.where(keep, delta, np.float32(0))
 
 
+def keep_all(row: dict, delta: np.ndarray) -> np.ndarray:
+    return delta
+
+
 def trim_rows(schema: pa.Schema):
     def run(batches: Batches) -> Batches:
         out = Emitter(schema)
@@ -173,6 +177,10 @@ def drop_at_random(row: dict, delta: np.ndarray, seed: int) -> np.ndarray:
     return np.where(draws < int(np.floor(density * 2.0**32)), wide / density, 0.0)
 
 
+def random_dropper(seed: int) -> Callable[[dict, np.ndarray], np.ndarray]:
+    return lambda row, delta: drop_at_random(row, delta, seed)
+
+
 # --- folds over the models of one target block ------------------------------------------
 def _float32(values: np.ndarray) -> np.ndarray:
     # Adding zero turns a negative zero into a plain one.

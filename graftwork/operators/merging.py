@@ -194,7 +194,7 @@ def ties_merge(params: DataFrame, base: DataFrame, recipe: DataFrame, normalize:
         cuts = trim_cutoffs(settled_vectors(vectors))
     rows = _meet(_onto_base(params, base, small, recipe), small, recipe, cuts)
     if cuts is None:
-        stream = B.sign_election_stream(normalize, lambda row, delta: delta)
+        stream = B.sign_election_stream(normalize, B.keep_all)
         return _sorted_rows(rows, "weight").mapInArrow(stream, MERGED_DDL)
     stream = B.sign_election_stream(normalize, B.keep_largest)
     return _sorted_rows(rows, "weight", "density", "mag", "tie_block", "tie_left").mapInArrow(stream, MERGED_DDL)
@@ -207,5 +207,5 @@ def dare_ties_merge(
     recipe = _with_base(normalize_recipe(recipe))
     small = pinned(recipe)
     rows = _meet(_onto_base(params, base, small, recipe), small, recipe)
-    stream = B.sign_election_stream(normalize, lambda row, delta: B.drop_at_random(row, delta, seed))
+    stream = B.sign_election_stream(normalize, B.random_dropper(seed))
     return _sorted_rows(rows, "weight", "density", "model").mapInArrow(stream, MERGED_DDL)

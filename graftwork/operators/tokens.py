@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from graftwork.functions.columns import checkpoint_step, col
 from graftwork.functions.fixed import IGNORE_INDEX
-from graftwork.operators.scale import broadcast_checked, join_on, positions, running_sums
+from graftwork.operators.scale import broadcast_checked, join_on, positions, running_sums, settle
 
 EVAL_KEYS = ("model", "dataset", "split", "checkpoint", "step")
 
@@ -235,6 +235,9 @@ def evaluate(
     """
     per_sample = _all_samples(sample_stats(tokens, keys), samples, keys)
     batches = batch_totals(with_batches(per_sample, batch_size, keys, order), keys)
+    if min_accuracy:
+        # The stop rule reads the batch table four times.
+        batches = settle(batches)
     used = early_stop(batches, keys, min_accuracy)
     sums = used.groupBy(*keys).agg(
         F.sum("n_correct").alias("c"),
