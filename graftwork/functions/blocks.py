@@ -161,20 +161,34 @@ def trim_rows(schema: pa.Schema):
     return run
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Public 32-bit finalizer: every input bit reaches every output bit."""
+    x = x ^ (x >> np.uint32(16))
+    x = x * np.uint32(2246822507)
+    x = x ^ (x >> np.uint32(13))
+    x = x * np.uint32(3266489909)
+    return x ^ (x >> np.uint32(16))
+
+
+def uniform_draws(prefix: str, n: int) -> np.ndarray:
+    """``n`` 32-bit draws that depend on nothing but the prefix and the place."""
+    key = int.from_bytes(hashlib.md5(prefix.encode()).digest()[:4], "big")
+    steps = np.arange(n, dtype=np.uint64) * np.uint64(2654435769) + np.uint64(key)
+    return _mixed((steps & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+
+
 def drop_at_random(row: dict, delta: np.ndarray, seed: int) -> np.ndarray:
     """Keep each value with probability ``density``, divided by ``density``.
 
-    The draw is a digest of (seed, model, tensor, block, position), so it is
-    the same for every partitioning and retry; one digest serves four values.
+    The draw comes from (seed, model, tensor, block) and the position, so it is
+    the same for every partitioning and retry.
     """
     density = row["density"]
     wide = delta.astype(np.float64)
     if density >= 1:
         return wide
-    prefix = f"{seed}|{row['model']}|{row['tensor']}|{row['block_no']}|".encode()
-    digests = b"".join(hashlib.md5(prefix + b"%d" % g).digest() for g in range((len(delta) + 3) // 4))
-    draws = np.frombuffer(digests, dtype=">u4")[: len(delta)].astype(np.int64)
-    return np.where(draws < int(np.floor(density * 2.0**32)), wide / density, 0.0)
+    draws = uniform_draws(f"{seed}|{row['model']}|{row['tensor']}|{row['block_no']}", len(delta))
+    return np.where(draws < np.uint64(np.floor(density * 2.0**32)), wide / density, 0.0)
 
 
 def random_dropper(seed: int) -> Callable[[dict, np.ndarray], np.ndarray]:

@@ -117,11 +117,14 @@ def ties_whole(docs, params):
     "eval_docs_m",
     "param_blocks",
     sql=f"""WITH {_RECIPE}, {_ELEMENTS}, {_DELTAS},
+h0 AS (SELECT *, (('0x' || substr(md5('{SEED}|' || model || '|' || tensor || '|' || block_no), 1, 8))::UBIGINT
+         + pos::UBIGINT * 2654435769::UBIGINT) % 4294967296::UBIGINT AS h FROM d),
+h1 AS (SELECT * REPLACE ((xor(h, h >> 16) * 2246822507::UBIGINT) % 4294967296::UBIGINT AS h) FROM h0),
+h2 AS (SELECT * REPLACE ((xor(h, h >> 13) * 3266489909::UBIGINT) % 4294967296::UBIGINT AS h) FROM h1),
+h3 AS (SELECT * REPLACE (xor(h, h >> 16) AS h) FROM h2),
 k AS (SELECT target, tensor, block_no, pos, base, weight,
-             CASE WHEN substr(md5('{SEED}|' || model || '|' || tensor || '|' || block_no || '|' || CAST(pos // 4 AS VARCHAR)),
-                              CAST(1 + 8 * (pos % 4) AS INT), 8) < printf('%08x', CAST(FLOOR(density * 4294967296) AS BIGINT))
-                  THEN CAST(delta AS DOUBLE) / density ELSE 0 END AS t
-      FROM r JOIN d USING (model)),
+             CASE WHEN h < FLOOR(density * 4294967296) THEN CAST(delta AS DOUBLE) / density ELSE 0 END AS t
+      FROM r JOIN h3 USING (model)),
 {_SIGNED}""",
 )
 def dare_ties(docs, params):
