@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftwork.functions.columns import task_of
@@ -26,6 +27,12 @@ def _named_columns(df: DataFrame, columns: dict[str, str]) -> list:
     return [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
 
 
+def _row_id() -> Column:
+    """Stored row order: block start in the high digits, line in the split below."""
+    start = F.col("_metadata")["file_block_start"]
+    return (start * F.lit(2**20) + F.monotonically_increasing_id() % F.lit(2**33)).alias("row_id")
+
+
 def read_summary(spark: SparkSession, run_dir: str) -> DataFrame:
     """Summary of one run, with ``task``, ``seed`` and the stored row order.
 
@@ -41,38 +48,44 @@ def read_summary(spark: SparkSession, run_dir: str) -> DataFrame:
     file = F.col("_metadata")
     return raw.select(
         *_named_columns(raw, SUMMARY_COLUMNS),
-        # Block start in the high digits, line inside the split in the low ones.
-        (file["file_block_start"] * F.lit(2**20) + F.monotonically_increasing_id() % F.lit(2**33)).alias("row_id"),
+        _row_id(),
         F.regexp_extract(file["file_path"], r"/([^/]+)/summary/summary\.csv", 1).alias("seed"),
     ).withColumns({"step": F.col("step").cast("bigint"), "task": task_of("dataset")})
 
 
-def read_seeds(spark: SparkSession, run_dirs: Sequence[str]) -> DataFrame:
-    """Summaries of several seeds stacked; directories without one are skipped."""
+def _stack(read: Callable[[str], DataFrame], run_dirs: Sequence[str]) -> DataFrame:
+    """Union of what the directories hold; those without the file are skipped."""
     frames = []
     for d in run_dirs:
         try:
-            frames.append(read_summary(spark, d))
+            frames.append(read(d))
         except FileNotFoundError:
             continue
     if not frames:
         raise ValueError("no valid seed data found in the given directories")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    return functools.reduce(DataFrame.unionByName, frames)
 
 
-def read_timing(spark: SparkSession, run_dirs: Sequence[str] | str) -> DataFrame:
-    """Job timings with ``seed`` taken from the directory name."""
-    dirs = [run_dirs] if isinstance(run_dirs, str) else list(run_dirs)
-    raw = spark.read.schema(TIMING_SCHEMA).option("header", True).csv([f"{d}/timing.csv" for d in dirs])
+def read_seeds(spark: SparkSession, run_dirs: Sequence[str]) -> DataFrame:
+    """Summaries of several seeds stacked; directories without one are skipped."""
+    return _stack(lambda d: read_summary(spark, d), run_dirs)
+
+
+def _read_timing(spark: SparkSession, run_dir: str) -> DataFrame:
+    try:
+        raw = spark.read.schema(TIMING_SCHEMA).option("header", True).csv(f"{run_dir}/timing.csv")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise FileNotFoundError(f"no timing.csv in {run_dir}") from e
     file = F.col("_metadata")
-    return raw.select(
-        "*",
-        (file["file_block_start"] * F.lit(2**20) + F.monotonically_increasing_id() % F.lit(2**33)).alias("row_id"),
-        F.regexp_extract(file["file_path"], r"/([^/]+)/timing\.csv", 1).alias("seed"),
-    )
+    return raw.select("*", _row_id(), F.regexp_extract(file["file_path"], r"/([^/]+)/timing\.csv", 1).alias("seed"))
+
+
+def read_timing(spark: SparkSession, run_dirs: Sequence[str] | str) -> DataFrame:
+    """Job timings with ``seed`` from the directory name; missing files are skipped."""
+    dirs = [run_dirs] if isinstance(run_dirs, str) else run_dirs
+    return _stack(lambda d: _read_timing(spark, d), dirs)
 
 
 def discover_runs(spark: SparkSession, root: str, group: str = "all") -> DataFrame:
