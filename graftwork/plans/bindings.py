@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages"
@@ -191,10 +192,20 @@ def tables_of(binding: str) -> list[str]:
     return sorted(words & set(TABLES))
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table; its footer is read for the schema only once."""
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The binding as a lazy DataFrame over the parquet tables in ``sf_dir``."""
     for t in tables_of(name):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        table(spark, f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(BINDINGS[name])
 
 
