@@ -21,6 +21,11 @@ def read_params(spark: SparkSession, path: str, models: list[str] | None = None)
 
 
 def write_params(df: DataFrame, path: str, model: str = "target") -> None:
-    """Store merged blocks under the new model name."""
+    """Store merged blocks under the new model name.
+
+    Rebalancing by model keeps the number of files per folder small; adaptive
+    execution splits a model that is too large for one task.
+    """
     out = df.withColumnRenamed(model, "model") if model != "model" else df
-    out.select("model", "tensor", "block_no", "values_").write.mode("overwrite").partitionBy("model").parquet(path)
+    blocks = out.select("model", "tensor", "block_no", "values_").hint("rebalance", "model")
+    blocks.write.mode("overwrite").partitionBy("model").parquet(path)
