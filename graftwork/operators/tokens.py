@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from graftwork.functions.columns import checkpoint_step, col
 from graftwork.functions.fixed import IGNORE_INDEX
-from graftwork.operators.scale import broadcast_checked, join_on, positions, running_sums, settle
+from graftwork.operators.scale import broadcast_checked, join_on, pin_small, positions, running_sums, settle
 
 EVAL_KEYS = ("model", "dataset", "split", "checkpoint", "step")
 
@@ -206,7 +206,8 @@ def early_stop(batches: DataFrame, keys: Sequence[str], min_accuracy: float | No
     """Drop every batch after the first whose running accuracy is too low.
 
     That batch itself still counts. Zero or ``None`` turns the rule off. The
-    running sums are two-level, so a single huge evaluation still spreads.
+    running sums are two-level and the stops (one row per evaluation) are
+    broadcast if they are few, so a single huge evaluation still spreads.
     """
     if not min_accuracy:
         return batches
@@ -214,7 +215,7 @@ def early_stop(batches: DataFrame, keys: Sequence[str], min_accuracy: float | No
     low = (F.col("__answer") > 0) & (F.col("__correct") / F.nullif(F.col("__answer"), F.lit(0)) < min_accuracy)
     stops = run.groupBy(*keys).agg(F.min(F.when(low, F.col("batch_id"))).alias("__stop"))
     return (
-        join_on(batches, stops, keys)
+        join_on(batches, pin_small(stops), keys)
         .filter(F.col("__stop").isNull() | (F.col("batch_id") <= F.col("__stop")))
         .drop("__stop")
     )
