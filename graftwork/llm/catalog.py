@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from graftwork.llm import exact_dedup  # noqa: F401
+from graftwork.llm import bpe, exact_dedup, warc  # noqa: F401
 from graftwork.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
