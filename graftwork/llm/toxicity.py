@@ -30,7 +30,7 @@ from graftwork.llm.registry import query
 TOXIC_ROWS, CLEAN_ROWS = 5_000, 15_000
 MAX_TERMS, MAX_PHRASES = 4_000, 1_000
 STEMS = range(3, 9)
-MIN_SHARE, MIN_ROWS, MIN_Z, MIN_ODDS = 0.003, 3, 5.0, 1.0
+MIN_SHARE, MIN_ROWS, MIN_Z, MIN_ODDS = 0.003, 3, 5.0, 2.0
 PHRASE_ROWS = 3
 
 # Letters of other scripts that look like Latin ones, and digits used as letters.
@@ -89,17 +89,18 @@ class Lexicon:
 
         found = ahocorasick.Automaton()
         for pattern, weight in [*self.weights.items(), *self.exceptions.items()]:
-            found.add_word(pattern, weight)
+            found.add_word(pattern, (pattern, weight))
         if len(found):
             found.make_automaton()
         return found
 
 
 def measures(folded: str, automaton) -> tuple[float, float]:
-    """Summed weights of a text, damped, as they are and per hundred words."""
-    total = max(0.0, sum(weight for _, weight in automaton.iter(folded))) if len(automaton) else 0.0
+    """Damped weights of a text: of its distinct terms, and of all its terms per hundred words."""
+    hits = [hit for _, hit in automaton.iter(folded)] if len(automaton) else []
+    distinct, every = sum(weight for _, weight in set(hits)), sum(weight for _, weight in hits)
     words = folded.count(" ") - 1
-    return math.log1p(total), math.log1p(100.0 * total / (words + 20))
+    return math.log1p(max(0.0, distinct)), math.log1p(100.0 * max(0.0, every) / (words + 20))
 
 
 def _mapped(df: DataFrame, fn, schema: str) -> DataFrame:
@@ -203,7 +204,7 @@ def learn(labelled: DataFrame, totals: dict[int, int] | None = None) -> Lexicon:
         table, automaton = Folding(), shared.value.automaton()
         return [(int(toxic), *measures(fold(text, table), automaton)) for text, toxic in rows]
 
-    points = _mapped(labelled.filter("toxic IN (0, 1)"), measured, "toxic int, total double, share double").toArrow()
+    points = _mapped(labelled.filter("toxic IN (0, 1)"), measured, "toxic long, total double, share double").toArrow()
     y = points.column("toxic").to_numpy().astype(float)
     x = np.column_stack([points.column("total").to_numpy(), points.column("share").to_numpy()])
     drawn = {1: n_toxic, 0: n_clean}
@@ -233,7 +234,7 @@ def _exceptions(labelled: DataFrame, lexicon: Lexicon) -> dict[str, float]:
             seen.update((phrase, int(toxic)) for phrase in own)
         return [(phrase, toxic, n) for (phrase, toxic), n in seen.items()]
 
-    rows = _mapped(labelled.filter("toxic IN (0, 1)"), phrases, "phrase string, toxic int, n long")
+    rows = _mapped(labelled.filter("toxic IN (0, 1)"), phrases, "phrase string, toxic long, n long")
     clean = (
         rows.groupBy("phrase")
         .agg(F.sum(F.col("n") * (1 - F.col("toxic"))).alias("clean"), F.max("toxic").alias("toxic"))
@@ -243,7 +244,7 @@ def _exceptions(labelled: DataFrame, lexicon: Lexicon) -> dict[str, float]:
     )
     automaton, out = lexicon.automaton(), {}
     for row in clean.collect():
-        out[row["phrase"]] = -sum(weight for _, weight in automaton.iter(row["phrase"]))
+        out[row["phrase"]] = -sum(weight for _, (_, weight) in automaton.iter(row["phrase"]))
     return out
 
 

@@ -20,7 +20,7 @@ def _rows():
     rows = []
     for i in range(400):
         toxic = i % 4 == 0
-        text = f"word{i % 7} plain text number {'alpha' if i % 3 else 'beta'} " + ("you trash fool" if toxic else "trash can here" if i % 5 == 1 else "fine")
+        text = f"word{i % 7} plain text number {'alpha' if i % 3 else 'beta'} " + ("you trash fool" if toxic else "trash can here" if i % 20 == 1 else "fine")
         rows.append((i, text, int(toxic), "x"))
     return rows
 
