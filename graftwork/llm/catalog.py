@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from graftwork.llm import bpe, exact_dedup, minhash, neighbours, packing, toxicity, warc  # noqa: F401
+from graftwork.llm import bpe, exact_dedup, html_text, maxent, minhash, neighbours, packing, suffixes, toxicity, warc  # noqa: F401
 from graftwork.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

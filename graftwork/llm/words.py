@@ -54,7 +54,8 @@ def power_runs(codes: np.ndarray, size: int) -> np.ndarray:
     n = len(codes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    total, have, block, width, factor = np.zeros(n, np.uint64), 0, codes, 1, BASE
+    # The factor is an array of one, whose products wrap round without a warning.
+    total, have, block, width, factor = np.zeros(n, np.uint64), 0, codes, 1, np.array([BASE])
     left = size
     while left:
         if left & 1:
