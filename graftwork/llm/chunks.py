@@ -16,7 +16,8 @@ import pyarrow as pa
 # A space next to other white space may belong to one match with it.
 TIED = re.compile(r" (?:\s|\Z)")
 SLICE_CHARS = 2_000_000
-REMEMBERED = 400_000
+REMEMBERED = 700_000
+MARKS = frozenset(".,;:!?")
 
 
 class _Numbers(dict):
@@ -39,6 +40,12 @@ class Ragged:
         self.flat = np.concatenate(rows).astype(dtype) if len(rows) else np.empty(0, dtype)
         self.starts = np.cumsum(self.lengths) - self.lengths
 
+    @classmethod
+    def of(cls, flat: np.ndarray, lengths: np.ndarray) -> Ragged:
+        made = cls()
+        made.flat, made.lengths, made.starts = flat, lengths, np.cumsum(lengths) - lengths
+        return made
+
     def extend(self, other: Ragged) -> None:
         self.starts = np.concatenate([self.starts, other.starts + len(self.flat)])
         self.lengths = np.concatenate([self.lengths, other.lengths])
@@ -53,6 +60,40 @@ class Ragged:
         return self.flat[at], ends
 
 
+class Stems:
+    """Encodes chunks by ``encode``, a mark after a letter apart from the word before it.
+
+    Letters and marks never share a match, and words repeat without their marks.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Ragged]):
+        self.encode = encode
+        self.forget()
+
+    def forget(self) -> None:
+        self.fresh: list[str] = []
+        self.numbers = _Numbers("", self.fresh)
+        self.known = Ragged()
+
+    def __call__(self, chunks: list[str]) -> Ragged:
+        if len(self.fresh) > REMEMBERED:
+            self.forget()
+        index, counts, number = [], [], self.numbers.__getitem__
+        for chunk in chunks:
+            if len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalpha():
+                index += (number(chunk[:-1]), number(chunk[-1]))
+                counts.append(2)
+            else:
+                index.append(number(chunk))
+                counts.append(1)
+        done = len(self.known.lengths)
+        if done < len(self.fresh):
+            self.known.extend(self.encode(self.fresh[done:]))
+        flat, ends = self.known.take(np.array(index, np.int64))
+        stops = np.concatenate([[0], ends])[np.cumsum(counts)]
+        return Ragged.of(flat, np.diff(stops, prepend=0))
+
+
 class ChunkEncoder:
     """Token ids of texts through ``encode``, which takes distinct chunks.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graftwork.llm.chunks import ChunkEncoder, Ragged, sliced
+from graftwork.llm.chunks import ChunkEncoder, Ragged, Stems, sliced
 from graftwork.llm.common import stored, table
 from graftwork.llm.registry import query
 
@@ -202,16 +202,18 @@ def cut_documents(
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
 
         def encode(chunks: list[str]) -> Ragged:
-            rows = []
+            flat, lengths = [], []
             for k in range(0, len(chunks), 4096):
-                found = library.encode_batch_fast(chunks[k : k + 4096], add_special_tokens=False)
-                rows += [np.array(x.ids, np.uint32) for x in found]
-            return Ragged(rows)
+                for found in library.encode_batch_fast(chunks[k : k + 4096], add_special_tokens=False):
+                    ids = found.ids
+                    flat += ids
+                    lengths.append(len(ids))
+            return Ragged.of(np.array(flat, np.uint32), np.array(lengths, np.int64))
 
         def cut(text: str) -> list[str]:
             return [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
 
-        encoder = ChunkEncoder(encode, cut)
+        encoder = ChunkEncoder(Stems(encode), cut)
         for batch in batches:
             for rows, texts in sliced(batch, "text"):
                 at, piece, start, length, crc, nth = [], [], [], [], [], []
