@@ -9,8 +9,10 @@
 4. Candidates are confirmed on their whole shingle sets; confirmed links are joined
    into components.
 5. Buckets that still hold several components could hide a link between two
-   documents neither of which is the smallest. Their pairs across components are
-   compared as well, so no link between texts of one bucket is lost.
+   documents neither of which is the smallest. Their members meet in blocks of
+   bounded size, where signatures and then shingle sets are compared in place;
+   only links leave a block. So no link between texts of one bucket is lost, and
+   no pairs are listed.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
+# A pair of similar texts agrees in fewer bins than this once in 50,000 pairs.
+MIN_AGREEING = 76
+BLOCK = 512
 BIN_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
 
@@ -118,6 +123,72 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def _profiles(texts: DataFrame) -> DataFrame:
+    """``id, bands, bins, shingles`` as bytes, of ``id, text``: what a block compares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, orders = WordCodes(), probe_orders()
+        for batch in batches:
+            bands, bins, sets = [], [], []
+            for text in batch.column("text"):
+                own = shingles(codes_of(words(text.as_py()), known), SHINGLE)
+                least = signature(own, orders)
+                bands.append(band_keys(least).tobytes())
+                bins.append(least.astype(np.uint8).tobytes())
+                sets.append(own.tobytes())
+            cols = [batch.column("id"), *(pa.array(x, pa.binary()) for x in (bands, bins, sets))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "bands", "bins", "shingles"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"id {kind}, bands binary, bins binary, shingles binary")
+
+
+def _links_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``u, v`` between members of one bucket that are not in one component yet.
+
+    ``members`` are ``key, id, component``. A bucket is cut into blocks, and every
+    two blocks of it meet once; a pair that meets in several buckets is compared
+    in the first of them only.
+    """
+    kind = members.schema["id"].dataType.simpleString()
+    ids = stored(members.select("id").distinct(), "ids")
+    profiles = stored(_profiles(texts.join(ids, "id", "left_semi").dropDuplicates(["id"])), "profiles")
+    cuts = stored(members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts")), "cuts")
+    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+    placed = members.join(cuts, "key").withColumn("own", own)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    placed = placed.select(
+        "key", "id", "component", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")
+    )
+
+    def compare(block: pa.Table) -> pa.Table:
+        ids, components = block.column("id").to_pylist(), block.column("component").to_numpy()
+        n, key = len(ids), block.column("key")[0].as_py()
+        own, a, b = block.column("own").to_numpy(), block.column("a")[0].as_py(), block.column("b")[0].as_py()
+        bands = np.frombuffer(b"".join(block.column("bands").to_pylist()), np.int64).reshape(n, BANDS)
+        bins = np.frombuffer(b"".join(block.column("bins").to_pylist()), np.uint8).reshape(n, BINS)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("shingles")]
+        sizes = np.fromiter(map(len, sets), np.int64, n)
+        earlier = bands[:, : int(np.flatnonzero(bands[0] == key)[0])]
+        found = []
+        for i in range(n):
+            j = np.arange(i + 1, n)
+            j = j[(components[j] != components[i]) & ((own[j] != own[i]) | (a == b))]
+            small, large = np.minimum(sizes[j], sizes[i]), np.maximum(sizes[j], sizes[i])
+            j = j[100 * small >= PERCENT * large]
+            j = j[(bins[j] == bins[i]).sum(1) >= MIN_AGREEING]
+            j = j[~(earlier[j] == earlier[i]).any(1)]
+            for k in j.tolist():
+                both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                if 100 * both >= PERCENT * (len(sets[i]) + len(sets[k]) - both):
+                    found.append((ids[i], ids[k]))
+        kinds = block.schema.field("id").type
+        return pa.table({"u": pa.array([u for u, _ in found], kinds), "v": pa.array([v for _, v in found], kinds)})
+
+    blocks = placed.join(profiles, "id").groupBy("key", "a", "b")
+    return blocks.applyInArrow(compare, f"u {kind}, v {kind}").distinct()
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id, kept``.
 
@@ -153,12 +224,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         .select("key"),
         "mixed",
     )
-    open_ = stored(placed.join(mixed, "key", "left_semi"), "open")
-    left = open_.select("key", F.col("id").alias("v"), F.col("component").alias("cv"))
-    right = open_.select("key", F.col("id").alias("u"), F.col("component").alias("cu"))
-    across = left.join(right, "key").filter("u > v AND cu <> cv").select("u", "v").distinct()
-    across = stored(across.join(stars, ["u", "v"], "left_anti"), "across")
-    more = stored(confirmed(across, texts), "more")
+    more = stored(_links_in_blocks(placed.join(mixed, "key", "left_semi"), texts), "more")
     if not more.isEmpty():
         found = stored(components(links.unionByName(more)), "found")
 
