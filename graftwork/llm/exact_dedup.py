@@ -1,9 +1,10 @@
 """Exact deduplication by content hash, with bytes compared inside groups.
 
-Only narrow rows (id and digests) of all documents are shuffled. Whole texts
-move only for rows whose 128-bit hash occurs more than once, and equal texts of
-one map task are folded before they move, so a group with a third of all rows
-costs one text per map task.
+Hash and text together are the grouping key, so that texts are equal only when
+their bytes are. Equal texts of one map task are folded before they move: a
+group with a third of all rows costs one text per map task. Documents then meet
+their group through narrow rows (id and digests) by the hash alone, except for
+hashes that two different texts share.
 """
 
 from __future__ import annotations
@@ -36,23 +37,17 @@ def exact_groups(
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     texts = texts.withColumn("h", content_hash(F.col("body")))
     rows = stored(texts.select("id", "h", F.sha2(F.col("body"), 256).alias("sha")), "digests")
-    hashed = stored(rows.groupBy("h").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "hashes")
-    repeated = hashed.filter("n > 1").select("h")
-
     # Bytes are compared here: the text itself is a grouping key.
-    compared = stored(
-        texts.join(repeated, "h", "left_semi")
-        .groupBy("h", "body")
-        .agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("n")),
-        "compared",
-    )
+    by_text = texts.groupBy("h", "body").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
+    groups = stored(by_text.select("h", "keep_id", "n"), "groups")
     collided = stored(
-        compared.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("h"), "collided"
+        groups.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("h"), "collided"
     )
-    by_hash = rows.join(collided, "h", "left_anti").join(hashed, "h")
+    by_hash = rows.join(collided, "h", "left_anti").join(groups, "h")
+    split = texts.join(collided, "h", "left_semi")
+    compared = split.groupBy("h", "body").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
     by_bytes = (
-        texts.join(collided, "h", "left_semi")
-        .join(compared, ["h", "body"])
+        split.join(compared, ["h", "body"])
         .select("h", "id", F.sha2(F.col("body"), 256).alias("sha"), "keep_id", "n")
     )
     found = by_hash.select("h", "id", "sha", "keep_id", "n").unionByName(by_bytes)
