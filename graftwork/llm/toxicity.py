@@ -248,17 +248,21 @@ def _exceptions(labelled: DataFrame, lexicon: Lexicon) -> dict[str, float]:
     return out
 
 
+def _points(texts: pa.Array, table: Folding, automaton, curve: tuple[float, ...]) -> np.ndarray:
+    base, *slopes = curve
+    found = [measures(fold(t.as_py(), table), automaton) for t in texts]
+    logit = np.array(found, float).reshape(-1, 2) @ np.array(slopes) + base
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
 def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, score`` of every row; null and empty texts score as texts without terms."""
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, automaton = Folding(), shared.value.automaton()
-        base, *slopes = shared.value.curve
         for batch in batches:
-            found = [measures(fold(t.as_py(), table), automaton) for t in batch.column("text")]
-            logit = np.array(found, float).reshape(-1, 2) @ np.array(slopes) + base
-            points = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+            points = _points(batch.column("text"), table, automaton, shared.value.curve)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(points, pa.float64())], ["id", "score"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -266,6 +270,19 @@ def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
+def keep_clean(df: DataFrame, lexicon: Lexicon, text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that score under ``limit``, with all their columns, in one pass without a join."""
+    shared = df.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, automaton = Folding(), shared.value.automaton()
+        for batch in batches:
+            points = _points(batch.column(text_col), table, automaton, shared.value.curve)
+            yield batch.filter(pa.array(points < limit))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that no label is learnt from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
