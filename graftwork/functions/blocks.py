@@ -233,12 +233,19 @@ def average_stream():
     return _fold(block)
 
 
+def _check_complete(row: dict, n: int) -> None:
+    if n != row["k"]:
+        raise ValueError(f"{row['k'] - n} of {row['k']} models lack block {row['block_no']} of {row['tensor']}")
+
+
 def linear_stream(normalize: bool):
     def block(rows: Iterator[dict]) -> np.ndarray:
-        total, weights = 0.0, 0.0
+        total, weights, n = 0.0, 0.0, 0
         for row in rows:
+            n += 1
             total = total + row["values_"].astype(np.float64) * row["weight"]
             weights += row["weight"]
+        _check_complete(row, n)
         return total / weights if normalize and abs(weights) >= WEIGHT_EPS else total
 
     return _fold(block)
@@ -254,12 +261,12 @@ def sign_election_stream(normalize: bool, sparsify: Callable[[dict, np.ndarray],
     def block(rows: Iterator[dict]) -> np.ndarray | None:
         base = next(rows)
         if base["ord"] != BASE_ORD:
-            return None
+            raise ValueError(f"the base lacks block {base['block_no']} of {base['tensor']}")
         theta = base["values_"].astype(np.float64)
         up, down, up_w, down_w = (np.zeros_like(theta) for _ in range(4))
-        seen = False
+        n = 0
         for row in rows:
-            seen = True
+            n += 1
             delta = (row["values_"].astype(np.float64) - theta).astype(np.float32)
             moved = sparsify(row, delta).astype(np.float64)
             w = row["weight"]
@@ -267,8 +274,9 @@ def sign_election_stream(normalize: bool, sparsify: Callable[[dict, np.ndarray],
             down += np.where(moved < 0, moved * w, 0.0)
             up_w += np.where(moved > 0, w, 0.0)
             down_w += np.where(moved < 0, w, 0.0)
-        if not seen:
+        if not n:  # a block of the base that no model has is not merged
             return None
+        _check_complete(base, n)
         sign = up + down
         side = np.where(sign > 0, up, np.where(sign < 0, down, 0.0))
         weight = np.where(sign > 0, up_w, np.where(sign < 0, down_w, 0.0))

@@ -42,16 +42,20 @@ def checkpoint_step(path: str | Column) -> Column:
     return F.when(digits != "", digits).cast("bigint")
 
 
-def glob_to_regex(pattern: str) -> str:
-    """Anchored regex for a shell glob (``*``, ``?``, ``[...]``, ``[!...]``)."""
+def glob_to_regex(pattern: str, paths: bool = False) -> str:
+    """Anchored regex for a shell glob (``*``, ``?``, ``[...]``, ``[!...]``).
+
+    With ``paths``, ``*`` and ``?`` stop at a slash.
+    """
+    any_sign = "[^/]" if paths else "."
     out, i = [], 0
     while i < len(pattern):
         ch = pattern[i]
         close = pattern.find("]", i + 2) if ch == "[" else -1
         if ch == "*":
-            out.append(".*")
+            out.append(any_sign + "*")
         elif ch == "?":
-            out.append(".")
+            out.append(any_sign)
         elif close > 0:
             body = pattern[i + 1 : close].replace("\\", "\\\\").replace("[", "\\[")
             out.append("[^" + body[1:] + "]" if body[0] == "!" else "[" + body + "]")
@@ -62,11 +66,11 @@ def glob_to_regex(pattern: str) -> str:
     return "(?s)^" + "".join(out) + "$"
 
 
-def matches_any(name: str | Column, patterns: Sequence[str]) -> Column:
+def matches_any(name: str | Column, patterns: Sequence[str], paths: bool = False) -> Column:
     """True if the name matches at least one glob; one regex, evaluated once."""
     if not patterns:
         return F.lit(False)
-    return col(name).rlike("|".join(f"(?:{glob_to_regex(p)})" for p in patterns))
+    return col(name).rlike("|".join(f"(?:{glob_to_regex(p, paths)})" for p in patterns))
 
 
 def glob_filter(

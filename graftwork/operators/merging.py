@@ -26,6 +26,8 @@ BLOCK = ("tensor", "block_no")
 BASE = "__base__"
 MODELS_IN_FILTER = 1_000
 MERGED_DDL = "target string, tensor string, block_no bigint, values_ array<float>"
+AVERAGE, LINEAR, TIES, DARE_TIES = "average", "linear", "ties", "dare_ties"
+METHODS = (AVERAGE, LINEAR, TIES, DARE_TIES)
 
 
 def strip_embeddings(params: DataFrame) -> DataFrame:
@@ -43,6 +45,13 @@ def normalize_recipe(recipe: DataFrame) -> DataFrame:
     return recipe.withColumns({"weight": fill("weight"), "density": fill("density")})
 
 
+def absent_models(recipe: DataFrame, params: DataFrame) -> DataFrame:
+    """Rows of the recipe whose model has no parameters at all."""
+    return recipe.join(params.select("model").distinct(), "model", "left_anti").select(
+        "target", "model", F.lit("no parameters").alias("problem")
+    )
+
+
 def recipe_problems(recipe: DataFrame, params: DataFrame) -> DataFrame:
     """Targets with fewer than two models, and models without parameters."""
     few = (
@@ -51,20 +60,46 @@ def recipe_problems(recipe: DataFrame, params: DataFrame) -> DataFrame:
         .filter("n < 2")
         .select("target", F.lit(None).cast("string").alias("model"), F.lit("fewer than 2 models").alias("problem"))
     )
-    absent = recipe.join(params.select("model").distinct(), "model", "left_anti").select(
-        "target", "model", F.lit("no parameters").alias("problem")
-    )
-    return few.unionByName(absent)
+    return few.unionByName(absent_models(recipe, params))
 
 
-def validate_recipe(recipe: DataFrame, params: DataFrame) -> DataFrame:
-    """Return the recipe, or raise naming the first problems."""
-    bad = recipe_problems(recipe, params).limit(5).collect()
+def _raise_first(problems: DataFrame) -> None:
+    bad = problems.limit(5).collect()
     if bad:
         raise ValueError("; ".join(f"{r.target}/{r.model}: {r.problem}" for r in bad))
+
+
+def validate_recipe(recipe: DataFrame, params: DataFrame) -> DataFrame:
+    """Return the recipe, or raise naming the first problems."""
+    _raise_first(recipe_problems(recipe, params))
     return recipe
 
 
+def merge_gaps(recipe: DataFrame, params: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """What a merge would miss: ``target, model, tensor, block_no, problem``.
+
+    Blocks that some but not all models of a target have, and blocks of models
+    that the base lacks. Models without any parameters come without a block.
+    """
+    k = recipe.groupBy("target").agg(F.countDistinct("model").alias("k"))
+    have = params.select("model", *BLOCK).join(recipe.select("target", "model").distinct(), "model")
+    partial = have.groupBy("target", *BLOCK).agg(F.count(F.lit(1)).alias("n")).join(k, "target").filter("n < k")
+    wanted = partial.select("target", *BLOCK).join(recipe.select("target", "model").distinct(), "target")
+    gaps = wanted.join(have, ["target", "model", *BLOCK], "left_anti").select(
+        "target", "model", *BLOCK, F.lit("no such block").alias("problem")
+    )
+    absent = absent_models(recipe, params)
+    gaps = gaps.join(absent.select("target", "model"), ["target", "model"], "left_anti").unionByName(
+        absent.select("target", "model", F.lit(None).cast("string").alias("tensor"), F.lit(None).cast("bigint").alias("block_no"), "problem")
+    )
+    if base is None:
+        return gaps
+    loose = have.select("target", *BLOCK).distinct().join(base.select(*BLOCK), list(BLOCK), "left_anti")
+    return gaps.unionByName(
+        loose.select("target", F.lit("base").alias("model"), *BLOCK, F.lit("no such block").alias("problem"))
+    )
+
+
 def shape_conflicts(shapes: DataFrame) -> DataFrame:
     """Models whose tensor shape disagrees with that of other models."""
     spread = (
@@ -137,36 +172,52 @@ def _with_counts(recipe: DataFrame) -> DataFrame:
     return recipe.join(counts, "target")
 
 
+def _complete(recipe: DataFrame, params: DataFrame) -> DataFrame:
+    """The recipe with defaults and model counts; raises on models without parameters.
+
+    Of the parameters only the model column is read, on partitioned tables only
+    folder names. The folds raise on single blocks that a model or the base lacks.
+    """
+    _raise_first(absent_models(recipe, params))
+    return _with_counts(normalize_recipe(recipe))
+
+
 def average_params(params: DataFrame, recipe: DataFrame) -> DataFrame:
     """Plain element-wise mean of the selected adapters; weights are ignored.
 
     The first adapter decides which blocks exist: blocks only others have are
-    dropped, a block it has and another adapter lacks is an error.
+    dropped, a block it has and another adapter lacks is an error, as is a
+    model without parameters.
     """
-    recipe = _with_counts(normalize_recipe(recipe))
+    recipe = _complete(recipe, params)
     small = pinned(recipe)
     rows = _meet(_selected(params, small, recipe), small, recipe)
     return _sorted_rows(rows, "k").mapInArrow(B.average_stream(), MERGED_DDL)
 
 
 def linear_merge(params: DataFrame, recipe: DataFrame, normalize: bool = True) -> DataFrame:
-    """Weighted sum of models, divided by the weight total unless told otherwise."""
-    recipe = normalize_recipe(recipe)
+    """Weighted sum of models, divided by the weight total unless told otherwise.
+
+    Every model must have every block that one of them has.
+    """
+    recipe = _complete(recipe, params)
     small = pinned(recipe)
     rows = _meet(_selected(params, small, recipe), small, recipe)
-    return _sorted_rows(rows, "weight").mapInArrow(B.linear_stream(normalize), MERGED_DDL)
+    return _sorted_rows(rows, "weight", "k").mapInArrow(B.linear_stream(normalize), MERGED_DDL)
 
 
 def _with_base(recipe: DataFrame) -> DataFrame:
     """The base model joins every target as the row before the first model."""
-    base = recipe.select("target").distinct().select(
+    base = recipe.select("target", "k").distinct().select(
         "target",
+        "k",
         F.lit(BASE).alias("model"),
         F.lit(B.BASE_ORD).cast("bigint").alias("ord"),
         F.lit(0.0).alias("weight"),
         F.lit(1.0).alias("density"),
     )
-    return recipe.select("target", "model", F.col("ord").cast("bigint").alias("ord"), "weight", "density").unionByName(base)
+    cols = ("target", "model", F.col("ord").cast("bigint").alias("ord"), "weight", "density", "k")
+    return recipe.select(*cols).unionByName(base)
 
 
 def _onto_base(params: DataFrame, base: DataFrame, small: Pinned | None, recipe: DataFrame) -> DataFrame:
@@ -183,8 +234,11 @@ def _trims(small: Pinned | None, recipe: DataFrame) -> bool:
 
 
 def ties_merge(params: DataFrame, base: DataFrame, recipe: DataFrame, normalize: bool = True) -> DataFrame:
-    """Trim task vectors to their density, elect signs, merge onto the base."""
-    recipe = _with_base(normalize_recipe(recipe))
+    """Trim task vectors to their density, elect signs, merge onto the base.
+
+    Every model and the base must have every block that one of the models has.
+    """
+    recipe = _with_base(_complete(recipe, params))
     small = pinned(recipe)
     cuts = None
     if _trims(small, recipe):
@@ -195,17 +249,60 @@ def ties_merge(params: DataFrame, base: DataFrame, recipe: DataFrame, normalize:
     rows = _meet(_onto_base(params, base, small, recipe), small, recipe, cuts)
     if cuts is None:
         stream = B.sign_election_stream(normalize, B.keep_all)
-        return _sorted_rows(rows, "weight").mapInArrow(stream, MERGED_DDL)
+        return _sorted_rows(rows, "weight", "k").mapInArrow(stream, MERGED_DDL)
     stream = B.sign_election_stream(normalize, B.keep_largest)
-    return _sorted_rows(rows, "weight", "density", "mag", "tie_block", "tie_left").mapInArrow(stream, MERGED_DDL)
+    return _sorted_rows(rows, "weight", "k", "density", "mag", "tie_block", "tie_left").mapInArrow(stream, MERGED_DDL)
 
 
 def dare_ties_merge(
     params: DataFrame, base: DataFrame, recipe: DataFrame, seed: int = 0, normalize: bool = True
 ) -> DataFrame:
-    """Drop task-vector values at random, rescale the rest, then elect signs."""
-    recipe = _with_base(normalize_recipe(recipe))
+    """Drop task-vector values at random, rescale the rest, then elect signs.
+
+    Every model and the base must have every block that one of the models has.
+    """
+    recipe = _with_base(_complete(recipe, params))
     small = pinned(recipe)
     rows = _meet(_onto_base(params, base, small, recipe), small, recipe)
     stream = B.sign_election_stream(normalize, B.random_dropper(seed))
-    return _sorted_rows(rows, "weight", "density", "model").mapInArrow(stream, MERGED_DDL)
+    return _sorted_rows(rows, "weight", "k", "density", "model").mapInArrow(stream, MERGED_DDL)
+
+
+def merge(
+    method: str,
+    params: DataFrame,
+    recipe: DataFrame,
+    base: DataFrame | None = None,
+    normalize: bool = True,
+    seed: int = 0,
+) -> DataFrame:
+    """One entry for all methods: validates the recipe, then merges completely or raises.
+
+    Full embedding and head weights are left out of linear and task-vector
+    merges; plain averaging keeps every tensor of the first adapter. Where
+    ``params`` has a ``shape``, models must agree on it and the result carries it.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown merge method {method!r}; known: {', '.join(METHODS)}")
+    if method in (TIES, DARE_TIES) and base is None:
+        raise ValueError(f"{method} needs a base model")
+    validate_recipe(recipe, params)
+    if method == AVERAGE:
+        out = average_params(params, recipe)
+    elif method == LINEAR:
+        out = linear_merge(strip_embeddings(params), recipe, normalize)
+    elif method == TIES:
+        out = ties_merge(strip_embeddings(params), base, recipe, normalize)
+    else:
+        out = dare_ties_merge(strip_embeddings(params), base, recipe, seed, normalize)
+    return with_shapes(out, params, recipe) if "shape" in params.columns else out
+
+
+def with_shapes(merged: DataFrame, params: DataFrame, recipe: DataFrame) -> DataFrame:
+    """Merged blocks with the shape of their tensor; raises where models disagree."""
+    used = params.join(F.broadcast(recipe.select("model").distinct()) if pinned(recipe) else recipe.select("model").distinct(), "model", "left_semi")
+    shapes = used.filter("shape IS NOT NULL").select("model", "tensor", "shape").distinct()
+    bad = shape_conflicts(shapes).select("tensor").distinct().limit(5).collect()
+    if bad:
+        raise ValueError(f"models disagree on the shape of {', '.join(r.tensor for r in bad)}")
+    return merged.join(shapes.groupBy("tensor").agg(F.first("shape").alias("shape")), "tensor", "left")

@@ -49,6 +49,23 @@ def finished(jobs: DataFrame, done: DataFrame, keys: Sequence[str] = ("job",)) -
     return join_on(jobs, done, keys, "left_semi")
 
 
+def plain_path(path: str | Column) -> Column:
+    """A relative path without ``.`` parts, doubled or final slashes, and inner ``..``."""
+    out = F.col(path) if isinstance(path, str) else path
+    out = F.regexp_replace(out, r"/+", "/")
+    for _ in range(8):  # inner ".." fold from the inside; deeper ones stay and match nothing
+        out = F.regexp_replace(out, r"(^|/)(?!\.\.?/)[^/]+/\.\.(/|$)", "$1")
+    out = F.regexp_replace(out, r"(^|/)(?:\./)+", "$1")
+    return F.regexp_replace(out, r"(?<=.)/\.?$", "")
+
+
+def _above(path: str, whole: bool) -> Column:
+    """The folders that hold a path, with or without the path itself."""
+    parts = F.split(path, "/")
+    depth = F.size(parts) if whole else F.size(parts) - 1
+    return F.when(depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
+
+
 def retention_plan(
     artifacts: DataFrame,
     links: DataFrame,
@@ -56,14 +73,20 @@ def retention_plan(
     unlink: Sequence[str] = (),
     path: str = "path",
 ) -> DataFrame:
-    """Directories that match a pattern and are not the target of a link.
+    """Directories that match a pattern and hold no target of a link.
 
-    Links whose name matches ``unlink`` are gone first and protect nothing.
-    This only plans; nothing is deleted.
+    A ``*`` of a pattern stops at a slash. Targets are resolved, so ``./b`` and
+    ``a/../b`` protect ``b``. Links whose name matches ``unlink`` are gone first
+    and protect nothing. A directory inside a planned one goes with it and is
+    not listed again. This only plans; nothing is deleted.
     """
-    held = links.filter(~matches_any("name", unlink)).select(F.col("target").alias(path))
-    matching = artifacts.filter(F.col("is_dir") & matches_any(path, patterns))
-    return matching.join(held, path, "left_anti")
+    targets = links.filter(~matches_any("name", unlink, paths=True)).select(plain_path("target").alias("__target"))
+    held = targets.select(F.explode(_above("__target", whole=True)).alias("__plain")).distinct()
+    matching = artifacts.filter(F.col("is_dir") & matches_any(path, patterns, paths=True))
+    free = matching.withColumn("__plain", plain_path(path)).join(held, "__plain", "left_anti")
+    inside = free.select("__plain", F.explode(_above("__plain", whole=False)).alias("__up"))
+    covered = inside.join(free.select(F.col("__plain").alias("__up")), "__up", "left_semi").select("__plain").distinct()
+    return free.join(covered, "__plain", "left_anti").drop("__plain")
 
 
 def retention_summary(plan: DataFrame) -> DataFrame:

@@ -107,11 +107,23 @@ def first_by_row(value: str, order: str = "row_id") -> Column:
     return F.min_by(value, order)
 
 
-def _all_tasks(df: DataFrame, by: Sequence[str], task_names: Sequence[str] | None) -> DataFrame:
-    """The task column list of each report, so that missing cells exist."""
-    if task_names is None:
+def _all_tasks(df: DataFrame, by: Sequence[str], shown: DataFrame | None) -> DataFrame:
+    """The task columns of each report, so that missing cells exist.
+
+    ``shown`` gives every report the same columns: it becomes one row with an
+    array, which every report unfolds.
+    """
+    if shown is None:
         return df.select(*by, "task").distinct()
-    return df.select(*by).distinct().withColumn("task", _literals(task_names))
+    row = shown.agg(F.collect_list("task").alias("__tasks")).withColumn("__one", F.lit(1))
+    reports = df.select(*by).distinct().withColumn("__one", F.lit(1))
+    return reports.join(F.broadcast(row), "__one").select(*by, F.explode("__tasks").alias("task"))
+
+
+def only_shown(table: DataFrame, shown: DataFrame) -> DataFrame:
+    """Rows of a table's shown tasks and its averages."""
+    average = table.sparkSession.createDataFrame([(AVG,)], "task string")
+    return table.join(shown.select("task").unionByName(average), "task", "left_semi").select(*table.columns)
 
 
 # --- mean and deviation tables -------------------------------------------------------
@@ -147,7 +159,7 @@ def method_values(df: DataFrame, cfg: ReportConfig, by: Sequence[str] = BY) -> D
 
 
 def mean_std(
-    df: DataFrame, cfg: ReportConfig, by: Sequence[str] = BY, task_names: Sequence[str] | None = None
+    df: DataFrame, cfg: ReportConfig, by: Sequence[str] = BY, shown: DataFrame | None = None
 ) -> DataFrame:
     """Results table in long form: every role x task cell and the averages."""
     roles = F.explode(
@@ -158,10 +170,10 @@ def mean_std(
             ]
         )
     )
-    cells = _all_tasks(df, by, task_names).withColumn("__m", roles).select(*by, "task", "__m.*")
+    cells = _all_tasks(df, by, shown).withColumn("__m", roles).select(*by, "task", "__m.*")
     values = method_values(df, cfg, by)
-    if task_names is not None:
-        values = values.filter(F.col("task").isin(list(task_names)))
+    if shown is not None:
+        values = values.join(shown, "task", "left_semi")
     return task_table(values, cells, [*by, "role", "display", "method_ord"])
 
 
@@ -316,23 +328,19 @@ def complete_seeds(parity: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return join_on(parity, whole, [*by, "seed"], "left_semi")
 
 
-def speedup_agg(
-    parity: DataFrame, by: Sequence[str] = BY, strict: bool = False, task_names: Sequence[str] | None = None
-) -> DataFrame:
+def speedup_agg(parity: DataFrame, by: Sequence[str] = BY, strict: bool = False) -> DataFrame:
     """Mean and deviation of parity per task and overall.
 
     Normal: a task never reached counts 100; an average of exactly 0 is null.
     Strict: a task is null if any seed needed 100 or more, and the average runs
     over the tasks that are left.
     """
-    return _speedup(settle(parity), by, strict, task_names)
+    return _speedup(settle(parity), by, strict)
 
 
-def _speedup(parity: DataFrame, by: Sequence[str], strict: bool, task_names: Sequence[str] | None) -> DataFrame:
-    cells = _all_tasks(parity, by, task_names)
+def _speedup(parity: DataFrame, by: Sequence[str], strict: bool) -> DataFrame:
+    cells = _all_tasks(parity, by, None)
     values = complete_seeds(parity, by).withColumn("value", F.col("parity"))
-    if task_names is not None:
-        values = values.filter(F.col("task").isin(list(task_names)))
     if not strict:
         table = task_table(values, cells, list(by))
         dashes = (F.col("task") == AVG) & (F.col("mean") == 0)
@@ -420,17 +428,17 @@ def setup_label(group: str | Column = "group") -> Column:
     return F.coalesce(*[F.when(g == k, F.lit(v)) for k, v in SETUP_LABELS.items()], g)
 
 
-def first_experiment_tasks(df: DataFrame, by: str = "experiment") -> list[str]:
-    """The first experiment's task list; combined tables use it for all."""
+def first_experiment_tasks(df: DataFrame, by: str = "experiment") -> DataFrame:
+    """The first experiment's tasks: the columns that combined tables show."""
     first = pin_small(df.agg(F.min(by).alias(by)))
-    return listed(df.join(first, by, "left_semi"), "task")
+    return settle(df.join(first, by, "left_semi").select("task").distinct())
 
 
 def combined_results(df: DataFrame, cfg: ReportConfig, by: Sequence[str] = ("experiment", "setup")) -> DataFrame:
     """From-scratch and from-merged finals of every experiment, with pair flags."""
-    names = first_experiment_tasks(df)
+    shown = first_experiment_tasks(df)
     pair = ReportConfig(methods=tuple(m for m in cfg.methods if m.role in ("from_scratch", "from_merged")))
-    return flag_pair(mean_std(df, pair, by, names), by)
+    return flag_pair(mean_std(df, pair, by, shown), by)
 
 
 def flag_pair(table: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -451,8 +459,10 @@ def flag_pair(table: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def combined_speedup(df: DataFrame, cfg: ReportConfig, by: Sequence[str] = ("experiment", "setup")) -> DataFrame:
-    """Normal and strict parity of every experiment."""
-    names = first_experiment_tasks(df)
+    """Normal and strict parity of every experiment, averaged over its own tasks.
+
+    The first experiment's tasks only choose which columns are shown.
+    """
     parity = settle(training_to_parity(df, cfg, by))
-    both = [_speedup(parity, by, strict, names).withColumn("strict", F.lit(strict)) for strict in (False, True)]
-    return both[0].unionByName(both[1])
+    both = [_speedup(parity, by, strict).withColumn("strict", F.lit(strict)) for strict in (False, True)]
+    return only_shown(both[0].unionByName(both[1]), first_experiment_tasks(df))

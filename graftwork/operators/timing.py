@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graftwork.operators.reports import AVG, BY, ReportConfig, best_lr, first_experiment_tasks, training_to_parity
+from graftwork.operators.reports import AVG, BY, ReportConfig, best_lr, first_experiment_tasks, only_shown, training_to_parity
 from graftwork.operators.scale import join_on, settle
 
 MEASURES = ("scratch_s", "reuse_s", "ratio")
@@ -25,6 +25,9 @@ def parse_jobs(timing: DataFrame) -> DataFrame:
     rest = F.substr(F.col("job"), F.length("stage") + F.lit(2))
     rate = F.regexp_extract(rest, r"_(\d[\d.eE+\-]*)$", 1)
     is_train = F.col("job_type") == "train"
+    if "subjob" in timing.columns:
+        # A training job counts by its own part, not by an evaluation run under it.
+        is_train = is_train & F.coalesce(F.col("subjob") == F.concat("job", F.lit("_train")), F.lit(False))
     return timing.withColumns(
         {
             "task": F.when(is_train, F.regexp_replace(rest, r"_\d[\d.eE+\-]*$", "")).otherwise(rest),
@@ -122,12 +125,8 @@ def timing_facts(
     return out.withColumn("ratio", F.when(F.col("scratch_s") > 0, F.col("reuse_s") / F.col("scratch_s")))
 
 
-def timing_agg(
-    facts: DataFrame, by: Sequence[str] = BY, task_names: Sequence[str] | None = None
-) -> DataFrame:
+def timing_agg(facts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """Mean seconds and ratio per task over seeds, and the mean of seed means."""
-    if task_names is not None:
-        facts = facts.filter(F.col("task").isin(list(task_names)))
     facts = settle(facts.select(*by, "seed", "task", *MEASURES))
     means = [F.avg(m).alias(m) for m in MEASURES]
     per_task = facts.groupBy(*by, "task").agg(*means)
@@ -138,5 +137,8 @@ def timing_agg(
 def combined_timing(
     metrics: DataFrame, timing: DataFrame, cfg: ReportConfig, by: Sequence[str] = ("experiment", "setup")
 ) -> DataFrame:
-    """Timing table of every experiment at once."""
-    return timing_agg(timing_facts(metrics, timing, cfg, by), by, first_experiment_tasks(metrics))
+    """Timing table of every experiment at once, averaged over its own tasks.
+
+    The first experiment's tasks only choose which columns are shown.
+    """
+    return only_shown(timing_agg(timing_facts(metrics, timing, cfg, by), by), first_experiment_tasks(metrics))

@@ -15,16 +15,20 @@ from graftwork.sources import evaluations, runs
 FIXED_ROLES = ("base", "from_scratch", "merged")
 
 
-def report_config(pipeline: Mapping) -> R.ReportConfig:
+def report_config(pipeline: Mapping, from_merged: str | None = None) -> R.ReportConfig:
     """Report roles from a parsed pipeline file (``stages.analysis.config``).
 
-    The role that is none of base, from_scratch and merged is the one trained
-    from the merged start.
+    ``from_merged`` names the method trained from the merged start. Without it
+    that is the only one besides base, from_scratch and merged, if there is one.
+    All other methods keep their own names as roles.
     """
     analysis = ((pipeline.get("stages") or {}).get("analysis") or {}).get("config") or {}
     if "group" not in analysis:
         raise ValueError("the pipeline needs a 'stages.analysis.config' section with a 'group'")
-    role = lambda key: key if key in FIXED_ROLES else "from_merged"
+    if from_merged is None:
+        others = [k for k in analysis["methods"] if k not in FIXED_ROLES]
+        from_merged = "from_merged" if "from_merged" in others else others[0] if len(others) == 1 else None
+    role = lambda key: "from_merged" if key == from_merged else key
     methods = tuple(
         R.Method(role(k), m["name"], m["display"], m.get("checkpoint")) for k, m in analysis["methods"].items()
     )
@@ -43,11 +47,13 @@ def select_and_merge(
     metric: str = "accuracy",
     weight_strategy: str = "equal",
     target: str = "target_task",
+    method: str = merging.AVERAGE,
+    base: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Top-k recipe and averaged parameters of every target, in one job each."""
+    """Top-k recipe and merged parameters of every target, in one job each."""
     best = ranking.select_topk(docs, k, metric, weight_strategy, [target])
     recipe = ranking.as_recipe(best, target)
-    return best, merging.average_params(params, merging.validate_recipe(recipe, params))
+    return best, merging.merge(method, params, recipe, base)
 
 
 def report_tables(

@@ -6,6 +6,7 @@ import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,13 +83,22 @@ def select_splits(df: DataFrame, splits: Sequence[str] | None = None) -> DataFra
     return df.filter(F.col("split").isin([s for s in splits if s not in missing]))
 
 
-def pick_eval_split(df: DataFrame, split: str | None = None, default: str | None = None) -> DataFrame:
-    """Rows of the requested split, else the dataset's own, else the first one."""
+def pick_eval_split(
+    df: DataFrame, split: str | None = None, default: str | None = None, order: Sequence[str] = ()
+) -> DataFrame:
+    """Rows of the requested split, else the dataset's own, else the first one.
+
+    ``order`` is the stored order of splits (:func:`split_order`); splits it
+    does not name come after it, by name.
+    """
     wanted = split or default
-    names = sorted(r.split for r in available_splits(df).limit(1_000).collect())
-    if wanted and wanted not in names:
-        raise ValueError(f"split {wanted!r} not found; available: {names}")
-    return df.filter(F.col("split") == (wanted or names[0]))
+    if not wanted:
+        place = F.coalesce(*[F.when(F.col("split") == s, F.lit(i)) for i, s in enumerate(order)], F.lit(len(order)))
+        wanted = df.agg(F.min_by("split", F.struct(place, F.col("split")))).first()[0]
+    rows = df.filter(F.col("split") == wanted)
+    if wanted is None or rows.select("split").isEmpty():
+        raise ValueError(f"split {wanted!r} not found")
+    return rows
 
 
 def preprocess(df: DataFrame, name: str, observation: Observation | None = None) -> DataFrame:
@@ -96,9 +106,26 @@ def preprocess(df: DataFrame, name: str, observation: Observation | None = None)
     return chat.drop_unlabeled(chat.apply_template(df, registered(name).template), observation)
 
 
-def write_dataset(df: DataFrame, path: str) -> None:
-    """Replace the processed dataset, one folder per split."""
+def write_dataset(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """Replace the processed dataset, one folder per split.
+
+    ``order`` is kept beside the data, in a folder that readers of the data skip.
+    """
     df.write.mode("overwrite").partitionBy("split").parquet(path)
+    if order:
+        rows = df.sparkSession.createDataFrame(list(enumerate(order)), "place int, split string")
+        rows.coalesce(1).write.mode("overwrite").json(f"{path}/_split_order")
+
+
+def split_order(spark: SparkSession, path: str) -> list[str]:
+    """Splits in the order given when the dataset was written; none if it was not given."""
+    try:
+        rows = spark.read.schema("place int, split string").json(f"{path}/_split_order")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return []
+    return [r.split for r in rows.orderBy("place").collect()]
 
 
 def preprocess_all(

@@ -33,7 +33,9 @@ RESULT_SCHEMA = T.StructType(
 
 
 def _documents(spark: SparkSession, glob: str) -> DataFrame:
-    docs = spark.read.schema(RESULT_SCHEMA).option("multiLine", True).json(glob)
+    # A truncated document must not become a row of nulls that a filter then drops.
+    reader = spark.read.schema(RESULT_SCHEMA).option("multiLine", True).option("mode", "FAILFAST")
+    docs = reader.json(glob)
     path = F.col("_metadata.file_path")
     inner = F.regexp_extract(path, r"/(checkpoint-[^/]*)/" + RESULT_FILE + "$", 1)
     outer = F.regexp_extract(path, r"/([^/]+)/(?:checkpoint-[^/]*/)?" + RESULT_FILE + "$", 1)
@@ -46,7 +48,8 @@ def read_eval_results(
     """One row per result document under the directories matching ``pattern``.
 
     The glob is part of the read path, so other directories are never listed.
-    Directories without a document are skipped; with
+    Directories without a document are skipped, a document that is no JSON
+    object fails the query; with
     ``include_checkpoints`` the documents of ``checkpoint-*`` subfolders come
     along, marked by ``checkpoint_dir``.
     """

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,16 @@ def _named_columns(df: DataFrame, columns: dict[str, str]) -> list:
 
 
 def _row_id() -> Column:
-    """Stored row order: block start in the high digits, line in the split below."""
-    start = F.col("_metadata")["file_block_start"]
-    return (start * F.lit(2**20) + F.monotonically_increasing_id() % F.lit(2**33)).alias("row_id")
+    """Stored row order: number of the part file, then place in the file.
+
+    Lines of a split are fewer than its bytes, so split start plus line number
+    grows through a file. A file that is no part of a set has the number 0.
+    """
+    meta = F.col("_metadata")
+    part = F.regexp_extract(meta["file_name"], r"^part-(\d+)", 1)
+    number = F.when(part != "", part.cast("bigint")).otherwise(F.lit(0))
+    line = F.monotonically_increasing_id() % F.lit(2**33)
+    return (number * F.lit(2**42) + meta["file_block_start"] + line).alias("row_id")
 
 
 def read_summary(spark: SparkSession, run_dir: str) -> DataFrame:
@@ -88,21 +96,44 @@ def read_timing(spark: SparkSession, run_dirs: Sequence[str] | str) -> DataFrame
     return _stack(lambda d: _read_timing(spark, d), dirs)
 
 
+def yaml_value(text: str, *path: str) -> str | None:
+    """Scalar under nested keys of a block-style YAML text; enough for run descriptions."""
+    above: list[tuple[int, str]] = []
+    for line in text.splitlines():
+        body = line.split(" #")[0].rstrip()
+        key, colon, value = body.strip().partition(":")
+        if not colon or body.lstrip().startswith("#"):
+            continue
+        indent = len(body) - len(body.lstrip())
+        while above and above[-1][0] >= indent:
+            above.pop()
+        above.append((indent, key.strip().strip("\"'")))
+        if tuple(k for _, k in above) == path:
+            return value.strip().strip("\"'") or None
+    return None
+
+
 def discover_runs(spark: SparkSession, root: str, group: str = "all") -> DataFrame:
     """Runs under ``root`` by experiment: ``experiment, group, run_dir``.
 
-    Only directories with a ``pipeline.yaml`` that names an analysis group count.
+    Only directories with a ``pipeline.yaml`` whose ``stages.analysis.config``
+    names a group count.
     """
     raw = spark.read.text(f"{root}/*/pipeline.yaml", wholetext=True)
-    pick = lambda rx: F.regexp_extract("value", rx, 1)
-    runs = raw.select(
-        F.coalesce(F.nullif(pick(r"(?m)^experiment_name:\s*[\"']?([^\s\"'#]+)"), F.lit("")), F.lit("unknown")).alias(
-            "experiment"
-        ),
-        pick(r"(?m)^\s+group:\s*[\"']?([^\s\"'#]+)").alias("group"),
-        F.regexp_replace(F.col("_metadata.file_path"), "/pipeline\\.yaml$", "").alias("run_dir"),
-    ).filter("group <> ''")
-    return group_runs(runs, group)
+    found = raw.select("value", F.regexp_replace(F.col("_metadata.file_path"), "/pipeline\\.yaml$", "").alias("run_dir"))
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("value").to_pylist()
+            names = [yaml_value(t, "experiment_name") or "unknown" for t in texts]
+            groups = [yaml_value(t, "stages", "analysis", "config", "group") for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(groups, pa.string()), batch.column("run_dir")],
+                ["experiment", "group", "run_dir"],
+            )
+
+    runs = found.mapInArrow(describe, "experiment string, group string, run_dir string")
+    return group_runs(runs.filter(F.col("group").isNotNull()), group)
 
 
 def group_runs(runs: DataFrame, group: str = "all") -> DataFrame:
