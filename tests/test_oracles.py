@@ -8,9 +8,9 @@ import pytest
 
 import __spark_entry__ as entry_points
 from graftwork.plans.bindings import TABLES
+from graftwork.plans.catalog import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -45,6 +45,7 @@ def test_matches_sql(spark, duck, name):
 
 def test_every_query_has_a_check():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_points.queries()) and set(ORACLES) <= set(entry_points.oracle_sql())
 
 
 def test_entry(spark):
