@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from graftwork.functions.columns import basename, glob_filter, is_self_eval
 from graftwork.functions.fixed import LOWER_IS_BETTER
-from graftwork.operators.scale import join_on, positions
+from graftwork.operators.scale import first_rows, join_on, positions
 
 
 def candidates(
@@ -61,8 +60,9 @@ def merge_weights(
         return selected.withColumn("weight", F.lit(1.0))
     score = F.col(metric).cast("double")
     if metric in LOWER_IS_BETTER:
-        top = F.max(score).over(Window.partitionBy(*group))
-        score = F.when(score > 0, top / score).otherwise(0.0)
+        tops = selected.groupBy(*group).agg(F.max(score).alias("__top"))
+        score = F.when(score > 0, F.col("__top") / score).otherwise(0.0)
+        return join_on(selected, tops, group).withColumn("weight", F.round(score, 6)).drop("__top")
     return selected.withColumn("weight", F.round(score, 6))
 
 
@@ -82,14 +82,12 @@ def select_topk(
 ) -> DataFrame:
     """The best ``k`` rows of each target with rank, weight and candidate count.
 
-    The rank filter is pushed below the shuffle as a per-task top-k and the
-    candidate count is pre-aggregated, so a hot target costs no more than
-    ``k`` rows per map task.
+    Rows are cut by :func:`first_rows` and candidates counted with partial
+    sums, so a hot target never meets in one task as a whole.
     """
     rows = _named_groups(candidates(docs, metric), group)
-    w = Window.partitionBy(*group).orderBy(best_first(metric), F.col(tie))
-    best = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    best = merge_weights(best.withColumn("rank", F.col("rank").cast("bigint")), metric, weight_strategy, group)
+    best = first_rows(rows, k, group, [best_first(metric), F.col(tie)])
+    best = merge_weights(best, metric, weight_strategy, group)
     counts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("num_candidates"))
     return join_on(best, counts, group)
 

@@ -119,6 +119,24 @@ def positions(
     )
 
 
+def first_rows(
+    df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str | Column], name: str = "rank"
+) -> DataFrame:
+    """The first ``n`` rows of every group with their 1-based place.
+
+    A rank filter becomes a per-task limit below the shuffle, but only up to
+    Spark's own threshold for it. A larger ``n`` is cut by :func:`positions`,
+    which splits a group of any size over tasks.
+    """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if n > limit:
+        placed = positions(df, keys, order, "__pos").filter(F.col("__pos") < n)
+        return placed.withColumn(name, F.col("__pos") + 1).drop("__pos")
+    w = Window.partitionBy(*keys).orderBy(*[col(o) for o in order])
+    ranked = df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= n)
+    return ranked.withColumn(name, F.col(name).cast("bigint"))
+
+
 def running_sums(
     df: DataFrame, keys: Sequence[str], position: str, sums: dict[str, str]
 ) -> DataFrame:

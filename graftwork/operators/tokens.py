@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from graftwork.functions.columns import checkpoint_step, col
 from graftwork.functions.fixed import IGNORE_INDEX
-from graftwork.operators.scale import broadcast_checked, join_on, pin_small, positions, running_sums, settle
+from graftwork.operators.scale import broadcast_checked, first_rows, join_on, pin_small, positions, running_sums, settle
 
 EVAL_KEYS = ("model", "dataset", "split", "checkpoint", "step")
 
@@ -108,15 +108,13 @@ def sample_stats(tokens: DataFrame, keys: Sequence[str] = EVAL_KEYS) -> DataFram
 
 
 def head_samples(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First ``n`` samples of each dataset in stored order.
+    """First ``n`` samples of each dataset in stored order, for any ``n``.
 
-    The rank filter becomes a per-task limit before the shuffle, so a hot
-    dataset ships at most ``n`` rows from each map task.
+    A hot dataset never meets in one task as a whole, see :func:`first_rows`.
     """
     if not order:
         raise ValueError("an explicit order is required")
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
+    return first_rows(df, n, keys, order, "__rn").drop("__rn")
 
 
 def with_batches(

@@ -179,6 +179,10 @@ SELECT 'runs/lora_' || lang || CASE doc_id % 4 WHEN 0 THEN '/checkpoint-' || CAS
             WHEN 1 THEN '/checkpoint-' || CAST(doc_id AS STRING) || '-old'
             WHEN 2 THEN '/xcheckpoint-' || CAST(doc_id AS STRING) ELSE '/final' END AS path
 FROM documents""",
+    "sample_lines": """
+SELECT CASE WHEN l_linenumber = 7 THEN 'rare' ELSE 'hot' END AS flag, l_orderkey AS line_key,
+       CAST(l_linenumber AS BIGINT) AS line_no, l_partkey AS part_key, l_suppkey AS supplier_key
+FROM lineitem""",
     "grid_tasks": "SELECT c_name AS task FROM customer",
     "grid_parts": """
 SELECT 'train_' || c_name || '_' || CASE o_orderkey % 3 WHEN 0 THEN '5e-05' WHEN 1 THEN '0.00016' ELSE '0.0005' END AS job,

@@ -220,6 +220,18 @@ def head(chat):
     return K.head_samples(chat, 16, ["role"], ["conv_id", "turn"]).select("role", "conv_id", "turn")
 
 
+@query(
+    "T4_head_samples_large",
+    "sample_lines",
+    sql="""SELECT flag, line_key, line_no FROM (
+             SELECT *, ROW_NUMBER() OVER (PARTITION BY flag ORDER BY line_key, line_no, part_key, supplier_key) AS rn
+             FROM sample_lines) q WHERE rn <= 5000""",
+)
+def head_large(lines):
+    first = K.head_samples(lines, 5000, ["flag"], ["line_key", "line_no", "part_key", "supplier_key"])
+    return first.select("flag", "line_key", "line_no")
+
+
 @query(
     "S3_discover_checkpoints",
     "checkpoint_dirs",

@@ -146,6 +146,54 @@ def defaults(docs):
     return M.normalize_recipe(raw)
 
 
+# The same merges through the one entry, which strips full embeddings except for plain averages.
+_STRIPPED = """NOT ((contains(tensor, 'embed_tokens') OR contains(tensor, 'lm_head'))
+                      AND NOT (contains(tensor, 'lora_A') OR contains(tensor, 'lora_B')))"""
+
+
+def _entry(name, method, sql, with_density_=False):
+    @query(name, "eval_docs_m", "param_blocks", sql=f"SELECT * FROM ({sql}) s WHERE {_STRIPPED}" if method != M.AVERAGE else sql)
+    def through_entry(docs, params):
+        rows = with_density(docs) if with_density_ else recipe(docs)
+        return elements(M.merge(method, adapters(params), rows, base_of(params), seed=SEED))
+
+
+_entry("M1_merge_average", M.AVERAGE, f"""WITH {_RECIPE}, {_ELEMENTS}
+            SELECT target, tensor, block_no, pos, {_ROUND.format('AVG(v)')} AS value
+            FROM r JOIN e USING (model) GROUP BY target, tensor, block_no, pos""")
+_entry("M2_merge_linear", M.LINEAR, f"""WITH {_RECIPE}, {_ELEMENTS}
+            SELECT target, tensor, block_no, pos, {_ROUND.format('SUM(v * weight) / SUM(weight)')} AS value
+            FROM r JOIN e USING (model) GROUP BY target, tensor, block_no, pos""")
+_entry("M3_merge_ties", M.TIES, f"""WITH {_RECIPE}, {_ELEMENTS}, {_DELTAS},
+k AS (SELECT target, tensor, block_no, pos, base, weight, CAST(delta AS DOUBLE) AS t FROM r JOIN d USING (model)),
+{_SIGNED}""")
+
+
+_RAGGED = """NOT (model = 'm1' AND block_no = 0) AND NOT (model = 'm2')"""
+_NO_BASE = """NOT (contains(tensor, 'lm_head') AND block_no = 1)"""
+
+
+@query(
+    "M0_merge_gaps",
+    "eval_docs_m",
+    "param_blocks",
+    sql=f"""WITH {_RECIPE},
+            p AS (SELECT model, tensor, block_no FROM param_blocks WHERE model <> 'base' AND {_RAGGED}),
+            b AS (SELECT tensor, block_no FROM param_blocks WHERE model = 'base' AND {_NO_BASE}),
+            h AS (SELECT target, model, tensor, block_no FROM r JOIN p USING (model)),
+            a AS (SELECT target, model FROM r WHERE model NOT IN (SELECT model FROM p)),
+            w AS (SELECT DISTINCT h.target, r.model, h.tensor, h.block_no FROM h JOIN r USING (target))
+            SELECT target, model, tensor, block_no, 'no such block' AS problem FROM w
+            WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.target = w.target AND h.model = w.model AND h.tensor = w.tensor AND h.block_no = w.block_no)
+              AND NOT EXISTS (SELECT 1 FROM a WHERE a.target = w.target AND a.model = w.model)
+            UNION ALL SELECT target, model, NULL, NULL, 'no parameters' FROM a
+            UNION ALL SELECT DISTINCT target, 'base', tensor, block_no, 'no such block' FROM h
+            WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.tensor = h.tensor AND b.block_no = h.block_no)""",
+)
+def gaps(docs, params):
+    return M.merge_gaps(recipe(docs), adapters(params).filter(_RAGGED), base_of(params.filter(_NO_BASE)))
+
+
 _FAULTY = """f AS (SELECT target, CASE WHEN target = 't7' AND ord = 1 THEN 'm9' ELSE model END AS model
              FROM r WHERE NOT (target = 't6' AND ord = 1))"""
 
@@ -202,20 +250,6 @@ def selected_blocks(docs, params):
     return rows.select("target", "model", "ord", "weight", "tensor", "block_no")
 
 
-@query(
-    "J12_shape_conflicts",
-    "param_blocks",
-    sql="""WITH s AS (SELECT model, tensor, 64 * COUNT(*) AS shape FROM param_blocks
-             WHERE NOT (model = 'm1' AND tensor = 'lm_head.weight' AND block_no = 0) GROUP BY model, tensor)
-           SELECT model, tensor, shape FROM s WHERE tensor IN
-             (SELECT tensor FROM s GROUP BY tensor HAVING COUNT(DISTINCT shape) > 1)""",
-)
-def conflicts(params):
-    cut = params.filter("NOT (model = 'm1' AND tensor = 'lm_head.weight' AND block_no = 0)")
-    shapes = cut.groupBy("model", "tensor").agg((F.count(F.lit(1)) * 64).alias("shape"))
-    return M.shape_conflicts(shapes)
-
-
 @query(
     "W9_magnitude_trim",
     "param_blocks",

@@ -142,13 +142,33 @@ def blocks(p):
     "param_blocks",
     sql=f"""WITH {merging._RECIPE}, {merging._ELEMENTS}
             SELECT target, tensor, block_no, pos, {merging._ROUND.format('AVG(v)')} AS value
-            FROM r JOIN e USING (model) WHERE target IN ('t1', 't2') GROUP BY target, tensor, block_no, pos""",
+            FROM r JOIN e USING (model) GROUP BY target, tensor, block_no, pos
+            UNION ALL SELECT model AS target, tensor, block_no, pos, {merging._ROUND.format('v')} AS value FROM e""",
 )
 def merged(docs, p):
+    """All merged targets, written into the store that holds the adapters, and the adapters after it."""
     root = shared_folder(p)
+    params.write_params(p, root, "model")
     params.write_params(M.average_params(p, merging.recipe(docs)), root)
-    back = params.read_params(p.sparkSession, root, ["t1", "t2"])
-    return merging.elements(back.withColumnRenamed("model", "target"))
+    return merging.elements(params.read_params(p.sparkSession, root).withColumnRenamed("model", "target"))
+
+
+@query(
+    "J12_shape_conflicts",
+    "param_blocks",
+    sql="""WITH s AS (SELECT model, tensor, [64 * COUNT(*), 1] AS shape FROM param_blocks
+             WHERE NOT (model = 'm1' AND tensor = 'lm_head.weight' AND block_no = 0) GROUP BY model, tensor)
+           SELECT model, tensor, array_to_string(shape, 'x') AS shape FROM s WHERE tensor IN
+             (SELECT tensor FROM s GROUP BY tensor HAVING COUNT(DISTINCT shape) > 1)""",
+)
+def conflicts(p):
+    """Shapes as they were stored with the blocks."""
+    cut = p.filter("NOT (model = 'm1' AND tensor = 'lm_head.weight' AND block_no = 0)")
+    sizes = cut.groupBy("model", "tensor").agg(F.array(F.count(F.lit(1)) * 64, F.lit(1).cast("bigint")).alias("shape"))
+    root = shared_folder(p)
+    params.write_params(cut.join(sizes, ["model", "tensor"]), root, "model")
+    stored = params.read_params(p.sparkSession, root).select("model", "tensor", "shape").distinct()
+    return M.shape_conflicts(stored).withColumn("shape", F.array_join("shape", "x"))
 
 
 @query("S11_write_metrics", "eval_docs", sql="SELECT eval_dir, model, dataset, accuracy, nll FROM eval_docs")

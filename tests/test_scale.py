@@ -54,3 +54,15 @@ def test_join_on_matches_nulls(spark):
     b = spark.createDataFrame([("x", 10), (None, 20)], "k string, b int")
     assert {(r.k, r.a, r.b) for r in S.join_on(a, b, ["k"]).collect()} == {("x", 1, 10), (None, 2, 20)}
     assert S.join_on(a, b, ["k"], "left_anti").count() == 0
+
+
+def test_first_rows_beyond_the_window_threshold(spark):
+    from graftwork.operators.scale import first_rows
+
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 10 = 0 THEN 'b' ELSE 'a' END AS g", "id", "id % 7 AS o")
+    got = first_rows(df, 5_000, ["g"], ["o", "id"])
+    assert not any("Window" in line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "RowNumber" in line)
+    rows = got.collect()
+    for g in "ab":
+        want = sorted((r.o, r.id) for r in df.filter(f"g = '{g}'").collect())[:5_000]
+        assert [(r.o, r.id) for r in sorted((r for r in rows if r.g == g), key=lambda r: r["rank"])] == want
