@@ -4,77 +4,100 @@ P(word | before) = P(class | before) * P(word | class). Classes group words by
 their endings: endings are hashed to ``ENDINGS`` groups, and those are clustered
 by the groups that stand next to them. P(class | before) is a maximum-entropy
 model over hashed features of the words before: the last word, the word before
-it (a skip feature), the pair of their classes, and their endings. P(word |
+it (a skip feature), the pair of their classes, and the last word's ending. P(word |
 class) comes from counts with absolute discounting; what the discount frees in
 a class is the probability of its unknown words.
 
-* Texts are tokenized once into blocks of bounded size with a vocabulary each;
-  counts reach a block by a join on its vocabulary, so no count table is
-  broadcast and every count of the corpus is used.
+* Texts are tokenized once into blocks of bounded size, one row each with its
+  own vocabulary. A word's counts meet by its hash, and each block gets back the
+  counts that differ from its own; no count table is broadcast.
 * The model has a fixed number of weights. In every round each task adds up
-  observed and expected feature counts of its rows; tables are summed by shard,
-  and the weights are updated. Rounds use disjoint parts of the training rows,
-  which together are all of them.
+  observed and expected feature counts of its blocks; tables are summed by shard,
+  and the weights are updated. Rounds use disjoint blocks, together all of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from graftwork.llm.common import stored, table
 from graftwork.llm.registry import query
-from graftwork.llm.words import BASE, WordCodes, codes_of, mix, words
+from graftwork.llm.words import BASE, WordCodes, mix, words
 
-ENDINGS = 512
+ENDINGS = 256
 CLASSES = 32
 END_CLASS = CLASSES - 1
-LAST, SKIP = 8192, 4096
-ROUNDS = 4
+LAST, SKIP = 4096, 2048
+ROUNDS = 3
 STEP = 1.5
 PRIOR = 1.0
 DISCOUNT = 0.5
 ADDED = 0.1
 SHARDS = 64
-BLOCK_CHARS = 8_000_000
-SOFTMAX_TOKENS = 16_384
+BLOCK_CHARS = 6_000_000
+BATCH_TOKENS = 32_768
+REMEMBERED = 500_000
 
 # Offsets of the feature groups in the weight table; row 0 is the constant feature.
 PAIR = 1
 NEAR_END = PAIR + (CLASSES + 1) * (CLASSES + 1)
-FAR_END = NEAR_END + ENDINGS + 1
-LAST_AT = FAR_END + ENDINGS + 1
+LAST_AT = NEAR_END + ENDINGS + 1
 SKIP_AT = LAST_AT + LAST + 1
 WEIGHT_ROWS = SKIP_AT + SKIP + 1
+ACTIVE = 5
 
 END_CODE = np.uint64(1)
-DOC, VOCABULARY, BIGRAMS = 0, 1, 2
+PLACE_BITS = 24
+BLOCK_BITS = 10
 
 
-def ending(word: bytes) -> int:
-    """Group of the last three letters of a word; letters of any script."""
-    tail = word.decode("utf-8", "ignore").rstrip(".,;:!?")[-3:].encode()
-    return int(mix(np.array([int.from_bytes(tail, "little") % (1 << 63)], np.uint64) * BASE)[0] % np.uint64(ENDINGS))
+def ending(tail: str) -> int:
+    """Group of the last letters of a word."""
+    number = int.from_bytes(tail.encode(), "little") % (1 << 63)
+    return int(mix(np.array([number], np.uint64) * BASE)[0] % np.uint64(ENDINGS))
 
 
-class _Endings(dict):
+class Lexemes(dict):
+    """Word to its place in the arrays ``code`` and ``ending``."""
+
+    def __init__(self):
+        self.tails: dict[str, int] = {}
+        self.hash = WordCodes()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.code, self.ending = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.fresh: list[tuple[int, int]] = []
+
     def __missing__(self, word: bytes) -> int:
         tail = word.decode("utf-8", "ignore").rstrip(".,;:!?")[-3:]
-        group = self.by_tail.get(tail)
+        group = self.tails.get(tail)
         if group is None:
-            group = self.by_tail[tail] = ending(word)
-        if len(self) > 300_000:
-            self.clear()
-        self[word] = group
-        return group
-
-    def __init__(self):
-        self.by_tail: dict[str, int] = {}
+            group = self.tails[tail] = ending(tail)
+        place = self[word] = len(self)
+        self.fresh.append((self.hash.__missing__(word), group))
+        return place
+
+    def find(self, found: list[bytes]) -> np.ndarray:
+        """Places of words; what is remembered is dropped before it grows too large."""
+        if len(self) > REMEMBERED:
+            self._forget()
+        places = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        if self.fresh:
+            codes, groups = zip(*self.fresh, strict=True)
+            self.code = np.concatenate([self.code, np.array(codes, np.uint64)])
+            self.ending = np.concatenate([self.ending, np.array(groups, np.int32)])
+            self.fresh = []
+            self.hash.clear()
+        return places
 
 
 @dataclass
@@ -87,7 +110,7 @@ class Texts:
     length: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str], known: WordCodes, endings: _Endings) -> Texts:
+    def of(cls, texts: list[str], known: Lexemes) -> Texts:
         split = [words(t) for t in texts]
         length = np.fromiter(map(len, split), np.int64, len(split)) + 1
         start = np.cumsum(length) - length
@@ -95,9 +118,8 @@ class Texts:
         code, group = np.full(total, END_CODE), np.full(total, ENDINGS, np.int32)
         inside = np.ones(total, bool)
         inside[start + length - 1] = False
-        flat = [w for own in split for w in own]
-        code[inside] = codes_of(flat, known)
-        group[inside] = np.fromiter(map(endings.__getitem__, flat), np.int32, len(flat))
+        places = known.find([w for own in split for w in own])
+        code[inside], group[inside] = known.code[places], known.ending[places]
         return cls(code, group, start, length)
 
     def before(self, values: np.ndarray, steps: int, nothing: int) -> np.ndarray:
@@ -111,48 +133,49 @@ class Texts:
 
 
 def features(t: Texts, classes: np.ndarray) -> np.ndarray:
-    """(features, tokens) rows of the weight table that are active for each token."""
+    """(features, tokens) rows of the weight table active for each token, besides the constant one."""
     cls = classes[t.ending]
     near, far = t.before(cls, 1, CLASSES), t.before(cls, 2, CLASSES)
     last = t.before((mix(t.code * BASE) % np.uint64(LAST)).astype(np.int64), 1, LAST)
     skip = t.before((mix(t.code ^ BASE) % np.uint64(SKIP)).astype(np.int64), 2, SKIP)
-    ends = t.ending.astype(np.int64)
     return np.stack(
         [
-            np.zeros(len(cls), np.int64),
             PAIR + near * (CLASSES + 1) + far,
-            NEAR_END + t.before(ends, 1, ENDINGS),
-            FAR_END + t.before(ends, 2, ENDINGS),
+            NEAR_END + t.before(t.ending, 1, ENDINGS),
             LAST_AT + last,
             SKIP_AT + skip,
         ]
-    )
+    ).astype(np.uint16)
 
 
 def log_classes(active: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """(tokens, classes) log probabilities of the next class."""
     logit = weights[active[0]]
+    logit += weights[0]
     for row in active[1:]:
         logit += weights[row]
     logit -= logit.max(axis=1, keepdims=True)
-    return logit - np.log(np.exp(logit).sum(axis=1, keepdims=True))
+    logit -= np.log(np.exp(logit).sum(axis=1, keepdims=True))
+    return logit
 
 
 def gradient(t: Texts, classes: np.ndarray, weights: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> float:
     """Add observed and expected counts of every feature and class; gives the log loss."""
     active, target, loss = features(t, classes), classes[t.ending].astype(np.int64), 0.0
-    for k in range(0, len(target), SOFTMAX_TOKENS):
-        part, own = active[:, k : k + SOFTMAX_TOKENS], target[k : k + SOFTMAX_TOKENS]
+    for k in range(0, len(target), BATCH_TOKENS):
+        part, own = active[:, k : k + BATCH_TOKENS], target[k : k + BATCH_TOKENS]
         logs = log_classes(part, weights)
         loss -= float(logs[np.arange(len(own)), own].sum())
         chance = np.exp(logs, out=logs)
+        expected[0] += chance.sum(axis=0)
+        observed[0] += np.bincount(own, minlength=CLASSES)
         for row in part:
-            order = np.argsort(row, kind="stable")
-            first = np.flatnonzero(np.diff(row[order], prepend=-1))
-            rows = row[order[first]]
-            expected[rows] += np.add.reduceat(chance[order], first, axis=0)
-            cells, n = np.unique(row * CLASSES + own, return_counts=True)
-            observed.ravel()[cells] += n
+            order = np.argsort(row, kind="stable")  # a radix sort for 16-bit numbers
+            ordered = row[order]
+            first = np.flatnonzero(np.diff(ordered.astype(np.int32), prepend=-1))
+            expected[ordered[first]] += np.add.reduceat(chance[order], first, axis=0)
+            cells = np.bincount(row.astype(np.int64) * CLASSES + own, minlength=WEIGHT_ROWS * CLASSES)
+            observed += cells.reshape(WEIGHT_ROWS, CLASSES)
     return loss
 
 
@@ -164,65 +187,108 @@ def _held_out():
     return F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers with their first bytes together, then their second ones, ...: mostly zeros at the end."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+BLOCK_FIELDS = (
+    "block long, ids array<{id}>, train array<boolean>, lengths array<int>, tokens binary, "
+    "codes array<long>, endings array<int>, counts array<int>, cells array<int>, pairs array<long>"
+)
+
+
 def tokenized(texts: DataFrame) -> DataFrame:
-    """Three kinds of rows of ``id, text, train``, stored apart.
+    """One row per block of ``id, text, train`` rows, and one per task with its bigrams of endings.
 
-    DOC: a text's tokens as places in its block's vocabulary. VOCABULARY: a
-    word of a block with its count in the block's training rows. BIGRAMS: how
-    often two endings stand side by side in training rows of a task.
+    ``tokens`` are places in the block's vocabulary (``codes``, ``endings``, and
+    ``counts`` in the block's training rows), most frequent first.
     """
     from pyspark import TaskContext
 
-    id_type = texts.schema["id"].dataType.simpleString()
-    fields = f"block long, id {id_type}, tokens binary, place int, code long, ending int, n long, kind int"
+    fields = BLOCK_FIELDS.format(id=texts.schema["id"].dataType.simpleString())
     names = [f.split(" ")[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId() << 24
-        known, endings, pairs = WordCodes(), _Endings(), np.zeros((ENDINGS + 1) ** 2, np.int64)
+        part = TaskContext.get().partitionId() << BLOCK_BITS
+        known, seen = Lexemes(), np.zeros((ENDINGS + 1) ** 2, np.int64)
         block, size, ids, trains, texts = 0, 0, [], [], []
+        id_kind = pa.int64()
+
+        def row(**columns) -> pa.RecordBatch:
+            kinds = [
+                pa.int64(), pa.list_(id_kind), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(),
+                pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()),
+            ]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([columns.get(c)], t) for c, t in zip(names, kinds, strict=True)], names
+            )
 
-        def rows(kind: int, many: int, **columns) -> pa.RecordBatch:
-            kinds = [pa.int64(), id_arrow, pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
-            columns |= {"kind": np.full(many, kind, np.int32), "block": np.full(many, part + block)}
-            cols = [pa.array(columns[c], t) if c in columns else pa.nulls(many, t) for c, t in zip(names, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(cols, names)
-
-        def flush():
-            t = Texts.of(texts, known, endings)
-            vocabulary, first, place = np.unique(t.code, return_index=True, return_inverse=True)
-            place = place.astype("<i4")
+        def flush() -> pa.RecordBatch:
+            t = Texts.of(texts, known)
+            codes, first, place, often = np.unique(t.code, return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            place = rank[place]
             learn = np.repeat(np.array(trains, bool), t.length)
-            n = np.bincount(place[learn], minlength=len(vocabulary))
-            ends = t.start + t.length
-            tokens = [place[a:b].tobytes() for a, b in zip(t.start.tolist(), ends.tolist(), strict=True)]
-            nonlocal pairs
-            pairs += np.bincount(
-                (t.before(t.ending, 1, ENDINGS) * (ENDINGS + 1) + t.ending)[learn], minlength=len(pairs)
+            nonlocal seen
+            seen += np.bincount(
+                (t.before(t.ending, 1, ENDINGS) * (ENDINGS + 1) + t.ending)[learn], minlength=len(seen)
             )
-            yield rows(DOC, len(ids), id=ids, tokens=tokens)
-            yield rows(
-                VOCABULARY, len(vocabulary), place=np.arange(len(vocabulary), dtype=np.int32),
-                code=vocabulary.view(np.int64), ending=t.ending[first], n=n,
+            return row(
+                block=part + block, ids=ids, train=trains, lengths=t.length.astype(np.int32), tokens=_planes(place),
+                codes=codes[order].view(np.int64), endings=t.ending[first[order]],
+                counts=np.bincount(place[learn], minlength=len(codes)).astype(np.int32),
             )
 
-        id_arrow = pa.int64()
         for batch in batches:
-            id_arrow = batch.column("id").type
+            id_kind = batch.column("id").type
             for key, text, train in zip(*(batch.column(c).to_pylist() for c in ("id", "text", "train")), strict=True):
                 ids.append(key)
                 trains.append(train)
                 texts.append(text or "")
                 size += len(text or "")
                 if size >= BLOCK_CHARS:
-                    yield from flush()
+                    yield flush()
                     block, size, ids, trains, texts = block + 1, 0, [], [], []
         if ids:
-            yield from flush()
-        cells = np.flatnonzero(pairs)
-        yield rows(BIGRAMS, len(cells), code=cells, n=pairs[cells])
-
-    return stored(texts.mapInArrow(run, fields), "tokens", by="kind")
+            yield flush()
+        cells = np.flatnonzero(seen)
+        yield row(cells=cells.astype(np.int32), pairs=seen[cells])
+
+    return stored(texts.mapInArrow(run, fields), "tokens")
+
+
+def _batches_of(block: dict, classes: np.ndarray, only_training: bool) -> Iterator[tuple[Texts, np.ndarray, slice]]:
+    """A block's texts in batches: tokens, their places in the vocabulary, and which texts."""
+    place, length = _from_planes(block["tokens"]), np.asarray(block["lengths"], np.int64)
+    code, group = np.asarray(block["codes"]).view(np.uint64), np.asarray(block["endings"], np.int32)
+    if only_training:
+        learn = np.asarray(block["train"], bool)
+        place, length = place[np.repeat(learn, length)], length[learn]
+    ends = np.cumsum(length)
+    at = 0
+    while at < len(length):
+        begin = int(ends[at] - length[at])
+        stop = max(at + 1, int(np.searchsorted(ends, begin + 2 * BATCH_TOKENS)))
+        own = place[begin : int(ends[stop - 1])]
+        size = length[at:stop]
+        yield Texts(code[own], group[own], np.cumsum(size) - size, size), own, slice(at, stop)
+        at = stop
+
+
+def _blocks(batch: pa.RecordBatch, columns: list[str]) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        out = {}
+        for c in columns:
+            value = batch.column(c)[i]
+            out[c] = value.as_py() if c == "tokens" else value.values.to_numpy(zero_copy_only=False)
+        yield out
 
 
 def cluster_endings(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -255,26 +321,27 @@ def cluster_endings(cells: np.ndarray, n: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- training
 
 
-def _summed(train: DataFrame, classes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Observed and expected feature counts of all rows of ``train``.
+def _summed(blocks: DataFrame, classes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Observed and expected feature counts of the training rows of ``blocks``.
 
     A task's table is cut into shards; a shard is summed as a stream, with one
     table of its size in memory. The sums have the fixed size of the model.
     """
-    spark = train.sparkSession
-    model = spark.sparkContext.broadcast((classes, weights))
+    model = blocks.sparkSession.sparkContext.broadcast((classes, weights))
     size = -(-WEIGHT_ROWS // SHARDS)
+    columns = ["train", "lengths", "tokens", "codes", "endings"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, endings = WordCodes(), _Endings()
-        sums = np.zeros((2, size * SHARDS, CLASSES), np.float32)
+        observed, expected = np.zeros((WEIGHT_ROWS, CLASSES), np.int64), np.zeros((WEIGHT_ROWS, CLASSES), np.float32)
         some = False
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in batch.column("text").slice(k, 256).to_pylist()]
-                gradient(Texts.of(texts, known, endings), *model.value, sums[0], sums[1])
-                some = True
+            for block in _blocks(batch, columns):
+                for t, _, _ in _batches_of(block, model.value[0], only_training=True):
+                    gradient(t, *model.value, observed, expected)
+                    some = True
         if some:
+            sums = np.zeros((2, size * SHARDS, CLASSES), np.float32)
+            sums[0, :WEIGHT_ROWS], sums[1, :WEIGHT_ROWS] = observed, expected
             parts = [sums[:, k * size : (k + 1) * size].tobytes() for k in range(SHARDS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array(parts, pa.binary())], ["shard", "sums"])
 
@@ -288,28 +355,86 @@ def _summed(train: DataFrame, classes: np.ndarray, weights: np.ndarray) -> tuple
         yield pa.RecordBatch.from_arrays(cols, ["shard", "sums"])
 
     fields = "shard int, sums binary"
-    found = train.select("text").mapInArrow(count, fields).repartition(SHARDS, "shard").mapInArrow(add, fields)
+    found = blocks.select(*columns).mapInArrow(count, fields).repartition(SHARDS, "shard").mapInArrow(add, fields)
     total = np.zeros((2, size * SHARDS, CLASSES))
     for row in found.toLocalIterator():  # at most SHARDS rows of fixed size
         total[:, row["shard"] * size : (row["shard"] + 1) * size] = np.frombuffer(row["sums"]).reshape(2, size, CLASSES)
     return total[0, :WEIGHT_ROWS], total[1, :WEIGHT_ROWS]
 
 
-def train_classes(texts: DataFrame, classes: np.ndarray, rounds: int = ROUNDS, report: Callable | None = None) -> np.ndarray:
-    """Weights of the class model: rounds of distributed updates over disjoint parts of ``id, text``."""
+def train_classes(blocks: DataFrame, classes: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of the class model: rounds of distributed updates over disjoint blocks."""
     weights = np.zeros((WEIGHT_ROWS, CLASSES), np.float32)
     for turn in range(rounds):
-        part = texts.filter(F.pmod(F.xxhash64("id"), F.lit(rounds)) == turn)
-        observed, expected = _summed(part, classes, weights)
-        weights += (STEP / 6 * np.log((observed + PRIOR) / (expected + PRIOR))).astype(np.float32)
-        if report:
-            report(turn, observed, expected, weights)
+        observed, expected = _summed(blocks.filter(F.pmod(F.xxhash64("block"), F.lit(rounds)) == turn), classes, weights)
+        weights += (STEP / ACTIVE * np.log((observed + PRIOR) / (expected + PRIOR))).astype(np.float32)
     return weights
 
 
 # ---------------------------------------------------------------- scoring
 
 
+def _corpus_counts(blocks: DataFrame) -> DataFrame:
+    """What a block cannot know: ``block, places, counts`` of words that other blocks count too.
+
+    Rows of one word meet by its hash, one from each block. Rows with block -1
+    hold, by ending, the number of training tokens and of distinct words.
+    """
+    words_of = blocks.select("block", F.posexplode(F.arrays_zip("codes", "endings", "counts")).alias("place", "w"))
+    words_of = words_of.select(
+        F.col("w.codes").alias("code"),
+        (F.shiftleft("block", PLACE_BITS) + F.col("place")).alias("at"),
+        (F.shiftleft(F.col("w.counts").cast("long"), 16) + F.col("w.endings")).alias("own"),
+    )
+    # A word has at most one row per block, and its rows are only summed.
+    same = Window.partitionBy("code")
+    counted = F.shiftright("own", 16)
+    rows = words_of.select(
+        "at", "own", F.sum(counted).over(same).alias("all"), F.min(F.when(counted > 0, F.col("at"))).over(same).alias("first")
+    )
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_ending = np.zeros((2, ENDINGS + 1), np.int64)
+        names = ["block", "places", "counts"]
+        for batch in batches:
+            at, own, every = (batch.column(c).to_numpy() for c in ("at", "own", "all"))
+            first = batch.column("first").fill_null(-1).to_numpy()
+            count, group = own >> 16, own & 0xFFFF
+            by_ending[0] += np.bincount(group, count, ENDINGS + 1).astype(np.int64)
+            by_ending[1] += np.bincount(group[first == at], minlength=ENDINGS + 1)
+            differs = np.flatnonzero(every != count)
+            if not len(differs):
+                continue
+            block = at[differs] >> PLACE_BITS
+            order = differs[np.argsort(block, kind="stable")]
+            block = np.sort(block)
+            cuts = np.flatnonzero(np.diff(block, prepend=-1))
+            ends = [*cuts[1:], len(block)]
+            place, total = (at[order] & ((1 << PLACE_BITS) - 1)).astype("<u4"), every[order].astype("<u8")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(block[cuts], pa.int64()),
+                    pa.array([place[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+                    pa.array([_planes8(total[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+                ],
+                names,
+            )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([-1], pa.int64()), pa.array([by_ending[0].tobytes()], pa.binary()), pa.array([by_ending[1].tobytes()], pa.binary())],
+            names,
+        )
+
+    return stored(rows.mapInArrow(pack, "block long, places binary, counts binary"), "counts")
+
+
+def _planes8(numbers: np.ndarray) -> bytes:
+    return numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes8(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
@@ -320,66 +445,74 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     spark = df.sparkSession
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("train", ~_held_out())
     tokens = tokenized(texts)
-    docs = tokens.filter(F.col("kind") == DOC).select(F.col("block").alias("own_block"), "id", "tokens")
-    vocabulary = tokens.filter(F.col("kind") == VOCABULARY).select("block", "place", "code", "ending", "n")
-    pairs = tokens.filter(F.col("kind") == BIGRAMS).groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    classes = cluster_endings(pairs.column("code").to_numpy(), pairs.column("n").to_numpy())  # a table of fixed size
-    weights = train_classes(texts.filter("train").select("id", "text"), classes)
-
-    counts = vocabulary.filter("n > 0").groupBy("code").agg(F.sum("n").alias("count"), F.first("ending").alias("ending"))
-    counts = stored(counts, "counts")
+    blocks = tokens.filter("block IS NOT NULL")
+    pairs = tokens.filter("cells IS NOT NULL").select(F.explode(F.arrays_zip("cells", "pairs")).alias("p"))
+    pairs = pairs.groupBy("p.cells").agg(F.sum("p.pairs").alias("n")).toArrow()  # at most (ENDINGS + 1)^2 rows
+    classes = cluster_endings(pairs.column("cells").to_numpy(), pairs.column("n").to_numpy())
+    weights = train_classes(blocks, classes)
+
+    counts = _corpus_counts(blocks)
     by_class = np.zeros((2, CLASSES))
-    for row in counts.groupBy("ending").agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, ENDINGS + 1), np.int64)
+        for batch in batches:
+            for n, v in zip(batch.column("places").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                total += np.frombuffer(n, np.int64), np.frombuffer(v, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (range(ENDINGS + 1), *total)], ["ending", "n", "v"])
+
+    by_ending = counts.filter("block = -1").mapInArrow(summed, "ending long, n long, v long")
+    for row in by_ending.groupBy("ending").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         by_class[:, classes[row["ending"]]] += row["n"], row["v"]
     n_all, v_all = int(by_class[0].sum()), int(by_class[1].sum())
     model = spark.sparkContext.broadcast((classes, weights, by_class))
-
-    words_of = vocabulary.select("block", "place", "code", "ending").join(counts.select("code", "count"), "code", "left")
-    words_of = words_of.select("block", "place", "code", "ending", F.coalesce("count", F.lit(0)).alias("count"))
     kind = df.schema[id_col].dataType.simpleString()
     out = f"id {kind}, n_tokens long, n_known long, base_score double, score double"
+    columns = ["lengths", "tokens", "codes", "endings", "counts"]
 
-    def run(own: pa.Table, vocab: pa.Table) -> pa.Table:
+    def run(own: pa.Table, more: pa.Table) -> pa.Table:
         classes, weights, (n_class, v_class) = model.value
-        order = np.argsort(vocab.column("place").to_numpy())
-        code, group, count = (vocab.column(c).to_numpy()[order] for c in ("code", "ending", "count"))
-        base = np.log10((count + ADDED) / (n_all + ADDED * (v_all + 1)))
-        cls = classes[group]
-        total, kinds = n_class[cls], v_class[cls]
-        held = np.where(count > 0, count - DISCOUNT, DISCOUNT * kinds)
-        inner = np.where(total > 0, np.log10(np.maximum(held, 1e-300) / np.maximum(total, 1)), 0.0)
-        inner[cls == END_CLASS] = 0.0
-        data = [np.frombuffer(x.as_buffer(), "<i4") for x in own.column("tokens")]
-        sizes, known, bases, scores = [], [], [], []
-        at = 0
-        while at < len(data):
-            stop, size = at, 0
-            while stop < len(data) and (stop == at or size + len(data[stop]) <= 4 * SOFTMAX_TOKENS):
-                size += len(data[stop])
-                stop += 1
-            place = np.concatenate(data[at:stop])
-            length = np.fromiter(map(len, data[at:stop]), np.int64, stop - at)
-            t = Texts(code[place].view(np.uint64), group[place], np.cumsum(length) - length, length)
-            active, target = features(t, classes), cls[place]
-            chosen = np.empty(len(place))
-            for k in range(0, len(place), SOFTMAX_TOKENS):
-                logs = log_classes(active[:, k : k + SOFTMAX_TOKENS], weights)
-                chosen[k : k + SOFTMAX_TOKENS] = logs[np.arange(len(logs)), target[k : k + SOFTMAX_TOKENS]]
-            sizes.append(length)
-            known.append(np.add.reduceat((count[place] > 0).astype(np.int64), t.start))
-            bases.append(np.add.reduceat(base[place], t.start))
-            scores.append(np.add.reduceat(chosen / np.log(10) + inner[place], t.start))
-            at = stop
-        cols = [own.column("id").combine_chunks(), *(pa.array(np.concatenate(x)) for x in (sizes, known, bases, scores))]
-        return pa.Table.from_arrays(cols, ["id", "n_tokens", "n_known", "base_score", "score"])
-
-    found = docs.groupBy("own_block").cogroup(words_of.groupBy("block")).applyInArrow(run, out)
+        found = []
+        for batch in own.to_batches():
+            for i, block in enumerate(_blocks(batch, columns)):
+                count, group = np.array(block["counts"], np.int64), np.asarray(block["endings"])
+                for places, total in zip(more.column("places").to_pylist(), more.column("counts").to_pylist(), strict=True):
+                    count[np.frombuffer(places, "<u4")] = _from_planes8(total)
+                base = np.log10((count + ADDED) / (n_all + ADDED * (v_all + 1)))
+                cls = classes[group]
+                total, kinds = n_class[cls], v_class[cls]
+                held = np.where(count > 0, count - DISCOUNT, DISCOUNT * kinds)
+                inner = np.where(total > 0, np.log10(np.maximum(held, 1e-300) / np.maximum(total, 1)), 0.0)
+                inner[cls == END_CLASS] = 0.0
+                ids = batch.column("ids")[i].values
+                for t, place, which in _batches_of(block, classes, only_training=False):
+                    active, target = features(t, classes), cls[place]
+                    chosen = np.empty(len(place))
+                    for k in range(0, len(place), BATCH_TOKENS):
+                        logs = log_classes(active[:, k : k + BATCH_TOKENS], weights)
+                        chosen[k : k + BATCH_TOKENS] = logs[np.arange(len(logs)), target[k : k + BATCH_TOKENS]]
+                    sums = [
+                        np.add.reduceat(x, t.start)
+                        for x in ((count[place] > 0).astype(np.int64), base[place], chosen / np.log(10) + inner[place])
+                    ]
+                    cols = [ids.slice(which.start, which.stop - which.start), pa.array(t.length), *map(pa.array, sums)]
+                    found.append(pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "n_known", "base_score", "score"]))
+        return pa.Table.from_batches(found) if found else _no_rows(own)
+
+    left = blocks.select(F.col("block").alias("own_block"), "ids", *columns)
+    found = left.groupBy("own_block").cogroup(counts.filter("block >= 0").groupBy("block")).applyInArrow(run, out)
     return found.select(
         F.col("id").alias(id_col), _held_out().alias("held_out"), "n_tokens", "n_known",
         F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score",
     )
 
 
+def _no_rows(own: pa.Table) -> pa.Table:
+    ids = own.schema.field("ids").type.value_type
+    kinds = [("id", ids), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
+    return pa.Table.from_batches([], pa.schema(kinds))
+
+
 @query("op5_maxent_scores")
 def op5_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"))

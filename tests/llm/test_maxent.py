@@ -54,7 +54,7 @@ def test_class_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     classes = rng.integers(0, maxent.END_CLASS, maxent.ENDINGS + 1).astype(np.int32)
     weights = rng.normal(size=(maxent.WEIGHT_ROWS, maxent.CLASSES)).astype(np.float32)
-    t = maxent.Texts.of(["a bc def", "", "x " * 50], maxent.WordCodes(), maxent._Endings())
+    t = maxent.Texts.of(["a bc def", "", "x " * 50], maxent.Lexemes())
     logs = maxent.log_classes(maxent.features(t, classes), weights)
     assert np.allclose(np.exp(logs).sum(1), 1, atol=1e-5)
     assert t.length.tolist() == [4, 1, 51]
@@ -63,13 +63,14 @@ def test_class_probabilities_sum_to_one():
 
 def test_updates_lower_the_loss():
     texts = ["the cat sat on the mat and the dog sat on the log"] * 30
-    t = maxent.Texts.of(texts, maxent.WordCodes(), maxent._Endings())
+    t = maxent.Texts.of(texts, maxent.Lexemes())
     classes = (np.arange(maxent.ENDINGS + 1) % maxent.END_CLASS).astype(np.int32)
     classes[-1] = maxent.END_CLASS
     weights, losses = np.zeros((maxent.WEIGHT_ROWS, maxent.CLASSES), np.float32), []
     for _ in range(5):
-        observed, expected = np.zeros((2, maxent.WEIGHT_ROWS, maxent.CLASSES), np.float32)
+        observed = np.zeros((maxent.WEIGHT_ROWS, maxent.CLASSES), np.int64)
+        expected = np.zeros((maxent.WEIGHT_ROWS, maxent.CLASSES), np.float32)
         losses.append(maxent.gradient(t, classes, weights, observed, expected))
-        assert observed.sum() == pytest.approx(6 * len(t.code)) and expected.sum() == pytest.approx(6 * len(t.code), rel=1e-4)
-        weights += (maxent.STEP / 6 * np.log((observed + 1) / (expected + 1))).astype(np.float32)
+        assert observed.sum() == pytest.approx(maxent.ACTIVE * len(t.code)) and expected.sum() == pytest.approx(maxent.ACTIVE * len(t.code), rel=1e-4)
+        weights += (maxent.STEP / maxent.ACTIVE * np.log((observed + 1) / (expected + 1))).astype(np.float32)
     assert losses == sorted(losses, reverse=True) and losses[-1] < 0.5 * losses[0]
