@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable, Iterator, Sequence
+import re
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -11,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftwork.functions.columns import task_of
+from graftwork.operators.reports import setup_label
+from graftwork.operators.scale import pin_small
 
 SUMMARY_COLUMNS = {
     "name": "string",
@@ -21,11 +24,15 @@ SUMMARY_COLUMNS = {
     "accuracy": "double",
     "perplexity": "double",
 }
-TIMING_SCHEMA = "stage string, job string, subjob string, job_type string, elapsed_s double, cached boolean"
-
-
-def _named_columns(df: DataFrame, columns: dict[str, str]) -> list:
-    return [(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()]
+TIMING_COLUMNS = {
+    "stage": "string",
+    "job": "string",
+    "subjob": "string",
+    "job_type": "string",
+    "elapsed_s": "double",
+    "cached": "boolean",
+}
+CELLS = [f"_c{i}" for i in range(64)]
 
 
 def _row_id() -> Column:
@@ -41,59 +48,84 @@ def _row_id() -> Column:
     return (number * F.lit(2**42) + meta["file_block_start"] + line).alias("row_id")
 
 
-def read_summary(spark: SparkSession, run_dir: str) -> DataFrame:
-    """Summary of one run, with ``task``, ``seed`` and the stored row order.
+def _tables(spark: SparkSession, run_dirs: Sequence[str], file: str, columns: dict[str, str]) -> DataFrame:
+    """Rows of ``file`` in all the directories that have it, by header name, with ``seed`` and ``row_id``.
 
-    Columns are matched by header name; optional ones that the file lacks are
-    null. ``row_id`` orders rows by file, split and line.
+    One read for all directories of a parent. The first line of each file is
+    its header, so files may order their columns differently or lack some.
     """
-    try:
-        raw = spark.read.option("header", True).csv(f"{run_dir}/summary/summary.csv")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        raise FileNotFoundError(f"no summary/summary.csv in {run_dir}") from e
-    file = F.col("_metadata")
-    return raw.select(
-        *_named_columns(raw, SUMMARY_COLUMNS),
-        _row_id(),
-        F.regexp_extract(file["file_path"], r"/([^/]+)/summary/summary\.csv", 1).alias("seed"),
-    ).withColumns({"step": F.col("step").cast("bigint"), "task": task_of("dataset")})
-
-
-def _stack(read: Callable[[str], DataFrame], run_dirs: Sequence[str]) -> DataFrame:
-    """Union of what the directories hold; those without the file are skipped."""
-    frames = []
+    by_parent: dict[str, list[str]] = {}
     for d in run_dirs:
+        parent, _, name = d.rstrip("/").rpartition("/")
+        by_parent.setdefault(parent, []).append(re.sub(r"([{}\[\]*?,\\])", r"\\\1", name))
+    frames = []
+    for parent, names in by_parent.items():
+        one_of = names[0] if len(names) == 1 else "{" + ",".join(names) + "}"
         try:
-            frames.append(read(d))
-        except FileNotFoundError:
+            raw = spark.read.schema(", ".join(f"{c} string" for c in CELLS)).csv(f"{parent}/{one_of}/{file}")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
             continue
+        frames.append(raw.select(F.array(*CELLS).alias("cells"), F.col("_metadata.file_path").alias("file"), _row_id()))
     if not frames:
         raise ValueError("no valid seed data found in the given directories")
-    return functools.reduce(DataFrame.unionByName, frames)
+    lines = functools.reduce(DataFrame.unionByName, frames)
+    heads = lines.groupBy("file").agg(F.min_by("cells", "row_id").alias("head"), F.min("row_id").alias("first"))
+    rows = lines.join(pin_small(heads), "file").filter("row_id > first")
+    place = {c: F.array_position("head", c).cast("int") for c in columns}
+    seed = F.regexp_extract(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), rf"/([^/]+)/{re.escape(file)}(?:/[^/]*)?$", 1)
+    return rows.select(
+        *[F.when(place[c] > 0, F.element_at("cells", place[c])).cast(t).alias(c) for c, t in columns.items()],
+        "row_id",
+        seed.alias("seed"),
+    )
 
 
 def read_seeds(spark: SparkSession, run_dirs: Sequence[str]) -> DataFrame:
-    """Summaries of several seeds stacked; directories without one are skipped."""
-    return _stack(lambda d: read_summary(spark, d), run_dirs)
+    """Summaries of several seeds stacked; directories without one are skipped.
 
+    Optional columns that a file lacks are null.
+    """
+    rows = _tables(spark, run_dirs, "summary/summary.csv", SUMMARY_COLUMNS)
+    return rows.withColumns({"step": F.col("step").cast("bigint"), "task": task_of("dataset")})
 
-def _read_timing(spark: SparkSession, run_dir: str) -> DataFrame:
+
+def read_summary(spark: SparkSession, run_dir: str) -> DataFrame:
+    """Summary of one run, with ``task``, ``seed`` and the stored row order."""
     try:
-        raw = spark.read.schema(TIMING_SCHEMA).option("header", True).csv(f"{run_dir}/timing.csv")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        raise FileNotFoundError(f"no timing.csv in {run_dir}") from e
-    file = F.col("_metadata")
-    return raw.select("*", _row_id(), F.regexp_extract(file["file_path"], r"/([^/]+)/timing\.csv", 1).alias("seed"))
+        return read_seeds(spark, [run_dir])
+    except ValueError as e:
+        raise FileNotFoundError(f"no summary/summary.csv in {run_dir}") from e
 
 
 def read_timing(spark: SparkSession, run_dirs: Sequence[str] | str) -> DataFrame:
     """Job timings with ``seed`` from the directory name; missing files are skipped."""
     dirs = [run_dirs] if isinstance(run_dirs, str) else run_dirs
-    return _stack(lambda d: _read_timing(spark, d), dirs)
+    return _tables(spark, dirs, "timing.csv", TIMING_COLUMNS)
+
+
+def load_runs(spark: SparkSession, runs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``metrics`` and ``timing`` of discovered runs, with ``experiment`` and ``setup``.
+
+    The run list is one row per run folder; it is read on the driver, as its
+    paths are what is read next. Timing is null where no run has it.
+    """
+    listed = runs.select("run_dir", "experiment", "group").collect()
+    dirs = [r.run_dir for r in listed]
+    names = runs.sparkSession.createDataFrame(
+        [(r.run_dir.rstrip("/").rpartition("/")[2], r.experiment, r.group) for r in listed],
+        "seed string, experiment string, group string",
+    ).distinct()
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(pin_small(names), "seed").withColumn("setup", setup_label("group")).drop("group")
+
+    metrics = named(read_seeds(spark, dirs))
+    try:
+        return metrics, named(read_timing(spark, dirs))
+    except ValueError:
+        return metrics, None
 
 
 def yaml_value(text: str, *path: str) -> str | None:

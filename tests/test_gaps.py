@@ -163,3 +163,27 @@ def test_combined_speedup_averages_own_tasks(spark):
     assert {e: got[(e, R.AVG)] for e in "abc"} == own
     assert got[("b", R.AVG)] == got[("b", "t0")]
     assert ("c", "t2") not in got and ("b", "t1") not in got
+
+
+def test_many_runs_with_different_headers(spark, tmp_path):
+    for i in range(40):
+        d = tmp_path / f"run{i}"
+        (d / "summary").mkdir(parents=True)
+        if i % 2:
+            text = "name,dataset,lr,checkpoint,step,accuracy\nn,data/processed/t,0.1,final,3,0.5\nm,data/processed/u,,,,0.25\n"
+        else:
+            text = "accuracy,name,dataset\n0.75,n,data/processed/t\n"
+        (d / "summary/summary.csv").write_text(text)
+        (d / "pipeline.yaml").write_text(f"experiment_name: e{i % 3}\nstages:\n  analysis:\n    config:\n      group: lora\n")
+    (tmp_path / "run1/timing.csv").write_text("stage,job,subjob,job_type,elapsed_s,cached\ntrain,train_t_0.1,train_t_0.1_train,train,5.0,false\n")
+    dirs = [str(tmp_path / f"run{i}") for i in range(41)]
+    rows = runs.read_seeds(spark, dirs).collect()
+    assert len(rows) == 60
+    got = {(r.seed, r.name): (r.accuracy, r.lr, r.step, r.task) for r in rows}
+    assert got[("run1", "n")] == (0.5, 0.1, 3, "t") and got[("run1", "m")] == (0.25, None, None, "u")
+    assert got[("run2", "n")] == (0.75, None, None, "t")
+    metrics, timing = runs.load_runs(spark, runs.discover_runs(spark, str(tmp_path)))
+    assert metrics.count() == 60 and {r.experiment for r in metrics.collect()} == {"e0", "e1", "e2"}
+    assert [(r.seed, r.experiment, r.elapsed_s, r.cached) for r in timing.collect()] == [("run1", "e1", 5.0, False)]
+    with pytest.raises(ValueError, match="no valid"):
+        runs.read_seeds(spark, [str(tmp_path / "none")])
