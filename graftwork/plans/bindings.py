@@ -135,6 +135,14 @@ FROM (
     "run_metrics": _run_metrics("'exp' || CAST(o_custkey % 2 AS STRING)"),
     # Experiments grow with the data: one per eight neighbouring customers.
     "run_metrics_wide": _run_metrics("'exp' || CAST(CAST(FLOOR(o_custkey / 8) AS BIGINT) AS STRING)"),
+    # Experiments of different shape: some lack a task, a merged or a final row, some have rows twice.
+    "run_metrics_ragged": f"""
+SELECT experiment, grp, seed, name, task, dataset, lr, checkpoint, step, accuracy, 2 * row_id + twice AS row_id
+FROM (SELECT *, CAST(SUBSTR(experiment, 4) AS BIGINT) AS e FROM ({_run_metrics("'exp' || CAST(CAST(FLOOR(o_custkey / 8) AS BIGINT) AS STRING)")}) w) m
+CROSS JOIN (SELECT 0 AS twice UNION ALL SELECT 1 AS twice) d
+WHERE NOT (e % 3 = 1 AND task = 't3') AND NOT (e % 5 = 2 AND name = 'merged' AND seed = 's1')
+  AND NOT (e % 5 = 3 AND name = 'trained_scratch' AND task = 't1' AND checkpoint = 'final')
+  AND (twice = 0 OR e % 4 = 0)""",
     "job_timing": """
 SELECT experiment, CASE WHEN experiment = 'exp0' THEN 'lora' ELSE 'fullft' END AS grp, seed, stage, job,
        CASE WHEN job_type = 'train' THEN job || '_train' END AS subjob, job_type,

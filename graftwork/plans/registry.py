@@ -10,6 +10,7 @@ from graftwork.plans.bindings import bind, with_bindings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+FUNCTIONS: dict[str, Callable[..., DataFrame]] = {}
 
 
 def query(name: str, *bindings: str, sql: str | None):
@@ -19,6 +20,7 @@ def query(name: str, *bindings: str, sql: str | None):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = lambda spark, sf_dir: fn(*[bind(spark, sf_dir, b) for b in bindings])
+        FUNCTIONS[name] = fn
         if sql is not None:
             ORACLES[name] = with_bindings(list(bindings), sql)
         return fn

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from graftwork.functions import columns as C
 from graftwork.operators import reports as R
 from graftwork.operators import timing as T
-from graftwork.plans.registry import query
+from graftwork.plans.bindings import BINDINGS, bind
+from graftwork.plans.registry import FUNCTIONS, ORACLES, QUERIES, query
 
 CFG = R.ReportConfig()
 TASKS = ["t0", "t1", "t2", "t3"]
@@ -417,7 +418,6 @@ def nearest_sweep(m):
 
 
 @query(
-    "W7_training_curves",
     "run_metrics",
     sql=f"""{_SWEEP_PICK}, st AS (SELECT experiment, seed, task, CASE name WHEN 'base' THEN 'from_scratch' ELSE 'from_merged' END AS role, accuracy
             FROM run_metrics WHERE name IN ('base', 'merged')),
@@ -570,3 +570,24 @@ def combined_times(m, t):
 )
 def combined_speed(m):
     return rounded(R.combined_speedup(with_setup(m), CFG), "mean", "std")
+
+
+def _ragged(name: str) -> None:
+    """The same query and SQL over experiments of different shape."""
+    fn = FUNCTIONS[name]
+    QUERIES[f"{name}_ragged"] = lambda spark, sf_dir: fn(bind(spark, sf_dir, "run_metrics_ragged"))
+    ORACLES[f"{name}_ragged"] = ORACLES[name].replace(BINDINGS["run_metrics"], BINDINGS["run_metrics_ragged"], 1)
+
+
+for _name in (
+    "A6_mean_std",
+    "A7_with_avg",
+    "A12_speedup",
+    "A13_speedup_strict",
+    "J5_complete_seeds",
+    "J9_best_sweep",
+    "W2_training_to_parity",
+    "W6_best_lr",
+    "W7_converged",
+):
+    _ragged(_name)
