@@ -42,7 +42,7 @@ CLOSES_P = frozenset(
 COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 LABELS = COMMENTS | frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie "
-    "cookies consent gdpr notice notices notification alert sidebar aside menu nav navbar navigation breadcrumb "
+    "cookies consent gdpr notice notices notification alert announcement disclaimer copyright sidebar aside menu nav navbar navigation breadcrumb "
     "breadcrumbs footer masthead topbar social share sharing related recommended recommendations newsletter subscribe "
     "subscription signup login search popup modal overlay widget pagination pager toolbar skip".split()
 )
