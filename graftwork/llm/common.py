@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,15 +21,30 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+# Rows and bytes that a Python worker gets at once: texts are long, so a worker holds few of them.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8MB"}
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """The session's batch sizes for Python workers are small while a job runs."""
+    before = {k: spark.conf.get(k) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Ends the lineage: a lost executor costs a re-read, not a recomputation.
     The folder lives as long as the application's checkpoint folder.
     """
     path = f"{shared_folder(df.sparkSession)}/graftwork-{name}-{uuid.uuid4().hex}"
-    writer = df.write
-    if by is not None:
-        writer = writer.partitionBy(by)
-    writer.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

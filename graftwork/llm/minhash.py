@@ -96,18 +96,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes()
-        for batch in batches:
-            sets: dict = {}
+        sets: dict = {}
 
-            def own(key, text, sets=sets):
-                if key not in sets:
-                    sets[key] = shingles(codes_of(words(text.as_py()), known), SHINGLE)
-                return sets[key]
+        def own(key, text):
+            if key not in sets:
+                if len(sets) >= 64:  # rows come ordered by one of their texts
+                    sets.clear()
+                sets[key] = shingles(codes_of(words(text.as_py()), known), SHINGLE)
+            return sets[key]
 
+        for batch in batches:
             good = []
             us, vs = batch.column("u").to_pylist(), batch.column("v").to_pylist()
             for u, v, a, b in zip(us, vs, batch.column("a"), batch.column("b"), strict=True):
-                x, y = own(u, a), own(v, b)
+                y, x = own(v, b), own(u, a)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(

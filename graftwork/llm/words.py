@@ -10,7 +10,7 @@ import numpy as np
 # Words are runs of bytes other than ASCII white space, with A-Z lower-cased.
 LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 BASE = np.uint64(0x9E3779B97F4A7C15)
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 class WordCodes(dict):
