@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,34 +138,35 @@ def _passages(marked: DataFrame) -> DataFrame:
     """
     kind = marked.schema["id"].dataType.simpleString()
 
+    def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and stops of the unions of sorted ranges, and where each union begins among them."""
+        reach = np.maximum.accumulate(stop)
+        first = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]]) if len(start) else np.empty(0, np.int64)
+        return start[first], np.maximum.reduceat(stop, first) if len(start) else stop, first
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, starts, stops, firsts, extras = [], [], [], [], []
-            for key, marks in zip(batch.column("id").to_pylist(), batch.column("marks").to_pylist(), strict=True):
-                spans, extra = [], []
-                for m in sorted(marks, key=lambda m: m["start"]):
-                    stop = m["start"] + m["length"]
-                    if spans and m["start"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], stop)
-                        spans[-1][2] = min(spans[-1][2], m["first_id"])
-                    else:
-                        spans.append([m["start"], stop, m["first_id"]])
-                        extra.append([])
-                    if m["extra"]:
-                        if extra[-1] and m["start"] <= extra[-1][-1][1]:
-                            extra[-1][-1][1] = max(extra[-1][-1][1], stop)
-                        else:
-                            extra[-1].append([m["start"], stop])
-                for (start, stop, first), own in zip(spans, extra, strict=True):
-                    ids.append(key)
-                    starts.append(start)
-                    stops.append(stop)
-                    firsts.append(first)
-                    extras.append(own)
+            lists = batch.column("marks")
+            ends = np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            fields = {k: lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("start", "length", "first_id", "extra")}
+            rows, starts, stops, firsts, extras = [], [], [], [], []
+            for i, (begin, end) in enumerate(zip(np.r_[0, ends[:-1]], ends, strict=True)):
+                order = begin + np.argsort(fields["start"][begin:end], kind="stable")
+                start, extra = fields["start"][order], fields["extra"][order].astype(bool)
+                stop = start + fields["length"][order]
+                a, b, first = merged(start, stop)
+                own_a, own_b, _ = merged(start[extra], stop[extra])
+                span = np.searchsorted(a, own_a, "right") - 1
+                rows += [i] * len(a)
+                starts.append(a)
+                stops.append(b)
+                firsts += np.minimum.reduceat(fields["first_id"][order], first).tolist()
+                extras += [np.column_stack([own_a[span == k], own_b[span == k]]).tolist() for k in range(len(a))]
+            none = np.empty(0, np.int32)
             cols = [
-                pa.array(ids, batch.schema.field("id").type),
-                pa.array(starts, pa.int32()),
-                pa.array(stops, pa.int32()),
+                batch.column("id").take(pa.array(rows, pa.int64())),
+                pa.array(np.concatenate([none, *starts]), pa.int32()),
+                pa.array(np.concatenate([none, *stops]), pa.int32()),
                 pa.array(firsts, batch.schema.field("id").type),
                 pa.array(extras, pa.list_(pa.list_(pa.int32()))),
             ]
