@@ -4,7 +4,7 @@ P(word | before) = P(class | before) * P(word | class). Classes group words by
 their endings: endings are hashed to ``ENDINGS`` groups, and those are clustered
 by the groups that stand next to them. P(class | before) is a maximum-entropy
 model over hashed features of the words before: the last word, the word before
-it (a skip feature), the pair of their classes, and the last word's ending. P(word |
+it (a skip feature), the pair of their classes, and their endings. P(word |
 class) comes from counts with absolute discounting; what the discount frees in
 a class is the probability of its unknown words.
 
@@ -31,11 +31,11 @@ from graftwork.llm.common import stored, table
 from graftwork.llm.registry import query
 from graftwork.llm.words import BASE, WordCodes, mix, words
 
-ENDINGS = 256
+ENDINGS = 512
 CLASSES = 32
 END_CLASS = CLASSES - 1
-LAST, SKIP = 4096, 2048
-ROUNDS = 3
+LAST, SKIP = 8192, 4096
+ROUNDS = 4
 STEP = 1.5
 PRIOR = 1.0
 DISCOUNT = 0.5
@@ -48,10 +48,11 @@ REMEMBERED = 500_000
 # Offsets of the feature groups in the weight table; row 0 is the constant feature.
 PAIR = 1
 NEAR_END = PAIR + (CLASSES + 1) * (CLASSES + 1)
-LAST_AT = NEAR_END + ENDINGS + 1
+FAR_END = NEAR_END + ENDINGS + 1
+LAST_AT = FAR_END + ENDINGS + 1
 SKIP_AT = LAST_AT + LAST + 1
 WEIGHT_ROWS = SKIP_AT + SKIP + 1
-ACTIVE = 5
+ACTIVE = 6
 
 END_CODE = np.uint64(1)
 PLACE_BITS = 24
@@ -142,6 +143,7 @@ def features(t: Texts, classes: np.ndarray) -> np.ndarray:
         [
             PAIR + near * (CLASSES + 1) + far,
             NEAR_END + t.before(t.ending, 1, ENDINGS),
+            FAR_END + t.before(t.ending, 2, ENDINGS),
             LAST_AT + last,
             SKIP_AT + skip,
         ]

@@ -74,3 +74,11 @@ def test_updates_lower_the_loss():
         assert observed.sum() == pytest.approx(maxent.ACTIVE * len(t.code)) and expected.sum() == pytest.approx(maxent.ACTIVE * len(t.code), rel=1e-4)
         weights += (maxent.STEP / maxent.ACTIVE * np.log((observed + 1) / (expected + 1))).astype(np.float32)
     assert losses == sorted(losses, reverse=True) and losses[-1] < 0.5 * losses[0]
+
+
+def test_the_ending_two_words_back_is_a_feature():
+    assert (maxent.ENDINGS, maxent.LAST, maxent.SKIP, maxent.ROUNDS, maxent.WEIGHT_ROWS) == (512, 8192, 4096, 4, 14406)
+    classes = np.zeros(maxent.ENDINGS + 1, np.int32)
+    code, at, length = np.full(3, 7, np.uint64), np.array([0]), np.array([3])
+    one, other = (maxent.features(maxent.Texts(code, np.array([k, 9, 9], np.int32), at, length), classes)[:, 2] for k in (3, 4))
+    assert (one != other).sum() == 1
