@@ -6,6 +6,9 @@ it. Ratios are smoothed with a Gaussian kernel; lines over one deviation form
 the content clusters, and the elements that hold them are the content regions.
 All lines of a content region are kept, short ones too, except those in
 elements that say they are something else (menus, adverts, forms, comments).
+A class or id says so as a whole, not by one of its words; it says nothing on a
+heading, around an article or around most of the page's dense text, and inside
+a region the ratios decide (comments stay out).
 """
 
 from __future__ import annotations
@@ -51,55 +54,90 @@ ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
 
+# Words that a label may come with: "cookie-box" is a label, "has-sidebar" and "related-work" are not.
+FRAMES = frozenset("bar block box buttons container inner item items links list outer panel slot unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2.0)
 KERNEL /= KERNEL.sum()
 
 
 class _Element:
-    __slots__ = ("holder", "link", "number", "region", "skipped", "tag")
+    __slots__ = ("holder", "labels", "link", "number", "region", "skipped", "tag")
 
-    def __init__(self, tag, number, skipped, region, holder, link):
+    def __init__(self, tag, number, skipped, region, holder, link, labels):
         self.tag, self.number, self.skipped = tag, number, skipped
-        self.region, self.holder, self.link = region, holder, link
+        self.region, self.holder, self.link, self.labels = region, holder, link, labels
+
+
+class _Label:
+    """An element whose class or id says that it is not main text."""
+
+    __slots__ = ("comments", "dense", "holds_region", "in_region", "size")
+
+    def __init__(self, comments, in_region):
+        self.comments, self.in_region, self.holds_region = comments, in_region, False
+        self.size = self.dense = 0
+
+    def is_text(self, dense: int) -> bool:
+        """Whether its lines count as any other; ``dense`` is the size of all dense lines of the page."""
+        if self.comments:
+            return 0 < self.dense == dense
+        if self.in_region:
+            return 2 * self.dense > self.size
+        return self.holds_region or 2 * self.dense > dense
+
+
+def label_words(value: str) -> set[str]:
+    """Labels among the tokens of a class or id: all words of a token are labels or frames."""
+    found: set[str] = set()
+    for token in value.split():
+        own = {w.lower() for w in WORD.findall(token) if not w.isdigit()}
+        if own <= LABELS | HEADERS | FRAMES:
+            found |= own - FRAMES
+    return found
 
 
 class _Lines(HTMLParser):
-    """Collects ``(text, tags, linked, region, holder)`` per line."""
+    """Collects ``(text, tags, linked, region, holder, labels)`` per line."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, int]] = []
-        self.stack = [_Element("", 0, False, 0, 0, False)]
+        self.lines: list[tuple[str, int, int, int, int, tuple[_Label, ...]]] = []
+        self.stack = [_Element("", 0, False, 0, 0, False, ())]
         self.parts: list[str] = []
         self.tags = self.linked = self.count = 0
 
     def _is_boilerplate(self, tag: str, attrs: list, region: int) -> bool:
         if tag in SKIPPED or (tag in HEADERS and not region):
             return True
-        labels = set()
         for name, value in attrs:
             value = value or ""
-            if name in ("class", "id"):
-                labels.update(w.lower() for w in WORD.findall(value))
-            elif (
+            if (
                 name == "hidden"
                 or (name == "aria-hidden" and value == "true")
                 or (name == "role" and value.lower() in ROLES)
                 or (name == "style" and "display:none" in value.replace(" ", "").lower())
             ):
                 return tag not in ("html", "body")
-        if tag in ("html", "body", "main"):
-            return False
-        if tag == "article":
-            return bool(labels & COMMENTS)
-        return bool(labels & LABELS) or (not region and bool(labels & HEADERS))
+        return False
+
+    def _label(self, tag: str, attrs: list, region: int) -> _Label | None:
+        if tag in HEADINGS or tag in ("html", "body", "main"):
+            return None
+        labels: set[str] = set()
+        for name, value in attrs:
+            if name in ("class", "id"):
+                labels |= label_words(value or "")
+        known = COMMENTS if tag == "article" else LABELS if region else LABELS | HEADERS
+        return _Label(bool(labels & COMMENTS), bool(region)) if labels & known else None
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             top = self.stack[-1]
-            self.lines.append((text, self.tags, self.linked, top.region, top.holder))
+            self.lines.append((text, self.tags, self.linked, top.region, top.holder, top.labels))
         if text or self.parts:
             self.tags = 0
         self.parts, self.linked = [], 0
@@ -129,6 +167,10 @@ class _Lines(HTMLParser):
         self.count += 1
         above = self.stack[-1]
         region = self.count if tag in REGIONS and not above.region else above.region
+        label = self._label(tag, attrs, above.region)
+        if tag in REGIONS and label is None and not above.region:
+            for around in above.labels:
+                around.holds_region = True
         self.stack.append(
             _Element(
                 tag,
@@ -137,6 +179,7 @@ class _Lines(HTMLParser):
                 region,
                 self.count if tag in HOLDERS else above.holder,
                 above.link or tag == "a",
+                (*above.labels, label) if label else above.labels,
             )
         )
 
@@ -168,14 +211,34 @@ class _Lines(HTMLParser):
                 self.linked += len(data)
 
 
-def content_lines(lines: list[tuple[str, int, int, int, int]]) -> list[str]:
+def dense_lines(lines: list[tuple]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Own ratios, smoothed ratios and the threshold of one deviation."""
+    ratios = np.array([max(0, len(line[0]) - line[2]) / max(1, line[1]) for line in lines])
+    smooth = np.convolve(np.pad(ratios, 2, mode="edge"), KERNEL, mode="valid")
+    return ratios, smooth, min(smooth.std(), smooth.max())
+
+
+def unlabelled(lines: list[tuple]) -> list[tuple]:
+    """Lines that are in no element whose label holds."""
+    if not any(line[5] for line in lines):
+        return lines
+    ratios, smooth, least = dense_lines(lines)
+    total = 0
+    for line, good in zip(lines, (smooth >= least) & (ratios >= least) & (ratios > 0), strict=True):
+        total += len(line[0]) * bool(good)
+        for label in line[5]:
+            label.size += len(line[0])
+            label.dense += len(line[0]) * bool(good)
+    return [line for line in lines if all(label.is_text(total) for label in line[5])]
+
+
+def content_lines(lines: list[tuple]) -> list[str]:
     """The lines of the content regions, in page order."""
+    lines = unlabelled(lines)
     if not lines:
         return []
-    ratios = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _, _ in lines])
-    padded = np.pad(ratios, 2, mode="edge")
-    smooth = np.convolve(padded, KERNEL, mode="valid")
-    over = (smooth >= min(smooth.std(), smooth.max())) & (ratios > 0)
+    ratios, smooth, least = dense_lines(lines)
+    over = (smooth >= least) & (ratios > 0)
     if not over.any():
         over[:] = True
     regions = {line[3] for line, good in zip(lines, over, strict=True) if good and line[3]}

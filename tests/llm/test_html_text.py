@@ -55,3 +55,12 @@ def test_query(spark):
     for r in rows:
         assert r["text"] == _plain(pages[r["page_id"]])
         assert r["n_chars"] == len(r["text"])
+
+
+LONG = "A sentence of the story with many words in it that goes on for quite a while. " * 4
+
+
+def test_labels_lose_no_article_text():
+    inner = f"<h2 id=sharing-results>Sharing</h2><p id=copyright-law>Law</p><section id=related-work><h3 class=search>How</h3><p>{LONG}</p></section>"
+    for page in (f"<article>{inner}<div class=notice><p>{LONG}</p></div><div class='ad'>Buy</div></article>", f"<div class='layout has-sidebar'><div class=sidebar><main>{inner}<p>{LONG}</p></main></div></div>", f"<div class='banner'>{inner}<p>{LONG}</p></div>"):
+        assert html_text.main_text(page) == f"Sharing Law How {LONG.strip()} {LONG.strip()}"
