@@ -3,7 +3,8 @@
 A page is read once as a stream of standard-library parser events. Text between
 block tags is a line; a line's ratio is its text length over the tags around
 it. Ratios are smoothed with a Gaussian kernel; lines over one deviation form
-the content clusters, and the elements that hold them are the content regions.
+the content clusters. The articles that hold them are the content regions, or,
+on a page without, the lowest element that holds them all.
 All lines of a content region are kept, short ones too, except those in
 elements that say they are something else (menus, adverts, forms, comments).
 A class or id says so as a whole, not by one of its words; it says nothing on a
@@ -13,6 +14,7 @@ a region the ratios decide (comments stay out).
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -107,6 +109,7 @@ class _Lines(HTMLParser):
         self.lines: list[tuple[str, int, int, int, int, tuple[_Label, ...]]] = []
         self.stack = [_Element("", 0, False, 0, 0, False, ())]
         self.parts: list[str] = []
+        self.above = {0: 0}  # holder to the holder around it; numbers grow inwards
         self.tags = self.linked = self.count = 0
 
     def _is_boilerplate(self, tag: str, attrs: list, region: int) -> bool:
@@ -171,6 +174,8 @@ class _Lines(HTMLParser):
         if tag in REGIONS and label is None and not above.region:
             for around in above.labels:
                 around.holds_region = True
+        if tag in HOLDERS:
+            self.above[self.count] = above.holder
         self.stack.append(
             _Element(
                 tag,
@@ -232,7 +237,20 @@ def unlabelled(lines: list[tuple]) -> list[tuple]:
     return [line for line in lines if all(label.is_text(total) for label in line[5])]
 
 
-def content_lines(lines: list[tuple]) -> list[str]:
+def lowest_common(holders: set[int], above: dict[int, int]) -> int:
+    """The innermost holder around all ``holders``."""
+    left, heap = set(holders), [-h for h in holders]
+    heapq.heapify(heap)
+    while len(left) > 1:
+        inner = -heapq.heappop(heap)
+        left.remove(inner)
+        if above[inner] not in left:
+            left.add(above[inner])
+            heapq.heappush(heap, -above[inner])
+    return left.pop()
+
+
+def content_lines(lines: list[tuple], above: dict[int, int]) -> list[str]:
     """The lines of the content regions, in page order."""
     lines = unlabelled(lines)
     if not lines:
@@ -244,8 +262,12 @@ def content_lines(lines: list[tuple]) -> list[str]:
     regions = {line[3] for line, good in zip(lines, over, strict=True) if good and line[3]}
     if regions:
         return [line[0] for line in lines if line[3] in regions]
-    holders = {line[4] for line, good in zip(lines, over, strict=True) if good}
-    return [line[0] for line in lines if line[4] in holders and line[2] < 0.8 * len(line[0])]
+    container = lowest_common({line[4] for line, good in zip(lines, over, strict=True) if good}, above)
+    inside = {container}
+    for holder, around in above.items():  # outer ones come first
+        if around in inside:
+            inside.add(holder)
+    return [line[0] for line in lines if line[4] in inside]
 
 
 def main_text(html: str | None) -> str:
@@ -254,7 +276,7 @@ def main_text(html: str | None) -> str:
     parser.feed(html or "")
     parser.close()
     parser._end_line()
-    return " ".join(content_lines(parser.lines))
+    return " ".join(content_lines(parser.lines, parser.above))
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -64,3 +64,11 @@ def test_labels_lose_no_article_text():
     inner = f"<h2 id=sharing-results>Sharing</h2><p id=copyright-law>Law</p><section id=related-work><h3 class=search>How</h3><p>{LONG}</p></section>"
     for page in (f"<article>{inner}<div class=notice><p>{LONG}</p></div><div class='ad'>Buy</div></article>", f"<div class='layout has-sidebar'><div class=sidebar><main>{inner}<p>{LONG}</p></main></div></div>", f"<div class='banner'>{inner}<p>{LONG}</p></div>"):
         assert html_text.main_text(page) == f"Sharing Law How {LONG.strip()} {LONG.strip()}"
+
+
+def test_short_parts_without_article():
+    cells = "<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>"
+    verse = "<div><p>one</p><p>two</p><p>three</p><p>four</p></div><section><h2><a href=/h>Linked heading</a></h2><p>five</p></section>"
+    page = f"<body><div><a href=/x>x</a></div><div id=content><p>{LONG}</p><p>{LONG}</p>{cells}{verse}<p>{LONG}</p></div><div><a href=/y>y</a></div></body>"
+    text = f"{LONG.strip()} {LONG.strip()} a b c d one two three four Linked heading five {LONG.strip()}"
+    assert html_text.main_text(page) == text
