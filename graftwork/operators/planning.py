@@ -50,13 +50,23 @@ def finished(jobs: DataFrame, done: DataFrame, keys: Sequence[str] = ("job",)) -
 
 
 def plain_path(path: str | Column) -> Column:
-    """A relative path without ``.`` parts, doubled or final slashes, and inner ``..``."""
+    """A path without ``.`` parts, doubled or final slashes, and ``..`` after a part it can undo, at any depth."""
     out = F.col(path) if isinstance(path, str) else path
-    out = F.regexp_replace(out, r"/+", "/")
-    for _ in range(8):  # inner ".." fold from the inside; deeper ones stay and match nothing
-        out = F.regexp_replace(out, r"(^|/)(?!\.\.?/)[^/]+/\.\.(/|$)", "$1")
-    out = F.regexp_replace(out, r"(^|/)(?:\./)+", "$1")
-    return F.regexp_replace(out, r"(?<=.)/\.?$", "")
+    parts = F.filter(F.split(out, "/"), lambda p: ~p.isin("", "."))
+    rooted = out.startswith("/")
+
+    def step(done: Column, part: Column) -> Column:
+        last = F.when(F.size(done) > 0, F.element_at(done, -1))
+        undone = (part == "..") & last.isNotNull() & (last != "..")
+        above_root = rooted & (part == "..") & last.isNull()
+        return (
+            F.when(F.coalesce(undone, F.lit(False)), F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+            .when(above_root, done)
+            .otherwise(F.concat(done, F.array(part)))
+        )
+
+    folded = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(folded, "/"))
 
 
 def _above(path: str, whole: bool) -> Column:
