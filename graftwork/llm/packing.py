@@ -12,6 +12,7 @@ it by its number among the pieces of its length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -181,11 +182,12 @@ class Places:
 
 def cut_documents(
     df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", added_ids: bool = False,
 ) -> DataFrame:
     """One row per piece, with the number of the piece among its task's pieces of that length.
 
-    Special tokens written in a text are ordinary text. Null is the empty text,
+    Special tokens written in a text are ordinary text, or with ``added_ids``
+    have ids of their own, as the tokenizer library does by default. Null is the empty text,
     which is one piece of one end id. Repeated ids give pieces for every row.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
@@ -214,10 +216,24 @@ def cut_documents(
             return [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
 
         encoder = ChunkEncoder(Stems(encode), cut)
+        added = {t.content: k for k, t in library.get_added_tokens_decoder().items()} if added_ids else {}
+        marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+        def ids_of(texts: list[str]) -> list[np.ndarray]:
+            if marks is None:
+                return encoder(texts)
+            split = [marks.split(t) if marks.search(t) else [t] for t in texts]
+            plain = iter(encoder([x for own in split for x in own[::2]]))
+            out = []
+            for own in split:
+                ids = [next(plain) if k % 2 == 0 else np.array([added[x]], np.uint32) for k, x in enumerate(own)]
+                out.append(ids[0] if len(ids) == 1 else np.concatenate(ids))
+            return out
+
         for batch in batches:
             for rows, texts in sliced(batch, "text"):
                 at, piece, start, length, crc, nth = [], [], [], [], [], []
-                for i, ids in enumerate(encoder(texts)):
+                for i, ids in enumerate(ids_of(texts)):
                     data = memoryview(np.append(ids, np.uint32(end_id)).astype("<u4").tobytes())
                     n = len(data) // 4
                     begin, number = 0, 0
@@ -247,7 +263,7 @@ def cut_documents(
 
 def pack(
     df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", added_ids: bool = False,
 ) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``.
 
@@ -256,7 +272,7 @@ def pack(
     """
     spark = df.sparkSession
     # Numbers given inside tasks must not change, so the pieces are written before they are counted.
-    pieces = stored(cut_documents(df, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    pieces = stored(cut_documents(df, tokenizer_path, capacity, end_id, id_col, text_col, added_ids), "pieces")
     counted = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = stored(
@@ -287,4 +303,4 @@ def pack(
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), added_ids=True)

@@ -91,3 +91,13 @@ def test_large_histogram_reaches_the_bound():
     plan = packing.plan_bins(counts, 1024)
     least = -(-int((counts * np.arange(1025)).sum()) // 1024)
     assert sum(n for _, n in plan) <= least * 1.001 + 1
+
+
+def test_added_tokens_have_their_ids(spark, tmp_path):
+    library = Tokenizer.from_file(PATH)  # added tokens are emitted by default
+    texts = {1: "a<|endoftext|> b", 2: "<|endoftext|>", 3: "x <|endoftext|><|endoftext|>", 4: "plain", 5: None, 6: " <|endoftext|>\n y"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in QUERIES["op8_best_fit_packing"](spark, str(tmp_path)).collect()}
+    for k, text in texts.items():
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (rows[k]["length"], rows[k]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
