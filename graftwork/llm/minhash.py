@@ -4,14 +4,15 @@
    their leading bits and each bin keeps the least. An empty bin copies the first
    filled bin in an order of its own (densification that depends on the bin alone).
 2. Documents with equal shingle sets are one class; one document stands for it.
-3. Bands of bins are bucket keys. Every document of a bucket is compared with the
+3. Bands of bins are bucket keys; short sets also have their least shingles as keys,
+   one more than a similar set can lack. Every document of a bucket is compared with the
    bucket's smallest id only: candidates grow with documents, not with pairs.
 4. Candidates are confirmed on their whole shingle sets; confirmed links are joined
    into components.
 5. Buckets that still hold several components could hide a link between two
    documents neither of which is the smallest. Their members meet in blocks of
-   bounded size, where signatures and then shingle sets are compared in place;
-   only links leave a block. So no link between texts of one bucket is lost, and
+   bounded size, where shingle sets are compared in place (a pair is passed over
+   only if its sizes or bins prove that it is not similar); only links leave a block. So no link between texts of one bucket is lost, and
    no pairs are listed.
 """
 
@@ -34,8 +35,8 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
-# A pair of similar texts agrees in fewer bins than this once in 50,000 pairs.
-MIN_AGREEING = 76
+# Two sets of which the smaller has at most so many shingles meet by a shared shingle, surely.
+SHORT = 32
 BLOCK = 512
 BIN_SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 
@@ -67,6 +68,14 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def short_keys(own: np.ndarray) -> np.ndarray:
+    """Bucket keys of a short sorted set: a similar set holds one of these shingles among its own keys."""
+    n = len(own)
+    if n * PERCENT > SHORT * 100:
+        return np.empty(0, np.int64)
+    return mix(own[: n - -(-n * PERCENT // 100) + 1] ^ BASE).view(np.int64)
+
+
 def sketches(df: DataFrame) -> DataFrame:
     """``id, n_shingles, set_hash, bands`` of ``id, text``; no words: null hash and bands."""
 
@@ -78,7 +87,7 @@ def sketches(df: DataFrame) -> DataFrame:
                 own = shingles(codes_of(words(text.as_py()), known), SHINGLE)
                 sizes.append(len(own))
                 hashes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                bands.append(band_keys(signature(own, orders)) if len(own) else None)
+                bands.append(np.concatenate([band_keys(signature(own, orders)), short_keys(own)]) if len(own) else None)
             cols = [
                 batch.column("id"),
                 pa.array(sizes, pa.int64()),
@@ -171,15 +180,21 @@ def _links_in_blocks(members: DataFrame, texts: DataFrame) -> DataFrame:
         bins = np.frombuffer(b"".join(block.column("bins").to_pylist()), np.uint8).reshape(n, BINS)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in block.column("shingles")]
         sizes = np.fromiter(map(len, sets), np.int64, n)
-        earlier = bands[:, : int(np.flatnonzero(bands[0] == key)[0])]
+        filled = np.zeros((n, BINS), bool)
+        for i, own_set in enumerate(sets):
+            filled[i, (own_set >> BIN_SHIFT).astype(np.int64)] = True
+        place = np.flatnonzero(bands[0] == key)  # nowhere if the key is a shingle of short sets
+        earlier = bands[:, : int(place[0])] if len(place) else bands
         found = []
         for i in range(n):
             j = np.arange(i + 1, n)
             j = j[(components[j] != components[i]) & ((own[j] != own[i]) | (a == b))]
             small, large = np.minimum(sizes[j], sizes[i]), np.maximum(sizes[j], sizes[i])
             j = j[100 * small >= PERCENT * large]
-            j = j[(bins[j] == bins[i]).sum(1) >= MIN_AGREEING]
             j = j[~(earlier[j] == earlier[i]).any(1)]
+            # The least hash of a bin that differs is in one set only: each such bin is a shingle that is not shared.
+            apart = ((bins[j] != bins[i]) & (filled[j] | filled[i])).sum(1)
+            j = j[(100 + PERCENT) * apart <= (100 - PERCENT) * (sizes[j] + sizes[i])]
             for k in j.tolist():
                 both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
                 if 100 * both >= PERCENT * (len(sets[i]) + len(sets[k]) - both):

@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from graftwork.llm import minhash
@@ -74,3 +75,47 @@ def test_rows_without_id(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (3, "a b c")], "doc_id long, text string")
     got = sorted(minhash.near_groups(df).collect(), key=str)
     assert [(r["doc_id"], r["component_id"]) for r in got].count((3, 3)) == 1 and len(got) == 3
+
+
+def test_short_similar_sets_share_a_key():
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        n = int(rng.integers(1, 33))
+        own = np.unique(rng.integers(0, 2**63, n + 12).astype(np.uint64))
+        rng.shuffle(own)
+        cut, more = int(rng.integers(0, n // 4 + 1)), int(rng.integers(0, 11))
+        a, b = np.sort(own[:n]), np.sort(own[cut : n + more])
+        both = len(np.intersect1d(a, b))
+        if 100 * both >= minhash.PERCENT * (len(a) + len(b) - both):
+            assert np.isin(minhash.short_keys(a), minhash.short_keys(b)).any()
+
+
+def _shingles(text):
+    return minhash.shingles(minhash.codes_of(minhash.words(text), minhash.WordCodes()), 5)
+
+
+def _short_pair(wanted):
+    """Texts of seven and eight words, 3 of 4 shingles shared, whose bands and agreeing bins are as wanted."""
+    rng, orders = random.Random(3), minhash.probe_orders()
+    while True:
+        own = [f"w{rng.randrange(10**9)}" for _ in range(8)]
+        texts = " ".join(own[:7]), " ".join(own)
+        least = [minhash.signature(_shingles(t), orders) for t in texts]
+        bands = [minhash.band_keys(x) for x in least]
+        shared = bands[0][bands[0] == bands[1]]
+        if wanted(len(shared), (least[0].astype(np.uint8) == least[1].astype(np.uint8)).sum()):
+            return texts, shared
+
+
+def test_a_block_links_pairs_with_unlike_signatures(spark):
+    texts, shared = _short_pair(lambda bands, bins: bands and bins < 76)
+    members = spark.createDataFrame([(int(shared[0]), k, k) for k in (1, 2)], "key long, id long, component long")
+    rows = spark.createDataFrame([(1, texts[0]), (2, texts[1])], "id long, text string")
+    assert minhash._links_in_blocks(members, rows).count() == 1
+
+
+def test_short_texts_without_a_common_band(spark):
+    texts, _ = _short_pair(lambda bands, bins: not bands)
+    own = {1: texts[0], 2: texts[1], 3: "something else entirely"}
+    df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
+    assert _got(minhash.near_groups(df).collect()) == _brute(own)
