@@ -63,10 +63,22 @@ def exact_groups(
 def drop_copies(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = SMALLEST
 ) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
+    """One row of every text, with all its columns; decided by id and content, so ids may repeat or be null."""
     groups = exact_groups(df, id_col, text_col, keep)
-    gone = groups.filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    found = stored(groups.select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__text"), "kept"), "kept")
+    gone = found.filter(~F.col("kept")).distinct()
+    repeated = found.filter("kept").groupBy("__id", "__text").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = df.withColumn("__sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+
+    def same(other: DataFrame) -> Column:
+        return F.col(id_col).eqNullSafe(other["__id"]) & (F.col("__sha") == other["__text"])
+
+    left = rows.join(gone, same(gone), "left_anti")
+    repeated = stored(repeated.select("__id", "__text"), "repeated")
+    if not repeated.isEmpty():
+        again = left.join(repeated, same(repeated), "left_semi").dropDuplicates([id_col, "__sha"])
+        left = left.join(repeated, same(repeated), "left_anti").unionByName(again)
+    return left.drop("__sha")
 
 
 OP10_SQL = """

@@ -40,3 +40,12 @@ def test_drop_copies(spark):
     assert sorted(r["kept"] for r in exact_dedup.drop_copies(df).collect()) == [5, 7, 8]
     assert sorted(r["kept"] for r in exact_dedup.drop_copies(df, keep=exact_dedup.LARGEST).collect()) == [6, 7, 9]
     assert exact_dedup.drop_copies(df.limit(0)).count() == 0
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(7, "A"), (7, "B"), (9, "B"), (3, "C"), (3, "C"), (None, "D"), (None, "D"), (None, "C")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for keep in (exact_dedup.SMALLEST, exact_dedup.LARGEST):
+        got = [tuple(r) for r in exact_dedup.drop_copies(df, keep=keep).collect()]
+        assert sorted(t for _, t in got) == ["A", "B", "C", "D"]
+        assert set(got) == {(7, "A"), (7 if keep == exact_dedup.SMALLEST else 9, "B"), (3, "C"), (None, "D")}
