@@ -260,7 +260,16 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` of which no other row of their group has a smaller id."""
+    """The rows of ``df`` of which no other row of their group has a smaller id.
+
+    Rows with repeated ids, or without one, are numbered by id and content first.
+    """
+    ids = df.groupBy(F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    if not ids.filter("n > 1 OR id IS NULL").isEmpty():
+        order = [F.col(id_col).asc_nulls_last(), F.sha2(F.col(text_col), 256)]
+        rows = stored(df.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()), "rows")
+        gone = near_groups(rows, "__row", text_col).filter(~F.col("kept")).select("__row")
+        return rows.join(gone, "__row", "left_anti").drop("__row")
     gone = near_groups(df, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
     return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
 

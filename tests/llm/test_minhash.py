@@ -119,3 +119,10 @@ def test_short_texts_without_a_common_band(spark):
     own = {1: texts[0], 2: texts[1], 3: "something else entirely"}
     df = spark.createDataFrame(list(own.items()), "doc_id long, text string")
     assert _got(minhash.near_groups(df).collect()) == _brute(own)
+
+
+def test_dropping_with_repeated_and_null_ids(spark):
+    rows = [(7, "a b c"), (7, "d e f"), (5, "d e f"), (9, "d e f"), (None, "x y"), (None, "x y"), (3, "u v"), (3, "u v")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in minhash.drop_near_copies(df).collect()), key=str)
+    assert got == [(3, "u v"), (5, "d e f"), (7, "a b c"), (None, "x y")]
