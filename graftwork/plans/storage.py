@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from graftwork.operators import merging as M
 from graftwork.operators import ranking as R
 from graftwork.operators import timing as T
-from graftwork.operators.reports import listed
 from graftwork.plans import chatting, merging
 from graftwork.plans.registry import query
 from graftwork.plans.selection import _LOO, _RANKED
@@ -28,14 +27,9 @@ _RUN = "experiment || '_' || seed"
 
 
 def _write_run_summaries(m: DataFrame, root: str) -> list[str]:
-    """One summary folder per run, as an analysis finds them."""
-    named = m.withColumn("run", F.expr(_RUN))
-    dirs = []
-    for run in listed(named, "run"):
-        rows = named.filter(F.col("run") == run).select("name", "dataset", "lr", "checkpoint", "step", "accuracy")
-        evaluations.write_csv(rows, f"{root}/{run}/summary/summary.csv")
-        dirs.append(f"{root}/{run}")
-    return dirs
+    """One summary folder per run, as an analysis finds them, from one write job."""
+    rows = m.select(F.expr(_RUN).alias("run"), "name", "dataset", "lr", "checkpoint", "step", "accuracy")
+    return runs.write_runs(rows, root, "summary/summary.csv")
 
 
 _SUMMARY_SQL = "SELECT {seed} AS seed, name, dataset, task, lr, checkpoint, step, accuracy FROM run_metrics"

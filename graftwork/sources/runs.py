@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import csv
 import functools
 import re
+import uuid
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -13,7 +16,7 @@ from pyspark.sql import functions as F
 
 from graftwork.functions.columns import task_of
 from graftwork.operators.reports import setup_label
-from graftwork.operators.scale import pin_small
+from graftwork.operators.scale import pin_small, settle
 
 SUMMARY_COLUMNS = {
     "name": "string",
@@ -32,9 +35,6 @@ TIMING_COLUMNS = {
     "elapsed_s": "double",
     "cached": "boolean",
 }
-CELLS = [f"_c{i}" for i in range(64)]
-
-
 def _row_id() -> Column:
     """Stored row order: number of the part file, then place in the file.
 
@@ -48,38 +48,91 @@ def _row_id() -> Column:
     return (number * F.lit(2**42) + meta["file_block_start"] + line).alias("row_id")
 
 
-def _tables(spark: SparkSession, run_dirs: Sequence[str], file: str, columns: dict[str, str]) -> DataFrame:
-    """Rows of ``file`` in all the directories that have it, by header name, with ``seed`` and ``row_id``.
+def _decoded(path: Column) -> Column:
+    """A path of ``_metadata`` as it was written, without URL encoding."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
-    One read for all directories of a parent. The first line of each file is
-    its header, so files may order their columns differently or lack some.
-    """
+
+def _same_form(uri: Column) -> Column:
+    """Local paths occur with one and with three slashes."""
+    return F.regexp_replace(uri, "^file:/+", "file:/")
+
+
+def _escaped(path: str) -> str:
+    return re.sub(r"([{}\[\]*?,\\])", r"\\\1", path)
+
+
+def _globs(spark: SparkSession, run_dirs: Sequence[str], file: str) -> list[str]:
+    """One path pattern for all directories of a parent; parents without the file are left out."""
     by_parent: dict[str, list[str]] = {}
-    for d in run_dirs:
+    for d in dict.fromkeys(run_dirs):
         parent, _, name = d.rstrip("/").rpartition("/")
-        by_parent.setdefault(parent, []).append(re.sub(r"([{}\[\]*?,\\])", r"\\\1", name))
-    frames = []
+        by_parent.setdefault(parent, []).append(_escaped(name))
+    found = []
     for parent, names in by_parent.items():
         one_of = names[0] if len(names) == 1 else "{" + ",".join(names) + "}"
+        glob = f"{parent}/{one_of}/{file}"
         try:
-            raw = spark.read.schema(", ".join(f"{c} string" for c in CELLS)).csv(f"{parent}/{one_of}/{file}")
+            spark.read.text(glob)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             continue
-        frames.append(raw.select(F.array(*CELLS).alias("cells"), F.col("_metadata.file_path").alias("file"), _row_id()))
-    if not frames:
+        found.append(glob)
+    return found
+
+
+def _typed(spark: SparkSession, head: str, paths: list[str], columns: dict[str, str]) -> DataFrame:
+    """Files that begin with the line ``head``, parsed with the types of ``columns``.
+
+    The parser knows every column's place and skips the first line itself.
+    Lines that are too short, too long or do not parse fail the read.
+    """
+    names, fields, seen = next(csv.reader([head])), [], set()
+    for i, name in enumerate(names):
+        # Columns without a name, or with one that came before, are not asked for.
+        own = name if name and name.lower() not in seen else f"__{i}"
+        seen.add(own.lower())
+        fields.append(f"`{own.replace('`', '``')}` {columns.get(own, 'string')}")
+    reader = spark.read.schema(", ".join(fields)).option("header", True).option("mode", "FAILFAST")
+    rows = reader.option("columnPruning", False).csv(paths)
+    given = [F.col(c) if c in names else F.lit(None).cast(t).alias(c) for c, t in columns.items()]
+    return rows.select(*given, _row_id(), F.col("_metadata.file_path").alias("__file"))
+
+
+def _tables(spark: SparkSession, run_dirs: Sequence[str], file: str, columns: dict[str, str]) -> DataFrame:
+    """Rows of ``file`` in all the directories that have it, by header name, with ``seed``, ``row_id`` and ``__run``.
+
+    The first line of each file is its header, so files may order their columns
+    differently or lack some. Files are read by header, one typed scan for each
+    distinct one; with a single header, as usual, that is one scan of all folders.
+    """
+    globs = _globs(spark, run_dirs, file)
+    if not globs:
         raise ValueError("no valid seed data found in the given directories")
-    lines = functools.reduce(DataFrame.unionByName, frames)
-    heads = lines.groupBy("file").agg(F.min_by("cells", "row_id").alias("head"), F.min("row_id").alias("first"))
-    rows = lines.join(pin_small(heads), "file").filter("row_id > first")
-    place = {c: F.array_position("head", c).cast("int") for c in columns}
-    seed = F.regexp_extract(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), rf"/([^/]+)/{re.escape(file)}(?:/[^/]*)?$", 1)
-    return rows.select(
-        *[F.when(place[c] > 0, F.element_at("cells", place[c])).cast(t).alias(c) for c, t in columns.items()],
-        "row_id",
-        seed.alias("seed"),
-    )
+    lines = spark.read.text(globs).select("value", F.col("_metadata.file_path").alias("file"), "_metadata.file_block_start", _row_id())
+    heads = lines.filter("file_block_start = 0").groupBy("file").agg(F.min_by("value", "row_id").alias("head"))
+    heads = settle(heads)
+    distinct = [r["head"] for r in heads.select("head").distinct().orderBy("head").collect()]
+    if not distinct:
+        return _typed(spark, ",".join(columns), globs, columns).select(
+            *columns, "row_id", F.lit("").alias("seed"), F.lit("").alias("__run")
+        ).limit(0)
+    frames = []
+    for head in distinct:
+        paths = globs
+        if len(distinct) > 1:
+            files = heads.filter(F.col("head") == head).select(_decoded(F.col("file")).alias("file")).collect()
+            paths = [_escaped(r["file"]) for r in files]
+        frames.append(_typed(spark, head, paths, columns))
+    rows = functools.reduce(DataFrame.unionByName, frames)
+    run = F.regexp_replace(_decoded(F.col("__file")), rf"/{re.escape(file)}(?:/[^/]*)?$", "")
+    return rows.select(*columns, "row_id", F.regexp_extract(run, "([^/]+)$", 1).alias("seed"), _same_form(run).alias("__run"))
+
+
+def _summaries(spark: SparkSession, run_dirs: Sequence[str]) -> DataFrame:
+    rows = _tables(spark, run_dirs, "summary/summary.csv", SUMMARY_COLUMNS)
+    return rows.withColumns({"step": F.col("step").cast("bigint"), "task": task_of("dataset")})
 
 
 def read_seeds(spark: SparkSession, run_dirs: Sequence[str]) -> DataFrame:
@@ -87,8 +140,7 @@ def read_seeds(spark: SparkSession, run_dirs: Sequence[str]) -> DataFrame:
 
     Optional columns that a file lacks are null.
     """
-    rows = _tables(spark, run_dirs, "summary/summary.csv", SUMMARY_COLUMNS)
-    return rows.withColumns({"step": F.col("step").cast("bigint"), "task": task_of("dataset")})
+    return _summaries(spark, run_dirs).drop("__run")
 
 
 def read_summary(spark: SparkSession, run_dir: str) -> DataFrame:
@@ -102,32 +154,68 @@ def read_summary(spark: SparkSession, run_dir: str) -> DataFrame:
 def read_timing(spark: SparkSession, run_dirs: Sequence[str] | str) -> DataFrame:
     """Job timings with ``seed`` from the directory name; missing files are skipped."""
     dirs = [run_dirs] if isinstance(run_dirs, str) else run_dirs
-    return _tables(spark, dirs, "timing.csv", TIMING_COLUMNS)
+    return _tables(spark, dirs, "timing.csv", TIMING_COLUMNS).drop("__run")
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The full name of a path, with its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return re.sub("^file:/+", "file:/", at.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString())
 
 
 def load_runs(spark: SparkSession, runs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """``metrics`` and ``timing`` of discovered runs, with ``experiment`` and ``setup``.
 
     The run list is one row per run folder; it is read on the driver, as its
-    paths are what is read next. Timing is null where no run has it.
+    paths are what is read next. Rows get the names of the folder they come
+    from, so folders of different roots may have the same last name, which is
+    their ``seed``. Timing is null where no run has it.
     """
     listed = runs.select("run_dir", "experiment", "group").collect()
     dirs = [r.run_dir for r in listed]
-    names = runs.sparkSession.createDataFrame(
-        [(r.run_dir.rstrip("/").rpartition("/")[2], r.experiment, r.group) for r in listed],
-        "seed string, experiment string, group string",
+    names = spark.createDataFrame(
+        [(_qualified(spark, r.run_dir), r.experiment, r.group) for r in listed],
+        "__run string, experiment string, group string",
     ).distinct()
 
     def named(rows: DataFrame) -> DataFrame:
-        return rows.join(pin_small(names), "seed").withColumn("setup", setup_label("group")).drop("group")
+        return rows.join(pin_small(names), "__run").withColumn("setup", setup_label("group")).drop("group", "__run")
 
-    metrics = named(read_seeds(spark, dirs))
+    metrics = named(_summaries(spark, dirs))
     try:
-        return metrics, named(read_timing(spark, dirs))
+        return metrics, named(_tables(spark, dirs, "timing.csv", TIMING_COLUMNS))
     except ValueError:
         return metrics, None
 
 
+def write_runs(df: DataFrame, root: str, file: str, run: str = "run") -> list[str]:
+    """Rows of many runs, each run as ``root/<run>/<file>``, in one write job; gives the folders.
+
+    Tasks write all runs side by side under one folder. Afterwards each run's
+    folder gets its name, which moves no data. Folders that exist are an error.
+    """
+    spark = df.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    beside = f"{root}/_writing-{uuid.uuid4().hex}"
+    df.hint("rebalance", run).write.option("header", True).partitionBy(run).csv(beside)
+    fs = hadoop.Path(beside).getFileSystem(conf)
+    dirs = []
+    for status in fs.listStatus(hadoop.Path(beside)):
+        name = status.getPath().getName()
+        if not name.startswith(f"{run}="):
+            continue
+        folder = f"{root}/{unquote(name.removeprefix(f'{run}='))}"
+        place = hadoop.Path(f"{folder}/{file}")
+        if fs.exists(place):
+            raise FileExistsError(f"{folder}/{file}")
+        fs.mkdirs(place.getParent())
+        fs.rename(status.getPath(), place)
+        dirs.append(folder)
+    fs.delete(hadoop.Path(beside), True)
+    return sorted(dirs)
+
+
 def yaml_value(text: str, *path: str) -> str | None:
     """Scalar under nested keys of a block-style YAML text; enough for run descriptions."""
     above: list[tuple[int, str]] = []
@@ -152,7 +240,7 @@ def discover_runs(spark: SparkSession, root: str, group: str = "all") -> DataFra
     names a group count.
     """
     raw = spark.read.text(f"{root}/*/pipeline.yaml", wholetext=True)
-    found = raw.select("value", F.regexp_replace(F.col("_metadata.file_path"), "/pipeline\\.yaml$", "").alias("run_dir"))
+    found = raw.select("value", F.regexp_replace(_decoded(F.col("_metadata.file_path")), "/pipeline\\.yaml$", "").alias("run_dir"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -95,3 +95,52 @@ def test_retention(spark):
     freed = G.retention_summary(G.retention_plan(art, links, ["lora_*"], unlink=["lora_*"])).first()
     assert (freed.removed, freed.bytes) == (2, 30) and freed.gib == 30 / 2**30
     assert G.retention_summary(art.filter(F.lit(False))).first().bytes == 0
+
+
+def test_wide_and_differing_headers(spark, tmp_path):
+    extra = ",".join(f"x{i}" for i in range(90))
+    write(tmp_path / "a b/summary/summary.csv", f"{extra},name,dataset,accuracy,step\n" + ",".join("7" * 90) + ",base,data/processed/t,0.5,10.0\n")
+    write(tmp_path / "s[2]/summary/summary.csv", "accuracy,,name,name,dataset\n0.25,i,merged,other,data/processed/u\n")
+    write(tmp_path / "s3/summary/summary.csv", "accuracy,name,dataset\n")
+    write(tmp_path / "s4/summary/summary.csv", "")
+    df = U.read_seeds(spark, [f"{tmp_path}/{s}" for s in ("a b", "s[2]", "s3", "s4")])
+    rows = [(r.seed, r["name"], r.task, r.accuracy, r.step) for r in df.orderBy("seed").collect()]
+    assert rows == [("a b", "base", "t", 0.5, 10), ("s[2]", "merged", "u", 0.25, None)]
+    assert U.read_seeds(spark, [f"{tmp_path}/s4"]).collect() == []
+
+
+@pytest.mark.parametrize("line", ["base,data/processed/t,0.5,9,9", "base,data/processed/t", "base,data/processed/t,high,9"])
+def test_lines_that_do_not_fit_fail(spark, tmp_path, line):
+    write(tmp_path / "s1/summary/summary.csv", f"name,dataset,accuracy,perplexity\nbase,data/processed/t,0.5,1\n{line}\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        U.read_summary(spark, f"{tmp_path}/s1").collect()
+
+
+def test_filters_on_every_typed_column(spark, tmp_path):
+    write(tmp_path / "s1/summary/summary.csv", "name,dataset,lr,checkpoint,step,accuracy,perplexity\nb,data/processed/t,5e-05,final,10.0,0.5,2.0\n")
+    write(tmp_path / "s1/timing.csv", "stage,job,subjob,job_type,elapsed_s,cached\ntrain,a,,train,1.5,False\n")
+    df = U.read_summary(spark, f"{tmp_path}/s1")
+    for condition in ("lr < 1", "step = 10", "accuracy > 0", "perplexity = 2", "lr < 1 AND step > 1 AND accuracy > 0", "step IS NOT NULL"):
+        assert df.join(df.select("name").distinct(), "name").filter(condition).count() == 1, condition
+    timing = U.read_timing(spark, f"{tmp_path}/s1")
+    assert timing.filter("elapsed_s > 1 AND NOT cached").count() == 1
+
+
+def test_runs_of_several_roots_keep_their_names(spark, tmp_path):
+    for root, name, accuracy in (("a", "A", 0.1), ("b", "B", 0.2)):
+        write(tmp_path / root / "s1/summary/summary.csv", f"name,dataset,accuracy\nbase,data/processed/t,{accuracy}\nm,data/processed/t,{accuracy}\n")
+        write(tmp_path / root / "s1/pipeline.yaml", f"experiment_name: {name}\nstages:\n  analysis:\n    config:\n      group: lora\n")
+    found = U.discover_runs(spark, f"{tmp_path}/a").union(U.discover_runs(spark, f"{tmp_path}/b"))
+    metrics, timing = U.load_runs(spark, found)
+    assert sorted((r.experiment, r.seed, r.accuracy) for r in metrics.collect()) == [("A", "s1", 0.1)] * 2 + [("B", "s1", 0.2)] * 2
+    assert timing is None
+
+
+def test_many_runs_from_one_write_job(spark, tmp_path):
+    rows = spark.range(300).selectExpr("concat('run ', id % 100) AS run", "'base' AS name", "'data/processed/t' AS dataset", "id / 300 AS accuracy")
+    dirs = U.write_runs(rows, f"{tmp_path}/all", "summary/summary.csv")
+    assert len(dirs) == 100
+    back = U.read_seeds(spark, dirs).groupBy("seed").count().collect()
+    assert {r.seed for r in back} == {f"run {k}" for k in range(100)} and {r["count"] for r in back} == {3}
+    with pytest.raises(FileExistsError):
+        U.write_runs(rows, f"{tmp_path}/all", "summary/summary.csv")
