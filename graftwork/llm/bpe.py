@@ -9,6 +9,7 @@ fixed in size and is broadcast.
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,7 @@ NO_PAIR = np.int32(2**31 - 1)
 EMPTY = np.uint64(2**64 - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MATRIX_CELLS = 1 << 22
+WORD_CELLS = 1 << 17
 
 
 @dataclass
@@ -53,17 +55,7 @@ class Vocabulary:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        keys = (np.array(left, np.uint64) << np.uint64(32)) | np.array(right, np.uint64)
-        bits = max(4, int(len(keys) * 3).bit_length())
-        slots, values = np.full(1 << bits, EMPTY), np.full(1 << bits, NO_PAIR)
-        todo, at = np.arange(len(keys)), _slot(keys, bits)
-        while len(todo):
-            free = slots[at] == EMPTY
-            slots[at[free]] = keys[todo[free]]  # the last writer of a slot stays in it
-            put = slots[at] == keys[todo]
-            values[at[put]] = np.array(merged, np.int32)[todo[put]]
-            todo, at = todo[~put], (at[~put] + 1) & ((1 << bits) - 1)
-        return cls(tokens, slots, values, bits)
+        return cls(tokens, *_hashed(np.array(left), np.array(right), np.array(merged)))
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
@@ -78,6 +70,21 @@ class Vocabulary:
         return out
 
 
+def _hashed(left: np.ndarray, right: np.ndarray, merged: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Slots, values and size in bits of a table from pairs to what they merge to."""
+    keys = (left.astype(np.uint64) << np.uint64(32)) | right.astype(np.uint64)
+    bits = max(4, int(len(keys) * 3).bit_length())
+    slots, values = np.full(1 << bits, EMPTY), np.full(1 << bits, NO_PAIR)
+    todo, at = np.arange(len(keys)), _slot(keys, bits)
+    while len(todo):
+        free = slots[at] == EMPTY
+        slots[at[free]] = keys[todo[free]]  # the last writer of a slot stays in it
+        put = slots[at] == keys[todo]
+        values[at[put]] = merged.astype(np.int32)[todo[put]]
+        todo, at = todo[~put], (at[~put] + 1) & ((1 << bits) - 1)
+    return slots, values, bits
+
+
 def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
     return ((keys * MULTIPLIER) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -162,6 +169,96 @@ class PieceEncoder:
         return out
 
 
+class WordMerger:
+    """Ids of short byte strings by merges in the order of their ids, many words at a time.
+
+    ``of_file`` reads a tokenizer file with a byte-level vocabulary whose later
+    merges have larger ids; for any other file it gives nothing.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, first: np.ndarray):
+        self.v, self.first = vocabulary, first
+
+    @classmethod
+    def of_file(cls, text: str) -> WordMerger | None:
+        model = json.loads(text)["model"]
+        if model["type"] != "BPE" or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        if any(model.get(c) for c in ("unk_token", "continuing_subword_prefix", "end_of_word_suffix")):
+            return None
+        vocab = model["vocab"]
+        # The usual letters for bytes: themselves where printable, else the next code points from 256 on.
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = iter(range(256, 512))
+        letters = [chr(x if x in shown else next(hidden)) for x in range(256)]
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        merged = np.array([vocab["".join(p)] for p in pairs])
+        if not all(x in vocab for x in letters) or (np.diff(merged) <= 0).any():
+            return None
+        left, right = (np.array([vocab[p[k]] for p in pairs]) for k in (0, 1))
+        return cls(Vocabulary([], *_hashed(left, right, merged)), np.array([vocab[x] for x in letters], np.int32))
+
+    def __call__(self, words: list[bytes]) -> Ragged:
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        start = np.cumsum(size) - size
+        data = self.first[np.frombuffer(b"".join(words), np.uint8)]
+        order = np.argsort(size, kind="stable")
+        place, found, lengths, k = [], [], [], 0
+        while k < len(order):
+            # Words of similar length, in a matrix that stays in the cache.
+            width = max(2, int(size[order[k]] * 5 // 4))
+            stop = min(int(np.searchsorted(size[order], width, "right")), k + max(1, WORD_CELLS // width))
+            own = order[k : stop]
+            for rows, tokens, n in self._merge(data, start[own], size[own]):
+                place.append(own[rows])
+                found.append(tokens)
+                lengths.append(n)
+            k = stop
+        if not place:
+            return Ragged()
+        rows = Ragged.of(np.concatenate(found).astype(np.uint32), np.concatenate(lengths))
+        back = np.empty(len(words), np.int64)
+        back[np.concatenate(place)] = np.arange(len(words))
+        flat, ends = rows.take(back)
+        return Ragged.of(flat, np.diff(ends, prepend=0))
+
+    def _merge(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(rows, their ids after each other, how many), as rows are done."""
+        width = max(1, int(length.max()))
+        columns = np.arange(width)
+        inside = columns < length[:, None]
+        tokens = np.zeros((len(start), width), np.int32)
+        tokens[inside] = data[(start[:, None] + columns)[inside]]
+        ranks = np.full((len(start), width), NO_PAIR)
+        pair = inside[:, 1:]
+        ranks[:, :-1][pair] = self.v.pair_ranks(tokens[:, :-1][pair], tokens[:, 1:][pair])
+        rows = np.arange(len(start))
+        while len(rows):
+            at = ranks.argmin(axis=1)
+            lowest = ranks[np.arange(len(rows)), at]
+            over = lowest == NO_PAIR
+            if over.any():
+                yield rows[over], tokens[over][columns < length[over][:, None]], length[over]
+                on = ~over
+                rows, at, lowest, length = rows[on], at[on], lowest[on], length[on]
+                if not len(rows):
+                    return
+                width = int(length.max())
+                columns = np.arange(width)
+                tokens, ranks = tokens[on, :width], ranks[on, :width]
+            each = np.arange(len(rows))
+            # Drop the right part of the merged pair: all after it move left by one.
+            later = columns[:-1] > at[:, None]
+            np.copyto(tokens[:, :-1], tokens[:, 1:].copy(), where=later)
+            np.copyto(ranks[:, :-1], ranks[:, 1:].copy(), where=later)
+            length = length - 1
+            tokens[each, at] = lowest
+            ranks[each, length - 1] = NO_PAIR
+            for left in (at - 1, at):
+                k = np.flatnonzero((left >= 0) & (left + 1 < length))
+                ranks[k, left[k]] = self.v.pair_ranks(tokens[k, left[k]], tokens[k, left[k] + 1])
+
+
 def _width(length: int) -> int:
     """Lengths share a matrix up to the next of 4, 6, 8, 12, 16, 24, ..."""
     power = 1 << max(2, (length - 1).bit_length())

@@ -17,7 +17,10 @@ import pyarrow as pa
 TIED = re.compile(r" (?:\s|\Z)")
 SLICE_CHARS = 2_000_000
 REMEMBERED = 700_000
-MARKS = frozenset(".,;:!?")
+# White space that shares a match with what follows it, or ends the text.
+MEETING = re.compile(r"\s[^\S\n]|[^\S\n]\n|\n\n|\s\Z|[^\S \n]")
+MEMORY_BYTES = 64 * 2**20
+ENTRY_BYTES = 250
 
 
 class _Numbers(dict):
@@ -60,38 +63,82 @@ class Ragged:
         return self.flat[at], ends
 
 
-class Stems:
-    """Encodes chunks by ``encode``, a mark after a letter apart from the word before it.
+class Remembered(dict):
+    """Chunk to the number of its row of ids; asking for an unknown chunk gives it the next number."""
 
-    Letters and marks never share a match, and words repeat without their marks.
-    """
-
-    def __init__(self, encode: Callable[[list[str]], Ragged]):
-        self.encode = encode
+    def __init__(self):
         self.forget()
 
     def forget(self) -> None:
+        self.clear()
         self.fresh: list[str] = []
-        self.numbers = _Numbers("", self.fresh)
-        self.known = Ragged()
+        self.rows, self.used, self.size = 0, 0, 0
+        self.flat, self.ends = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
 
-    def __call__(self, chunks: list[str]) -> Ragged:
-        if len(self.fresh) > REMEMBERED:
-            self.forget()
-        index, counts, number = [], [], self.numbers.__getitem__
-        for chunk in chunks:
-            if len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2].isalpha():
-                index += (number(chunk[:-1]), number(chunk[-1]))
-                counts.append(2)
-            else:
-                index.append(number(chunk))
-                counts.append(1)
-        done = len(self.known.lengths)
-        if done < len(self.fresh):
-            self.known.extend(self.encode(self.fresh[done:]))
-        flat, ends = self.known.take(np.array(index, np.int64))
-        stops = np.concatenate([[0], ends])[np.cumsum(counts)]
-        return Ragged.of(flat, np.diff(stops, prepend=0))
+    def __missing__(self, key: str) -> int:
+        number = self[key] = self.rows + len(self.fresh)
+        self.fresh.append(key)
+        return number
+
+    def learn(self, found: Ragged) -> None:
+        """Ids of the fresh chunks, behind what is known; the arrays grow by doubling."""
+        while self.used + len(found.flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        while self.rows + len(self.fresh) >= len(self.ends):
+            self.ends = np.resize(self.ends, 2 * len(self.ends))
+        self.flat[self.used : self.used + len(found.flat)] = found.flat
+        self.ends[self.rows + 1 : self.rows + 1 + len(self.fresh)] = self.used + np.cumsum(found.lengths)
+        self.size += ENTRY_BYTES * len(self.fresh) + sum(map(len, self.fresh)) + 4 * len(found.flat)
+        self.used += len(found.flat)
+        self.rows += len(self.fresh)
+        self.fresh = []
+
+    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The chosen rows after each other, and where each of them ends."""
+        starts = self.ends[index]
+        lengths = self.ends[index + 1] - starts
+        ends = np.cumsum(lengths)
+        at = np.repeat(starts - (ends - lengths), lengths)
+        at += np.arange(len(at))
+        return self.flat[at], ends
+
+
+class TextEncoder:
+    """Token ids of texts through ``encode``, which takes distinct chunks.
+
+    Texts are cut before single spaces and around single line feeds; ``pieces``
+    cuts those in which white space meets white space or the end. What is
+    remembered is forgotten when it takes ``most`` bytes; this bounds memory and
+    does not change any result.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], Ragged], pieces: Callable[[str], list[str]], most: int = MEMORY_BYTES):
+        self.encode, self.pieces, self.most = encode, pieces, most
+        self.known = Remembered()
+
+    def __call__(self, texts: Sequence[str]) -> list[np.ndarray]:
+        known = self.known
+        if known.size > self.most:
+            known.forget()
+        number, numbers, counts = known.__getitem__, [], []
+        for text in texts:
+            before = len(numbers)
+            if MEETING.search(text):
+                numbers.extend(map(number, self.pieces(text)))
+            elif text:
+                for k, line in enumerate(text.split("\n")):
+                    if k:
+                        numbers.append(number("\n"))
+                    first, *rest = line.split(" ")
+                    if first:
+                        numbers.append(number(first))
+                    numbers.extend([number(" " + word) for word in rest])
+            counts.append(len(numbers) - before)
+        if known.fresh:
+            known.learn(self.encode(known.fresh))
+        ids, ends = known.take(np.array(numbers, np.int64))
+        bounds = np.concatenate([[0], ends])[np.cumsum(counts)] if counts else []
+        return np.split(ids, bounds[:-1]) if counts else []
 
 
 class ChunkEncoder:

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from graftwork.llm.chunks import ChunkEncoder, Ragged, Stems, sliced
+from graftwork.llm.bpe import WordMerger
+from graftwork.llm.chunks import Ragged, TextEncoder, sliced
 from graftwork.llm.common import stored, table
 from graftwork.llm.registry import query
 
@@ -127,7 +128,11 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[Pattern, int]]:
 
 
 def plan_bins(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Pattern, int]]:
-    """Patterns and how many sequences follow each; every piece has exactly one place."""
+    """Patterns and how many sequences follow each; every piece has exactly one place.
+
+    The rounded plan, completed by best fit, or best fit alone where that needs
+    fewer sequences: rounding leaves long pieces without short ones beside them.
+    """
     alone = best_fit(counts, capacity)
     left, rounded = counts.copy(), []
     left[capacity] = 0
@@ -180,15 +185,59 @@ class Places:
 # ---------------------------------------------------------------- Spark
 
 
+# A word of usual letters, and marks behind it: two matches of the pre-tokenizer at most.
+WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+LIBRARY_CHUNKS = 4_096
+
+
+class ChunkIds:
+    """Ids of chunks: words by matrices of merges where the tokenizer allows that, everything else by the library."""
+
+    def __init__(self, library, merger: WordMerger | None):
+        self.library, self.merger = library, merger
+
+    def by_library(self, chunks: list[str]) -> Ragged:
+        flat, lengths = [], []
+        for k in range(0, len(chunks), LIBRARY_CHUNKS):
+            for found in self.library.encode_batch_fast(chunks[k : k + LIBRARY_CHUNKS], add_special_tokens=False):
+                ids = found.ids
+                flat += ids
+                lengths.append(len(ids))
+        return Ragged.of(np.array(flat, np.uint32), np.array(lengths, np.int64))
+
+    def __call__(self, chunks: list[str]) -> Ragged:
+        if self.merger is None:
+            return self.by_library(chunks)
+        words, others, index, parts = [], {}, [], []
+        for chunk in chunks:
+            m = WORD.fullmatch(chunk)
+            if m is None:
+                index.append(~others.setdefault(chunk, len(others)))
+                parts.append(1)
+            else:
+                index.append(len(words))
+                words.append(m[1].encode())
+                if m[2]:
+                    index.append(~others.setdefault(m[2], len(others)))
+                parts.append(1 + bool(m[2]))
+        one, two = self.merger(words), self.by_library(list(others))
+        rows = Ragged.of(np.concatenate([one.flat, two.flat]), np.concatenate([one.lengths, two.lengths]))
+        at = np.array(index, np.int64)
+        flat, ends = rows.take(np.where(at < 0, len(words) + ~at, at))
+        stops = np.concatenate([[0], ends])[np.cumsum(parts)]
+        return Ragged.of(flat, np.diff(stops, prepend=0))
+
+
 def cut_documents(
     df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-    id_col: str = "doc_id", text_col: str = "text", added_ids: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", added_ids: bool = True,
 ) -> DataFrame:
     """One row per piece, with the number of the piece among its task's pieces of that length.
 
-    Special tokens written in a text are ordinary text, or with ``added_ids``
-    have ids of their own, as the tokenizer library does by default. Null is the empty text,
-    which is one piece of one end id. Repeated ids give pieces for every row.
+    Special tokens written in a text have ids of their own, as the tokenizer
+    library gives them by default, or without ``added_ids`` are ordinary text.
+    Null is the empty text, which is one piece of one end id. Repeated ids give
+    pieces for every row.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         source = df.sparkSession.sparkContext.broadcast(file.read())
@@ -202,20 +251,10 @@ def cut_documents(
         library = Tokenizer.from_str(source.value)
         library.encode_special_tokens = True
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-
-        def encode(chunks: list[str]) -> Ragged:
-            flat, lengths = [], []
-            for k in range(0, len(chunks), 4096):
-                for found in library.encode_batch_fast(chunks[k : k + 4096], add_special_tokens=False):
-                    ids = found.ids
-                    flat += ids
-                    lengths.append(len(ids))
-            return Ragged.of(np.array(flat, np.uint32), np.array(lengths, np.int64))
-
-        def cut(text: str) -> list[str]:
-            return [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)]
-
-        encoder = ChunkEncoder(Stems(encode), cut)
+        encoder = TextEncoder(
+            ChunkIds(library, WordMerger.of_file(source.value)),
+            lambda text: [text[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(text)],
+        )
         added = {t.content: k for k, t in library.get_added_tokens_decoder().items()} if added_ids else {}
         marks = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
@@ -263,7 +302,7 @@ def cut_documents(
 
 def pack(
     df: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-    id_col: str = "doc_id", text_col: str = "text", added_ids: bool = False,
+    id_col: str = "doc_id", text_col: str = "text", added_ids: bool = True,
 ) -> DataFrame:
     """Pieces of all documents with ``sequence_id`` and ``offset``.
 

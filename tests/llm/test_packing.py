@@ -17,7 +17,6 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def _check(rows, texts):
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     pieces, sequences = {}, {}
     for r in rows:
         pieces.setdefault(r["doc_id"], []).append(r)
@@ -50,7 +49,8 @@ def test_query(spark):
 
 
 def test_odd_texts(spark):
-    texts = {1: None, 2: "", 3: " ", 4: "a \n b  c ", 5: "wörd " * 3000, 6: "<|endoftext|>", 7: "x" * 5000, 8: "", 9: "éa\r\n\n z"}
+    texts = {1: None, 2: "", 3: " ", 4: "a \n b  c ", 5: "wörd " * 3000, 6: "<|endoftext|>", 7: "x" * 5000, 8: "", 9: "éa\r\n\n z",
+             10: "a\nb c.\nd", 11: "\nx y", 12: " x\ny ", 13: "x\n", 14: "a\u00a0b\tc", 15: "it's 'quoted' don't 's. x'", 16: "a\n b", 17: "ªº ßſ Ǆ ɐ 42% <b>x</b>"}
     df = spark.createDataFrame([(k, v, 0) for k, v in texts.items()], "doc_id long, text string, piece int")
     _check(packing.pack(df, PATH).collect(), texts)
     assert packing.pack(df.limit(0), PATH).count() == 0
@@ -101,3 +101,24 @@ def test_added_tokens_have_their_ids(spark, tmp_path):
     for k, text in texts.items():
         ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         assert (rows[k]["length"], rows[k]["ids_crc32"]) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+def test_every_kind_of_word(spark):
+    """Words, marks and white space in all combinations against the library."""
+    rng = np.random.default_rng(3)
+    parts = ["the", "Étions", "weiß", "naïve", "###", ".", ",", "'s", "don't", "'", "42", "x1", "日本", "\n", "\n\n", " ", "  ", "\t", "<|endoftext|>", "ab-cd", "_", "[x]"]
+    texts = {k: "".join(rng.choice(parts, rng.integers(1, 30))) for k in range(400)}
+    texts |= {1000 + k: " ".join(rng.choice(parts, rng.integers(1, 30))) for k in range(400)}
+    _check(packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), PATH).collect(), texts)
+
+
+def test_words_are_forgotten_within_bounds():
+    library = Tokenizer.from_file(PATH)
+    merger = packing.WordMerger.of_file(open(PATH, encoding="utf-8").read())
+    encoder = packing.TextEncoder(packing.ChunkIds(library, merger), list, most=2_000)
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        texts = [" ".join("".join(rng.choice(list("abcdeé"), rng.integers(1, 9))) for _ in range(20)) for _ in range(5)]
+        got = encoder(texts)
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.known.size < 60_000
