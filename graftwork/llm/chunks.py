@@ -18,7 +18,7 @@ TIED = re.compile(r" (?:\s|\Z)")
 SLICE_CHARS = 2_000_000
 REMEMBERED = 700_000
 # White space that shares a match with what follows it, or ends the text.
-MEETING = re.compile(r"\s[^\S\n]|[^\S\n]\n|\n\n|\s\Z|[^\S \n]")
+MEETING = re.compile(r"\s(?:\s|\Z|(?<![ \n]))")
 MEMORY_BYTES = 64 * 2**20
 ENTRY_BYTES = 250
 

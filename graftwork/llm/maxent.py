@@ -53,10 +53,12 @@ LAST_AT = FAR_END + ENDINGS + 1
 SKIP_AT = LAST_AT + LAST + 1
 WEIGHT_ROWS = SKIP_AT + SKIP + 1
 ACTIVE = 6
+# Rows of each group of features, in the order of :func:`features`.
+GROUPS = ((PAIR, NEAR_END), (NEAR_END, FAR_END), (FAR_END, LAST_AT), (LAST_AT, SKIP_AT), (SKIP_AT, WEIGHT_ROWS))
 
 END_CODE = np.uint64(1)
 PLACE_BITS = 24
-BLOCK_BITS = 10
+BLOCK_BITS = 16
 
 
 def ending(tail: str) -> int:
@@ -171,13 +173,13 @@ def gradient(t: Texts, classes: np.ndarray, weights: np.ndarray, observed: np.nd
         chance = np.exp(logs, out=logs)
         expected[0] += chance.sum(axis=0)
         observed[0] += np.bincount(own, minlength=CLASSES)
-        for row in part:
+        for row, (low, high) in zip(part, GROUPS, strict=True):
             order = np.argsort(row, kind="stable")  # a radix sort for 16-bit numbers
             ordered = row[order]
             first = np.flatnonzero(np.diff(ordered.astype(np.int32), prepend=-1))
             expected[ordered[first]] += np.add.reduceat(chance[order], first, axis=0)
-            cells = np.bincount(row.astype(np.int64) * CLASSES + own, minlength=WEIGHT_ROWS * CLASSES)
-            observed += cells.reshape(WEIGHT_ROWS, CLASSES)
+            cells = np.bincount((row.astype(np.int64) - low) * CLASSES + own, minlength=(high - low) * CLASSES)
+            observed[low:high] += cells.reshape(high - low, CLASSES)
     return loss
 
 
@@ -376,11 +378,11 @@ def train_classes(blocks: DataFrame, classes: np.ndarray, rounds: int = ROUNDS)
 # ---------------------------------------------------------------- scoring
 
 
-def _corpus_counts(blocks: DataFrame) -> DataFrame:
-    """What a block cannot know: ``block, places, counts`` of words that other blocks count too.
+def _corpus_counts(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a block cannot know: ``block, place, total`` of words that other blocks count too.
 
-    Rows of one word meet by its hash, one from each block. Rows with block -1
-    hold, by ending, the number of training tokens and of distinct words.
+    Rows of one word meet by its hash, one from each block. The second table
+    holds, by ending, the number of training tokens ``n`` and of distinct words ``v``.
     """
     words_of = blocks.select("block", F.posexplode(F.arrays_zip("codes", "endings", "counts")).alias("place", "w"))
     words_of = words_of.select(
@@ -394,47 +396,16 @@ def _corpus_counts(blocks: DataFrame) -> DataFrame:
     rows = words_of.select(
         "at", "own", F.sum(counted).over(same).alias("all"), F.min(F.when(counted > 0, F.col("at"))).over(same).alias("first")
     )
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_ending = np.zeros((2, ENDINGS + 1), np.int64)
-        names = ["block", "places", "counts"]
-        for batch in batches:
-            at, own, every = (batch.column(c).to_numpy() for c in ("at", "own", "all"))
-            first = batch.column("first").fill_null(-1).to_numpy()
-            count, group = own >> 16, own & 0xFFFF
-            by_ending[0] += np.bincount(group, count, ENDINGS + 1).astype(np.int64)
-            by_ending[1] += np.bincount(group[first == at], minlength=ENDINGS + 1)
-            differs = np.flatnonzero(every != count)
-            if not len(differs):
-                continue
-            block = at[differs] >> PLACE_BITS
-            order = differs[np.argsort(block, kind="stable")]
-            block = np.sort(block)
-            cuts = np.flatnonzero(np.diff(block, prepend=-1))
-            ends = [*cuts[1:], len(block)]
-            place, total = (at[order] & ((1 << PLACE_BITS) - 1)).astype("<u4"), every[order].astype("<u8")
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(block[cuts], pa.int64()),
-                    pa.array([place[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-                    pa.array([_planes8(total[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-                ],
-                names,
-            )
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([-1], pa.int64()), pa.array([by_ending[0].tobytes()], pa.binary()), pa.array([by_ending[1].tobytes()], pa.binary())],
-            names,
-        )
-
-    return stored(rows.mapInArrow(pack, "block long, places binary, counts binary"), "counts")
-
-
-def _planes8(numbers: np.ndarray) -> bytes:
-    return numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _from_planes8(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+    group = F.col("own").bitwiseAND(F.lit(0xFFFF).cast("long")).alias("ending")
+    rows = stored(rows.filter((F.col("all") != counted) | (F.col("first") == F.col("at"))), "counts")
+    differs = rows.filter(F.col("all") != counted).select(
+        F.shiftright("at", PLACE_BITS).alias("block"),
+        F.col("at").bitwiseAND(F.lit((1 << PLACE_BITS) - 1).cast("long")).cast("int").alias("place"),
+        F.col("all").alias("total"),
+    )
+    # A word's first row stands for it, with its count over all blocks.
+    by_ending = rows.filter(F.col("first") == F.col("at")).groupBy(group).agg(F.sum("all").alias("n"), F.count(F.lit(1)).alias("v"))
+    return differs, by_ending
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -453,18 +424,9 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     classes = cluster_endings(pairs.column("cells").to_numpy(), pairs.column("n").to_numpy())
     weights = train_classes(blocks, classes)
 
-    counts = _corpus_counts(blocks)
+    counts, by_ending = _corpus_counts(blocks)
     by_class = np.zeros((2, CLASSES))
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, ENDINGS + 1), np.int64)
-        for batch in batches:
-            for n, v in zip(batch.column("places").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                total += np.frombuffer(n, np.int64), np.frombuffer(v, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (range(ENDINGS + 1), *total)], ["ending", "n", "v"])
-
-    by_ending = counts.filter("block = -1").mapInArrow(summed, "ending long, n long, v long")
-    for row in by_ending.groupBy("ending").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
+    for row in by_ending.collect():  # at most ENDINGS + 1 rows
         by_class[:, classes[row["ending"]]] += row["n"], row["v"]
     n_all, v_all = int(by_class[0].sum()), int(by_class[1].sum())
     model = spark.sparkContext.broadcast((classes, weights, by_class))
@@ -478,8 +440,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         for batch in own.to_batches():
             for i, block in enumerate(_blocks(batch, columns)):
                 count, group = np.array(block["counts"], np.int64), np.asarray(block["endings"])
-                for places, total in zip(more.column("places").to_pylist(), more.column("counts").to_pylist(), strict=True):
-                    count[np.frombuffer(places, "<u4")] = _from_planes8(total)
+                count[more.column("place").to_numpy()] = more.column("total").to_numpy()
                 base = np.log10((count + ADDED) / (n_all + ADDED * (v_all + 1)))
                 cls = classes[group]
                 total, kinds = n_class[cls], v_class[cls]
@@ -502,7 +463,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         return pa.Table.from_batches(found) if found else _no_rows(own)
 
     left = blocks.select(F.col("block").alias("own_block"), "ids", *columns)
-    found = left.groupBy("own_block").cogroup(counts.filter("block >= 0").groupBy("block")).applyInArrow(run, out)
+    found = left.groupBy("own_block").cogroup(counts.groupBy("block")).applyInArrow(run, out)
     return found.select(
         F.col("id").alias(id_col), _held_out().alias("held_out"), "n_tokens", "n_known",
         F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score",
