@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.functions import blocks as B
-from graftwork.operators.scale import Pinned, pinned
+from graftwork.operators.adapters import adapter_models, onto_base
+from graftwork.operators.scale import Pinned, join_on, pin_small, pinned, settle
 from graftwork.operators.sparsify import GROUP, settled_vectors, trim_cutoffs
 
 BLOCK = ("tensor", "block_no")
@@ -30,12 +31,31 @@ AVERAGE, LINEAR, TIES, DARE_TIES = "average", "linear", "ties", "dare_ties"
 METHODS = (AVERAGE, LINEAR, TIES, DARE_TIES)
 
 
-def strip_embeddings(params: DataFrame) -> DataFrame:
-    """Drop full embedding and head weights; low-rank factors of them stay."""
+def strip_embeddings(params: DataFrame, adapters: DataFrame | None = None) -> DataFrame:
+    """Drop full embedding and head weights; low-rank factors of them stay.
+
+    With ``adapters(model)`` only those models lose them: a full model keeps all
+    its tensors.
+    """
     t = F.col("tensor")
     full = t.contains("embed_tokens") | t.contains("lm_head")
     factor = t.contains("lora_A") | t.contains("lora_B")
-    return params.filter(~full | factor)
+    if adapters is None:
+        return params.filter(~full | factor)
+    marked = adapters.select("model", F.lit(True).alias("__adapter")).distinct()
+    rows = params.join(pin_small(marked), "model", "left")
+    return rows.filter(~full | factor | F.col("__adapter").isNull()).drop("__adapter")
+
+
+def adapters_of(recipe: DataFrame, params: DataFrame) -> DataFrame:
+    """The adapters of a recipe: by its ``is_adapter``, or where it says nothing by their tensors."""
+    known = recipe.select("model").distinct()
+    if "is_adapter" not in recipe.columns:
+        return join_on(adapter_models(params), known, ["model"], "left_semi")
+    said = recipe.groupBy("model").agg(F.max("is_adapter").alias("is_adapter"))
+    told = said.filter("is_adapter").select("model")
+    silent = said.filter("is_adapter IS NULL").select("model")
+    return told.unionByName(join_on(adapter_models(params), silent, ["model"], "left_semi"))
 
 
 def normalize_recipe(recipe: DataFrame) -> DataFrame:
@@ -124,9 +144,11 @@ def _subtract():
 
 
 def task_vectors(params: DataFrame, base: DataFrame, value: str = "delta") -> DataFrame:
-    """Single-precision difference to the base model, block by block."""
+    """Single-precision difference to the base model, block by block; a block that the base lacks is an error."""
     b = base.select(*BLOCK, F.col("values_").alias("base_values"))
-    return params.join(b, list(BLOCK)).withColumn(value, _subtract()("values_", "base_values"))
+    known = F.coalesce("base_values", F.raise_error(F.concat(F.lit("the base lacks block "), F.col("block_no"), F.lit(" of "), F.col("tensor"))))
+    rows = params.join(b, list(BLOCK), "left").withColumn("base_values", known.cast("array<float>"))
+    return rows.withColumn(value, _subtract()("values_", "base_values"))
 
 
 def apply_recipe(recipe: DataFrame, params: DataFrame) -> DataFrame:
@@ -278,31 +300,75 @@ def merge(
 ) -> DataFrame:
     """One entry for all methods: validates the recipe, then merges completely or raises.
 
-    Full embedding and head weights are left out of linear and task-vector
-    merges; plain averaging keeps every tensor of the first adapter. Where
-    ``params`` has a ``shape``, models must agree on it and the result carries it.
+    In linear and task-vector merges adapters lose full embedding and head
+    weights; full models keep every tensor, and plain averaging keeps every
+    tensor of the first model. What is an adapter says the recipe's
+    ``is_adapter``, or the tensors of the model. Where ``params`` has a
+    ``shape``, the models of a target must agree on it, tensor by tensor, and
+    the result carries it.
     """
     if method not in METHODS:
         raise ValueError(f"unknown merge method {method!r}; known: {', '.join(METHODS)}")
     if method in (TIES, DARE_TIES) and base is None:
         raise ValueError(f"{method} needs a base model")
     validate_recipe(recipe, params)
+    kept = params if method == AVERAGE else strip_embeddings(params, adapters_of(recipe, params))
     if method == AVERAGE:
-        out = average_params(params, recipe)
+        out = average_params(kept, recipe)
     elif method == LINEAR:
-        out = linear_merge(strip_embeddings(params), recipe, normalize)
+        out = linear_merge(kept, recipe, normalize)
     elif method == TIES:
-        out = ties_merge(strip_embeddings(params), base, recipe, normalize)
+        out = ties_merge(kept, base, recipe, normalize)
     else:
-        out = dare_ties_merge(strip_embeddings(params), base, recipe, seed, normalize)
-    return with_shapes(out, params, recipe) if "shape" in params.columns else out
+        out = dare_ties_merge(kept, base, recipe, seed, normalize)
+    return with_shapes(out, kept, recipe, method == AVERAGE) if "shape" in params.columns else out
+
 
+def merge_onto_base(
+    method: str,
+    params: DataFrame,
+    recipe: DataFrame,
+    base: DataFrame,
+    scales: DataFrame,
+    normalize: bool = True,
+    seed: int = 0,
+) -> DataFrame:
+    """Merge whole models: adapters count as the base with their product added, full models as they are.
 
-def with_shapes(merged: DataFrame, params: DataFrame, recipe: DataFrame) -> DataFrame:
-    """Merged blocks with the shape of their tensor; raises where models disagree."""
-    used = params.join(F.broadcast(recipe.select("model").distinct()) if pinned(recipe) else recipe.select("model").distinct(), "model", "left_semi")
-    shapes = used.filter("shape IS NOT NULL").select("model", "tensor", "shape").distinct()
-    bad = shape_conflicts(shapes).select("tensor").distinct().limit(5).collect()
+    ``scales(model, scale)`` has a row for every adapter of the recipe; its
+    other models are full ones. Factors and base tensors need their ``shape``.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown merge method {method!r}; known: {', '.join(METHODS)}")
+    validate_recipe(recipe, params)
+    used = join_on(scales, recipe.select("model").distinct(), ["model"], "left_semi")
+    whole = onto_base(params, base, used)
+    full = join_on(recipe.select("model").distinct(), used, ["model"], "left_anti")
+    rest = params.join(pin_small(full), "model", "left_semi").select(whole.columns)
+    models = whole.unionByName(rest)
+    if method == AVERAGE:
+        return average_params(models, recipe)
+    if method == LINEAR:
+        return linear_merge(models, recipe, normalize)
+    if method == TIES:
+        return ties_merge(models, base, recipe, normalize)
+    return dare_ties_merge(models, base, recipe, seed, normalize)
+
+
+def with_shapes(merged: DataFrame, params: DataFrame, recipe: DataFrame, first_only: bool = False) -> DataFrame:
+    """Merged blocks with the shape of their tensor; raises where the models of a target disagree.
+
+    A tensor may have other shapes in other targets. Shapes of tensors that a
+    merge drops are not compared: with ``first_only`` those that the target's
+    first model lacks.
+    """
+    members = recipe.select("target", "model", "ord").distinct()
+    shapes = params.filter("shape IS NOT NULL").select("model", "tensor", "shape").distinct()
+    by_target = shapes.join(pin_small(members), "model").groupBy("target", "tensor").agg(
+        F.min("shape").alias("shape"), F.max("shape").alias("other"), F.bool_or(F.col("ord") == 0).alias("first")
+    )
+    by_target = settle(by_target.filter("first") if first_only else by_target)
+    bad = by_target.filter("shape <> other").limit(5).collect()
     if bad:
-        raise ValueError(f"models disagree on the shape of {', '.join(r.tensor for r in bad)}")
-    return merged.join(shapes.groupBy("tensor").agg(F.first("shape").alias("shape")), "tensor", "left")
+        raise ValueError(f"models disagree on the shape of {', '.join(f'{r.tensor} for {r.target}' for r in bad)}")
+    return merged.join(by_target.select("target", "tensor", "shape"), ["target", "tensor"], "left")

@@ -84,6 +84,16 @@ SELECT target, tensor, block_no, pos,
 """
 
 
+_DROPS = f"""h0 AS (SELECT *, (('0x' || substr(md5('{SEED}|' || model || '|' || tensor || '|' || block_no), 1, 8))::UBIGINT
+         + pos::UBIGINT * 2654435769::UBIGINT) % 4294967296::UBIGINT AS h FROM d),
+h1 AS (SELECT * REPLACE ((xor(h, h >> 16) * 2246822507::UBIGINT) % 4294967296::UBIGINT AS h) FROM h0),
+h2 AS (SELECT * REPLACE ((xor(h, h >> 13) * 3266489909::UBIGINT) % 4294967296::UBIGINT AS h) FROM h1),
+h3 AS (SELECT * REPLACE (xor(h, h >> 16) AS h) FROM h2),
+k AS (SELECT target, tensor, block_no, pos, base, weight,
+             CASE WHEN h < FLOOR(density * 4294967296) THEN CAST(delta AS DOUBLE) / density ELSE 0 END AS t
+      FROM r JOIN h3 USING (model)),"""
+
+
 @query(
     "M3_ties_merge",
     "eval_docs_m",
@@ -117,14 +127,7 @@ def ties_whole(docs, params):
     "eval_docs_m",
     "param_blocks",
     sql=f"""WITH {_RECIPE}, {_ELEMENTS}, {_DELTAS},
-h0 AS (SELECT *, (('0x' || substr(md5('{SEED}|' || model || '|' || tensor || '|' || block_no), 1, 8))::UBIGINT
-         + pos::UBIGINT * 2654435769::UBIGINT) % 4294967296::UBIGINT AS h FROM d),
-h1 AS (SELECT * REPLACE ((xor(h, h >> 16) * 2246822507::UBIGINT) % 4294967296::UBIGINT AS h) FROM h0),
-h2 AS (SELECT * REPLACE ((xor(h, h >> 13) * 3266489909::UBIGINT) % 4294967296::UBIGINT AS h) FROM h1),
-h3 AS (SELECT * REPLACE (xor(h, h >> 16) AS h) FROM h2),
-k AS (SELECT target, tensor, block_no, pos, base, weight,
-             CASE WHEN h < FLOOR(density * 4294967296) THEN CAST(delta AS DOUBLE) / density ELSE 0 END AS t
-      FROM r JOIN h3 USING (model)),
+{_DROPS}
 {_SIGNED}""",
 )
 def dare_ties(docs, params):
@@ -169,6 +172,82 @@ k AS (SELECT target, tensor, block_no, pos, base, weight, CAST(delta AS DOUBLE)
 {_SIGNED}""")
 
 
+@query(
+    "M2_merge_full_models",
+    "eval_docs_m",
+    "param_blocks",
+    sql=f"""WITH {_RECIPE}, {_ELEMENTS}
+            SELECT target, tensor, block_no, pos, {_ROUND.format('SUM(v * weight) / SUM(weight)')} AS value
+            FROM r JOIN e USING (model) WHERE NOT contains(tensor, 'lora_') GROUP BY target, tensor, block_no, pos""",
+)
+def full_models(docs, params):
+    """Models without low-rank factors keep embeddings and head."""
+    return elements(M.merge(M.LINEAR, adapters(params).filter(~F.col("tensor").contains("lora_")), recipe(docs)))
+
+
+# Layers of 16 x 16 weights out of four blocks; of the models, m3 is a whole one and
+# the others are adapters of rank 4 with one block for each factor.
+_LAYERED = """
+ly AS (SELECT model, regexp_extract(tensor, 'layers.([0-9]+)', 1) || '.' || (block_no // 4) AS layer, block_no % 4 AS part, pos, v
+      FROM e WHERE tensor LIKE 'layers.%'),
+ly_whole AS (SELECT layer FROM ly GROUP BY layer HAVING COUNT(DISTINCT model || part) = 20),
+ly_rows AS (SELECT ly.* FROM ly JOIN ly_whole USING (layer)),
+ly_base AS (SELECT layer, (part * 64 + pos) // 16 AS i, (part * 64 + pos) % 16 AS j, v FROM ly_rows WHERE model = 'base'),
+ly_product AS (SELECT model, layer, b.pos // 4 AS i, a.pos % 16 AS j, SUM(a.v * b.v) AS p
+       FROM ly_rows a JOIN ly_rows b USING (model, layer)
+       WHERE model NOT IN ('base', 'm3') AND a.part = 0 AND b.part = 1 AND a.pos // 16 = b.pos % 4 GROUP BY ALL),
+ly_models AS (SELECT model, layer, i, j, CAST(ly_base.v + CAST(CAST((CAST(SUBSTR(model, 2) AS INT) + 1) / 4 * p AS FLOAT) AS DOUBLE) AS FLOAT) AS v, ly_base.v AS base
+      FROM ly_product JOIN ly_base USING (layer, i, j)
+      UNION ALL SELECT model, ly_rows.layer, ly_base.i, ly_base.j, CAST(ly_rows.v AS FLOAT), ly_base.v
+      FROM ly_rows JOIN ly_base ON ly_base.layer = ly_rows.layer AND ly_base.i = (part * 64 + pos) // 16 AND ly_base.j = (part * 64 + pos) % 16 WHERE model = 'm3'),
+d AS (SELECT model, 'layers.' || layer || '.weight' AS tensor, (i * 16 + j) // 64 AS block_no, (i * 16 + j) % 64 AS pos, base,
+             CAST(v AS DOUBLE) AS v, CAST(CAST(v AS DOUBLE) - base AS FLOAT) AS delta FROM ly_models)"""
+
+
+def layered(params):
+    """Adapters and one full model, their base, and the scales of the adapters."""
+    rows = params.filter("tensor LIKE 'layers.%'").select(
+        "model", F.concat(F.regexp_extract("tensor", r"layers\.(\d+)", 1), F.lit("."), F.floor(F.col("block_no") / 4)).alias("layer"),
+        (F.col("block_no") % 4).alias("part"), "values_",
+    )
+    whole = rows.groupBy("layer").agg(F.count(F.lit(1)).alias("n")).filter("n = 20").select("layer")
+    rows = rows.join(whole, "layer")
+    shape = lambda a, b: F.array(F.lit(a).cast("bigint"), F.lit(b).cast("bigint")).alias("shape")
+    weight = F.concat(F.lit("layers."), F.col("layer"), F.lit(".weight")).alias("tensor")
+    factor = F.concat(F.lit("base_model.model.layers."), F.col("layer"), F.lit(".lora_"), F.when(F.col("part") == 0, "A").otherwise("B"), F.lit(".weight"))
+    full = rows.select("model", weight, F.col("part").alias("block_no"), "values_", shape(16, 16))
+    pairs = rows.filter("model NOT IN ('base', 'm3') AND part < 2").select(
+        "model", factor.alias("tensor"), F.lit(0).cast("bigint").alias("block_no"), "values_",
+        F.when(F.col("part") == 0, shape(4, 16)).otherwise(shape(16, 4)).alias("shape"),
+    )
+    models = pairs.unionByName(full.filter("model = 'm3'"))
+    scales = pairs.select("model").distinct().withColumn("scale", (F.substring("model", 2, 9).cast("int") + 1) / 4)
+    return models, full.filter("model = 'base'").drop("model"), scales
+
+
+def _adapted(name, method, sql, with_density_=False):
+    @query(name, "eval_docs_m", "param_blocks", sql=f"WITH {_RECIPE}, {_ELEMENTS}, {_LAYERED}{sql}")
+    def through_products(docs, params):
+        models, base, scales = layered(params)
+        rows = with_density(docs) if with_density_ else recipe(docs)
+        return elements(M.merge_onto_base(method, models, rows, base, scales, seed=SEED))
+
+
+_adapted("M2_adapters_linear", M.LINEAR, f"""
+SELECT target, tensor, block_no, pos, {_ROUND.format('SUM(v * weight) / SUM(weight)')} AS value
+FROM r JOIN d USING (model) GROUP BY target, tensor, block_no, pos""")
+_adapted("M3_adapters_ties", M.TIES, f""",
+k AS (SELECT target, tensor, block_no, pos, base, weight,
+             CASE WHEN ROW_NUMBER() OVER (PARTITION BY target, model, tensor ORDER BY ABS(delta) DESC, block_no, pos)
+                       <= FLOOR(density * COUNT(*) OVER (PARTITION BY target, model, tensor))
+                  THEN CAST(delta AS DOUBLE) ELSE 0 END AS t
+      FROM r JOIN d USING (model)),
+{_SIGNED}""", with_density_=True)
+_adapted("M4_adapters_dare_ties", M.DARE_TIES, f""",
+{_DROPS}
+{_SIGNED}""", with_density_=True)
+
+
 _RAGGED = """NOT (model = 'm1' AND block_no = 0) AND NOT (model = 'm2')"""
 _NO_BASE = """NOT (contains(tensor, 'lm_head') AND block_no = 1)"""
 

@@ -49,7 +49,7 @@ def test_block_without_base_fails(spark, method):
 
 def test_merge_entry(spark):
     p = _params(spark, [*FULL, ("a", "embed_tokens", 0), ("b", "embed_tokens", 0)])
-    recipe = spark.createDataFrame(PAIR, RECIPE)
+    recipe = spark.createDataFrame(PAIR, RECIPE).withColumn("is_adapter", F.lit(True))
     kept = {m: {r.tensor for r in M.merge(m, p, recipe, p.filter("model = 'a'").drop("model")).collect()} for m in M.METHODS}
     assert kept[M.AVERAGE] == {"q", "r", "embed_tokens"}
     assert kept[M.LINEAR] == kept[M.TIES] == kept[M.DARE_TIES] == {"q", "r"}
