@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.operators import merging as M
+from graftwork.operators import planning as G
 from graftwork.operators import ranking as R
 from graftwork.operators import timing as T
-from graftwork.plans import chatting, merging
+from graftwork.operators import tokens as K
+from graftwork.plans import chatting, merging, planning
 from graftwork.plans.registry import query
 from graftwork.plans.selection import _LOO, _RANKED
 from graftwork.session import ensure_checkpoint_dir
-from graftwork.sources import datasets, evaluations, params, runs
+from graftwork.sources import datasets, evaluations, listing, params, runs, safetensors
 
 
 def shared_folder(df: DataFrame) -> str:
@@ -193,3 +198,166 @@ def ranking(docs):
 def grouped(m):
     found = m.select("experiment", F.col("grp").alias("group"), F.expr(_RUN).alias("run_dir")).distinct()
     return runs.group_runs(found, "lora").withColumnRenamed("group", "grp")
+
+
+# --- rows on real files and folders -------------------------------------------------
+def _make_tree(entries: DataFrame, root: str) -> str:
+    """Write ``path, kind, bytes, text, target`` entries as folders, files and links, in tasks."""
+    place = re.sub("^file:/+", "/", root)
+
+    def make(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = f"{place}/{row['path']}"
+                os.makedirs(path if row["kind"] == "dir" else os.path.dirname(path), exist_ok=True)
+                if row["kind"] == "link":
+                    os.symlink(row["target"], path)
+                elif row["kind"] == "file":
+                    with open(path, "w", encoding="utf-8") as file:
+                        file.write(row["text"] or "")
+                        file.truncate(row["bytes"] or len((row["text"] or "").encode()))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    empty = {"bytes": "bigint", "text": "string", "target": "string"}
+    for name, kind in empty.items():
+        if name not in entries.columns:
+            entries = entries.withColumn(name, F.lit(None).cast(kind))
+    entries.select("path", "kind", *empty).mapInArrow(make, "n bigint").agg(F.sum("n")).collect()
+    return place
+
+
+_SHAPED = """sizes AS (SELECT model, tensor, COUNT(*) AS n FROM param_blocks GROUP BY model, tensor)"""
+
+
+def _with_shape(p):
+    sizes = p.groupBy("model", "tensor").agg(F.array(F.count(F.lit(1)), F.lit(64).cast("bigint")).alias("shape"))
+    return p.join(sizes, ["model", "tensor"])
+
+
+@query(
+    "S9_read_tensor_files",
+    "param_blocks",
+    sql=f"""WITH {merging._ELEMENTS}, {_SHAPED}
+            SELECT model, tensor, block_no, COUNT(*) AS n, ROUND(SUM(v), 6) + CAST(0 AS DOUBLE) AS total,
+                   any_value(sizes.n) || 'x64' AS shape
+            FROM e JOIN sizes USING (model, tensor) WHERE model IN ('m1', 'm2') GROUP BY model, tensor, block_no""",
+)
+def tensor_files(p):
+    """Every model as one tensor file; two of them read in byte ranges of two blocks."""
+    root = shared_folder(p)
+    safetensors.write_safetensors(_with_shape(p), root, "model")
+    files = {m: f"{root}/{m}/{safetensors.FILE}" for m in ("m1", "m2")}
+    back = safetensors.read_safetensors(p.sparkSession, files, block=64, range_bytes=512)
+    total = F.aggregate("values_", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return back.select(
+        "model", "tensor", "block_no", F.size("values_").cast("bigint").alias("n"), F.round(total, 6).alias("total"),
+        F.array_join("shape", "x").alias("shape"),
+    )
+
+
+@query(
+    "S13_write_tensor_files",
+    "eval_docs_m",
+    "param_blocks",
+    sql=f"""WITH {merging._RECIPE}, {merging._ELEMENTS}
+            SELECT target, tensor, block_no, pos, {merging._ROUND.format('AVG(v)')} AS value
+            FROM r JOIN e USING (model) GROUP BY target, tensor, block_no, pos""",
+)
+def merged_files(docs, p):
+    """Adapters from files, averaged, written as files and read again."""
+    spark, root = p.sparkSession, shared_folder(p)
+    written = safetensors.write_safetensors(_with_shape(p), f"{root}/in", "model")
+    folders = {r["model"]: f"{root}/in/{r['model']}" for r in written.select("model").distinct().collect()}
+    merged = M.merge(M.AVERAGE, safetensors.read_adapters(spark, folders, block=64), merging.recipe(docs))
+    done = safetensors.write_safetensors(merged, f"{root}/out")
+    folders = {r["model"]: f"{root}/out/{r['model']}" for r in done.select("model").distinct().collect()}
+    return merging.elements(safetensors.read_adapters(spark, folders, block=64).withColumnRenamed("model", "target"))
+
+
+@query("S3_checkpoints_of_files", "checkpoint_dirs", sql="""SELECT DISTINCT path, CAST(regexp_extract(path, '/checkpoint-([0-9]+)$', 1) AS BIGINT) AS step
+           FROM checkpoint_dirs WHERE regexp_matches(path, '/checkpoint-[0-9]+$')""")
+def checkpoint_folders(dirs):
+    root = _make_tree(dirs.withColumn("kind", F.lit("dir")), shared_folder(dirs))
+    tree = listing.read_tree(dirs.sparkSession, root)
+    return K.discover_checkpoints(listing.artifacts(tree).filter("is_dir")).select("path", "step")
+
+
+@query("J6_finished_of_files", "grid_parts", sql=f"WITH {planning._DONE_SQL} SELECT job FROM d")
+def finished_folders(parts):
+    """Jobs all of whose parts hold the mark of finished work."""
+    path = F.concat("job", F.lit("/part-"), "part")
+    entries = parts.select(path.alias("path"), F.lit("dir").alias("kind")).unionByName(
+        parts.filter("done").select(F.concat(path, F.lit("/.done")).alias("path"), F.lit("file").alias("kind"))
+    )
+    tree = listing.read_tree(parts.sparkSession, _make_tree(entries, shared_folder(parts)))
+    found = listing.finished_folders(tree).filter(F.col("path").contains("/"))
+    return G.done_jobs(found.select(F.substring_index("path", "/", 1).alias("job"), "done"))
+
+
+@query("J7_retention_of_files", "artifacts", "links", sql=planning._KEPT.format(where="") + "SELECT path, bytes FROM p")
+def retained_folders(artifacts, links):
+    """Folders with weights and a link inside, files beside them, and the links at the top that protect."""
+    inner = lambda name: F.concat("path", F.when(F.col("is_dir"), name).otherwise(""))
+    weights = artifacts.select(inner("/checkpoint-1/weights").alias("path"), F.lit("file").alias("kind"), F.col("bytes").cast("bigint"))
+    nested = artifacts.filter("is_dir").select(inner("/latest").alias("path"), F.lit("link").alias("kind"), F.lit("./checkpoint-1").alias("target"))
+    tops = links.select(F.col("name").alias("path"), F.lit("link").alias("kind"), F.concat(F.lit("./x/../"), "target").alias("target"))
+    # The link's own way leads through a folder that has to be there.
+    way = artifacts.sparkSession.range(1).select(F.lit("x/y").alias("path"), F.lit("dir").alias("kind"))
+    entries = weights.unionByName(nested, True).unionByName(tops, True).unionByName(way, True)
+    tree = listing.read_tree(artifacts.sparkSession, _make_tree(entries, shared_folder(artifacts)))
+    plan = G.retention_plan(listing.artifacts(tree), listing.links(tree), ["lora_*_lr[0-2]_*", "lora_en_lr3_*"])
+    return plan.select("path", "bytes")
+
+
+def _write_results(docs: DataFrame) -> str:
+    """Result documents in folders, and of some models in checkpoint folders under them."""
+    body = F.to_json(F.struct("accuracy", "nll", "model", "dataset")).alias("text")
+
+    def files(rows: DataFrame, sub: str) -> DataFrame:
+        path = F.concat("eval_dir", F.lit(f"{sub}/eval_results.json")).alias("path")
+        return rows.select(path, F.lit("file").alias("kind"), body)
+
+    return _make_tree(files(docs, "").unionByName(files(docs.filter("accuracy > 0.4"), "/checkpoint-3")), shared_folder(docs))
+
+
+@query(
+    "S1_read_result_files",
+    "eval_docs",
+    sql="""SELECT eval_dir, CAST(NULL AS VARCHAR) AS checkpoint_dir, model, dataset, accuracy, nll FROM eval_docs
+           UNION ALL SELECT eval_dir, 'checkpoint-3', model, dataset, accuracy, nll FROM eval_docs WHERE accuracy > 0.4""",
+)
+def result_files(docs):
+    """Result documents in folders and in checkpoint folders under them."""
+    root = _write_results(docs)
+    back = evaluations.read_eval_results(docs.sparkSession, root, "eval_*", include_checkpoints=True)
+    return back.select("eval_dir", "checkpoint_dir", "model", "dataset", "accuracy", "nll")
+
+
+@query(
+    "S2_summary_of_files",
+    "eval_docs",
+    sql="""WITH d AS (SELECT eval_dir, false AS sub, dataset, accuracy FROM eval_docs
+                      UNION ALL SELECT eval_dir, true, dataset, accuracy FROM eval_docs WHERE accuracy > 0.4)
+           SELECT 'all' AS name, eval_dir, dataset, accuracy FROM d
+           UNION ALL SELECT 'ends', eval_dir, dataset, accuracy FROM d WHERE NOT sub AND eval_dir GLOB 'eval_t1*'""",
+)
+def summary_of_files(docs):
+    root = _write_results(docs)
+    back = evaluations.read_eval_results(docs.sparkSession, root, include_checkpoints=True)
+    entry = evaluations.SummaryEntry
+    rows = evaluations.build_summary(back, [entry("all", "eval_*"), entry("ends", "eval_t1*", include_checkpoints=False)])
+    return rows.select("name", "eval_dir", "dataset", "accuracy")
+
+
+@query(
+    "S14_discover_run_files",
+    "run_metrics",
+    sql=f"SELECT DISTINCT experiment, grp, {_RUN} AS run_dir FROM run_metrics WHERE grp = 'lora'",
+)
+def described_runs(m):
+    """Run folders with their descriptions, found by what the descriptions say."""
+    found = m.select("experiment", "grp", F.expr(_RUN).alias("run")).distinct()
+    text = F.format_string("experiment_name: '%s'  # name\nstages:\n  analysis:\n    config:\n      group: %s\n", "experiment", "grp")
+    entries = found.select(F.concat("run", F.lit("/pipeline.yaml")).alias("path"), F.lit("file").alias("kind"), text.alias("text"))
+    runs_ = runs.discover_runs(m.sparkSession, _make_tree(entries, shared_folder(m)), "lora")
+    return runs_.select("experiment", F.col("group").alias("grp"), F.regexp_extract("run_dir", "([^/]+)$", 1).alias("run_dir"))
