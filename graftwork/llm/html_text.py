@@ -7,9 +7,12 @@ the content clusters. The articles that hold them are the content regions, or,
 on a page without, the lowest element that holds them all.
 All lines of a content region are kept, short ones too, except those in
 elements that say they are something else (menus, adverts, forms, comments).
-A class or id says so as a whole, not by one of its words; it says nothing on a
-heading, around an article or around most of the page's dense text, and inside
-a region the ratios decide (comments stay out).
+A class says so by its last word or, for words of one meaning, by its first; an
+id by its whole or by a last word of one meaning. It says nothing on a heading,
+around an article or around most of the page's dense text. Inside a region the
+ratios decide about words of several meanings; comments, adverts and the like
+stay out. A form is left out unless it holds an article or most of the page. Of
+several regions those with less than half the dense text of the largest go.
 """
 
 from __future__ import annotations
@@ -31,11 +34,13 @@ from graftwork.llm.registry import query
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr "
+    "math semantics annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded "
+    "mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover none".split()
 )
 SKIPPED = frozenset(
-    "head title script style noscript template iframe object svg canvas audio video math nav footer aside form button "
-    "select textarea input dialog menu".split()
+    "head title script style noscript template iframe object svg canvas audio video nav footer aside button "
+    "select textarea input dialog menu label datalist annotation annotation-xml".split()
 )
 REGIONS = frozenset(["article", "main"])
 HOLDERS = frozenset("body main article section div td th blockquote center".split())
@@ -56,8 +61,20 @@ ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split()
 )
 
-# Words that a label may come with: "cookie-box" is a label, "has-sidebar" and "related-work" are not.
-FRAMES = frozenset("bar block box buttons container inner item items links list outer panel slot unit wrap wrapper".split())
+# Labels of one meaning, also as the first word of a class or the last of an id.
+SURE = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies consent gdpr "
+    "sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead newsletter subscribe pagination pager popup "
+    "modal".split()
+)
+# Words that a label may come with: "cookie-box" and "ad-slot-top" are labels.
+FRAMES = frozenset(
+    "area bar block body bottom box buttons container content form group inner item items left links list middle outer "
+    "panel right section slot thread top unit widgets wrap wrapper".split()
+)
+# Words of a state: "has-sidebar" and "comments-open" are no labels.
+STATES = frozenset("has hide is js no show with without".split())
+SETTINGS = frozenset("closed disabled enabled off on open".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -74,30 +91,44 @@ class _Element:
 
 
 class _Label:
-    """An element whose class or id says that it is not main text."""
+    """An element that says by its class, id or tag that it is not main text."""
 
-    __slots__ = ("comments", "dense", "holds_region", "in_region", "size")
+    __slots__ = ("dense", "holds_region", "kind", "size")
 
-    def __init__(self, comments, in_region):
-        self.comments, self.in_region, self.holds_region = comments, in_region, False
+    def __init__(self, kind: str):
+        self.kind, self.holds_region = kind, False
         self.size = self.dense = 0
 
-    def is_text(self, dense: int) -> bool:
-        """Whether its lines count as any other; ``dense`` is the size of all dense lines of the page."""
-        if self.comments:
+    def is_text(self, size: int, dense: int) -> bool:
+        """Whether its lines count as any other, by the size of all lines and all dense lines of the page."""
+        if self.kind == "comments":
             return 0 < self.dense == dense
-        if self.in_region:
+        if self.kind == "unsure":
             return 2 * self.dense > self.size
-        return self.holds_region or 2 * self.dense > dense
+        most = 2 * self.dense > dense
+        return self.holds_region or (most and (self.kind != "form" or 2 * self.size > size))
+
 
+def label_words(value: str, is_id: bool = False) -> set[str]:
+    """Labels among the tokens of a class or id.
 
-def label_words(value: str) -> set[str]:
-    """Labels among the tokens of a class or id: all words of a token are labels or frames."""
+    A token is a label if all its words are labels or frames; a class also if
+    its last word but for frames is a label or its first one a sure label, an
+    id if the last one is a sure label. Tokens that name a state are none.
+    """
     found: set[str] = set()
     for token in value.split():
-        own = {w.lower() for w in WORD.findall(token) if not w.isdigit()}
-        if own <= LABELS | HEADERS | FRAMES:
-            found |= own - FRAMES
+        own = [w.lower() for w in WORD.findall(token) if not w.isdigit()]
+        if not own or own[0] in STATES or own[-1] in SETTINGS:
+            continue
+        if LABELS | HEADERS | FRAMES >= set(own):
+            found |= set(own) - FRAMES
+            continue
+        while own[-1] in FRAMES:
+            own.pop()
+        found |= {own[-1]} & (SURE if is_id else LABELS)
+        if not is_id:
+            found |= {own[0]} & SURE
     return found
 
 
@@ -132,9 +163,15 @@ class _Lines(HTMLParser):
         labels: set[str] = set()
         for name, value in attrs:
             if name in ("class", "id"):
-                labels |= label_words(value or "")
-        known = COMMENTS if tag == "article" else LABELS if region else LABELS | HEADERS
-        return _Label(bool(labels & COMMENTS), bool(region)) if labels & known else None
+                labels |= label_words(value or "", name == "id")
+        labels &= COMMENTS if tag == "article" else LABELS if region else LABELS | HEADERS
+        if labels & COMMENTS:
+            return _Label("comments")
+        if tag == "form":
+            return _Label("form")
+        if not labels:
+            return None
+        return _Label("unsure" if region and not labels & SURE else "sure")
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
@@ -228,13 +265,14 @@ def unlabelled(lines: list[tuple]) -> list[tuple]:
     if not any(line[5] for line in lines):
         return lines
     ratios, smooth, least = dense_lines(lines)
-    total = 0
+    size = dense = 0
     for line, good in zip(lines, (smooth >= least) & (ratios >= least) & (ratios > 0), strict=True):
-        total += len(line[0]) * bool(good)
+        size += len(line[0])
+        dense += len(line[0]) * bool(good)
         for label in line[5]:
             label.size += len(line[0])
             label.dense += len(line[0]) * bool(good)
-    return [line for line in lines if all(label.is_text(total) for label in line[5])]
+    return [line for line in lines if all(label.is_text(size, dense) for label in line[5])]
 
 
 def lowest_common(holders: set[int], above: dict[int, int]) -> int:
@@ -259,9 +297,13 @@ def content_lines(lines: list[tuple], above: dict[int, int]) -> list[str]:
     over = (smooth >= least) & (ratios > 0)
     if not over.any():
         over[:] = True
-    regions = {line[3] for line, good in zip(lines, over, strict=True) if good and line[3]}
+    regions: dict[int, int] = {}
+    for line, good in zip(lines, over, strict=True):
+        if good and line[3]:
+            regions[line[3]] = regions.get(line[3], 0) + len(line[0])
     if regions:
-        return [line[0] for line in lines if line[3] in regions]
+        largest = max(regions.values())
+        return [line[0] for line in lines if 2 * regions.get(line[3], 0) >= largest]
     container = lowest_common({line[4] for line, good in zip(lines, over, strict=True) if good}, above)
     inside = {container}
     for holder, around in above.items():  # outer ones come first

@@ -1,6 +1,7 @@
 """Page text against hand-made pages and a plain reading of the given pages."""
 
 import html
+import random
 import re
 
 from graftwork.llm import html_text
@@ -72,3 +73,54 @@ def test_short_parts_without_article():
     page = f"<body><div><a href=/x>x</a></div><div id=content><p>{LONG}</p><p>{LONG}</p>{cells}{verse}<p>{LONG}</p></div><div><a href=/y>y</a></div></body>"
     text = f"{LONG.strip()} {LONG.strip()} a b c d one two three four Linked heading five {LONG.strip()}"
     assert html_text.main_text(page) == text
+
+
+SHORT = LONG.strip()
+
+
+def test_compound_labels_inside_an_article():
+    for name in ("user-comment-list", "reader-comments", "post-share", "site-footer", "ad-slot-top", "article-ad", "articleAd", "comments_area"):
+        page = f"<article><h1>Head</h1><p>{LONG}</p><div class='{name}'><p>Short</p></div><p>{LONG}</p><p>end</p></article>"
+        assert html_text.main_text(page) == f"Head {SHORT} {SHORT} end", name
+    for name in ("reader-comments", "article-ad", "ad-slot-top", "newsletter-signup"):
+        page = f"<article><p>{LONG}</p><p>{LONG}</p><div class='{name}'><p>{LONG}</p></div></article>"
+        assert html_text.main_text(page) == f"{SHORT} {SHORT}", name
+    for name in ("has-sidebar", "comments-open", "no-ads", "lead", "body-text"):
+        page = f"<article><p>{LONG}</p><div class='{name}'><p>Short</p></div><p>{LONG}</p></article>"
+        assert html_text.main_text(page) == f"{SHORT} Short {SHORT}", name
+
+
+def test_forms():
+    around = f"<body><form action=/><div id=c><h1>Head</h1><p>{LONG}</p><p>ok</p><label>Find</label><input><p>{LONG}</p></div></form></body>"
+    assert html_text.main_text(around) == f"Head {SHORT} ok {SHORT}"
+    assert html_text.main_text(f"<form><article><p>One</p></article><p>{LONG}</p></form>") == "One"
+    inside = f"<article><p>{LONG}</p><form><p>Send us your words</p></form><form><p>{LONG}</p></form><p>{LONG}</p></article>"
+    assert html_text.main_text(inside) == f"{SHORT} {SHORT}"
+
+
+def test_formulas_stay_in_their_sentence():
+    formula = "<math><semantics><mrow><msup><mi>x</mi><mn>2</mn></msup><mo>=</mo><mi>y</mi></mrow><annotation encoding=tex>x^2=y</annotation></semantics></math>"
+    assert html_text.main_text(f"<article><p>We see {formula} here.</p></article>") == "We see x2=y here."
+
+
+def test_teasers_beside_the_main_part():
+    main = f"<main><h1>Head</h1><p>{LONG}</p><p>mid</p><p>{LONG}</p></main>"
+    teaser = f"<article><h2>Other</h2><p>{SHORT[:80]}</p></article>"
+    assert html_text.main_text(f"<body>{main}{teaser}{teaser}</body>") == f"Head {SHORT} mid {SHORT}"
+
+
+def test_generated_pages():
+    """Every mix of parts around and inside an article against the list of kept blocks."""
+    rng = random.Random(4)
+    noise = [
+        "<nav><a href=/>Home</a></nav>", "<div class='site-footer'>Foot words</div>", "<div class=ad-slot>Buy it now</div>",
+        "<form><label>Mail</label><input></form>", "<section class=reader-comments><p>I like it</p></section>",
+        "<aside>See also</aside>", "<script>var a = 1;</script>", "<div class='cookie-box'>We use cookies</div>",
+    ]
+    for _ in range(200):
+        blocks = ["Head"] + [rng.choice([SHORT, SHORT[:120], "short", "a &amp; b"]) for _ in range(rng.randint(2, 8))] + [SHORT]
+        inner = "".join(f"<p>{b}</p>" + (rng.choice(noise) if rng.random() < 0.4 else "") for b in blocks)
+        tag = rng.choice(["article", "main"])
+        page = "".join(rng.sample(noise, 3)) + f"<{tag}>{inner}</{tag}>" + "".join(rng.sample(noise, 3))
+        page = rng.choice(["<body>{}</body>", "<body><form>{}</form></body>", "<div class='page has-sidebar'>{}</div>"]).format(page)
+        assert html_text.main_text(page) == " ".join(html.unescape(b) for b in blocks)
