@@ -8,8 +8,11 @@ are compared exactly and the candidates of the tables merged.
 * Equal vectors form one class, so a vector with very many copies is one entry.
 * Buckets are cut into blocks of bounded size on both sides; a block of vectors
   meets a block of queries in one matrix product.
+* Classes are numbered in the order of (smallest id, vector), so two vectors
+  under one id stay apart and ties still go to the smaller id.
 * The number of probes is set by measuring recall for a bounded sample of
-  queries against all vectors; every vector is indexed.
+  queries against all vectors; every vector is indexed. Where too many probes
+  would be needed, buckets get coarser, in the end one bucket for all.
 """
 
 from __future__ import annotations
@@ -73,6 +76,8 @@ def probe_order(place: np.ndarray, most: int) -> list[np.ndarray]:
     moves = sorted(
         [(float(d * d), i, -1) for i, d in enumerate(inside)] + [(float((1 - d) ** 2), i, 1) for i, d in enumerate(inside)]
     )
+    if not moves:
+        return [base]  # no function: all vectors share one cell
     cells, heap = [base], [(moves[0][0], (0,))]
     while heap and len(cells) < most:
         cost, chosen = heapq.heappop(heap)
@@ -191,7 +196,7 @@ def _tuned(classes: DataFrame, queries: DataFrame, n: int, k: int) -> Hashing:
     The sample is at most ``SAMPLE`` queries by a hash of the id; its nearest
     vectors are found among all vectors, in blocks.
     """
-    sample = queries.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(SAMPLE).select("id", "vector").toArrow()
+    sample = queries.orderBy(F.xxhash64(F.lit(SEED), "least"), "id").limit(SAMPLE).select("id", "vector").toArrow()
     functions = max(2, round(math.log2(max(n, 2)) / 2.6))
     if not sample.num_rows:
         return Hashing(functions)
@@ -209,7 +214,7 @@ def _tuned(classes: DataFrame, queries: DataFrame, n: int, k: int) -> Hashing:
     close: dict[int, list] = {}
     for q, v in zip(pairs.column("query").to_pylist(), pairs.column("vector").to_pylist(), strict=True):
         close.setdefault(q, []).append(v)
-    while True:
+    while functions:
         hashing, turns = Hashing(functions), []
         for q, near_q in close.items():
             place = hashing.places(_unit(np.array([own[q]])))[0]
@@ -221,9 +226,10 @@ def _tuned(classes: DataFrame, queries: DataFrame, n: int, k: int) -> Hashing:
             turns.append(first)
         all_turns = np.sort(np.concatenate(turns)) if turns else np.zeros(1, np.int64)
         need = int(all_turns[min(len(all_turns) - 1, math.ceil(TARGET * len(all_turns)) - 1)]) + 1
-        if need <= MAX_PROBES or functions == 1:
-            return Hashing(functions, min(need, MAX_PROBES))
+        if need <= MAX_PROBES:
+            return Hashing(functions, need)
         functions -= 1  # coarser buckets, until the sample is found
+    return Hashing(0, tables=1)  # every query meets every vector, in blocks
 
 
 def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -231,16 +237,20 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
 
     Nearness is the cosine of the original vectors in double precision; ties go
     to the smaller id; a row is no neighbour of itself. Vectors that are null,
-    zero, or hold null or non-finite components take no part, and only vectors
-    of one length are compared. Ids must be unique. Empty tables give no rows.
+    zero, or hold null or non-finite components take no part, nor do rows with a
+    null id, and only vectors of one length are compared. Rows equal in id and
+    vector count once. An id with several vectors has a row for each: each is a
+    neighbour with its own score, of the other ones too, and each asks for a
+    list of its own. Other columns are ignored; empty tables give no rows.
     """
     rows = df.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"),
-        is_query.alias("asks"),
+        F.coalesce(is_query, F.lit(False)).alias("asks"),
     )
     rows = stored(rows, "vectors")
-    classes = stored(rows.groupBy("vector").agg(F.min("id").alias("id"), F.max("asks").alias("asks"), F.count(F.lit(1)).alias("n")), "classes")
-    asked = classes.filter("asks").select("id", "vector")
+    classes = rows.groupBy("vector").agg(F.min("id").alias("least"), F.max("asks").alias("asks"))
+    classes = stored(classes.orderBy("least", "vector").withColumn("id", F.monotonically_increasing_id()), "classes")
+    asked = classes.filter("asks").select("id", "least", "vector")
     hashing = _tuned(classes, asked, classes.count(), k)
 
     index = stored(_hashed(classes, hashing), "index")
@@ -275,19 +285,20 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     merged = stored(merged.select("query", "id", "score"), "merged")
 
     # From classes back to rows: the smallest k + 1 ids of a class are enough for any query.
-    named = rows.join(classes.select("vector", F.col("id").alias("class")), "vector").select("class", "id", "asks")
+    named = rows.join(classes.select("vector", F.col("id").alias("class")), "vector")
+    named = stored(named.groupBy("class", "id").agg(F.max("asks").alias("asks")), "named")
     least = Window.partitionBy("class").orderBy("id")
     members = named.withColumn("r", F.row_number().over(least)).filter(F.col("r") <= k + 1)
     members = stored(members.select("class", "id"), "members")
     asking = stored(named.filter("asks").select(F.col("class").alias("query"), F.col("id").alias("query_id")), "asking")
     lists = (
         merged.join(members.withColumnRenamed("id", "vec_id").withColumnRenamed("class", "id"), "id")
-        .withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
+        .withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "id")))
         .filter(F.col("r") <= k + 1)
         .groupBy("query")
-        .agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score"))).alias("near"))
+        .agg(F.sort_array(F.collect_list(F.struct("r", "vec_id", "score", F.col("id").alias("class")))).alias("near"))
     )
-    near = F.filter("near", lambda x: x["vec_id"] != F.col("query_id"))
+    near = F.filter("near", lambda x: (x["vec_id"] != F.col("query_id")) | (x["class"] != F.col("query")))
     return (
         asking.join(stored(lists, "lists"), "query")
         .select("query_id", F.posexplode(F.slice(near, 1, k)).alias("p", "x"))

@@ -72,3 +72,27 @@ def test_few_or_no_rows(spark):
     (row,) = neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()
     assert (row["query_id"], row["rank"], row["vec_id"]) == (0, 1, 3)
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_repeated_rows_and_ids(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(30)]
+    rows += [rows[0], rows[0], rows[3], (0, [-x for x in rows[0][1]]), (7, rows[9][1]), (None, rows[2][1])]
+    df = spark.createDataFrame([(*r, 2.5, i) for i, r in enumerate(rows)], "vec_id long, embedding array<double>, score double, query_id int")
+    got = neighbours.nearest(df, F.col("vec_id") % 10 == 0).collect()
+    entries = sorted({(i, tuple(v)) for i, v in rows if i is not None})
+    truth = []
+    for q in (e for e in entries if e[0] % 10 == 0):
+        near = [(-float(np.dot(q[1], v) / np.linalg.norm(q[1]) / np.linalg.norm(v)), i) for i, v in entries if (i, v) != q]
+        truth += [(q[0], k + 1, i, round(-s, 9)) for k, (s, i) in enumerate(sorted(near)[:5])]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in got) == sorted(truth)
+
+
+def test_one_bucket_where_probes_do_not_reach(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_PROBES", 1)
+    monkeypatch.setattr(neighbours, "TARGET", 1.0)
+    rng = np.random.default_rng(5)
+    vectors = {i: rng.normal(size=6).tolist() for i in range(200)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(df, F.col("vec_id") % 50 == 0).collect()
+    assert _compare(rows, _brute(vectors, lambda i: i % 50 == 0)) == 1.0
