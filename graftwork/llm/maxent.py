@@ -43,6 +43,7 @@ ADDED = 0.1
 SHARDS = 64
 BLOCK_CHARS = 6_000_000
 BATCH_TOKENS = 32_768
+SHORT = 8
 REMEMBERED = 500_000
 
 # Offsets of the feature groups in the weight table; row 0 is the constant feature.
@@ -154,15 +155,62 @@ def features(t: Texts, classes: np.ndarray) -> np.ndarray:
 
 def log_classes(active: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """(tokens, classes) log probabilities of the next class."""
-    logit = weights[active[0]]
+    logit = weights.take(active[0], axis=0)
     logit += weights[0]
     for row in active[1:]:
-        logit += weights[row]
+        logit += weights.take(row, axis=0)
     logit -= logit.max(axis=1, keepdims=True)
     logit -= np.log(np.exp(logit).sum(axis=1, keepdims=True))
     return logit
 
 
+def _segment_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows of ``values`` from each of ``first`` to the next one.
+
+    Long segments are products with ones; short ones are added place by place,
+    all those that have a row there at once.
+    """
+    size = np.diff(first, append=len(values))
+    sums = np.empty((len(first), values.shape[1]), values.dtype)
+    ones = np.ones(size.max(initial=0), values.dtype)
+    for k in np.flatnonzero(size > SHORT):
+        sums[k] = ones[: size[k]] @ values[first[k] : first[k] + size[k]]
+    short = np.flatnonzero(size <= SHORT)
+    short = short[np.argsort(-size[short], kind="stable")]
+    left, at = size[short], first[short]
+    total = values.take(at, axis=0)
+    for k in range(1, int(left.max(initial=0))):
+        n = int(np.searchsorted(-left, -k, side="left"))
+        total[:n] += values.take(at[:n] + k, axis=0)
+    sums[short] = total
+    return sums
+
+
+def _add_rows(rows: np.ndarray, values: np.ndarray, expected: np.ndarray) -> None:
+    """Add every one of ``values`` to its row."""
+    order = np.argsort(rows, kind="stable")  # a radix sort for 16-bit numbers
+    ordered = rows[order]
+    first = np.flatnonzero(np.diff(ordered.astype(np.int32), prepend=-1))
+    expected[ordered[first]] += _segment_sums(values.take(order, axis=0), first)
+
+
+def _add_expected(part: np.ndarray, chance: np.ndarray, expected: np.ndarray) -> None:
+    """Add the chances of every token's classes to the rows of its features.
+
+    A word and its ending go together, so the chances are first summed by both.
+    """
+    pair, near_end, far_end, last, skip = part
+    _add_rows(pair, chance, expected)
+    for word, tail in ((last, near_end), (skip, far_end)):
+        order = np.argsort(tail, kind="stable")
+        order = order[np.argsort(word[order], kind="stable")]
+        both = word[order].astype(np.int64) << 16 | tail[order]
+        first = np.flatnonzero(np.diff(both, prepend=-1))
+        sums = _segment_sums(chance.take(order, axis=0), first)
+        for feature in (word, tail):
+            _add_rows(feature[order[first]], sums, expected)
+
+
 def gradient(t: Texts, classes: np.ndarray, weights: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> float:
     """Add observed and expected counts of every feature and class; gives the log loss."""
     active, target, loss = features(t, classes), classes[t.ending].astype(np.int64), 0.0
@@ -173,11 +221,8 @@ def gradient(t: Texts, classes: np.ndarray, weights: np.ndarray, observed: np.nd
         chance = np.exp(logs, out=logs)
         expected[0] += chance.sum(axis=0)
         observed[0] += np.bincount(own, minlength=CLASSES)
+        _add_expected(part, chance, expected)
         for row, (low, high) in zip(part, GROUPS, strict=True):
-            order = np.argsort(row, kind="stable")  # a radix sort for 16-bit numbers
-            ordered = row[order]
-            first = np.flatnonzero(np.diff(ordered.astype(np.int32), prepend=-1))
-            expected[ordered[first]] += np.add.reduceat(chance[order], first, axis=0)
             cells = np.bincount((row.astype(np.int64) - low) * CLASSES + own, minlength=(high - low) * CLASSES)
             observed[low:high] += cells.reshape(high - low, CLASSES)
     return loss
