@@ -132,20 +132,35 @@ def task_table(values: DataFrame, cells: DataFrame, by: Sequence[str]) -> DataFr
 
     ``values`` has one ``value`` per (by, seed, task), ``cells`` lists the
     expected (by, task). An empty cell is 0. The average's deviation is taken
-    over the seed averages of seeds that have every task. The values, one row
-    per seed and cell, are read twice and therefore stored once.
+    over the seed averages of seeds that have every task. Tasks and seeds are
+    grouping sets of one pass; what is left, one row per task and seed of a
+    report, meets by report.
     """
-    values = settle(values.select(*by, "seed", "task", "value"))
-    stats = values.groupBy(*by, "task").agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n_seeds")
+    rows = values.select(*by, "seed", "task", "value", F.lit(0).alias("__cell")).unionByName(
+        cells.select(*by, "task", F.lit(1).alias("__cell")), allowMissingColumns=True
+    )
+    sets = rows.groupingSets([[*by, "task"], [*by, "seed"]], *by, "task", "seed").agg(
+        F.grouping("seed").alias("__is_task"),
+        F.avg("value").alias("mean"),
+        F.stddev_pop("value").alias("std"),
+        F.count_if(F.col("__cell") == 0).alias("n_seeds"),
+        F.max("__cell").alias("__cell"),
+    )
+    is_task = F.col("__is_task") == 1
+    report = Window.partitionBy(*by)
+    sets = sets.withColumn("__tasks", F.count_if(is_task & (F.col("__cell") == 1)).over(report))
+    sets = sets.filter(F.when(is_task, F.col("__cell") == 1).otherwise((F.col("n_seeds") > 0) & (F.col("n_seeds") == F.col("__tasks"))))
+    # A task's row stands for itself and counts in the average; a seed's row only does the latter.
+    own = F.when(is_task, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
+    sets = sets.withColumn("__avg", F.explode(own))
+    task = F.when(F.col("__avg"), F.lit(AVG)).otherwise(F.col("task"))
+    seed_mean = F.when(~is_task, F.col("mean"))
+    table = sets.withColumn("task", task).groupBy(*by, "__avg", "task").agg(
+        F.avg(F.when(is_task, F.coalesce("mean", F.lit(0.0)))).alias("mean"),
+        F.when(F.col("__avg"), F.stddev_pop(seed_mean)).otherwise(F.max("std")).alias("std"),
+        F.when(F.col("__avg"), F.count_if(~is_task)).otherwise(F.max("n_seeds")).alias("n_seeds"),
     )
-    full = join_on(cells, stats, [*by, "task"], "left").fillna(0, subset=["mean", "std", "n_seeds"])
-    average = full.groupBy(*by).agg(F.avg("mean").alias("mean"), F.count(F.lit(1)).alias("__tasks"))
-    per_seed = values.groupBy(*by, "seed").agg(F.avg("value").alias("v"), F.count(F.lit(1)).alias("c"))
-    whole = join_on(per_seed, average.drop("mean"), by).filter(F.col("c") == F.col("__tasks"))
-    spread = whole.groupBy(*by).agg(F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("n_seeds"))
-    avg_rows = join_on(average.drop("__tasks"), spread, by, "left").fillna(0, subset=["std", "n_seeds"])
-    return full.unionByName(avg_rows.withColumn("task", F.lit(AVG)))
+    return table.fillna(0, subset=["mean", "std", "n_seeds"]).select(*cells.columns, "mean", "std", "n_seeds")
 
 
 def method_values(df: DataFrame, cfg: ReportConfig, by: Sequence[str] = BY) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graftwork.operators.reports import AVG, BY, ReportConfig, best_lr, first_experiment_tasks, only_shown, training_to_parity
-from graftwork.operators.scale import join_on, settle
+from graftwork.operators.scale import join_on
 
 MEASURES = ("scratch_s", "reuse_s", "ratio")
 
@@ -126,12 +126,13 @@ def timing_facts(
 
 
 def timing_agg(facts: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Mean seconds and ratio per task over seeds, and the mean of seed means."""
-    facts = settle(facts.select(*by, "seed", "task", *MEASURES))
+    """Mean seconds and ratio per task over seeds, and the mean of seed means; one pass over the facts."""
     means = [F.avg(m).alias(m) for m in MEASURES]
-    per_task = facts.groupBy(*by, "task").agg(*means)
-    average = facts.groupBy(*by, "seed").agg(*means).groupBy(*by).agg(*means)
-    return per_task.unionByName(average.withColumn("task", F.lit(AVG)))
+    sets = facts.groupingSets([[*by, "task"], [*by, "seed"]], *by, "task", "seed").agg(F.grouping("task").alias("__avg"), *means)
+    task = F.when(F.col("__avg") == 1, F.lit(AVG)).otherwise(F.col("task"))
+    # A task has one row here, whose mean is itself; the seeds of a report have one each.
+    table = sets.withColumn("task", task).groupBy(*by, "__avg", "task").agg(*means)
+    return table.select(*by, "task", *MEASURES)
 
 
 def combined_timing(

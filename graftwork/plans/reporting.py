@@ -573,10 +573,10 @@ def combined_speed(m):
     return rounded(R.combined_speedup(with_setup(m), CFG), "mean", "std")
 
 
-def _ragged(name: str) -> None:
-    """The same query and SQL over experiments of different shape."""
+def _ragged(name: str, *others: str) -> None:
+    """The same query and SQL over experiments of different shape, and its other tables."""
     fn = FUNCTIONS[name]
-    QUERIES[f"{name}_ragged"] = lambda spark, sf_dir: fn(bind(spark, sf_dir, "run_metrics_ragged"))
+    QUERIES[f"{name}_ragged"] = lambda spark, sf_dir: fn(*[bind(spark, sf_dir, b) for b in ("run_metrics_ragged", *others)])
     ORACLES[f"{name}_ragged"] = ORACLES[name].replace(BINDINGS["run_metrics"], BINDINGS["run_metrics_ragged"], 1)
 
 
@@ -592,3 +592,6 @@ for _name in (
     "W7_converged",
 ):
     _ragged(_name)
+for _name in ("A14_timing", "A19_combined_timing"):
+    _ragged(_name, "job_timing")
+_ragged("A19_combined_speedup")
