@@ -25,6 +25,8 @@ from graftwork.operators.sparsify import GROUP, settled_vectors, trim_cutoffs
 
 BLOCK = ("tensor", "block_no")
 BASE = "__base__"
+# Keys that the blocks of one model are dealt to in a join with a recipe that is not broadcast.
+SHARES = 32
 MODELS_IN_FILTER = 1_000
 MERGED_DDL = "target string, tensor string, block_no bigint, values_ array<float>"
 AVERAGE, LINEAR, TIES, DARE_TIES = "average", "linear", "ties", "dare_ties"
@@ -156,11 +158,19 @@ def apply_recipe(recipe: DataFrame, params: DataFrame) -> DataFrame:
 
     A recipe within the row check is broadcast, so the blocks first meet on
     (tensor, block_no) and are copied to their targets without another
-    shuffle. A larger recipe joins on the model and shuffles the copies.
+    shuffle. A larger recipe joins on the model and a share of its blocks, so a
+    model that most targets use is many keys, and shuffles the copies.
     """
     return _meet(params, pinned(normalize_recipe(recipe)), normalize_recipe(recipe))
 
 
+def _by_model(blocks: DataFrame, models: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the model, whose blocks are dealt to ``SHARES`` keys; ``models`` has a row for each."""
+    share = F.pmod(F.xxhash64(*BLOCK), F.lit(SHARES)).cast("int")
+    dealt = models.withColumn("__share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    return blocks.withColumn("__share", share).join(dealt, ["model", "__share"], how).drop("__share")
+
+
 def _meet(
     blocks: DataFrame, small: Pinned | None, recipe: DataFrame, cuts: DataFrame | None = None
 ) -> DataFrame:
@@ -169,7 +179,7 @@ def _meet(
     if small is not None and (cuts is None or small_cuts is not None):
         rows = blocks.repartition(*BLOCK).join(F.broadcast(small.df), "model")
         return rows if cuts is None else rows.join(F.broadcast(small_cuts.df), list(GROUP), "left")
-    rows = blocks.join(recipe, "model")
+    rows = _by_model(blocks, recipe)
     if cuts is not None:
         rows = rows.join(cuts, list(GROUP), "left")
     return rows.repartition("target", *BLOCK)
@@ -181,7 +191,11 @@ def _selected(params: DataFrame, small: Pinned | None, recipe: DataFrame) -> Dat
         models = sorted(set(small.table.column("model").to_pylist()))
         if len(models) <= MODELS_IN_FILTER:
             return params.filter(F.col("model").isin(models))
-    return params.join(recipe.select("model").distinct(), "model", "left_semi")
+    models = recipe.select("model").distinct()
+    few = pinned(models)
+    if few is not None:
+        return params.join(F.broadcast(few.df), "model", "left_semi")
+    return _by_model(params, models, "left_semi").select(*params.columns)
 
 
 def _sorted_rows(rows: DataFrame, *extra: str) -> DataFrame:

@@ -216,23 +216,119 @@ def write_runs(df: DataFrame, root: str, file: str, run: str = "run") -> list[st
     return sorted(dirs)
 
 
+# A quoted scalar, a plain one up to a comment or (inside brackets) a separator, or one sign of flow style.
+_QUOTED = r'"(?:[^"\\]|\\.)*"|\'(?:[^\']|\'\')*\''
+_FLOW = re.compile(rf"\s*(?:({_QUOTED})|([{{}}\[\],]|:(?=[\s,{{}}\[\]\"']|$))|((?:[^\s,{{}}\[\]:#]|:(?=\S)|(?<=\S)\#|[ \t](?=[^\s,{{}}\[\]:#]))+)|#.*)")
+_SCALAR = re.compile(rf"({_QUOTED})\s*(?:#.*)?$|(.*?)(?:(?:^|\s+)#.*)?$")
+_PROPERTY = re.compile(r"(?:[&!]\S*\s+)+(?=\S)|[&!]\S*$")
+_KEY = re.compile(rf"({_QUOTED}|[^\s#\"'\[\]{{}},-][^#]*?|-\S[^#]*?)\s*:(?:\s+(.*))?$")
+
+
+def _unquoted(text: str) -> str:
+    if text[:1] == "'":
+        return text[1:-1].replace("''", "'")
+    if text[:1] == '"':
+        return re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), text[1:-1])
+    return text
+
+
+def _flow_values(text: str) -> Iterator[tuple[tuple[str, ...], str]]:
+    """Paths and scalars of a flow mapping; what lists hold has no path."""
+    signs = [(m[1] or m[2] or m[3], bool(m[1])) for m in _FLOW.finditer(text) if m[1] or m[2] or m[3]]
+    path: list[str | None] = []
+    opened: list[str] = []
+    key, at_value = None, False
+    for sign, quoted in signs:
+        if not quoted and sign in "{[":
+            path.append(key)
+            opened.append(sign)
+            key, at_value = None, False
+        elif not quoted and sign in "}]":
+            if not opened:
+                return
+            opened.pop()
+            path.pop()
+            key, at_value = None, False
+        elif not quoted and sign == ",":
+            key, at_value = None, False
+        elif not quoted and sign == ":":
+            at_value = True
+        elif at_value and "[" not in opened:
+            yield tuple(k for k in [*path[1:], key] if k is not None), _unquoted(sign)
+        else:
+            key = _unquoted(sign)
+
+
 def yaml_value(text: str, *path: str) -> str | None:
-    """Scalar under nested keys of a block-style YAML text; enough for run descriptions."""
+    """Scalar under nested keys of a YAML mapping, null if there is none.
+
+    Block and flow mappings, quotes, comments, anchors of scalars and aliases
+    to them are read; entries of lists, texts over several lines and documents
+    after the first are passed over.
+    """
     above: list[tuple[int, str]] = []
-    for line in text.splitlines():
-        body = line.split(" #")[0].rstrip()
-        key, colon, value = body.strip().partition(":")
-        if not colon or body.lstrip().startswith("#"):
+    anchors: dict[str, str] = {}
+    lines = text.splitlines()
+    at, folded = 0, None
+    while at < len(lines):
+        line = lines[at].rstrip()
+        at += 1
+        body = line.strip()
+        indent = len(line) - len(line.lstrip())
+        if not body or body.startswith(("#", "%")) or (folded is not None and indent > folded):
+            continue
+        folded = None
+        if body == "---":
+            if above:
+                break
             continue
-        indent = len(body) - len(body.lstrip())
+        if body == "...":
+            break
+        found = _KEY.match(body)
+        if body.startswith("- ") or not found:
+            if body.startswith("-"):
+                folded = indent  # what belongs to an entry lies deeper
+            elif body.startswith("{"):
+                found = None
+            if not body.startswith("{"):
+                continue
         while above and above[-1][0] >= indent:
             above.pop()
-        above.append((indent, key.strip().strip("\"'")))
-        if tuple(k for _, k in above) == path:
-            return value.strip().strip("\"'") or None
+        value = body
+        if found:
+            above.append((indent, _unquoted(found[1])))
+            value = (found[2] or "").strip()
+        here = tuple(k for _, k in above)
+        anchor = re.match(r"(?:!\S*\s+)*&(\S+)", value)
+        value = _PROPERTY.sub("", value, count=1) if value[:1] in ("&", "!") else value
+        if value[:1] in ("|", ">"):
+            folded = indent
+            if here == path:
+                return None
+            continue
+        if value[:1] in ("{", "["):
+            while not _closed(value) and at < len(lines):
+                value += "\n" + lines[at]
+                at += 1
+            for inner, scalar in _flow_values(value):
+                if here + inner == path:
+                    return scalar or None
+            continue
+        quoted, plain = _SCALAR.match(value).groups()
+        scalar = _unquoted(quoted) if quoted else anchors.get(plain[1:], plain) if plain[:1] == "*" else plain
+        if anchor:
+            anchors[anchor[1]] = scalar
+        if here == path and found:
+            return None if not quoted and scalar in ("", "~", "null") else scalar or None
     return None
 
 
+def _closed(flow: str) -> bool:
+    """Whether all brackets outside quotes and comments are closed."""
+    signs = [m[2] for m in _FLOW.finditer(flow) if m[2]]
+    return sum(x in "{[" for x in signs) <= sum(x in "}]" for x in signs)
+
+
 def discover_runs(spark: SparkSession, root: str, group: str = "all") -> DataFrame:
     """Runs under ``root`` by experiment: ``experiment, group, run_dir``.
 

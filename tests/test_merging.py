@@ -94,6 +94,25 @@ def test_unpinned_recipe_gives_the_same(spark, tensors, monkeypatch):
     assert all(np.array_equal(want[k], got[k]) for k in want)
 
 
+def test_large_recipe_spreads_a_hot_model(spark, monkeypatch):
+    monkeypatch.setattr(M, "pinned", lambda df, max_rows=0: None)
+    monkeypatch.setattr(M, "SHARES", 8)
+    blocks = spark.range(400).selectExpr("'hot' AS model", "'w' AS tensor", "id AS block_no", "array(float(id)) AS values_")
+    blocks = blocks.unionByName(spark.range(5).selectExpr("'cold' AS model", "'w' AS tensor", "id AS block_no", "array(float(id)) AS values_"))
+    rec = spark.range(50).selectExpr("concat('t', id) AS target", "'hot' AS model", "id AS ord")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = M._by_model(blocks, rec)
+        assert joined.count() == 400 * 50
+        per_task = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(per_task) > 2 and max(per_task) < 0.7 * sum(per_task)
+        assert M._selected(blocks, None, rec).count() == 400
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def brute_ties(models, base, rows, sparsify):
     out = {}
     for t, blocks in base.items():

@@ -144,3 +144,23 @@ def test_many_runs_from_one_write_job(spark, tmp_path):
     assert {r.seed for r in back} == {f"run {k}" for k in range(100)} and {r["count"] for r in back} == {3}
     with pytest.raises(FileExistsError):
         U.write_runs(rows, f"{tmp_path}/all", "summary/summary.csv")
+
+
+YAMLS = [
+    ("experiment_name: 'a # b'  # c\nstages:\n  analysis:\n    config:\n      group: lora # x\n","a # b","lora"),
+    ("experiment_name: \"q: \\\"z\\\"\"\nstages: {analysis: {config: {group: lora, n: [1, {group: no}]}}}\n",'q: "z"',"lora"),
+    ("---\n# c\nexperiment_name: a#b\nstages:\n  train: {group: wrong}\n  analysis:\n    config: {x: 1,\n      group: 'full # ft' } # t\n","a#b","full # ft"),
+    ("name: &n my run\nexperiment_name: *n\nstages:\n  analysis:\n    steps:\n    - group: wrong\n      config: 1\n    config:\n      note: |\n        group: wrong\n      group: ok\n","my run","ok"),
+    ("stages:\n  other:\n    group: wrong\n",None,None),
+    ("experiment_name:\nstages:\n  analysis:\n    config:\n      group: null\n",None,None),
+    ("\"experiment_name\" : x-1\nstages:\n    analysis :\n        config:\n            group : 'it''s'\n","x-1","it's"),
+    ("{experiment_name: top, stages: {analysis: {config: {group: a b}}}}\n","top","a b"),
+    ("experiment_name: http://x/y\nstages:\n  analysis:\n    config: &c\n      group: g\n","http://x/y","g"),
+    ("",None,None),("{",None,None),("]]}: x",None,None),
+]
+
+
+@pytest.mark.parametrize(("text", "name", "group"), YAMLS)
+def test_values_of_run_descriptions(text, name, group):
+    assert U.yaml_value(text, "experiment_name") == name
+    assert U.yaml_value(text, "stages", "analysis", "config", "group") == group
