@@ -256,7 +256,11 @@ def _points(texts: pa.Array, table: Folding, automaton, curve: tuple[float, ...]
 
 
 def score(df: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, score`` of every row; null and empty texts score as texts without terms."""
+    """``id, score`` of every row; null and empty texts score as texts without terms.
+
+    Rows are scored one by one, so repeated ones and null ids stay as they are;
+    other columns are ignored. An empty table gives no rows.
+    """
     shared = df.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,6 +296,7 @@ def labelled_rows(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, d
     """``id, text, toxic`` of the bounded sample that is learnt from, and all label counts.
 
     The chosen ids are at most ``TOXIC_ROWS + CLEAN_ROWS``, so they are broadcast.
+    One that was chosen under both labels is toxic.
     """
     known = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("id"), "toxic")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -300,7 +305,7 @@ def labelled_rows(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, d
         known.filter(F.col("toxic") == value).orderBy(order, "id").limit(most)
         for value, most in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))
     ]
-    chosen = ids[0].unionByName(ids[1]).dropDuplicates(["id"])
+    chosen = ids[0].unionByName(ids[1]).groupBy("id").agg(F.max("toxic").alias("toxic"))
     texts = documents.select(F.col("doc_id").alias("id"), "text")
     return stored(texts.join(F.broadcast(chosen), "id").select("id", "text", "toxic"), "labelled"), totals
 

@@ -58,3 +58,15 @@ def test_held_out_accuracy(spark):
     caught = sum(a for a, b in hits if b) / sum(b for _, b in hits)
     print(right, caught, len(hits))
     assert right > 0.97 and caught > 0.85
+
+
+def test_both_labels_and_repeated_rows(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.createDataFrame([(i, f"text {i}", "x") for i in ids], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, t) for i in ids for t in ((0, 1) if i % 3 == 0 else (i % 2,))] + [(ids[0], None)], "doc_id long, toxic int")
+    rows, _ = tox.labelled_rows(docs, labels)
+    assert {r["id"]: r["toxic"] for r in rows.collect()} == {i: 1 if i % 3 == 0 else i % 2 for i in ids}
+    lexicon = tox.corpus_lexicon(spark, SF_DIR)
+    twice = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(None, None, "y")], docs.schema))
+    assert tox.score(twice, lexicon).columns == ["doc_id", "score"]
+    assert tox.score(twice, lexicon).count() == len(ids) + 4
