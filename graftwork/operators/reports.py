@@ -422,7 +422,7 @@ def training_curves(df: DataFrame, cfg: ReportConfig, by: Sequence[str] = BY) ->
         *keys, F.lit(0).cast("bigint").alias("step"), pct(F.coalesce("accuracy", F.lit(0.0))).alias("value"),
         F.lit(-1).cast("bigint").alias("row_id"),
     )
-    placed = positions(points.unionByName(first), keys, ["step", "row_id"], "ordinal")
+    placed = positions(settle(points.unionByName(first)), keys, ["step", "row_id"], "ordinal")
     return placed.groupBy(*by, "task", "role", "ordinal").agg(
         F.min_by("step", "seed").alias("step"),
         F.avg("value").alias("mean"),

@@ -23,6 +23,9 @@ from graftwork.session import ensure_checkpoint_dir
 PIN_ROWS = 100_000
 BROADCAST_ROWS = 1_000_000
 RUN_CHUNK = 4_096
+RUN_LEVELS = 1
+# Groups up to this size are never spread over tasks.
+HOT_ROWS = 10_000
 
 
 class Pinned(NamedTuple):
@@ -81,18 +84,52 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
 
 
+def hot_groups(df: DataFrame, keys: Sequence[str]) -> Pinned:
+    """Keys of the groups that are too large for one task, at most one per shuffle partition.
+
+    Every group beyond the list holds less than a task's fair share of the rows,
+    or fewer than ``HOT_ROWS``.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > HOT_ROWS)
+    table = sizes.orderBy(F.col("__n").desc()).limit(most).drop("__n").toArrow()
+    schema = df.select(*keys).schema
+    return Pinned(df.sparkSession.createDataFrame(table, schema=schema) if table.num_rows else df.select(*keys).limit(0), table)
+
+
 def positions(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str = "row_idx"
 ) -> DataFrame:
     """Add the 0-based position of each row inside its group.
 
-    A window would put a whole group into one task. Here the rows are range
-    partitioned by (keys, order), so a group with a third of the table spreads
-    over a third of the tasks; the position is the place inside the task plus
-    the number of earlier rows of the same group. The sorted table goes to the
-    checkpoint folder once, so that both readers (counts and rows) see the same
-    split even after a lost executor. ``order`` must make the group's rows
-    distinct.
+    ``df`` is read twice: its keys are counted first, so pass a stored table
+    where computing it is dear. Groups up to a task's fair share are numbered
+    by a window, one shuffle and nothing stored; the hot ones of
+    :func:`hot_groups` are range partitioned, see :func:`_spread_positions`.
+    ``order`` must make the group's rows distinct.
+    """
+    hot = hot_groups(df, keys)
+    w = Window.partitionBy(*keys).orderBy(*[col(o) for o in order])
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(name, (F.row_number().over(w) - 1).cast("bigint"))
+
+    if not hot.table.num_rows:
+        return windowed(df)
+    few = F.broadcast(hot.df)
+    spread = _spread_positions(join_on(df, few, keys, "left_semi"), keys, order, name)
+    return windowed(join_on(df, few, keys, "left_anti")).unionByName(spread)
+
+
+def _spread_positions(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """:func:`positions` of a few groups of any size.
+
+    The rows are range partitioned by (keys, order), so a group with a third of
+    the table spreads over a third of the tasks; the position is the place
+    inside the task plus the number of earlier rows of the same group. The
+    sorted rows go to the checkpoint folder once, so that both readers (counts
+    and rows) see the same split even after a lost executor. There are at most
+    as many counts as tasks and groups.
     """
     ensure_checkpoint_dir(df.sparkSession)
     sort_cols = [F.col(k) for k in keys] + [col(o) for o in order]
@@ -137,13 +174,36 @@ def first_rows(
     return ranked.withColumn(name, F.col(name).cast("bigint"))
 
 
+def _earlier_sums(totals: DataFrame, keys: Sequence[str], position: str, cols: Sequence[str], levels: int) -> DataFrame:
+    """Exclusive prefix sums ``__b_<col>`` of ``cols``; a list of one key is cut into chunks ``levels`` times."""
+
+    def before(by: Sequence[str], c: str) -> Column:
+        w = Window.partitionBy(*by).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(c).over(w), F.lit(0))
+
+    if not levels:
+        return totals.withColumns({f"__b_{c}": before(keys, c) for c in cols})
+    up = f"{position}_up"
+    chunked = totals.withColumn(up, F.floor(F.col(position) / RUN_CHUNK))
+    upper = chunked.groupBy(*keys, up).agg(*[F.sum(c).alias(c) for c in cols])
+    upper = _earlier_sums(upper, keys, up, cols, levels - 1)
+    upper = upper.select(*keys, up, *[F.col(f"__b_{c}").alias(f"__u_{c}") for c in cols])
+    inside = chunked.withColumns({f"__b_{c}": before([*keys, up], c) for c in cols})
+    joined = join_on(inside, upper, [*keys, up])
+    return joined.withColumns({f"__b_{c}": F.col(f"__b_{c}") + F.col(f"__u_{c}") for c in cols}).drop(
+        up, *[f"__u_{c}" for c in cols]
+    )
+
+
 def running_sums(
-    df: DataFrame, keys: Sequence[str], position: str, sums: dict[str, str]
+    df: DataFrame, keys: Sequence[str], position: str, sums: dict[str, str], levels: int = RUN_LEVELS
 ) -> DataFrame:
     """Inclusive prefix sums over a gap-free integer position.
 
-    Two levels: inside chunks of fixed length, then over the chunk totals, so
-    no task holds more than one chunk or one row per chunk.
+    A tree: inside chunks of fixed length, then over the chunk totals, chunked
+    ``levels`` times in turn. No task holds more than one chunk of rows or
+    totals as long as a key has at most ``RUN_CHUNK ** (levels + 2)`` positions;
+    beyond that only the topmost list is longer.
     """
     chunked = df.withColumn("__chunk", F.floor(F.col(position) / RUN_CHUNK))
     inside = (
@@ -151,15 +211,8 @@ def running_sums(
         .orderBy(position)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = chunked.groupBy(*keys, "__chunk").agg(
-        *[F.sum(src).alias(f"__t_{out}") for src, out in sums.items()]
-    )
-    totals = totals.select(
-        *keys,
-        "__chunk",
-        *[F.coalesce(F.sum(f"__t_{o}").over(before), F.lit(0)).alias(f"__b_{o}") for o in sums.values()],
-    )
+    totals = chunked.groupBy(*keys, "__chunk").agg(*[F.sum(src).alias(out) for src, out in sums.items()])
+    totals = _earlier_sums(totals, keys, "__chunk", list(sums.values()), levels).drop(*sums.values())
     local = chunked.withColumns({out: F.sum(src).over(inside) for src, out in sums.items()})
     joined = join_on(local, totals, [*keys, "__chunk"])
     return joined.withColumns({o: F.col(o) + F.col(f"__b_{o}") for o in sums.values()}).drop(

@@ -123,7 +123,8 @@ def with_batches(
     """Number the samples of each evaluation and cut them into batches."""
     if not order:
         raise ValueError("batches need an explicit sample order")
-    return positions(samples, keys, order, "row_idx").withColumn(
+    # Read twice: for the sizes of the evaluations, and for the numbers.
+    return positions(settle(samples), keys, order, "row_idx").withColumn(
         "batch_id", F.floor(F.col("row_idx") / batch_size)
     )
 
@@ -204,7 +205,7 @@ def early_stop(batches: DataFrame, keys: Sequence[str], min_accuracy: float | No
     """Drop every batch after the first whose running accuracy is too low.
 
     That batch itself still counts. Zero or ``None`` turns the rule off. The
-    running sums are two-level and the stops (one row per evaluation) are
+    running sums are a tree and the stops (one row per evaluation) are
     broadcast if they are few, so a single huge evaluation still spreads.
     """
     if not min_accuracy:

@@ -66,3 +66,47 @@ def test_first_rows_beyond_the_window_threshold(spark):
     for g in "ab":
         want = sorted((r.o, r.id) for r in df.filter(f"g = '{g}'").collect())[:5_000]
         assert [(r.o, r.id) for r in sorted((r for r in rows if r.g == g), key=lambda r: r["rank"])] == want
+
+
+def test_many_small_groups_are_numbered_without_a_stored_copy(spark, monkeypatch):
+    # 200,000 groups, and every hundredth row in one hot group.
+    df = spark.range(600_000).selectExpr("IF(id % 20 = 0, -1, id % 200000) AS g", "id")
+    hot = S.hot_groups(df, ["g"])
+    assert hot.table.to_pydict() == {"g": [-1]}
+    out = S.positions(df, ["g"], [F.col("id").desc()], "p")
+    wrong = out.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p").alias("d"), F.min("p").alias("a"), F.max("p").alias("b"))
+    assert wrong.filter("n <> d OR a <> 0 OR b <> n - 1").count() == 0
+    assert out.filter("g = -1").agg(F.max_by("p", "id")).first()[0] == 0 and out.count() == 600_000
+
+    def stored(self, *args):
+        raise AssertionError("stored")
+
+    monkeypatch.setattr(type(df), "checkpoint", stored)
+    small = S.positions(df.filter("g >= 0"), ["g"], ["id"], "p")
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and small.agg(F.max("p")).first()[0] == 2
+
+
+def test_hot_groups_are_few(spark):
+    df = spark.range(400_000).selectExpr("id % 20 AS g")
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert S.hot_groups(df, ["g"]).table.num_rows == most
+    out = S.positions(df.selectExpr("g", "monotonically_increasing_id() AS i"), ["g"], ["i"], "p")
+    assert {(r.n, r.d, r.b) for r in out.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p").alias("d"), F.max("p").alias("b")).collect()} == {(20_000, 20_000, 19_999)}
+
+
+def test_positions_of_no_rows(spark):
+    assert S.positions(spark.range(0).selectExpr("id AS g", "id"), ["g"], ["id"], "p").count() == 0
+
+
+@pytest.mark.parametrize("levels", [0, 1, 2, 3])
+def test_running_sums_are_a_tree(spark, monkeypatch, levels):
+    # Chunks of four: 1,000 positions of one key are five levels high.
+    monkeypatch.setattr(S, "RUN_CHUNK", 4)
+    df = spark.range(1_000).selectExpr("id % 2 AS k", "id div 2 AS i", "id * id AS x", "1 AS y")
+    rows = S.running_sums(df, ["k"], "i", {"x": "s", "y": "t"}, levels).collect()
+    for k in (0, 1):
+        total = 0
+        for n, r in enumerate(sorted((r for r in rows if r.k == k), key=lambda r: r.i)):
+            total += r.x
+            assert (r.s, r.t) == (total, n + 1)
