@@ -5,16 +5,23 @@ Only suffixes at content-selected positions are retained: positions whose
 share ``LEAST`` words share a retained suffix inside them, at most ``REACH - 1``
 words from the start, and its first ``PREFIX`` words.
 
-1. Retained suffixes are ordered by the hash of their first words; neighbours
-   with an equal prefix in two different texts are kept.
-2. Kept suffixes are extended to the left and right by every alignment of
-   ``LEAST`` words around them, and the extensions compared in the same way.
-3. Equal extensions are joined to maximal passages per document.
-
-Order and comparison are aggregations by hash, so a passage that a third of all
-documents holds is folded in every task before it is shuffled, and no task ever
-holds all its holders. Nothing is capped: every passage of ``LEAST`` words or
-more that two documents (or two places of one) share is found.
+1. Suffixes whose first ``PREFIX`` words (by hash) stand nowhere else have no
+   match; counting the hashes leaves them out.
+2. The others are sorted by their own words, range partitioned, and compared
+   word by word with their neighbours in that order. The longer match bounds how
+   far a suffix reaches to the right; one without a match of ``PREFIX`` words goes.
+3. A suffix is extended to the left and right by those alignments of ``LEAST``
+   words around it that its reach allows. Each alignment belongs to one suffix,
+   the leftmost least hash of its first ``REACH`` places, so it is made once.
+4. Extensions of 128-bit hash are counted; equal ones are joined to maximal
+   passages per document.
+
+The sort ends in the text and the id, so the suffixes of a passage that a third
+of all documents holds spread over tasks. Neighbours in another task or batch
+count as unknown, and such a suffix is extended by all its alignments: that adds
+candidates and loses none. Counting folds in every task before it shuffles.
+Nothing is capped: every passage of ``LEAST`` words or more that two documents
+(or two places of one) share is found.
 """
 
 from __future__ import annotations
@@ -31,11 +38,12 @@ from pyspark.sql import functions as F
 
 from graftwork.llm.common import stored, table
 from graftwork.llm.registry import query
-from graftwork.llm.words import WordCodes, codes_of, power_runs, runs
+from graftwork.llm.words import WordCodes, codes_of, mix, power_runs, runs
 
 LEAST = 50
 GRAM, REACH = 8, 26
 PREFIX = LEAST - REACH + 1
+ROWS = 2_000
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -94,40 +102,117 @@ def _suffix_rows(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, f"id {kind}, body long, n_words int, keys array<long>, places array<int>")
 
 
-def _extended(anchored: DataFrame) -> DataFrame:
-    """``id, body, hashes, starts, again``: extensions of ``LEAST`` words around kept suffixes.
+def alignments(codes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of ``LEAST`` words that belong to a suffix of ``places``, and the suffix of each; both rise.
 
-    One entry per distinct extension of the text, and one with ``again`` for each
-    start at which the text repeats it without overlap.
+    A start belongs to the leftmost least run hash among its first ``REACH``
+    places. That depends on its own words alone, so equal extensions belong to
+    suffixes at the same distance.
     """
+    hashes = runs(codes, GRAM)
+    n = len(codes) - LEAST + 1
+    if n <= 0 or not len(places):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    owner = _sliding(np.arange(len(hashes)), REACH, lambda a, b: np.where(hashes[a] <= hashes[b], a, b))[:n]
+    kept = np.zeros(len(hashes), bool)
+    kept[places] = True
+    starts = np.flatnonzero(kept[owner])
+    return starts, owner[starts]
+
+
+def _plain(word: bytes) -> bytes:
+    """A word as it is sorted: one over 64 bytes by its first 24 and a digest."""
+    return word if len(word) <= 64 else word[:24] + hashlib.blake2b(word, digest_size=16).hexdigest().encode()
+
+
+def _anchored(anchors: DataFrame) -> DataFrame:
+    """One row per kept suffix: its first ``LEAST`` words, and the extensions that belong to it.
+
+    Of equal extensions of a text the first counts, and with ``again`` those at
+    which the text repeats it without overlap.
+    """
+    kind = anchors.schema["id"].dataType.simpleString()
+    fields = "starts array<int>, one array<long>, two array<long>, again array<boolean>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes()
         for batch in batches:
-            hashes, starts, again = [], [], []
-            for text, places in zip(batch.column("text"), batch.column("places"), strict=True):
-                codes = _codes(text.as_py(), known)
-                near = np.array(places.as_py(), np.int64)[:, None] - np.arange(REACH)
-                at = np.unique(near[(near >= 0) & (near + LEAST <= len(codes))])
-                own = power_runs(codes, LEAST)[at].view(np.int64)
-                distinct, first, which = np.unique(own, return_index=True, return_inverse=True)
-                more = at >= at[first][which] + LEAST
-                hashes.append(np.concatenate([distinct, own[more]]))
-                starts.append(np.concatenate([at[first], at[more]]).astype(np.int32))
-                again.append(np.arange(len(distinct) + int(more.sum())) >= len(distinct))
-            cols = [
-                batch.column("id"),
-                batch.column("body"),
-                pa.array(hashes, pa.list_(pa.int64())),
-                pa.array(starts, pa.list_(pa.int32())),
-                pa.array(again, pa.list_(pa.bool_())),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "body", "hashes", "starts", "again"])
+            for i in range(batch.num_rows):
+                found = batch.column("text")[i].as_py().encode().split()
+                codes = codes_of(found, known)
+                at, owner = alignments(codes, np.array(batch.column("places")[i].as_py(), np.int64))
+                one, two = power_runs(codes, LEAST)[at], power_runs(mix(codes), LEAST)[at]
+                _, first, which = np.unique(one, return_index=True, return_inverse=True)
+                again = at >= at[first][which] + LEAST
+                use = again.copy()
+                use[first] = True
+                at, owner, one, two, again = at[use], owner[use], one[use], two[use], again[use]
+                place, begin = np.unique(owner, return_index=True)
+                ends = np.append(begin, len(owner))
+                words = [_plain(w) for w in found]
+                for k in range(0, len(place), ROWS):
+                    part = place[k : k + ROWS]
+                    lists = pa.array(ends[k : k + len(part) + 1] - ends[k], pa.int32())
+                    held = slice(ends[k], ends[k + len(part)])
+                    values = [pa.array(at[held], pa.int32()), pa.array(one[held].view(np.int64)), pa.array(two[held].view(np.int64)), pa.array(again[held])]
+                    cols = [
+                        batch.column("id").take(pa.array(np.full(len(part), i))),
+                        batch.column("body").take(pa.array(np.full(len(part), i))),
+                        pa.array(part, pa.int32()),
+                        pa.array([b" ".join(words[p : p + LEAST]) for p in part.tolist()], pa.binary()),
+                        *[pa.ListArray.from_arrays(lists, v) for v in values],
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols, ["id", "body", "place", "head", "starts", "one", "two", "again"])
+
+    return anchors.select("id", "body", "text", "places").mapInArrow(run, f"id {kind}, body long, place int, head binary, {fields}")
+
+
+def words_shared(a: bytes, b: bytes) -> int:
+    """Number of first words that two space separated texts have in common."""
+    if a == b:
+        return a.count(b" ") + 1
+    size = min(len(a), len(b))
+    differ = int.from_bytes(a[:size], "big") ^ int.from_bytes(b[:size], "big")
+    if differ:
+        return a.count(b" ", 0, size - (differ.bit_length() + 7) // 8)
+    # The shorter one is the beginning of the longer; its last word counts if it ends there too.
+    return max(a, b, key=len).count(b" ", 0, size + 1)
+
+
+def _extended(suffixes: DataFrame) -> DataFrame:
+    """``id, body, starts, one, two, again``: extensions of the sorted suffixes that their reach allows."""
+    kind = suffixes.schema["id"].dataType.simpleString()
+    lists = ("starts", "one", "two", "again")
 
-    kind = anchored.schema["id"].dataType.simpleString()
-    return anchored.select("id", "body", "text", "places").mapInArrow(
-        run, f"id {kind}, body long, hashes array<long>, starts array<int>, again array<boolean>"
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            heads, bodies = batch.column("head").to_pylist(), batch.column("body").to_pylist()
+            places = batch.column("place").to_numpy()
+            # Rows of equal texts at one place are one suffix.
+            marks = list(zip(heads, bodies, places.tolist(), strict=True))
+            first = [i for i in range(len(marks)) if i == 0 or marks[i] != marks[i - 1]]
+            shared = np.full(len(first) + 1, LEAST)
+            shared[1:-1] = [words_shared(heads[a], heads[b]) for a, b in zip(first, first[1:], strict=False)]
+            if marks and before is not None and before != marks[0]:
+                shared[0] = words_shared(before[0], heads[0])
+            before = marks[-1] if marks else before
+            reach = np.repeat(np.maximum(shared[:-1], shared[1:]), np.diff([*first, len(marks)]))
+            reach[reach < PREFIX] = 0
+
+            column = batch.column("starts")
+            sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            starts = column.flatten().to_numpy(zero_copy_only=False)
+            held = starts + LEAST <= places[row] + reach[row]
+            left = np.bincount(row[held], minlength=batch.num_rows)
+            offsets = pa.array(np.r_[0, np.cumsum(left)], pa.int32())
+            mask = pa.array(held, pa.bool_())
+            cut = [pa.ListArray.from_arrays(offsets, batch.column(c).flatten().filter(mask)) for c in lists]
+            out = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), *cut], ["id", "body", *lists])
+            yield out.filter(pa.array(left > 0, pa.bool_()))
+
+    return suffixes.mapInArrow(run, f"id {kind}, body long, starts array<int>, one array<long>, two array<long>, again array<boolean>")
 
 
 def _passages(marked: DataFrame) -> DataFrame:
@@ -200,21 +285,21 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     anchors = suffixes.join(kept, "key", "left_semi").groupBy("id", "body").agg(F.collect_list("place").alias("places"))
     anchors = stored(anchors, "anchors")
-    extended = stored(_extended(anchors.join(texts, "id")), "extended")
+    order = ["head", "body", "place", "id"]
+    array = stored(_anchored(anchors.join(texts, "id")), "suffix-array")
+    extended = stored(_extended(array.repartitionByRange(*order).sortWithinPartitions(*order)), "extended")
 
-    windows = extended.select("id", "body", F.explode(F.arrays_zip("hashes", "starts", "again")).alias("w"))
-    windows = windows.select(
-        "id", "body", F.col("w.hashes").alias("hash"), F.col("w.starts").alias("start"), F.col("w.again").alias("again")
-    )
+    windows = extended.select("id", "body", F.explode(F.arrays_zip("one", "two", "starts", "again")).alias("w"))
+    windows = windows.select("id", "body", "w.one", "w.two", F.col("w.starts").alias("start"), "w.again")
     shared = stored(
-        windows.groupBy("hash")
+        windows.groupBy("one", "two")
         .agg(F.min("body").alias("a"), F.max("body").alias("b"), F.max("again").alias("again"), F.min("id").alias("first_id"))
         .filter("a <> b OR again")
-        .select("hash", "first_id", (F.col("a") != F.col("b")).alias("others")),
+        .select("one", "two", "first_id", (F.col("a") != F.col("b")).alias("others")),
         "shared",
     )
     mark = ["id", "start", "length", "first_id", "extra"]
-    held = windows.drop("body").join(shared, "hash").filter("others OR again").select(
+    held = windows.drop("body").join(shared, ["one", "two"]).filter("others OR again").select(
         "id", "start", F.lit(LEAST).alias("length"), "first_id", (F.col("again") | (F.col("id") != F.col("first_id"))).alias("extra")
     )
     copies = stored(rows.filter(f"n_words >= {LEAST}").groupBy("body", "n_words").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")

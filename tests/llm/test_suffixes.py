@@ -81,3 +81,43 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert suffixes.repeated_passages(df).count() == 0
     assert suffixes.drop_repeats(df).count() == 0
+
+
+def test_words_shared_by_two_texts():
+    rng = random.Random(4)
+    pool = ["a", "ab", "abc", "b", "é", "éa"]
+    for _ in range(3000):
+        a, b = ([rng.choice(pool) for _ in range(rng.randrange(1, 6))] for _ in range(2))
+        want = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert suffixes.words_shared(" ".join(a).encode(), " ".join(b).encode()) == want
+
+
+def test_every_start_belongs_to_one_suffix_at_a_distance_of_its_own_words():
+    rng = random.Random(5)
+    passage = [f"p{rng.randrange(40)}" for _ in range(90)]
+    known = suffixes.WordCodes()
+    owned = []
+    for n in (0, 13, 40):
+        words = [f"x{rng.randrange(900)}" for _ in range(n)] + passage + [f"y{rng.randrange(900)}" for _ in range(30)]
+        codes = suffixes.codes_of([w.encode() for w in words], known)
+        starts, owner = suffixes.alignments(codes, suffixes.retained(codes))
+        assert starts.tolist() == list(range(len(words) - suffixes.LEAST + 1))
+        assert ((owner >= starts) & (owner < starts + suffixes.REACH)).all() and (owner[1:] >= owner[:-1]).all()
+        owned.append([int(owner[n + i] - n) for i in range(len(passage) - suffixes.LEAST + 1)])
+    assert owned[0] == owned[1] == owned[2]
+
+
+def test_common_passages_over_many_tasks(spark, monkeypatch):
+    """Passages and copies that most rows hold, words over 64 bytes, neighbours in other tasks and batches."""
+    rng = random.Random(6)
+    pool = [f"w{i}" for i in range(500)] + ["long" * 30, "long" * 30 + "er"]
+    shared = [[rng.choice(pool) for _ in range(70)] for _ in range(3)]
+    texts = {}
+    for i in range(300):
+        mine = [rng.choice(pool) for _ in range(rng.randrange(30))]
+        texts[i] = " ".join(mine + shared[i % 3][i % 7 :] + mine[::-1])
+    texts |= {i: texts[7] for i in range(300, 420)}
+    monkeypatch.setitem(suffixes.stored.__globals__["BATCH"], "spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    monkeypatch.setattr(suffixes, "ROWS", 2)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert _got(suffixes.repeated_passages(df).collect()) == _brute(texts)
