@@ -13,8 +13,9 @@ words from the start, and its first ``PREFIX`` words.
 3. A suffix is extended to the left and right by those alignments of ``LEAST``
    words around it that its reach allows. Each alignment belongs to one suffix,
    the leftmost least hash of its first ``REACH`` places, so it is made once.
-4. Extensions of 128-bit hash are counted; equal ones are joined to maximal
-   passages per document.
+4. Extensions are counted by a 96-bit hash (once in 1,600 times would any two of
+   10^13 different ones meet); equal ones are joined to
+   maximal passages per document.
 
 The sort ends in the text and the id, so the suffixes of a passage that a third
 of all documents holds spread over tasks. Neighbours in another task or batch
@@ -128,11 +129,11 @@ def _plain(word: bytes) -> bytes:
 def _anchored(anchors: DataFrame) -> DataFrame:
     """One row per kept suffix: its first ``LEAST`` words, and the extensions that belong to it.
 
-    Of equal extensions of a text the first counts, and with ``again`` those at
-    which the text repeats it without overlap.
+    Of equal extensions of a text the first counts, and those at which the text
+    repeats it without overlap. ``starts`` has twice the place, one more for a repeat.
     """
     kind = anchors.schema["id"].dataType.simpleString()
-    fields = "starts array<int>, one array<long>, two array<long>, again array<boolean>"
+    fields = "starts array<int>, one array<long>, two array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes()
@@ -141,12 +142,13 @@ def _anchored(anchors: DataFrame) -> DataFrame:
                 found = batch.column("text")[i].as_py().encode().split()
                 codes = codes_of(found, known)
                 at, owner = alignments(codes, np.array(batch.column("places")[i].as_py(), np.int64))
-                one, two = power_runs(codes, LEAST)[at], power_runs(mix(codes), LEAST)[at]
+                one = power_runs(codes, LEAST)[at].view(np.int64)
+                two = (power_runs(mix(codes), LEAST)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 _, first, which = np.unique(one, return_index=True, return_inverse=True)
                 again = at >= at[first][which] + LEAST
                 use = again.copy()
                 use[first] = True
-                at, owner, one, two, again = at[use], owner[use], one[use], two[use], again[use]
+                starts, owner, one, two = (2 * at + again)[use], owner[use], one[use], two[use]
                 place, begin = np.unique(owner, return_index=True)
                 ends = np.append(begin, len(owner))
                 words = [_plain(w) for w in found]
@@ -154,7 +156,7 @@ def _anchored(anchors: DataFrame) -> DataFrame:
                     part = place[k : k + ROWS]
                     lists = pa.array(ends[k : k + len(part) + 1] - ends[k], pa.int32())
                     held = slice(ends[k], ends[k + len(part)])
-                    values = [pa.array(at[held], pa.int32()), pa.array(one[held].view(np.int64)), pa.array(two[held].view(np.int64)), pa.array(again[held])]
+                    values = [pa.array(starts[held], pa.int32()), pa.array(one[held]), pa.array(two[held])]
                     cols = [
                         batch.column("id").take(pa.array(np.full(len(part), i))),
                         batch.column("body").take(pa.array(np.full(len(part), i))),
@@ -162,7 +164,7 @@ def _anchored(anchors: DataFrame) -> DataFrame:
                         pa.array([b" ".join(words[p : p + LEAST]) for p in part.tolist()], pa.binary()),
                         *[pa.ListArray.from_arrays(lists, v) for v in values],
                     ]
-                    yield pa.RecordBatch.from_arrays(cols, ["id", "body", "place", "head", "starts", "one", "two", "again"])
+                    yield pa.RecordBatch.from_arrays(cols, ["id", "body", "place", "head", "starts", "one", "two"])
 
     return anchors.select("id", "body", "text", "places").mapInArrow(run, f"id {kind}, body long, place int, head binary, {fields}")
 
@@ -180,9 +182,9 @@ def words_shared(a: bytes, b: bytes) -> int:
 
 
 def _extended(suffixes: DataFrame) -> DataFrame:
-    """``id, body, starts, one, two, again``: extensions of the sorted suffixes that their reach allows."""
+    """``id, body, starts, one, two``: extensions of the sorted suffixes that their reach allows."""
     kind = suffixes.schema["id"].dataType.simpleString()
-    lists = ("starts", "one", "two", "again")
+    lists = ("starts", "one", "two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -204,7 +206,7 @@ def _extended(suffixes: DataFrame) -> DataFrame:
             sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(batch.num_rows), sizes)
             starts = column.flatten().to_numpy(zero_copy_only=False)
-            held = starts + LEAST <= places[row] + reach[row]
+            held = starts // 2 + LEAST <= places[row] + reach[row]
             left = np.bincount(row[held], minlength=batch.num_rows)
             offsets = pa.array(np.r_[0, np.cumsum(left)], pa.int32())
             mask = pa.array(held, pa.bool_())
@@ -212,7 +214,7 @@ def _extended(suffixes: DataFrame) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("body"), *cut], ["id", "body", *lists])
             yield out.filter(pa.array(left > 0, pa.bool_()))
 
-    return suffixes.mapInArrow(run, f"id {kind}, body long, starts array<int>, one array<long>, two array<long>, again array<boolean>")
+    return suffixes.mapInArrow(run, f"id {kind}, body long, starts array<int>, one array<long>, two array<int>")
 
 
 def _passages(marked: DataFrame) -> DataFrame:
@@ -289,8 +291,10 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     array = stored(_anchored(anchors.join(texts, "id")), "suffix-array")
     extended = stored(_extended(array.repartitionByRange(*order).sortWithinPartitions(*order)), "extended")
 
-    windows = extended.select("id", "body", F.explode(F.arrays_zip("one", "two", "starts", "again")).alias("w"))
-    windows = windows.select("id", "body", "w.one", "w.two", F.col("w.starts").alias("start"), "w.again")
+    windows = extended.select("id", "body", F.explode(F.arrays_zip("one", "two", "starts")).alias("w"))
+    windows = windows.select(
+        "id", "body", "w.one", "w.two", F.expr("w.starts div 2").cast("int").alias("start"), F.expr("w.starts % 2 = 1").alias("again")
+    )
     shared = stored(
         windows.groupBy("one", "two")
         .agg(F.min("body").alias("a"), F.max("body").alias("b"), F.max("again").alias("again"), F.min("id").alias("first_id"))
