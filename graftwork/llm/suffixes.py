@@ -80,19 +80,18 @@ def _suffix_rows(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes()
         for batch in batches:
-            bodies, sizes, keys, places = [], [], [], []
+            sizes, keys, places = [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 codes = _codes(text, known)
                 at = retained(codes)
                 at = at[at + PREFIX <= len(codes)]
-                bodies.append(int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True))
                 sizes.append(len(codes))
                 keys.append(power_runs(codes, PREFIX)[at].view(np.int64))
                 places.append(at.astype(np.int32))
             cols = [
                 batch.column("id"),
-                pa.array(bodies, pa.int64()),
+                batch.column("body"),
                 pa.array(sizes, pa.int32()),
                 pa.array(keys, pa.list_(pa.int64())),
                 pa.array(places, pa.list_(pa.int32())),
@@ -252,14 +251,15 @@ def _passages(marked: DataFrame) -> DataFrame:
             none = np.empty(0, np.int32)
             cols = [
                 batch.column("id").take(pa.array(rows, pa.int64())),
+                batch.column("body").take(pa.array(rows, pa.int64())),
                 pa.array(np.concatenate([none, *starts]), pa.int32()),
                 pa.array(np.concatenate([none, *stops]), pa.int32()),
                 pa.array(firsts, batch.schema.field("id").type),
                 pa.array(extras, pa.list_(pa.list_(pa.int32()))),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "start", "stop", "first_id", "extra"])
+            yield pa.RecordBatch.from_arrays(cols, ["id", "body", "start", "stop", "first_id", "extra"])
 
-    return marked.mapInArrow(run, f"id {kind}, start int, stop int, first_id {kind}, extra array<array<int>>")
+    return marked.mapInArrow(run, f"id {kind}, body long, start int, stop int, first_id {kind}, extra array<array<int>>")
 
 
 def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,10 +269,18 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id that holds (part of) the passage. ``extra`` are the word ranges
     inside it that a row with a smaller id, or an earlier place of the row,
     holds too. Null, empty and short texts have no passages. Equal texts are
-    passages as a whole. Rows without an id take no part. Other columns are
-    ignored, whatever their names.
+    passages as a whole. Rows without an id take no part. Rows of one id with
+    different texts have passages of their own, and none of them is extra
+    because of another; equal rows count as one. Other columns are ignored,
+    whatever their names.
     """
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
+    return _repeated(df, id_col, text_col).drop("body").withColumnRenamed("id", id_col)
+
+
+def _repeated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """:func:`repeated_passages` with ``body``, the hash of the row's text."""
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("body"))
+    texts = texts.filter("id IS NOT NULL")
     rows = stored(_suffix_rows(texts), "suffixes")
 
     suffixes = rows.select("id", "body", F.explode(F.arrays_zip("keys", "places")).alias("s"))
@@ -288,7 +296,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = suffixes.join(kept, "key", "left_semi").groupBy("id", "body").agg(F.collect_list("place").alias("places"))
     anchors = stored(anchors, "anchors")
     order = ["head", "body", "place", "id"]
-    array = stored(_anchored(anchors.join(texts, "id")), "suffix-array")
+    array = stored(_anchored(anchors.join(texts, ["id", "body"])), "suffix-array")
     extended = stored(_extended(array.repartitionByRange(*order).sortWithinPartitions(*order)), "extended")
 
     windows = extended.select("id", "body", F.explode(F.arrays_zip("one", "two", "starts")).alias("w"))
@@ -302,18 +310,17 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("one", "two", "first_id", (F.col("a") != F.col("b")).alias("others")),
         "shared",
     )
-    mark = ["id", "start", "length", "first_id", "extra"]
-    held = windows.drop("body").join(shared, ["one", "two"]).filter("others OR again").select(
-        "id", "start", F.lit(LEAST).alias("length"), "first_id", (F.col("again") | (F.col("id") != F.col("first_id"))).alias("extra")
+    mark = ["id", "body", "start", "length", "first_id", "extra"]
+    held = windows.join(shared, ["one", "two"]).filter("others OR again").select(
+        "id", "body", "start", F.lit(LEAST).alias("length"), "first_id", (F.col("again") | (F.col("id") != F.col("first_id"))).alias("extra")
     )
     copies = stored(rows.filter(f"n_words >= {LEAST}").groupBy("body", "n_words").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "copies")
     whole = rows.select("id", "body", "n_words").join(copies, ["body", "n_words"]).select(
-        "id", F.lit(0).alias("start"), F.col("n_words").alias("length"), "first_id", (F.col("id") != F.col("first_id")).alias("extra")
+        "id", "body", F.lit(0).alias("start"), F.col("n_words").alias("length"), "first_id", (F.col("id") != F.col("first_id")).alias("extra")
     )
     marks = held.select(mark).unionByName(whole.select(mark))
-    grouped = marks.groupBy("id").agg(F.collect_list(F.struct("start", "length", "first_id", "extra")).alias("marks"))
-    found = _passages(grouped)
-    return found.withColumnRenamed("id", id_col)
+    grouped = marks.groupBy("id", "body").agg(F.collect_list(F.struct("start", "length", "first_id", "extra")).alias("marks"))
+    return _passages(grouped)
 
 
 def cut_words(text: str, ranges: list[list[int]]) -> str:
@@ -329,11 +336,12 @@ def cut_words(text: str, ranges: list[list[int]]) -> str:
 def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with every repeated passage kept in one place only.
 
-    Texts without repeats stay as they are. A row whose whole text is held
+    Texts without repeats stay as they are, as do rows without an id and what
+    only rows of one id share. A row whose whole text is held
     elsewhere goes; one that was empty before stays.
     """
-    found = repeated_passages(df, id_col, text_col)
-    extra = found.filter(F.size("extra") > 0).groupBy(F.col(id_col).alias("__id")).agg(
+    found = _repeated(df, id_col, text_col)
+    extra = found.filter(F.size("extra") > 0).groupBy(F.col("id").alias("__id"), F.col("body").alias("__body")).agg(
         F.sort_array(F.flatten(F.collect_list("extra"))).alias("__extra")
     )
     extra = stored(extra, "extra")
@@ -349,7 +357,7 @@ def drop_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             cols = [pa.array(cut, batch.column(c).type) if c == at else batch.column(c) for c in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = df.join(extra, df[id_col] == extra["__id"], "left").select(*df.columns, "__extra")
+    joined = df.join(extra, (df[id_col] == extra["__id"]) & (F.xxhash64(df[text_col]) == extra["__body"]), "left").select(*df.columns, "__extra")
     return joined.mapInArrow(run, kind)
 
 

@@ -121,3 +121,14 @@ def test_common_passages_over_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "ROWS", 2)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert _got(suffixes.repeated_passages(df).collect()) == _brute(texts)
+
+
+def test_rows_of_one_id(spark):
+    """Different texts of one id keep their own passages; equal rows stay, null ids take no part."""
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = [(1, " ".join(a)), (7, " ".join(["x"] + a)), (7, " ".join(b + ["y", "z"])), (7, " ".join(b + ["q"])), (None, " ".join(a)), (9, " ".join(["w"] + b))]
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string").selectExpr("*", "'c' AS body", "1 AS start")
+    got = sorted((r.doc_id, r.start, r.stop, r.first_id, len(r.extra)) for r in suffixes.repeated_passages(df).collect())
+    assert got == [(1, 0, 60, 1, 0), (7, 0, 60, 7, 0), (7, 0, 60, 7, 0), (7, 1, 61, 1, 1), (9, 1, 61, 7, 1)]
+    left = sorted((r.doc_id or 0, r.text.strip()) for r in suffixes.drop_repeats(df).collect())
+    assert left == sorted([(0, rows[4][1]), (1, rows[0][1]), (1, rows[0][1]), (7, "x"), (7, rows[2][1]), (7, rows[3][1]), (9, "w")])
