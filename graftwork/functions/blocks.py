@@ -215,52 +215,57 @@ def _fold(block: Callable[[Iterator[dict]], np.ndarray | None]):
     return run
 
 
-def average_stream():
-    """Plain mean; the first model decides which blocks exist."""
+def average_stream(partial: bool = False):
+    """Plain mean; the first model decides which blocks exist, or with ``partial`` all models."""
 
     def block(rows: Iterator[dict]) -> np.ndarray | None:
         first = next(rows)
-        if first["ord"] != 0:
+        if first["ord"] != 0 and not partial:
             return None
         total, n = first["values_"].astype(np.float64), 1
         for row in rows:
             total += row["values_"]
             n += 1
-        if n != first["k"]:
-            raise ValueError(f"an adapter lacks block {first['block_no']} of {first['tensor']}")
+        if n > first["k"] or (n < first["k"] and not partial):
+            raise ValueError(f"an adapter {'repeats' if n > first['k'] else 'lacks'} block {first['block_no']} of {first['tensor']}")
         return total / n
 
     return _fold(block)
 
 
-def _check_complete(row: dict, n: int) -> None:
-    if n != row["k"]:
+def _check_complete(row: dict, n: int, partial: bool) -> None:
+    if n > row["k"]:
+        raise ValueError(f"a model repeats block {row['block_no']} of {row['tensor']}")
+    if n < row["k"] and not partial:
         raise ValueError(f"{row['k'] - n} of {row['k']} models lack block {row['block_no']} of {row['tensor']}")
 
 
-def linear_stream(normalize: bool):
+def linear_stream(normalize: bool, partial: bool = False):
     def block(rows: Iterator[dict]) -> np.ndarray:
         total, weights, n = 0.0, 0.0, 0
         for row in rows:
             n += 1
             total = total + row["values_"].astype(np.float64) * row["weight"]
             weights += row["weight"]
-        _check_complete(row, n)
+        _check_complete(row, n, partial)
         return total / weights if normalize and abs(weights) >= WEIGHT_EPS else total
 
     return _fold(block)
 
 
-def sign_election_stream(normalize: bool, sparsify: Callable[[dict, np.ndarray], np.ndarray]):
+def sign_election_stream(normalize: bool, sparsify: Callable[[dict, np.ndarray], np.ndarray], partial: bool = False):
     """Elect a sign per value, average the agreeing side, add it to the base.
 
     Both sides are summed apart with their weights, so one pass over the models
-    is enough: the heavier side wins.
+    is enough: the heavier side wins. With ``partial`` a block that the base
+    lacks is left out.
     """
 
     def block(rows: Iterator[dict]) -> np.ndarray | None:
         base = next(rows)
         if base["ord"] != BASE_ORD:
+            if partial:
+                return None
             raise ValueError(f"the base lacks block {base['block_no']} of {base['tensor']}")
         theta = base["values_"].astype(np.float64)
         up, down, up_w, down_w = (np.zeros_like(theta) for _ in range(4))
@@ -276,7 +281,7 @@ def sign_election_stream(normalize: bool, sparsify: Callable[[dict, np.ndarray],
             down_w += np.where(moved < 0, w, 0.0)
         if not n:  # a block of the base that no model has is not merged
             return None
-        _check_complete(base, n)
+        _check_complete(base, n, partial)
         sign = up + down
         side = np.where(sign > 0, up, np.where(sign < 0, down, 0.0))
         weight = np.where(sign > 0, up_w, np.where(sign < 0, down_w, 0.0))

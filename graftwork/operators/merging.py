@@ -145,9 +145,20 @@ def _subtract():
     return subtract
 
 
-def task_vectors(params: DataFrame, base: DataFrame, value: str = "delta") -> DataFrame:
-    """Single-precision difference to the base model, block by block; a block that the base lacks is an error."""
+def _stored(params: DataFrame, partial: bool) -> DataFrame:
+    """A block without values is one that its model lacks, where a model may lack blocks."""
+    return params.filter(F.size("values_") > 0) if partial else params
+
+
+def task_vectors(params: DataFrame, base: DataFrame, value: str = "delta", partial: bool = False) -> DataFrame:
+    """Single-precision difference to the base model, block by block.
+
+    A block that the base lacks is an error, or with ``partial`` has no difference and is left out.
+    """
+    params, base = _stored(params, partial), _stored(base, partial)
     b = base.select(*BLOCK, F.col("values_").alias("base_values"))
+    if partial:
+        return params.join(b, list(BLOCK)).withColumn(value, _subtract()("values_", "base_values"))
     known = F.coalesce("base_values", F.raise_error(F.concat(F.lit("the base lacks block "), F.col("block_no"), F.lit(" of "), F.col("tensor"))))
     rows = params.join(b, list(BLOCK), "left").withColumn("base_values", known.cast("array<float>"))
     return rows.withColumn(value, _subtract()("values_", "base_values"))
@@ -218,28 +229,30 @@ def _complete(recipe: DataFrame, params: DataFrame) -> DataFrame:
     return _with_counts(normalize_recipe(recipe))
 
 
-def average_params(params: DataFrame, recipe: DataFrame) -> DataFrame:
+def average_params(params: DataFrame, recipe: DataFrame, partial: bool = False) -> DataFrame:
     """Plain element-wise mean of the selected adapters; weights are ignored.
 
     The first adapter decides which blocks exist: blocks only others have are
     dropped, a block it has and another adapter lacks is an error, as is a
-    model without parameters.
+    model without parameters. With ``partial`` every block is the mean of those
+    adapters that have it.
     """
     recipe = _complete(recipe, params)
     small = pinned(recipe)
-    rows = _meet(_selected(params, small, recipe), small, recipe)
-    return _sorted_rows(rows, "k").mapInArrow(B.average_stream(), MERGED_DDL)
+    rows = _meet(_selected(_stored(params, partial), small, recipe), small, recipe)
+    return _sorted_rows(rows, "k").mapInArrow(B.average_stream(partial), MERGED_DDL)
 
 
-def linear_merge(params: DataFrame, recipe: DataFrame, normalize: bool = True) -> DataFrame:
+def linear_merge(params: DataFrame, recipe: DataFrame, normalize: bool = True, partial: bool = False) -> DataFrame:
     """Weighted sum of models, divided by the weight total unless told otherwise.
 
-    Every model must have every block that one of them has.
+    Every model must have every block that one of them has. With ``partial`` a
+    block is summed over those models that have it, and divided by their weights.
     """
     recipe = _complete(recipe, params)
     small = pinned(recipe)
-    rows = _meet(_selected(params, small, recipe), small, recipe)
-    return _sorted_rows(rows, "weight", "k").mapInArrow(B.linear_stream(normalize), MERGED_DDL)
+    rows = _meet(_selected(_stored(params, partial), small, recipe), small, recipe)
+    return _sorted_rows(rows, "weight", "k").mapInArrow(B.linear_stream(normalize, partial), MERGED_DDL)
 
 
 def _with_base(recipe: DataFrame) -> DataFrame:
@@ -269,38 +282,45 @@ def _trims(small: Pinned | None, recipe: DataFrame) -> bool:
     return recipe.filter("density < 1").limit(1).count() > 0
 
 
-def ties_merge(params: DataFrame, base: DataFrame, recipe: DataFrame, normalize: bool = True) -> DataFrame:
+def ties_merge(
+    params: DataFrame, base: DataFrame, recipe: DataFrame, normalize: bool = True, partial: bool = False
+) -> DataFrame:
     """Trim task vectors to their density, elect signs, merge onto the base.
 
     Every model and the base must have every block that one of the models has.
+    With ``partial`` the models that have a block elect its signs, and blocks
+    that the base lacks are left out, before a density is taken.
     """
     recipe = _with_base(_complete(recipe, params))
+    params, base = _stored(params, partial), _stored(base, partial)
     small = pinned(recipe)
     cuts = None
     if _trims(small, recipe):
         source = small.df if small is not None else recipe
         used = source.filter(F.col("density") < 1).select("model", "density").distinct()
-        vectors = task_vectors(_selected(params, small, recipe), base).join(used, "model")
+        vectors = task_vectors(_selected(params, small, recipe), base, partial=partial).join(used, "model")
         cuts = trim_cutoffs(settled_vectors(vectors))
     rows = _meet(_onto_base(params, base, small, recipe), small, recipe, cuts)
     if cuts is None:
-        stream = B.sign_election_stream(normalize, B.keep_all)
+        stream = B.sign_election_stream(normalize, B.keep_all, partial)
         return _sorted_rows(rows, "weight", "k").mapInArrow(stream, MERGED_DDL)
-    stream = B.sign_election_stream(normalize, B.keep_largest)
+    stream = B.sign_election_stream(normalize, B.keep_largest, partial)
     return _sorted_rows(rows, "weight", "k", "density", "mag", "tie_block", "tie_left").mapInArrow(stream, MERGED_DDL)
 
 
 def dare_ties_merge(
-    params: DataFrame, base: DataFrame, recipe: DataFrame, seed: int = 0, normalize: bool = True
+    params: DataFrame, base: DataFrame, recipe: DataFrame, seed: int = 0, normalize: bool = True, partial: bool = False
 ) -> DataFrame:
     """Drop task-vector values at random, rescale the rest, then elect signs.
 
     Every model and the base must have every block that one of the models has.
+    With ``partial`` the models that have a block elect its signs, and blocks
+    that the base lacks are left out.
     """
     recipe = _with_base(_complete(recipe, params))
     small = pinned(recipe)
-    rows = _meet(_onto_base(params, base, small, recipe), small, recipe)
-    stream = B.sign_election_stream(normalize, B.random_dropper(seed))
+    rows = _meet(_onto_base(_stored(params, partial), _stored(base, partial), small, recipe), small, recipe)
+    stream = B.sign_election_stream(normalize, B.random_dropper(seed), partial)
     return _sorted_rows(rows, "weight", "k", "density", "model").mapInArrow(stream, MERGED_DDL)
 
 
@@ -311,9 +331,14 @@ def merge(
     base: DataFrame | None = None,
     normalize: bool = True,
     seed: int = 0,
+    partial: bool = False,
 ) -> DataFrame:
     """One entry for all methods: validates the recipe, then merges completely or raises.
 
+    With ``partial`` models may lack blocks that others have: a block is merged
+    from the models that have it, and left out where a method needs a base that
+    lacks it. Their tensors may then differ in the number of rows.
+
     In linear and task-vector merges adapters lose full embedding and head
     weights; full models keep every tensor, and plain averaging keeps every
     tensor of the first model. What is an adapter says the recipe's
@@ -328,14 +353,14 @@ def merge(
     validate_recipe(recipe, params)
     kept = params if method == AVERAGE else strip_embeddings(params, adapters_of(recipe, params))
     if method == AVERAGE:
-        out = average_params(kept, recipe)
+        out = average_params(kept, recipe, partial)
     elif method == LINEAR:
-        out = linear_merge(kept, recipe, normalize)
+        out = linear_merge(kept, recipe, normalize, partial)
     elif method == TIES:
-        out = ties_merge(kept, base, recipe, normalize)
+        out = ties_merge(kept, base, recipe, normalize, partial)
     else:
-        out = dare_ties_merge(kept, base, recipe, seed, normalize)
-    return with_shapes(out, kept, recipe, method == AVERAGE) if "shape" in params.columns else out
+        out = dare_ties_merge(kept, base, recipe, seed, normalize, partial)
+    return with_shapes(out, kept, recipe, method == AVERAGE and not partial, partial) if "shape" in params.columns else out
 
 
 def merge_onto_base(
@@ -369,20 +394,25 @@ def merge_onto_base(
     return dare_ties_merge(models, base, recipe, seed, normalize)
 
 
-def with_shapes(merged: DataFrame, params: DataFrame, recipe: DataFrame, first_only: bool = False) -> DataFrame:
+def with_shapes(
+    merged: DataFrame, params: DataFrame, recipe: DataFrame, first_only: bool = False, partial: bool = False
+) -> DataFrame:
     """Merged blocks with the shape of their tensor; raises where the models of a target disagree.
 
     A tensor may have other shapes in other targets. Shapes of tensors that a
     merge drops are not compared: with ``first_only`` those that the target's
-    first model lacks.
+    first model lacks. With ``partial`` they may differ in the first dimension,
+    and the largest one counts.
     """
+    inner = F.slice("shape", 2, F.greatest(F.size("shape") - 1, F.lit(0)))
+    agreed = F.struct(F.size("shape"), inner) if partial else F.col("shape")
     members = recipe.select("target", "model", "ord").distinct()
     shapes = params.filter("shape IS NOT NULL").select("model", "tensor", "shape").distinct()
     by_target = shapes.join(pin_small(members), "model").groupBy("target", "tensor").agg(
-        F.min("shape").alias("shape"), F.max("shape").alias("other"), F.bool_or(F.col("ord") == 0).alias("first")
+        F.max("shape").alias("shape"), (F.min(agreed) != F.max(agreed)).alias("differ"), F.bool_or(F.col("ord") == 0).alias("first")
     )
     by_target = settle(by_target.filter("first") if first_only else by_target)
-    bad = by_target.filter("shape <> other").limit(5).collect()
+    bad = by_target.filter("differ").limit(5).collect()
     if bad:
         raise ValueError(f"models disagree on the shape of {', '.join(f'{r.tensor} for {r.target}' for r in bad)}")
     return merged.join(by_target.select("target", "tensor", "shape"), ["target", "tensor"], "left")

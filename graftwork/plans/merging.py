@@ -310,7 +310,7 @@ def stripped(params):
             SELECT model, tensor, block_no, pos, ROUND(CAST(delta AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS delta FROM d""",
 )
 def vectors(params):
-    out = M.task_vectors(adapters(params), base_of(params))
+    out = M.task_vectors(adapters(params), base_of(params), partial=True)
     long = out.select("model", "tensor", "block_no", F.posexplode("delta").alias("pos", "d"))
     return long.select(
         "model", "tensor", "block_no", F.col("pos").cast("bigint").alias("pos"),
