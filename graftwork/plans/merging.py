@@ -57,7 +57,7 @@ def elements(merged):
             FROM r JOIN e USING (model) GROUP BY target, tensor, block_no, pos""",
 )
 def average(docs, params):
-    return elements(M.average_params(params, recipe(docs)))
+    return elements(M.average_params(params, recipe(docs), partial=True))
 
 
 @query(
