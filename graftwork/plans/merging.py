@@ -158,7 +158,7 @@ def _entry(name, method, sql, with_density_=False):
     @query(name, "eval_docs_m", "param_blocks", sql=f"SELECT * FROM ({sql}) s WHERE {_STRIPPED}" if method != M.AVERAGE else sql)
     def through_entry(docs, params):
         rows = with_density(docs) if with_density_ else recipe(docs)
-        return elements(M.merge(method, adapters(params), rows, base_of(params), seed=SEED))
+        return elements(M.merge(method, adapters(params), rows, base_of(params), seed=SEED, partial=True))
 
 
 _entry("M1_merge_average", M.AVERAGE, f"""WITH {_RECIPE}, {_ELEMENTS}

@@ -13,6 +13,9 @@ from graftwork.sources import safetensors as S
 RAGGED = (
     "J10_task_vectors",
     "M1_average_params",
+    "M1_merge_average",
+    "M2_merge_linear",
+    "M3_merge_ties",
 )
 DDL = "model string, tensor string, block_no bigint, values_ array<float>"
 
