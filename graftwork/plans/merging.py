@@ -69,7 +69,7 @@ def average(docs, params):
             FROM r JOIN e USING (model) GROUP BY target, tensor, block_no, pos""",
 )
 def linear(docs, params):
-    return elements(M.linear_merge(params, recipe(docs)))
+    return elements(M.linear_merge(params, recipe(docs), partial=True))
 
 
 _SIGNED = """
@@ -182,7 +182,7 @@ k AS (SELECT target, tensor, block_no, pos, base, weight, CAST(delta AS DOUBLE)
 )
 def full_models(docs, params):
     """Models without low-rank factors keep embeddings and head."""
-    return elements(M.merge(M.LINEAR, adapters(params).filter(~F.col("tensor").contains("lora_")), recipe(docs)))
+    return elements(M.merge(M.LINEAR, adapters(params).filter(~F.col("tensor").contains("lora_")), recipe(docs), partial=True))
 
 
 # Layers of 16 x 16 weights out of four blocks; of the models, m3 is a whole one and

@@ -16,6 +16,8 @@ RAGGED = (
     "M1_merge_average",
     "M2_merge_linear",
     "M3_merge_ties",
+    "M2_linear_merge",
+    "M2_merge_full_models",
 )
 DDL = "model string, tensor string, block_no bigint, values_ array<float>"
 
