@@ -107,7 +107,7 @@ k AS (SELECT target, tensor, block_no, pos, base, weight,
 {_SIGNED}""",
 )
 def ties(docs, params):
-    return elements(M.ties_merge(adapters(params), base_of(params), with_density(docs)))
+    return elements(M.ties_merge(adapters(params), base_of(params), with_density(docs), partial=True))
 
 
 @query(

@@ -18,6 +18,7 @@ RAGGED = (
     "M3_merge_ties",
     "M2_linear_merge",
     "M2_merge_full_models",
+    "M3_ties_merge",
 )
 DDL = "model string, tensor string, block_no bigint, values_ array<float>"
 
