@@ -119,7 +119,7 @@ k AS (SELECT target, tensor, block_no, pos, base, weight, CAST(delta AS DOUBLE)
 {_SIGNED}""",
 )
 def ties_whole(docs, params):
-    return elements(M.ties_merge(adapters(params), base_of(params), recipe(docs)))
+    return elements(M.ties_merge(adapters(params), base_of(params), recipe(docs), partial=True))
 
 
 @query(
