@@ -131,7 +131,7 @@ def ties_whole(docs, params):
 {_SIGNED}""",
 )
 def dare_ties(docs, params):
-    return elements(M.dare_ties_merge(adapters(params), base_of(params), with_density(docs), SEED))
+    return elements(M.dare_ties_merge(adapters(params), base_of(params), with_density(docs), SEED, partial=True))
 
 
 @query(
