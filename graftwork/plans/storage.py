@@ -148,7 +148,7 @@ def merged(docs, p):
     """All merged targets, written into the store that holds the adapters, and the adapters after it."""
     root = shared_folder(p)
     params.write_params(p, root, "model")
-    params.write_params(M.average_params(p, merging.recipe(docs)), root)
+    params.write_params(M.average_params(p, merging.recipe(docs), partial=True), root)
     return merging.elements(params.read_params(p.sparkSession, root).withColumnRenamed("model", "target"))
 
 

@@ -21,6 +21,7 @@ RAGGED = (
     "M3_ties_merge",
     "M3_ties_merge_untrimmed",
     "M4_dare_ties_merge",
+    "S13_write_params",
 )
 DDL = "model string, tensor string, block_no bigint, values_ array<float>"
 
