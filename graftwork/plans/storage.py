@@ -268,7 +268,7 @@ def merged_files(docs, p):
     spark, root = p.sparkSession, shared_folder(p)
     written = safetensors.write_safetensors(_with_shape(p), f"{root}/in", "model")
     folders = {r["model"]: f"{root}/in/{r['model']}" for r in written.select("model").distinct().collect()}
-    merged = M.merge(M.AVERAGE, safetensors.read_adapters(spark, folders, block=64), merging.recipe(docs))
+    merged = M.merge(M.AVERAGE, safetensors.read_adapters(spark, folders, block=64), merging.recipe(docs), partial=True)
     done = safetensors.write_safetensors(merged, f"{root}/out")
     folders = {r["model"]: f"{root}/out/{r['model']}" for r in done.select("model").distinct().collect()}
     return merging.elements(safetensors.read_adapters(spark, folders, block=64).withColumnRenamed("model", "target"))
