@@ -338,7 +338,7 @@ def selected_blocks(docs, params):
             SELECT model, tensor, block_no, pos, ROUND(CAST(delta AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS delta FROM w WHERE rn <= FLOOR(0.2 * n)""",
 )
 def trimmed(params):
-    vectors_ = M.task_vectors(adapters(params), base_of(params)).withColumn("density", F.lit(0.2))
+    vectors_ = M.task_vectors(adapters(params), base_of(params), partial=True).withColumn("density", F.lit(0.2))
     long = trim(vectors_).select("model", "tensor", "block_no", F.posexplode("delta").alias("pos", "d"))
     return long.filter("d <> 0").select(
         "model", "tensor", "block_no", F.col("pos").cast("bigint").alias("pos"),
