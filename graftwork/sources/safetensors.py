@@ -2,8 +2,8 @@
 
 A file is the length of its header, a JSON header with type, shape and place of
 every tensor, and the raw values. The driver reads headers only. Values are read
-in byte ranges of bounded size, one task each, so a tensor of any size is split;
-small tensors of a file share a task. A file is written by one task as a stream
+in byte ranges of bounded size, so a tensor of any size is split; small tensors
+of a file share a task, as do ranges too small to be worth one each. A file is written by one task as a stream
 of blocks; a model larger than ``shard_bytes`` becomes several files.
 """
 
@@ -25,12 +25,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.window import Window
 
-from graftwork.functions.blocks import FLOATS, groups_of, rows_of
+from graftwork.functions.blocks import FLOATS, Emitter, groups_of, rows_of
 from graftwork.operators import merging
 from graftwork.operators.scale import settle
 
 BLOCK = 65_536
 RANGE_BYTES = 32 * 2**20
+READ_BYTES = 4 * 2**20
+# Tasks beyond which small ranges share one, up to RANGE_BYTES a task.
+TASKS = 200
 SHARD_BYTES = 5 * 2**30
 HEADER_BYTES = 100 * 2**20
 FILE = "adapter_model.safetensors"
@@ -114,21 +117,25 @@ class SafetensorsReader(DataSourceReader):
         self.block, self.limit = int(options["block"]), int(options["range"])
 
     def partitions(self) -> Sequence[InputPartition]:
-        out = []
+        found = []
         for model, path in self.files:
             system, place = _filesystem(path)
             info = system.get_file_info(place)
             if info.type != pafs.FileType.File:
                 raise FileNotFoundError(path)
             with system.open_input_file(place) as file:
-                tensors = read_header(file, info.size, path)
+                found.append((model, path, read_header(file, info.size, path)))
+        total = sum(t.count * np.dtype(TYPES[t.kind]).itemsize for _, _, tensors in found for t in tensors)
+        share = max(self.limit, min(RANGE_BYTES, -(-total // TASKS)))
+        out = []
+        for model, path, tensors in found:
             parts, size = [], 0
             for t in tensors:
                 width = np.dtype(TYPES[t.kind]).itemsize
-                step = max(1, self.limit // (self.block * width)) * self.block
+                step = max(1, share // (self.block * width)) * self.block
                 for at in range(0, t.count, step):
                     n = min(step, t.count - at)
-                    if parts and size + n * width > self.limit:
+                    if parts and size + n * width > share:
                         out.append(Range(model, path, parts))
                         parts, size = [], 0
                     parts.append((t, at // self.block, n))
@@ -139,16 +146,21 @@ class SafetensorsReader(DataSourceReader):
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         system, place = _filesystem(partition.path)
+        out = Emitter(BLOCKS)
         with system.open_input_file(place) as file:
             for t, first, n in partition.parts:
                 width = np.dtype(TYPES[t.kind]).itemsize
-                for k in range(0, n, self.block):
-                    take = min(self.block, n - k)
-                    raw = file.read_at(take * width, t.begin + (first * self.block + k) * width)
+                step = max(1, min(self.limit, READ_BYTES) // (self.block * width)) * self.block
+                for at in range(0, n, step):
+                    take = min(step, n - at)
+                    raw = file.read_at(take * width, t.begin + (first * self.block + at) * width)
                     if len(raw) != take * width:
                         raise ValueError(f"{partition.path} ends before the values of {t.name}")
-                    row = [partition.model], [t.name], [first + k // self.block], [floats(raw, t.kind)], [t.shape]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
+                    values = floats(raw, t.kind)
+                    for k in range(0, take, self.block):
+                        number = first + (at + k) // self.block
+                        yield from out.add(partition.model, t.name, number, values[k : k + self.block], t.shape)
+        yield from out.flush()
 
 
 class SafetensorsSource(DataSource):
