@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import uuid
 
 import pyarrow as pa
@@ -201,31 +202,95 @@ def grouped(m):
 
 
 # --- rows on real files and folders -------------------------------------------------
-def _make_tree(entries: DataFrame, root: str) -> str:
-    """Write ``path, kind, bytes, text, target`` entries as folders, files and links, in tasks."""
+# Entries of a tree that one task makes, and that lie on the disk at once.
+TASK_ENTRIES = 10_000
+SLICE_ENTRIES = 400_000
+
+
+def _filled(entries: DataFrame) -> DataFrame:
+    empty = {"bytes": "bigint", "text": "string", "target": "string"}
+    for name, kind in empty.items():
+        if name not in entries.columns:
+            entries = entries.withColumn(name, F.lit(None).cast(kind))
+    return entries.select("path", "kind", *empty)
+
+
+def _make_tree(entries: DataFrame, root: str, count: int | None = None) -> str:
+    """Write ``path, kind, bytes, text, target`` entries as folders, files and links, in tasks of bounded size."""
     place = re.sub("^file:/+", "/", root)
 
     def make(batches):
+        last = None
         for batch in batches:
             for row in batch.to_pylist():
                 path = f"{place}/{row['path']}"
-                os.makedirs(path if row["kind"] == "dir" else os.path.dirname(path), exist_ok=True)
+                folder = path if row["kind"] == "dir" else os.path.dirname(path)
+                if folder != last:
+                    os.makedirs(folder, exist_ok=True)
+                    last = folder
                 if row["kind"] == "link":
                     os.symlink(row["target"], path)
                 elif row["kind"] == "file":
-                    with open(path, "w", encoding="utf-8") as file:
-                        file.write(row["text"] or "")
-                        file.truncate(row["bytes"] or len((row["text"] or "").encode()))
+                    text = (row["text"] or "").encode()
+                    with open(path, "wb", buffering=0) as file:
+                        file.write(text)
+                        file.truncate(row["bytes"] or len(text))
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    empty = {"bytes": "bigint", "text": "string", "target": "string"}
-    for name, kind in empty.items():
-        if name not in entries.columns:
-            entries = entries.withColumn(name, F.lit(None).cast(kind))
-    entries.select("path", "kind", *empty).mapInArrow(make, "n bigint").agg(F.sum("n")).collect()
+    entries = _filled(entries)
+    tasks = max(1, -(-(entries.count() if count is None else count) // TASK_ENTRIES))
+    ready = entries.repartitionByRange(tasks, "path").sortWithinPartitions("path")
+    ready.mapInArrow(make, "n bigint").agg(F.sum("n")).collect()
     return place
 
 
+def _remove_tree(entries: DataFrame, place: str) -> None:
+    """Remove what :func:`_make_tree` made of the entries, in tasks."""
+
+    def remove(batches):
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                path = f"{place}/{name}"
+                if os.path.isdir(path) and not os.path.islink(path):
+                    shutil.rmtree(path)
+                elif os.path.lexists(path):
+                    os.unlink(path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    tops = entries.select(F.substring_index("path", "/", 1).alias("name")).distinct()
+    tops.repartition(entries.sparkSession.sparkContext.defaultParallelism).mapInArrow(remove, "n bigint").agg(F.sum("n")).collect()
+    os.rmdir(place)
+
+
+def _listed_tree(entries: DataFrame, slice_entries: int | None = None) -> DataFrame:
+    """The listing of the tree of ``entries``, stored once.
+
+    Every folder takes a block of the disk. With ``slice_entries`` a larger tree
+    without links across its top folders is made, listed and removed in slices
+    of whole top folders: about so many entries, or one top folder, lie on the
+    disk at once.
+    """
+    spark, root = entries.sparkSession, shared_folder(entries)
+    entries = _filled(entries)
+    slices = max(1, -(-entries.count() // slice_entries)) if slice_entries else 1
+    top = F.coalesce(F.substring_index("path", "/", 1), F.lit(""))
+    dealt = entries.withColumn("slice", F.pmod(F.xxhash64(top), F.lit(slices)))
+    dealt = dealt.repartition("slice").sortWithinPartitions("slice", "path") if slices > 1 else dealt
+    dealt.write.partitionBy("slice").option("compression", "zstd").parquet(f"{root}/entries")
+    stored = spark.read.schema(dealt.schema).parquet(f"{root}/entries")
+    sizes = {r["slice"]: r["count"] for r in stored.groupBy("slice").count().collect()}
+    place = re.sub("^file:/+", "/", root)
+    for k in range(slices):
+        part = stored.filter(F.col("slice") == k).drop("slice")
+        os.makedirs(f"{place}/tree-{k}", exist_ok=True)
+        tree = _make_tree(part, f"{root}/tree-{k}", sizes.get(k, 0))
+        found = listing.read_tree(spark, tree, spark.sparkContext.defaultParallelism if slices > 1 else listing.TASKS)
+        found.write.mode("append").option("compression", "zstd").parquet(f"{root}/listing")
+        if slices > 1:
+            _remove_tree(part, tree)
+    return spark.read.schema(listing.DDL).parquet(f"{root}/listing")
+
+
 _SHAPED = """sizes AS (SELECT model, tensor, COUNT(*) AS n FROM param_blocks GROUP BY model, tensor)"""
 
 
@@ -277,8 +342,7 @@ def merged_files(docs, p):
 @query("S3_checkpoints_of_files", "checkpoint_dirs", sql="""SELECT DISTINCT path, CAST(regexp_extract(path, '/checkpoint-([0-9]+)$', 1) AS BIGINT) AS step
            FROM checkpoint_dirs WHERE regexp_matches(path, '/checkpoint-[0-9]+$')""")
 def checkpoint_folders(dirs):
-    root = _make_tree(dirs.withColumn("kind", F.lit("dir")), shared_folder(dirs))
-    tree = listing.read_tree(dirs.sparkSession, root)
+    tree = _listed_tree(dirs.withColumn("kind", F.lit("dir")))
     return K.discover_checkpoints(listing.artifacts(tree).filter("is_dir")).select("path", "step")
 
 
@@ -289,7 +353,7 @@ def finished_folders(parts):
     entries = parts.select(path.alias("path"), F.lit("dir").alias("kind")).unionByName(
         parts.filter("done").select(F.concat(path, F.lit("/.done")).alias("path"), F.lit("file").alias("kind"))
     )
-    tree = listing.read_tree(parts.sparkSession, _make_tree(entries, shared_folder(parts)))
+    tree = _listed_tree(entries, SLICE_ENTRIES)
     found = listing.finished_folders(tree).filter(F.col("path").contains("/"))
     return G.done_jobs(found.select(F.substring_index("path", "/", 1).alias("job"), "done"))
 
@@ -304,7 +368,7 @@ def retained_folders(artifacts, links):
     # The link's own way leads through a folder that has to be there.
     way = artifacts.sparkSession.range(1).select(F.lit("x/y").alias("path"), F.lit("dir").alias("kind"))
     entries = weights.unionByName(nested, True).unionByName(tops, True).unionByName(way, True)
-    tree = listing.read_tree(artifacts.sparkSession, _make_tree(entries, shared_folder(artifacts)))
+    tree = _listed_tree(entries)
     plan = G.retention_plan(listing.artifacts(tree), listing.links(tree), ["lora_*_lr[0-2]_*", "lora_en_lr3_*"])
     return plan.select("path", "bytes")
 
