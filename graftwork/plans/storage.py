@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import contextlib
+import errno
+import itertools
 import os
+import random
 import re
 import shutil
 import uuid
+import zlib
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graftwork.operators import merging as M
@@ -205,6 +212,8 @@ def grouped(m):
 # Entries of a tree that one task makes, and that lie on the disk at once.
 TASK_ENTRIES = 10_000
 SLICE_ENTRIES = 400_000
+# How often a task makes an entry again whose folder another task has replaced.
+RETRIES = 5
 
 
 def _filled(entries: DataFrame) -> DataFrame:
@@ -215,51 +224,246 @@ def _filled(entries: DataFrame) -> DataFrame:
     return entries.select("path", "kind", *empty)
 
 
+class _Spares:
+    """Makes folders, of the emptied folders of earlier trees as far as these go.
+
+    A folder that gets a new name costs far less than one removed and one made,
+    least of all where it stays in the same folder above, as others need not wait.
+    The earlier trees lie in ``pool``, shared by all tasks: each begins with its
+    own share of them, and goes on with the others'. What another task took is
+    passed over.
+    """
+
+    def __init__(self, pool: str, task: int, tasks: int):
+        self.any = os.path.isdir(pool)
+        self._own, self._rest = [], []
+        for tree in os.listdir(pool) if self.any else ():
+            for name in _gone(os.listdir, f"{pool}/{tree}", []):
+                mine = zlib.crc32(os.fsencode(name)) % tasks == task % tasks
+                (self._own if mine else self._rest).append(f"{pool}/{tree}/{name}")
+        self._found, self._held, self._whole = self._emptied(), None, None
+        self._aside, self._moved, self._loose = f"{pool}/{uuid.uuid4()}", 0, []
+
+    def _emptied(self) -> Iterator[str]:
+        is_dir = lambda top: os.path.isdir(top) and not os.path.islink(top)
+        for top in self._own:
+            yield from self._of(top, is_dir(top))
+        random.shuffle(self._rest)
+        for top in self._rest:
+            yield from self._of(top, is_dir(top), others=True)
+
+    def _inside(self, path: str) -> list[tuple[str, bool]]:
+        """Some paths in a folder, if there are any, and which are folders; links are not followed."""
+        with os.scandir(path) as found:
+            return [(entry.path, entry.is_dir(follow_symlinks=False)) for entry in itertools.islice(found, TASK_ENTRIES)]
+
+    def _of(self, path: str, is_dir: bool, others: bool = False) -> Iterator[str]:
+        """The folders of a tree, innermost first, each without its files and links."""
+        if not is_dir:
+            _gone(os.unlink, path)
+            return
+        before = None
+        while entries := _gone(self._inside, path):
+            # What another task holds but has not moved yet stays, with the folders above it.
+            if set(entries) == before:
+                return
+            before = set(entries)
+            if others:
+                random.shuffle(entries)
+            for entry in entries:
+                yield from self._of(*entry, others)
+        if entries is not None:
+            yield path
+
+    def _away(self, path: str) -> str:
+        """Move a folder with what it holds out of the one above, into the pool."""
+        if not self._moved:
+            os.mkdir(self._aside)
+        self._moved += 1
+        to = f"{self._aside}/{self._moved}"
+        _gone(lambda p: os.rename(p, to), path)
+        return to
+
+    def _folders(self, inside: list[tuple[str, bool]]) -> list[str]:
+        """The folders of what is in a folder, which loses its files and links."""
+        for entry, is_dir in inside:
+            if not is_dir:
+                _gone(os.unlink, entry)
+        return [entry for entry, is_dir in inside if is_dir]
+
+    def _like(self, count: int) -> tuple[str, list[tuple[str, bool]]] | None:
+        """One of the own top folders that holds about so many folders, and all that is in it."""
+        if self._whole is None:
+            self._whole = {}
+            for top in self._own:
+                inside = None if os.path.islink(top) or not os.path.isdir(top) else _gone(self._inside, top)
+                if inside is not None and len(inside) < TASK_ENTRIES:
+                    self._whole.setdefault(sum(is_dir for _, is_dir in inside), []).append((top, inside))
+        near = min((n for n in self._whole if n <= 2 * count + 8), key=lambda n: abs(n - count), default=None)
+        if near is None:
+            return None
+        found = self._whole[near].pop()
+        if not self._whole[near]:
+            del self._whole[near]
+        return found
+
+    def refit(self, path: str, names: set[str]) -> None:
+        """Turn a top folder of the pool into ``path`` with empty folders of some or all of the names."""
+        old, inside = self._like(len(names)) or (None, [])
+        if old is None:
+            return
+        rooms = self._folders(inside)
+        for room in rooms:
+            while inside := _gone(self._inside, room):
+                for inner in self._folders(inside):
+                    self._away(inner)
+        free = [room for room in rooms if os.path.basename(room) not in names]
+        for name in names - {os.path.basename(room) for room in rooms}:
+            if free:
+                _gone(lambda p, to=f"{old}/{name}": os.rename(p, to), free.pop())
+        self._loose.extend(self._away(room) for room in free)
+        # It stays a spare one where there is a folder already: make() does the rest.
+        with contextlib.suppress(OSError):
+            os.rename(old, path)
+
+    def make(self, path: str) -> None:
+        """A folder and those above it, where they are not there."""
+        while not os.path.isdir(path):
+            above = os.path.dirname(path)
+            if not os.path.isdir(above):
+                self.make(above)
+            self._held = self._held or (self._loose.pop() if self._loose else next(self._found, None))
+            if self._held is None:
+                os.makedirs(path, exist_ok=True)
+                return
+            try:
+                os.rename(self._held, path)
+                self._held = None
+            except FileNotFoundError:
+                # Another task took it, or took the place of an empty folder above.
+                self._held = self._held if os.path.isdir(self._held) else None
+            except OSError as e:
+                if e.errno not in (errno.ENOTEMPTY, errno.EEXIST):
+                    raise
+
+
+def _gone(do, path: str, gone=None):
+    """What ``do`` gives for a path, or ``gone`` if that is no longer there."""
+    try:
+        return do(path)
+    except FileNotFoundError:
+        return gone
+
+
+def _second_folders(rows: Iterable[dict]) -> set[str]:
+    """Names of the folders that rows of one top folder need directly in it."""
+    folders, others = set(), set()
+    for row in rows:
+        parts = f"{row['path']}".split("/")
+        if len(parts) > 2 or (len(parts) == 2 and row["kind"] == "dir"):
+            folders.add(parts[1])
+        elif len(parts) == 2:
+            others.add(parts[1])
+    return folders - others - {"", ".", ".."}
+
+
 def _make_tree(entries: DataFrame, root: str, count: int | None = None) -> str:
-    """Write ``path, kind, bytes, text, target`` entries as folders, files and links, in tasks of bounded size."""
+    """Write ``path, kind, bytes, text, target`` entries as folders, files and links, in tasks of bounded size.
+
+    Folders of the trees in ``<root>.spare``, if there are any, are used up for it.
+    """
     place = re.sub("^file:/+", "/", root)
+    entries = _filled(entries)
+    tasks = max(1, -(-(entries.count() if count is None else count) // TASK_ENTRIES))
+
+    def write(path, text, size):
+        with open(path, "wb", buffering=0) as file:
+            file.write(text)
+            file.truncate(size or len(text))
 
     def make(batches):
-        last = None
+        spares = _Spares(f"{place}.spare", TaskContext.get().partitionId(), tasks)
+        last = empty = None
+
+        def put(row):
+            nonlocal last, empty
+            path = f"{place}/{row['path']}"
+            folder = path if row["kind"] == "dir" else os.path.dirname(path)
+            if folder != last:
+                spares.make(folder)
+                last = folder
+            if row["kind"] == "link":
+                os.symlink(row["target"], path)
+            elif row["kind"] == "file":
+                text = (row["text"] or "").encode()
+                if not spares.any:
+                    write(path, text, row["bytes"])
+                    return
+                # Beside spare folders empty files are names of one: these come and go without being made.
+                _gone(os.unlink, path)
+                if text or row["bytes"]:
+                    write(path, text, row["bytes"])
+                    return
+                try:
+                    if empty:
+                        os.link(empty, path)
+                        return
+                except OSError:  # it is gone, or has all the names that a file may have
+                    pass
+                write(path, text, None)
+                empty = path
+
         for batch in batches:
-            for row in batch.to_pylist():
-                path = f"{place}/{row['path']}"
-                folder = path if row["kind"] == "dir" else os.path.dirname(path)
-                if folder != last:
-                    os.makedirs(folder, exist_ok=True)
-                    last = folder
-                if row["kind"] == "link":
-                    os.symlink(row["target"], path)
-                elif row["kind"] == "file":
-                    text = (row["text"] or "").encode()
-                    with open(path, "wb", buffering=0) as file:
-                        file.write(text)
-                        file.truncate(row["bytes"] or len(text))
+            rows = batch.to_pylist()
+            for top, inside in itertools.groupby(rows, lambda row: f"{row['path']}".partition("/")[0]) if spares.any else ():
+                names = _second_folders(inside)
+                if names and top not in ("", ".", "..") and not os.path.lexists(f"{place}/{top}"):
+                    spares.refit(f"{place}/{top}", names)
+            for row in rows:
+                for _ in range(RETRIES):
+                    try:
+                        put(row)
+                        break
+                    except FileNotFoundError:  # another task took the place of the empty folder
+                        last = None
+                else:
+                    put(row)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    entries = _filled(entries)
-    tasks = max(1, -(-(entries.count() if count is None else count) // TASK_ENTRIES))
     ready = entries.repartitionByRange(tasks, "path").sortWithinPartitions("path")
     ready.mapInArrow(make, "n bigint").agg(F.sum("n")).collect()
     return place
 
 
-def _remove_tree(entries: DataFrame, place: str) -> None:
-    """Remove what :func:`_make_tree` made of the entries, in tasks."""
+def _set_aside(tree: str, following: str) -> None:
+    """Make a tree, and what was spare for it, the spare folders of the following one."""
+    pool = f"{following}.spare"
+    if os.path.isdir(f"{tree}.spare"):
+        os.rename(f"{tree}.spare", pool)
+    else:
+        os.mkdir(pool)
+    os.rename(tree, f"{pool}/{os.path.basename(tree)}")
+    for name in os.listdir(pool):
+        with contextlib.suppress(OSError):  # some are left
+            os.rmdir(f"{pool}/{name}")
+
+
+def _remove_spares(spark: SparkSession, pool: str) -> None:
+    """Remove the trees in a pool, in tasks."""
 
     def remove(batches):
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                path = f"{place}/{name}"
+            for path in batch.column(0).to_pylist():
                 if os.path.isdir(path) and not os.path.islink(path):
                     shutil.rmtree(path)
                 elif os.path.lexists(path):
                     os.unlink(path)
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
-    tops = entries.select(F.substring_index("path", "/", 1).alias("name")).distinct()
-    tops.repartition(entries.sparkSession.sparkContext.defaultParallelism).mapInArrow(remove, "n bigint").agg(F.sum("n")).collect()
-    os.rmdir(place)
+    tops = [(f"{pool}/{tree}/{name}",) for tree in os.listdir(pool) for name in os.listdir(f"{pool}/{tree}")]
+    rows = spark.createDataFrame(tops, "path string").repartition(4 * spark.sparkContext.defaultParallelism)
+    rows.mapInArrow(remove, "n bigint").agg(F.sum("n")).collect()
+    shutil.rmtree(pool)
 
 
 def _listed_tree(entries: DataFrame, slice_entries: int | None = None) -> DataFrame:
@@ -268,7 +472,8 @@ def _listed_tree(entries: DataFrame, slice_entries: int | None = None) -> DataFr
     Every folder takes a block of the disk. With ``slice_entries`` a larger tree
     without links across its top folders is made, listed and removed in slices
     of whole top folders: about so many entries, or one top folder, lie on the
-    disk at once.
+    disk at once. The folders of a slice become those of the next one, and are
+    removed after the last.
     """
     spark, root = entries.sparkSession, shared_folder(entries)
     entries = _filled(entries)
@@ -287,7 +492,9 @@ def _listed_tree(entries: DataFrame, slice_entries: int | None = None) -> DataFr
         found = listing.read_tree(spark, tree, spark.sparkContext.defaultParallelism if slices > 1 else listing.TASKS)
         found.write.mode("append").option("compression", "zstd").parquet(f"{root}/listing")
         if slices > 1:
-            _remove_tree(part, tree)
+            _set_aside(tree, f"{place}/tree-{k + 1}")
+    if slices > 1:
+        _remove_spares(spark, f"{place}/tree-{slices}.spare")
     return spark.read.schema(listing.DDL).parquet(f"{root}/listing")
 
 
